@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +21,26 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_deliveries(fixture_deliveries(spark, sf_dir))
 
 
+_MEMO: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Persist a shared intermediate once per application and source folder.
+
+    Many registered queries start from the same player-match table; persisting
+    it (memory, spilling to disk) keeps their plans small and the work done
+    once. Lost cached blocks are recomputed from lineage.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    df = _MEMO.get(key)
+    if df is None:
+        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _MEMO[key] = df
+    return df
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return player_match_stats(deliveries(spark, sf_dir))
+    return _memo(spark, sf_dir, "stats", lambda: player_match_stats(deliveries(spark, sf_dir)))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +48,10 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
-    return composite_indices(f, correlation_weights(f))
+    def build():
+        f = features(spark, sf_dir)
+        return composite_indices(f, correlation_weights(f))
+    return _memo(spark, sf_dir, "indexed", build)
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

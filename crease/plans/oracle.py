@@ -191,3 +191,68 @@ SQL["batting_metrics"] = PM + "\nSELECT match_id, season, team, player, " + ", "
 
 SQL["bowling_metrics"] = PM + "\nSELECT match_id, season, team, player, " + ", ".join(
     r(c) for c in ["overs_bowled", "bowling_economy", "bowling_strike_rate", "wickets_per_match"]) + " FROM feat"
+
+SQL["correlation_weights"] = IDX + "\nSELECT metric, ROUND(weight, 6) AS weight FROM (" + " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, w{i} AS weight FROM wts" for i, m in enumerate(
+        ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
+         "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy"])) + ") z"
+
+SQL["composite_indices"] = IDX + "\nSELECT match_id, season, team, player, " + ", ".join(
+    [r("batting_index", 4), r("bowling_index", 4), r("batting_index + bowling_index", 4, "overall_index")]) + \
+    " FROM idx"
+
+MM_FEATURES = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
+               "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy",
+               "batting_index", "bowling_index", "overall_index", "overs_bowled"]
+
+SQL["model_matrix"] = IDX + "\nSELECT match_id, player, team, season, team_won, " + ", ".join(
+    r(c, 4) for c in MM_FEATURES) + " FROM mm"
+
+SQL["feature_merge"] = PM + """
+SELECT match_id, season, team, player, team_won, winning_team,
+ balls_faced AS balls_faced_bat, balls_faced AS balls_faced_bowl, """ + ", ".join(
+    r(c) for c in ["batting_strike_rate", "bowling_economy"]) + " FROM feat"
+
+# Ratings with uniform weights over the 12 model features (no importances given).
+RATINGS = IDX + """,
+scored AS (
+ SELECT mm.*, (""" + " + ".join(MM_FEATURES) + """) / 12E0 AS impact_score FROM mm),
+rat0 AS (
+ SELECT player, team, season, AVG(impact_score) AS impact_score, AVG(batting_index) AS batting_index,
+  AVG(bowling_index) AS bowling_index FROM scored GROUP BY player, team, season),
+ratings AS (
+ SELECT rat0.*, CASE WHEN mx - mn > 0 THEN 100 * (impact_score - mn) / (mx - mn) ELSE 50E0 END AS impact_rating
+ FROM rat0 CROSS JOIN (SELECT MIN(impact_score) AS mn, MAX(impact_score) AS mx FROM rat0) b),
+volume AS (
+ SELECT player, team, season, CAST(SUM(balls_faced) AS DOUBLE) AS balls_faced,
+  CAST(SUM(balls_bowled) AS DOUBLE) AS balls_bowled FROM feat GROUP BY player, team, season)"""
+
+SQL["impact_score"] = RATINGS + "\nSELECT match_id, player, team, season, " + r("impact_score", 4) + " FROM scored"
+
+SQL["player_ratings"] = RATINGS + "\nSELECT player, team, season, " + ", ".join(
+    [r("impact_score", 4), r("batting_index", 4), r("bowling_index", 4), r("impact_rating", 4)]) + " FROM ratings"
+
+SQL["player_volume"] = RATINGS + "\nSELECT player, team, season, balls_faced, balls_bowled FROM volume"
+
+SQL["volume_outer"] = RATINGS + "\nSELECT player, team, season, balls_faced, balls_bowled FROM volume"
+
+SQL["top_ratings"] = RATINGS + "\nSELECT player, team, season, " + r("impact_rating", 4) + \
+    " FROM ratings ORDER BY impact_rating DESC, player, team, season LIMIT 25"
+
+SQL["attach_index"] = IDX + "\nSELECT match_id, season, team, player, balls_faced, " + \
+    r("batting_strike_rate") + ", " + r("batting_index", 4) + " FROM idx WHERE _merge <> 'right_only'"
+
+SQL["impact_tier"] = RATINGS + """
+SELECT player, team, season,
+ CASE WHEN impact_rating >= 90 THEN 'Elite performer' WHEN impact_rating >= 75 THEN 'Strong performer'
+      WHEN impact_rating >= 60 THEN 'Above average' WHEN impact_rating >= 40 THEN 'Average'
+      ELSE 'Below average' END AS impact_tier,
+ CASE WHEN impact_rating >= 90 THEN 'Must select' WHEN impact_rating >= 75 THEN 'High priority'
+      WHEN impact_rating >= 60 THEN 'Consider for balance' WHEN impact_rating >= 40 THEN 'Situational'
+      ELSE 'Avoid unless specialized role' END AS selection_priority
+FROM ratings"""
+
+SQL["safe_divide"] = PM + """
+SELECT match_id, season, team, player,
+ CASE WHEN balls_bowled IS NULL OR balls_bowled = 0 THEN 0E0 ELSE CAST(wickets AS DOUBLE) / balls_bowled END AS wickets_per_ball
+FROM pm"""

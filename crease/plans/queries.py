@@ -161,3 +161,104 @@ def _bowl_metrics(spark, sf):
     f = FE.bowling_metrics(B.stats(spark, sf))
     return f.select(*PMK, *[rnd(c).alias(c) for c in
                             ["overs_bowled", "bowling_economy", "bowling_strike_rate", "wickets_per_match"]])
+
+
+MM_FEATURES = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
+               "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy",
+               "batting_index", "bowling_index", "overall_index", "overs_bowled"]
+
+
+@q("correlation_weights")
+def _weights(spark, sf):
+    f = B.features(spark, sf)
+    return FE.weights_table(FE.correlation_weights(f)).select("metric", rnd("weight").alias("weight"))
+
+
+@q("composite_indices")
+def _indices(spark, sf):
+    return B.indexed(spark, sf).select(*PMK, *[rnd(c, 4).alias(c) for c in
+                                             ["batting_index", "bowling_index", "overall_index"]])
+
+
+@q("model_matrix")
+def _matrix(spark, sf):
+    m = B.matrix(spark, sf)
+    return m.select("match_id", "player", "team", "season", "team_won", *[rnd(c, 4).alias(c) for c in MM_FEATURES])
+
+
+@q("feature_merge")
+def _merge(spark, sf):
+    f = B.features(spark, sf)
+    keys = ["match_id", "season", "team", "player", "team_won", "winning_team"]
+    bat = f.select(*keys, "balls_faced", "batting_strike_rate")
+    bowl = f.select(*keys, "balls_faced", "bowling_economy")
+    out = FE.feature_merge(bat, bowl, keys)
+    return out.select(*keys, "balls_faced_bat", "balls_faced_bowl",
+                      rnd("batting_strike_rate").alias("batting_strike_rate"),
+                      rnd("bowling_economy").alias("bowling_economy"))
+
+
+@q("impact_score")
+def _impact(spark, sf):
+    from crease.operators.ratings import impact_score
+    s = impact_score(B.matrix(spark, sf), {c: 1.0 for c in MM_FEATURES})
+    return s.select("match_id", "player", "team", "season", rnd("impact_score", 4).alias("impact_score"))
+
+
+def _ratings(spark, sf):
+    from crease.operators.ratings import player_ratings
+    return player_ratings(B.matrix(spark, sf), {c: 1.0 for c in MM_FEATURES})
+
+
+@q("player_ratings")
+def _player_ratings(spark, sf):
+    return _ratings(spark, sf).select("player", "team", "season", *[rnd(c, 4).alias(c) for c in
+                                      ["impact_score", "batting_index", "bowling_index", "impact_rating"]])
+
+
+@q("player_volume")
+def _volume(spark, sf):
+    from crease.operators.ratings import player_volume
+    return player_volume(B.features(spark, sf))
+
+
+@q("volume_outer")
+def _volume_outer(spark, sf):
+    from crease.operators.ratings import volume_outer
+    f = B.features(spark, sf)
+    return volume_outer(f.select("player", "team", "season", "balls_faced"),
+                        f.select("player", "team", "season", "balls_bowled")) \
+        .select("player", "team", "season", "balls_faced", "balls_bowled")
+
+
+@q("top_ratings")
+def _top(spark, sf):
+    from crease.operators.ratings import top_ratings
+    return top_ratings(_ratings(spark, sf)).select("player", "team", "season",
+                                                   rnd("impact_rating", 4).alias("impact_rating"))
+
+
+@q("attach_index")
+def _attach(spark, sf):
+    from crease.operators.ratings import attach_index
+    f = B.features(spark, sf)
+    idx = FE.composite_indices(f)
+    bat = PMO.batting_player_match(B.stats(spark, sf))
+    out = attach_index(FE.batting_metrics(bat), idx, "batting_index")
+    return out.select(*PMK, "balls_faced", rnd("batting_strike_rate").alias("batting_strike_rate"),
+                      rnd("batting_index", 4).alias("batting_index"))
+
+
+@q("impact_tier")
+def _tier(spark, sf):
+    from crease.functions.expressions import impact_tier
+    r = _ratings(spark, sf)
+    return r.select("player", "team", "season", impact_tier("impact_rating", 1).alias("impact_tier"),
+                    impact_tier("impact_rating", 2).alias("selection_priority"))
+
+
+@q("safe_divide")
+def _safe_div(spark, sf):
+    from crease.functions.expressions import safe_divide
+    s = B.stats(spark, sf)
+    return s.select(*PMK, safe_divide("wickets", "balls_bowled").alias("wickets_per_ball"))
