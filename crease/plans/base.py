@@ -56,3 +56,32 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_matrix(indexed(spark, sf_dir))[0]
+
+
+def match_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per match: venue, date and the two teams (for slices and opponents)."""
+    return deliveries(spark, sf_dir).filter(F.col("match_id").isNotNull()).groupBy("match_id").agg(
+        F.max("venue").alias("venue"), F.max("date").alias("date"),
+        F.least(F.min("batting_team"), F.min("bowling_team")).alias("team_a"),
+        F.greatest(F.max("batting_team"), F.max("bowling_team")).alias("team_b"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored fixture: a fixed logistic score of player-match rows (no model),
+    used to exercise the evaluation operators on whole data."""
+    from pyspark.sql import Window
+
+    def build():
+        f = features(spark, sf_dir)
+        mi = match_info(spark, sf_dir)
+        z = (F.lit(0.04) * (F.col("runs_scored") - 7) + F.lit(0.3) * F.col("wickets")
+             + F.lit(0.02) * F.round(F.col("phase_efficacy"), 4))
+        p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
+        w = Window.partitionBy("match_id").orderBy("team", "player")
+        out = f.join(mi, "match_id", "inner").select(
+            "match_id", "season", "team", "player", "venue", "date",
+            F.when(F.col("team") == F.col("team_a"), F.col("team_b")).otherwise(F.col("team_a")).alias("opponent"),
+            F.col("team_won").cast("int").alias("y_true"), p.alias("y_pred_proba"),
+            (F.col("match_id") * 1000 + F.row_number().over(w)).cast("long").alias("rid"))
+        return out.withColumn("y_pred", (F.col("y_pred_proba") >= 0.5).cast("int"))
+    return _memo(spark, sf_dir, "scored", build)

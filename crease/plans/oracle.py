@@ -256,3 +256,225 @@ SQL["safe_divide"] = PM + """
 SELECT match_id, season, team, player,
  CASE WHEN balls_bowled IS NULL OR balls_bowled = 0 THEN 0E0 ELSE CAST(wickets AS DOUBLE) / balls_bowled END AS wickets_per_ball
 FROM pm"""
+
+SCORED = PM + """,
+match_info AS (
+ SELECT match_id, MAX(venue) AS venue, MAX(date) AS date,
+  LEAST(MIN(batting_team), MIN(bowling_team)) AS team_a, GREATEST(MAX(batting_team), MAX(bowling_team)) AS team_b
+ FROM deliveries WHERE match_id IS NOT NULL GROUP BY match_id),
+scored0 AS (
+ SELECT f.match_id, f.season, f.team, f.player, mi.venue, mi.date,
+  CASE WHEN f.team = mi.team_a THEN mi.team_b ELSE mi.team_a END AS opponent,
+  CAST(f.team_won AS INT) AS y_true,
+  ROUND(1E0 / (1E0 + exp(-(0.04E0 * (f.runs_scored - 7) + 0.3E0 * f.wickets + 0.02E0 * ROUND(f.phase_efficacy, 4)))), 3)
+   AS y_pred_proba,
+  CAST(f.match_id * 1000 + ROW_NUMBER() OVER (PARTITION BY f.match_id ORDER BY f.team, f.player) AS BIGINT) AS rid
+ FROM feat f JOIN match_info mi USING (match_id)),
+scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)"""
+
+
+def sql_auc_cte(name: str, src: str, part: list[str], y: str = "y_true", p: str = "y_pred_proba") -> str:
+    """CTE ``name`` with (part..., roc_auc, pr_auc) over ``src``."""
+    pc = ", ".join(part)
+    pre = (pc + ", ") if part else ""
+    win = f"PARTITION BY {pc} " if part else ""
+    grp = f"GROUP BY {pc}" if part else ""
+    return f""",
+{name}_g AS (SELECT {pre}CAST({p} AS DOUBLE) AS score, SUM(CAST({y} AS DOUBLE)) AS pos,
+  SUM(1E0 - {y}) AS neg FROM {src} {"GROUP BY " + pre + "score" if True else ""}),
+{name}_c AS (SELECT *, COALESCE(SUM(neg) OVER ({win}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0E0) AS cneg,
+  SUM(pos) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dpos,
+  SUM(neg) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dneg
+ FROM {name}_g),
+{name} AS (SELECT {pre}CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN SUM(pos * (cneg + 0.5E0 * neg)) / (SUM(pos) * SUM(neg)) END AS roc_auc,
+  CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN SUM(CASE WHEN pos > 0 THEN pos * dpos / (dpos + dneg) ELSE 0E0 END) / SUM(pos) END AS pr_auc
+ FROM {name}_c {grp})"""
+
+
+def sql_point(src: str, part: list[str]) -> str:
+    pre = (", ".join(part) + ", ") if part else ""
+    grp = ("GROUP BY " + ", ".join(part)) if part else ""
+    return f"""SELECT {pre}COUNT(*) AS n, SUM(CAST(y_true AS DOUBLE)) AS pos,
+  SUM(CASE WHEN y_true = y_pred THEN 1E0 ELSE 0E0 END) AS correct,
+  SUM(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1E0 ELSE 0E0 END) AS tp,
+  SUM(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1E0 ELSE 0E0 END) AS fp,
+  SUM(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1E0 ELSE 0E0 END) AS fn,
+  SUM((y_pred_proba - y_true) * (y_pred_proba - y_true)) AS sq,
+  SUM(-(y_true * ln(LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15))
+       + (1 - y_true) * ln(1 - LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15)))) AS ll,
+  SUM(abs(y_true - y_pred_proba)) AS ae
+ FROM {src} {grp}"""
+
+
+EVAL = SCORED + ",\npt AS (" + sql_point("scored", []) + ")" + sql_auc_cte("auc", "scored", [])
+
+SQL["metric_accuracy"] = EVAL + "\nSELECT ROUND(correct / n, 6) AS accuracy FROM pt"
+SQL["metric_f1"] = EVAL + "\nSELECT ROUND(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0E0 END, 6) AS f1 FROM pt"
+SQL["metric_brier"] = EVAL + "\nSELECT ROUND(sq / n, 6) AS brier_score FROM pt"
+SQL["metric_log_loss"] = EVAL + "\nSELECT ROUND(CASE WHEN pos > 0 AND pos < n THEN ll / n END, 6) AS log_loss FROM pt"
+SQL["metric_mae"] = EVAL + "\nSELECT ROUND(ae / n, 6) AS mae FROM pt"
+SQL["metric_roc_auc"] = EVAL + "\nSELECT ROUND(roc_auc, 6) AS roc_auc FROM auc"
+SQL["metric_pr_auc"] = EVAL + "\nSELECT ROUND(pr_auc, 6) AS pr_auc FROM auc"
+
+SQL["roc_points"] = EVAL + """
+SELECT ROUND(score, 6) AS threshold, ROUND(dneg / SUM(neg) OVER (), 6) AS fpr, ROUND(dpos / SUM(pos) OVER (), 6) AS tpr
+FROM auc_c"""
+SQL["pr_points"] = EVAL + """
+SELECT ROUND(score, 6) AS threshold, ROUND(dpos / (dpos + dneg), 6) AS precision, ROUND(dpos / SUM(pos) OVER (), 6) AS recall
+FROM auc_c"""
+
+SQL["classification_report"] = SCORED + """,
+cr_c AS (SELECT SUM(CASE WHEN y_true = 0 AND y_pred = 0 THEN 1 ELSE 0 END) AS tp0,
+  SUM(CASE WHEN y_pred = 0 THEN 1 ELSE 0 END) AS pred0, SUM(CASE WHEN y_true = 0 THEN 1 ELSE 0 END) AS sup0,
+  SUM(CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp1,
+  SUM(CASE WHEN y_pred = 1 THEN 1 ELSE 0 END) AS pred1, SUM(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS sup1,
+  COUNT(*) AS n FROM scored),
+cr_m AS (SELECT *, CASE WHEN pred0 > 0 THEN tp0 / pred0 ELSE 0E0 END AS p0, CASE WHEN sup0 > 0 THEN tp0 / sup0 ELSE 0E0 END AS r0,
+  CASE WHEN pred1 > 0 THEN tp1 / pred1 ELSE 0E0 END AS p1, CASE WHEN sup1 > 0 THEN tp1 / sup1 ELSE 0E0 END AS r1 FROM cr_c),
+cr_f AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0E0 END AS f0,
+  CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0E0 END AS f1 FROM cr_m)
+SELECT '0' AS label, ROUND(p0, 6) AS precision, ROUND(r0, 6) AS recall, ROUND(f0, 6) AS f1, CAST(sup0 AS BIGINT) AS support FROM cr_f
+UNION ALL SELECT '1', ROUND(p1, 6), ROUND(r1, 6), ROUND(f1, 6), CAST(sup1 AS BIGINT) FROM cr_f
+UNION ALL SELECT 'accuracy', NULL, NULL, ROUND((tp0 + tp1) / n, 6), CAST(n AS BIGINT) FROM cr_f
+UNION ALL SELECT 'macro avg', ROUND((p0 + p1) / 2, 6), ROUND((r0 + r1) / 2, 6), ROUND((f0 + f1) / 2, 6), CAST(n AS BIGINT) FROM cr_f
+UNION ALL SELECT 'weighted avg', ROUND((p0 * sup0 + p1 * sup1) / n, 6), ROUND((r0 * sup0 + r1 * sup1) / n, 6),
+  ROUND((f0 * sup0 + f1 * sup1) / n, 6), CAST(n AS BIGINT) FROM cr_f"""
+
+SQL["classify_threshold"] = SCORED + "\nSELECT rid, y_pred_proba, y_pred FROM scored"
+SQL["matchup_key"] = SCORED + \
+    "\nSELECT rid, concat(LEAST(team, opponent), ' vs ', GREATEST(team, opponent)) AS matchup FROM scored"
+SQL["season_int"] = BASE + "\nSELECT DISTINCT match_id, CAST(season AS INT) AS season FROM deliveries"
+
+_EDGES = [i * (1.0 / 10) for i in range(1, 10)]
+_UBIN = " + ".join(f"CASE WHEN y_pred_proba > {e!r}E0 THEN 1 ELSE 0 END".replace("E0E0", "E0") for e in _EDGES)
+_QBIN = " + ".join(f"CASE WHEN y_pred_proba > e{i} THEN 1 ELSE 0 END" for i in range(1, 10))
+_QEDGES = ", ".join(f"quantile_cont(y_pred_proba, {i / 10!r}) AS e{i}" for i in range(1, 10))
+
+SQL["calibration_curve"] = SCORED + f""",
+ub AS (SELECT 'uniform' AS strategy, ({_UBIN}) AS bin, y_true, y_pred_proba FROM scored),
+qe AS (SELECT {_QEDGES} FROM scored),
+qb AS (SELECT 'quantile' AS strategy, ({_QBIN}) AS bin, y_true, y_pred_proba FROM scored CROSS JOIN qe),
+allb AS (SELECT * FROM ub UNION ALL SELECT * FROM qb)
+SELECT strategy, bin, CAST(COUNT(*) AS BIGINT) AS n, ROUND(AVG(CAST(y_true AS DOUBLE)), 6) AS fraction_of_positives,
+ ROUND(AVG(y_pred_proba), 6) AS mean_predicted_value FROM allb GROUP BY strategy, bin"""
+
+SQL["expected_calibration_error"] = SCORED + f""",
+ub AS (SELECT ({_UBIN}) AS bin, y_true, y_pred_proba FROM scored),
+bb AS (SELECT bin, COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_pred_proba) AS mp FROM ub GROUP BY bin)
+SELECT ROUND(SUM(n * abs(fp - mp)) / SUM(n), 6) AS ece FROM bb"""
+
+SQL["probability_histogram"] = SCORED + """,
+h AS (SELECT LEAST(9, CAST(FLOOR(y_pred_proba * 10) AS INT)) AS bin, COUNT(*) AS c FROM scored
+ WHERE y_pred_proba >= 0 AND y_pred_proba <= 1 GROUP BY 1)
+SELECT bin, ROUND(bin / 10E0, 6) AS bin_start, CAST(c AS BIGINT) AS count,
+ ROUND(c / (SUM(c) OVER () * 0.1E0), 6) AS density FROM h"""
+
+
+def sql_slices(slice_expr: str, slice_name: str, min_samples: int) -> str:
+    src = f"sl_src"
+    return SCORED + f""",
+{src} AS (SELECT *, {slice_expr} AS {slice_name} FROM scored WHERE {slice_expr} IS NOT NULL),
+spt AS ({sql_point(src, [slice_name])})""" + sql_auc_cte("sauc", src, [slice_name]) + f"""
+SELECT spt.{slice_name}, CAST(n AS BIGINT) AS n_samples, ROUND(correct / n, 6) AS accuracy, ROUND(roc_auc, 6) AS roc_auc,
+ ROUND(CASE WHEN pos > 0 AND pos < n THEN ll / n END, 6) AS log_loss, ROUND(pos / n, 6) AS positive_rate
+FROM spt LEFT JOIN sauc USING ({slice_name}) WHERE n >= {min_samples}"""
+
+
+SQL["slice_metrics"] = sql_slices("team", "team", 10)
+SQL["slice_by_season"] = sql_slices("season", "season", 5)
+SQL["slice_by_venue"] = sql_slices("venue", "venue", 10)
+SQL["slice_by_matchup"] = sql_slices("concat(LEAST(team, opponent), ' vs ', GREATEST(team, opponent))", "matchup", 5)
+
+_SEASON_SLICES = sql_slices("season", "season", 5)
+_DRIFT_BASE = _SEASON_SLICES.replace("\nSELECT spt.season,", ",\nsm AS (SELECT spt.season,") + ")"
+SQL["drift_first_last"] = _DRIFT_BASE + """,
+lg AS (SELECT season, 'accuracy' AS metric, accuracy AS value FROM sm UNION ALL
+ SELECT season, 'roc_auc', roc_auc FROM sm UNION ALL SELECT season, 'log_loss', log_loss FROM sm),
+lv AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value)),
+ag AS (SELECT metric, MIN(season) AS first_season, MAX(season) AS last_season, arg_min(value, season) AS first_value,
+  arg_max(value, season) AS last_value, AVG(value) AS mean_value, COUNT(*) AS n_seasons FROM lv GROUP BY metric)
+SELECT metric, first_season, last_season, ROUND(first_value, 6) AS first_value, ROUND(last_value, 6) AS last_value,
+ ROUND(last_value - first_value, 6) AS change,
+ ROUND(CASE WHEN first_value <> 0 THEN (last_value - first_value) / first_value * 100 ELSE 0E0 END, 4) AS change_pct,
+ ROUND(mean_value, 6) AS mean_value, CASE WHEN last_value > first_value THEN 'increasing' ELSE 'decreasing' END AS trend
+FROM ag WHERE n_seasons > 1"""
+
+SQL["drift_report"] = _DRIFT_BASE + """,
+lg AS (SELECT season, 'accuracy' AS metric, accuracy AS value FROM sm UNION ALL
+ SELECT season, 'log_loss', log_loss FROM sm),
+lv AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value)),
+ag AS (SELECT metric, MAX(season) AS last_season, arg_min(value, season) AS first_value,
+  arg_max(value, season) AS last_value, COUNT(*) AS n_seasons FROM lv GROUP BY metric)
+SELECT 'season' AS kind, CAST(season AS INT) AS season, metric, ROUND(value, 6) AS value, CAST(NULL AS VARCHAR) AS trend FROM (
+ SELECT season, 'n_samples' AS metric, CAST(n_samples AS DOUBLE) AS value FROM sm UNION ALL
+ SELECT season, 'accuracy', accuracy FROM sm UNION ALL SELECT season, 'roc_auc', roc_auc FROM sm UNION ALL
+ SELECT season, 'log_loss', log_loss FROM sm UNION ALL SELECT season, 'positive_rate', positive_rate FROM sm) t
+UNION ALL
+SELECT 'change', CAST(last_season AS INT), metric, ROUND(last_value - first_value, 6),
+ CASE WHEN last_value > first_value THEN 'increasing' ELSE 'decreasing' END FROM ag WHERE n_seasons > 1"""
+
+
+def sql_failures(n_top: int) -> str:
+    return SCORED + f""",
+fp AS (SELECT match_id, player, team, season, y_true, y_pred_proba, abs(y_true - y_pred_proba) AS error,
+  'false_positive' AS failure_type FROM scored WHERE y_true = 0 AND y_pred_proba > 0.5
+  ORDER BY y_pred_proba DESC, rid LIMIT {n_top}),
+fn AS (SELECT match_id, player, team, season, y_true, y_pred_proba, abs(y_true - y_pred_proba) AS error,
+  'false_negative' AS failure_type FROM scored WHERE y_true = 1 AND y_pred_proba < 0.5
+  ORDER BY y_pred_proba ASC, rid LIMIT {n_top}),
+fl AS (SELECT * FROM fp UNION ALL SELECT * FROM fn)"""
+
+
+_FAIL_SELECT = "\nSELECT match_id, player, team, season, y_true, y_pred_proba, ROUND(error, 6) AS error, failure_type FROM fl"
+SQL["top_failures"] = sql_failures(5) + _FAIL_SELECT
+SQL["failure_union"] = sql_failures(8) + _FAIL_SELECT
+SQL["write_failures_csv"] = sql_failures(8) + _FAIL_SELECT
+SQL["failure_report"] = sql_failures(8) + """,
+tc AS (SELECT failure_type, team, COUNT(*) AS c, ROW_NUMBER() OVER (PARTITION BY failure_type ORDER BY COUNT(*) DESC, team) AS rk
+ FROM fl GROUP BY failure_type, team),
+nc AS (SELECT failure_type, COUNT(*) AS n_cases FROM fl GROUP BY failure_type)
+SELECT nc.failure_type, CAST(n_cases AS BIGINT) AS n_cases, CASE WHEN c > 1 THEN team END AS top_team,
+ CAST(CASE WHEN c > 1 THEN c END AS BIGINT) AS top_team_count
+FROM nc LEFT JOIN tc ON nc.failure_type = tc.failure_type AND tc.rk = 1"""
+SQL["write_slice_csv"] = SQL["slice_by_season"]
+
+SQL["precision_at_k_upsets"] = SCORED + """,
+tk AS (SELECT * FROM scored ORDER BY y_pred_proba ASC, rid LIMIT 20)
+SELECT ROUND(SUM(CASE WHEN y_pred_proba < 0.4 AND y_true = 1 THEN 1E0 ELSE 0E0 END) / 20E0, 6) AS precision_at_k,
+ CAST(COUNT(*) AS BIGINT) AS k_rows FROM tk"""
+
+
+def _band_sql() -> str:
+    from crease.operators.policy import PROBABILITY_BANDS
+    parts = []
+    for uc in dict.fromkeys(b[0] for b in PROBABILITY_BANDS):
+        bands = [b for b in PROBABILITY_BANDS if b[0] == uc]
+        lab, act = [], []
+        for i, b in enumerate(bands):
+            hi = f"y_pred_proba <= {b[2]}" if i == len(bands) - 1 else f"y_pred_proba < {b[2]}"
+            cond = f"y_pred_proba >= {b[1]} AND {hi}"
+            lab.append(f"WHEN {cond} THEN '{b[3]}'")
+            act.append(f"WHEN {cond} THEN '{b[4]}'")
+        parts.append(f"SELECT rid, y_pred_proba, '{uc}' AS use_case, CASE {' '.join(lab)} END AS band, "
+                     f"CASE {' '.join(act)} END AS action FROM scored")
+    return "\n".join(["", " UNION ALL\n".join(parts)])
+
+
+SQL["policy_band_join"] = SCORED + _band_sql()
+
+SQL["kpi_alerts"] = SCORED + f""",
+ub AS (SELECT ({_UBIN}) AS bin, y_true, y_pred_proba FROM scored),
+bb AS (SELECT bin, COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_pred_proba) AS mp FROM ub GROUP BY bin),
+tk AS (SELECT * FROM scored ORDER BY y_pred_proba ASC, rid LIMIT 20)""" + sql_auc_cte("auc", "scored", []) + """,
+mt AS (
+ SELECT 'expected_calibration_error' AS metric, SUM(n * abs(fp - mp)) / SUM(n) AS value FROM bb UNION ALL
+ SELECT 'roc_auc', roc_auc FROM auc UNION ALL
+ SELECT 'mean_absolute_error', AVG(abs(y_true - y_pred_proba)) FROM scored UNION ALL
+ SELECT 'precision_at_20', SUM(CASE WHEN y_pred_proba < 0.4 AND y_true = 1 THEN 1E0 ELSE 0E0 END) / 20E0 FROM tk),
+th AS (SELECT * FROM (VALUES ('expected_calibration_error', 0.08E0, 'above', 'Trigger model recalibration'),
+  ('roc_auc', 0.65E0, 'below', 'Review model and retrain if needed'),
+  ('mean_absolute_error', 0.10E0, 'above', 'Investigate feature drift or data quality issues'),
+  ('precision_at_20', 0.50E0, 'below', 'Review upset detection thresholds')) t(metric, threshold, direction, action))
+SELECT metric, ROUND(value, 6) AS value, threshold, direction,
+ COALESCE(CASE WHEN direction = 'above' THEN value > threshold ELSE value < threshold END, FALSE) AS breached, action
+FROM mt JOIN th USING (metric)"""

@@ -262,3 +262,231 @@ def _safe_div(spark, sf):
     from crease.functions.expressions import safe_divide
     s = B.stats(spark, sf)
     return s.select(*PMK, safe_divide("wickets", "balls_bowled").alias("wickets_per_ball"))
+
+
+# ---------------------------------------------------------------- evaluation
+def _sc(spark, sf):
+    return B.scored(spark, sf)
+
+
+def _one(df, col, digits=6):
+    return df.select(rnd(col, digits).alias(col))
+
+
+@q("metric_accuracy")
+def _m_acc(spark, sf):
+    from crease.operators.metrics import point_metrics
+    return _one(point_metrics(_sc(spark, sf)), "accuracy")
+
+
+@q("metric_f1")
+def _m_f1(spark, sf):
+    from crease.operators.metrics import point_metrics
+    return _one(point_metrics(_sc(spark, sf)), "f1")
+
+
+@q("metric_brier")
+def _m_brier(spark, sf):
+    from crease.operators.metrics import point_metrics
+    return _one(point_metrics(_sc(spark, sf)), "brier_score")
+
+
+@q("metric_log_loss")
+def _m_ll(spark, sf):
+    from crease.operators.metrics import point_metrics
+    return _one(point_metrics(_sc(spark, sf)), "log_loss")
+
+
+@q("metric_mae")
+def _m_mae(spark, sf):
+    from crease.operators.metrics import point_metrics
+    return _one(point_metrics(_sc(spark, sf)), "mae")
+
+
+@q("metric_roc_auc")
+def _m_auc(spark, sf):
+    from crease.operators.metrics import roc_auc
+    return _one(roc_auc(_sc(spark, sf)), "roc_auc")
+
+
+@q("metric_pr_auc")
+def _m_ap(spark, sf):
+    from crease.operators.metrics import pr_auc
+    return _one(pr_auc(_sc(spark, sf)), "pr_auc")
+
+
+@q("roc_points")
+def _roc_pts(spark, sf):
+    from crease.operators.metrics import roc_points
+    return roc_points(_sc(spark, sf)).select(*[rnd(c).alias(c) for c in ("threshold", "fpr", "tpr")])
+
+
+@q("pr_points")
+def _pr_pts(spark, sf):
+    from crease.operators.metrics import pr_points
+    return pr_points(_sc(spark, sf)).select(*[rnd(c).alias(c) for c in ("threshold", "precision", "recall")])
+
+
+@q("classification_report")
+def _report(spark, sf):
+    from crease.operators.metrics import classification_report
+    r = classification_report(_sc(spark, sf))
+    return r.select("label", *[rnd(c).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@q("classify_threshold")
+def _classify(spark, sf):
+    from crease.functions.expressions import classify_threshold
+    return _sc(spark, sf).select("rid", "y_pred_proba", classify_threshold("y_pred_proba").alias("y_pred"))
+
+
+@q("matchup_key")
+def _matchup(spark, sf):
+    from crease.functions.expressions import matchup_key
+    return _sc(spark, sf).select("rid", matchup_key("team", "opponent").alias("matchup"))
+
+
+@q("season_int")
+def _season_int(spark, sf):
+    from crease.functions.expressions import season_int
+    return B.deliveries(spark, sf).select("match_id", season_int("season").alias("season")).distinct()
+
+
+@q("calibration_curve")
+def _cal_curve(spark, sf):
+    from crease.operators.calibration import calibration_bins
+    s = _sc(spark, sf)
+    parts = [calibration_bins(s, n_bins=10, strategy=st).withColumn("strategy", F.lit(st))
+             for st in ("uniform", "quantile")]
+    out = parts[0].unionByName(parts[1])
+    return out.select("strategy", "bin", "n", rnd("fraction_of_positives").alias("fraction_of_positives"),
+                      rnd("mean_predicted_value").alias("mean_predicted_value"))
+
+
+@q("expected_calibration_error")
+def _ece(spark, sf):
+    from crease.operators.calibration import expected_calibration_error
+    return _one(expected_calibration_error(_sc(spark, sf)), "ece")
+
+
+@q("probability_histogram")
+def _hist(spark, sf):
+    from crease.operators.calibration import probability_histogram
+    h = probability_histogram(_sc(spark, sf))
+    return h.select("bin", rnd("bin_start").alias("bin_start"), "count", rnd("density").alias("density"))
+
+
+def _slice_out(df, key):
+    return df.select(key, "n_samples", *[rnd(c).alias(c) for c in
+                                         ("accuracy", "roc_auc", "log_loss", "positive_rate")])
+
+
+@q("slice_metrics")
+def _slices(spark, sf):
+    from crease.operators.slices import slice_metrics
+    return _slice_out(slice_metrics(_sc(spark, sf), "team", min_samples=10), "team")
+
+
+@q("slice_by_season")
+def _by_season(spark, sf):
+    from crease.operators.slices import slice_by_season
+    return _slice_out(slice_by_season(_sc(spark, sf)), "season")
+
+
+@q("slice_by_venue")
+def _by_venue(spark, sf):
+    from crease.operators.slices import slice_by_venue
+    return _slice_out(slice_by_venue(_sc(spark, sf)), "venue")
+
+
+@q("slice_by_matchup")
+def _by_matchup(spark, sf):
+    from crease.operators.slices import slice_by_matchup
+    return _slice_out(slice_by_matchup(_sc(spark, sf), "team", "opponent"), "matchup")
+
+
+@q("drift_first_last")
+def _drift_fl(spark, sf):
+    from crease.operators.slices import drift_first_last, slice_by_season
+    sm = _slice_out(slice_by_season(_sc(spark, sf)), "season")
+    d = drift_first_last(sm)
+    return d.select("metric", "first_season", "last_season", *[rnd(c).alias(c) for c in
+                    ("first_value", "last_value", "change")], rnd("change_pct", 4).alias("change_pct"),
+                    rnd("mean_value").alias("mean_value"), "trend")
+
+
+@q("drift_report")
+def _drift(spark, sf):
+    from crease.operators.slices import drift_report, slice_by_season
+    sm = _slice_out(slice_by_season(_sc(spark, sf)), "season")
+    return drift_report(sm).select("kind", "season", "metric", rnd("value").alias("value"), "trend")
+
+
+def _fail_out(df):
+    return df.select("match_id", "player", "team", "season", "y_true", "y_pred_proba", rnd("error").alias("error"),
+                     "failure_type")
+
+
+@q("top_failures")
+def _top_fail(spark, sf):
+    from crease.operators.slices import top_failures
+    return _fail_out(top_failures(_sc(spark, sf), n_top=5))
+
+
+@q("failure_union")
+def _fail_union(spark, sf):
+    from crease.operators.slices import top_failures
+    return _fail_out(top_failures(_sc(spark, sf), n_top=8))
+
+
+@q("failure_report")
+def _fail_report(spark, sf):
+    from crease.operators.slices import failure_report, top_failures
+    return failure_report(top_failures(_sc(spark, sf), n_top=8))
+
+
+@q("write_failures_csv")
+def _write_fail(spark, sf):
+    from crease.operators.slices import top_failures
+    from crease.sources.sinks import read_csv_back, write_failures_csv
+    path = write_failures_csv(_fail_out(top_failures(_sc(spark, sf), n_top=8)), None)
+    return read_csv_back(spark, path, "match_id bigint, player string, team string, season int, y_true int, "
+                         "y_pred_proba double, error double, failure_type string")
+
+
+@q("write_slice_csv")
+def _write_slice(spark, sf):
+    from crease.operators.slices import slice_by_season
+    from crease.sources.sinks import read_csv_back, write_slice_csv
+    path = write_slice_csv(_slice_out(slice_by_season(_sc(spark, sf)), "season"), None)
+    return read_csv_back(spark, path, "season int, n_samples bigint, accuracy double, roc_auc double, "
+                         "log_loss double, positive_rate double")
+
+
+@q("precision_at_k_upsets")
+def _p_at_k(spark, sf):
+    from crease.operators.metrics import precision_at_k_upsets
+    return precision_at_k_upsets(_sc(spark, sf), k=20).select(rnd("precision_at_k").alias("precision_at_k"),
+                                                             "k_rows")
+
+
+@q("policy_band_join")
+def _bands(spark, sf):
+    from crease.operators.policy import policy_band_join
+    return policy_band_join(_sc(spark, sf).select("rid", "y_pred_proba"))
+
+
+@q("kpi_alerts")
+def _alerts(spark, sf):
+    from crease.operators.calibration import expected_calibration_error
+    from crease.operators.metrics import point_metrics, precision_at_k_upsets, roc_auc
+    from crease.operators.policy import kpi_alerts
+    s = _sc(spark, sf)
+    m = expected_calibration_error(s).select(F.lit("expected_calibration_error").alias("metric"),
+                                             F.col("ece").alias("value")) \
+        .unionByName(roc_auc(s).select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))) \
+        .unionByName(point_metrics(s).select(F.lit("mean_absolute_error").alias("metric"),
+                                             F.col("mae").alias("value"))) \
+        .unionByName(precision_at_k_upsets(s, k=20).select(F.lit("precision_at_20").alias("metric"),
+                                                           F.col("precision_at_k").alias("value")))
+    return kpi_alerts(m).select("metric", rnd("value").alias("value"), "threshold", "direction", "breached", "action")
