@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "col_or", "tcast", "safe_divide", "phase_expr", "matchup_key", "classify_threshold",
-    "format_metric_ci", "impact_tier", "season_int", "weighted_sum", "num",
+    "format_metric_ci", "impact_tier", "season_int", "weighted_sum", "num", "with_portable_uniform",
+    "portable_uniform_sql",
 ]
 
 
@@ -94,3 +95,37 @@ def weighted_sum(columns: Iterable[str], weights: Iterable[float]) -> Column:
     terms = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(w))
              for c, w in zip(columns, weights)]
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
+
+
+# Portable pseudo-random numbers: integer arithmetic that gives the same value
+# in Spark SQL and in any SQL engine with 64-bit integers (no engine-specific
+# hash). Every intermediate product stays below 2**62.
+HASH_MOD = 2147483647
+
+
+def with_portable_uniform(df, id_col, salt, seed: int = 42, out: str = "_u"):
+    """Add a deterministic u in [0, 1) from an integer id, an integer salt and a seed.
+
+    Each mixing step is its own projection: the squaring steps reference the
+    previous value twice, and Spark keeps such projections apart instead of
+    inlining (and duplicating) them.
+    """
+    m = F.lit(HASH_MOD).cast("long")
+    s = (col_or(salt) if not isinstance(salt, int) else F.lit(salt)).cast("long")
+    d = df.withColumn("_hi", F.pmod(col_or(id_col).cast("long"), m))
+    d = d.withColumn("_hx", (F.col("_hi") * 48271 + s * 69621 + F.lit(seed).cast("long")) % m)
+    d = d.withColumn("_hx", (F.col("_hx") * F.col("_hx") + 12345) % m)
+    d = d.withColumn("_hx", (F.col("_hx") * 48271 + F.col("_hi")) % m)
+    d = d.withColumn("_hx", (F.col("_hx") * F.col("_hx") + 777) % m)
+    return d.withColumn(out, F.col("_hx").cast("double") / F.lit(float(HASH_MOD))).drop("_hi", "_hx")
+
+
+def portable_uniform_sql(id_expr: str, salt_expr: str, seed: int = 42) -> str:
+    """The same function as SQL text (for the DuckDB oracle)."""
+    m = HASH_MOD
+    i = f"(CAST({id_expr} AS BIGINT) % {m})"
+    x = f"(({i} * 48271 + CAST({salt_expr} AS BIGINT) * 69621 + {seed}) % {m})"
+    x = f"(({x} * {x} + 12345) % {m})"
+    x = f"(({x} * 48271 + {i}) % {m})"
+    x = f"(({x} * {x} + 777) % {m})"
+    return f"(CAST({x} AS DOUBLE) / {float(m)!r}E0)".replace(".0E0", ".0")

@@ -43,18 +43,18 @@ def player_phase_long(deliveries: DataFrame) -> DataFrame:
         )
 
     exploded = d.select(
-        "match_id", "season", "phase", "win_team",
+        "match_id", "season", "phase",
         F.explode(F.array(
             role_row(BAT, "batting_team", "batter", zero),
             role_row(BOWL, "bowling_team", "bowler", F.col("is_bowler_wicket").cast("long")),
         )).alias("r"),
-    ).select("match_id", "season", "phase", "win_team", "r.*")
+    ).select("match_id", "season", "phase", "r.*")
     return exploded.groupBy("match_id", "season", "team", "player", "role", "phase").agg(
         F.sum("runs_bat").alias("runs_bat"), F.sum("runs_tot").alias("runs_tot"),
         F.sum("balls").alias("balls"), F.sum("dots").alias("dots"),
         F.sum("fours").alias("fours"), F.sum("sixes").alias("sixes"),
         F.sum("boundaries").alias("boundaries"), F.sum("dismissals").alias("dismissals"),
-        F.sum("wickets").alias("wickets"), F.max("win_team").alias("win_team"),
+        F.sum("wickets").alias("wickets"),
     )
 
 
@@ -71,10 +71,14 @@ def league_phase_rate(phase_stats: DataFrame) -> DataFrame:
         F.avg(safe_divide(F.col("phase_runs") * 6, F.col("phase_balls"))).alias("league_run_rate"))
 
 
-def match_winners(long: DataFrame) -> DataFrame:
-    """One winner per match (quirk Q13): the maximum non-null winner name."""
-    return (long.filter(F.col("match_id").isNotNull()).groupBy("match_id")
-            .agg(F.max("win_team").alias("winning_team")))
+def match_winners(deliveries: DataFrame, winner: str = "win_team") -> DataFrame:
+    """One winner per match (quirk Q13): the maximum non-null winner name.
+
+    Distinct (match, winner) pairs first: a hash aggregate on keys only, so
+    the string max afterwards (a sort-based aggregate) sees one row per pair."""
+    pairs = deliveries.filter(F.col("match_id").isNotNull() & F.col(winner).isNotNull()) \
+        .select("match_id", winner).distinct()
+    return pairs.groupBy("match_id").agg(F.max(winner).alias("winning_team"))
 
 
 def _phase_map(role: str, value: str) -> F.Column:
@@ -127,7 +131,7 @@ def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
                    .when(F.col("_has_bat"), F.lit("left_only")).otherwise(F.lit("right_only")),
         "phase_efficacy": safe_divide(F.col("_eff_num"), F.col("_eff_den")),
     }).drop("_has_bat", "_has_bowl", "_eff_num", "_eff_den")
-    return match_result(stats, match_winners(long))
+    return match_result(stats, match_winners(deliveries) if deliveries is not None else None)
 
 
 def match_result(player_stats: DataFrame, winners: DataFrame | None) -> DataFrame:

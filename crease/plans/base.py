@@ -60,7 +60,9 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per match: venue, date and the two teams (for slices and opponents)."""
-    return deliveries(spark, sf_dir).filter(F.col("match_id").isNotNull()).groupBy("match_id").agg(
+    pairs = deliveries(spark, sf_dir).filter(F.col("match_id").isNotNull()) \
+        .select("match_id", "venue", "date", "batting_team", "bowling_team").distinct()
+    return pairs.groupBy("match_id").agg(
         F.max("venue").alias("venue"), F.max("date").alias("date"),
         F.least(F.min("batting_team"), F.min("bowling_team")).alias("team_a"),
         F.greatest(F.max("batting_team"), F.max("bowling_team")).alias("team_b"))

@@ -273,15 +273,16 @@ scored0 AS (
 scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)"""
 
 
-def sql_auc_cte(name: str, src: str, part: list[str], y: str = "y_true", p: str = "y_pred_proba") -> str:
-    """CTE ``name`` with (part..., roc_auc, pr_auc) over ``src``."""
+def sql_auc_cte(name: str, src: str, part: list[str], y: str = "y_true", p: str = "y_pred_proba",
+                w: str = "1") -> str:
+    """CTE ``name`` with (part..., roc_auc, pr_auc) over ``src`` (optional weight column ``w``)."""
     pc = ", ".join(part)
     pre = (pc + ", ") if part else ""
     win = f"PARTITION BY {pc} " if part else ""
     grp = f"GROUP BY {pc}" if part else ""
     return f""",
-{name}_g AS (SELECT {pre}CAST({p} AS DOUBLE) AS score, SUM(CAST({y} AS DOUBLE)) AS pos,
-  SUM(1E0 - {y}) AS neg FROM {src} {"GROUP BY " + pre + "score" if True else ""}),
+{name}_g AS (SELECT {pre}CAST({p} AS DOUBLE) AS score, SUM({w} * CAST({y} AS DOUBLE)) AS pos,
+  SUM({w} * (1E0 - {y})) AS neg FROM {src} {"GROUP BY " + pre + "score" if True else ""}),
 {name}_c AS (SELECT *, COALESCE(SUM(neg) OVER ({win}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0E0) AS cneg,
   SUM(pos) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dpos,
   SUM(neg) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dneg
@@ -478,3 +479,134 @@ th AS (SELECT * FROM (VALUES ('expected_calibration_error', 0.08E0, 'above', 'Tr
 SELECT metric, ROUND(value, 6) AS value, threshold, direction,
  COALESCE(CASE WHEN direction = 'above' THEN value > threshold ELSE value < threshold END, FALSE) AS breached, action
 FROM mt JOIN th USING (metric)"""
+
+# ------------------------------------------------------------------ splits
+SQL["time_split"] = SCORED + """
+SELECT rid, season, CASE WHEN season <= 2018 THEN 'train' WHEN season IN (2019) THEN 'val'
+ WHEN season IN (2020) THEN 'test' ELSE 'unused' END AS split FROM scored"""
+
+_SPLIT = SCORED + """,
+sp AS (SELECT *, CASE WHEN season <= 2018 THEN 'train' WHEN season IN (2019) THEN 'val'
+ WHEN season IN (2020) THEN 'test' ELSE 'unused' END AS split FROM scored)"""
+
+SQL["split_summary"] = _SPLIT + """,
+per AS (SELECT split, CAST(COUNT(*) AS BIGINT) AS n_samples, CAST(COUNT(DISTINCT match_id) AS BIGINT) AS n_unique_matches,
+  array_to_string(list_sort(list_distinct(list(season))), ',') AS seasons, ROUND(AVG(CAST(y_true AS DOUBLE)), 6) AS win_rate,
+  CAST(SUM(y_true) AS BIGINT) AS n_wins, CAST(SUM(1 - y_true) AS BIGINT) AS n_losses FROM sp GROUP BY split)
+SELECT * FROM per UNION ALL
+SELECT 'total', CAST(SUM(n_samples) AS BIGINT), NULL, NULL, NULL, NULL, NULL FROM per WHERE split IN ('train', 'val', 'test')"""
+
+SQL["distinct_match_splits"] = _SPLIT + "\nSELECT DISTINCT match_id, split FROM sp"
+SQL["write_split_manifest"] = SQL["distinct_match_splits"]
+
+SQL["rolling_origin_cv"] = SCORED + """,
+ss AS (SELECT season, ROW_NUMBER() OVER (ORDER BY season) - 1 AS idx FROM (SELECT DISTINCT season FROM scored) z),
+tf AS (SELECT idx AS i, season AS test_season FROM ss WHERE idx >= 3 AND idx - 1 >= 1),
+folds AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY tf.i) - 1 AS INT) AS fold_dummy, tf.i, tf.test_season FROM tf),
+fr AS (SELECT CAST(f.i - 3 AS INT) AS fold, CAST(f.test_season AS INT) AS test_season, s.season,
+  CASE WHEN s.idx < f.i - 1 THEN 'train' WHEN s.idx = f.i - 1 THEN 'val' ELSE 'test' END AS role
+ FROM folds f JOIN ss s ON s.idx <= f.i)
+SELECT fold, test_season, role, CAST(COUNT(*) AS BIGINT) AS n_samples,
+ array_to_string(list_sort(list_distinct(list(sc.season))), ',') AS seasons, ROUND(AVG(CAST(y_true AS DOUBLE)), 6) AS win_rate
+FROM scored sc JOIN fr USING (season) GROUP BY fold, test_season, role"""
+
+from crease.functions.expressions import portable_uniform_sql  # noqa: E402
+
+SQL["stratified_split"] = SCORED + f""",
+hu AS (SELECT rid, y_true, {portable_uniform_sql('rid', '0', 42)} AS u FROM scored),
+cu AS (SELECT y_true, u, COUNT(*) AS n FROM hu GROUP BY y_true, u),
+rk AS (SELECT y_true, u, COALESCE(SUM(n) OVER (PARTITION BY y_true ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  CAST(ROUND(SUM(n) OVER (PARTITION BY y_true) * 0.2E0) AS BIGINT) AS k FROM cu)
+SELECT rid, hu.y_true, CASE WHEN before < k THEN 'test' ELSE 'train' END AS split FROM hu JOIN rk USING (y_true, u)"""
+
+# --------------------------------------------------------------- bootstrap
+from crease.operators.bootstrap import POISSON1_CDF  # noqa: E402
+
+
+def sql_boot(src: str, n_boot: int = 1000, seed: int = 42) -> str:
+    u = portable_uniform_sql("rid", "replicate", seed)
+    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in POISSON1_CDF)
+    return f""",
+reps AS (SELECT range AS replicate FROM range({n_boot})),
+bu AS (SELECT s.*, r.replicate, {u} AS u FROM {src} s CROSS JOIN reps r),
+bwa AS (SELECT *, ({w}) AS w FROM bu),
+bw AS (SELECT * FROM bwa WHERE w > 0),
+rp AS (SELECT replicate, SUM(w) AS n, SUM(w * y_true) AS pos,
+  SUM(w * CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS correct,
+  SUM(w * CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp,
+  SUM(w * CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS fp,
+  SUM(w * CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS fn,
+  SUM(w * (y_pred_proba - y_true) * (y_pred_proba - y_true)) AS sq,
+  SUM(w * -(y_true * ln(LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15))
+       + (1 - y_true) * ln(1 - LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15)))) AS ll
+ FROM bw GROUP BY replicate),
+rv AS (SELECT * FROM rp WHERE pos > 0 AND pos < n)""" + sql_auc_cte("rauc", "bw", ["replicate"], w="w")
+
+
+def sql_metrics_ci(metrics: list[str]) -> str:
+    rep = {"accuracy": "correct / n", "f1": "CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0E0 END",
+           "log_loss": "ll / n", "brier_score": "sq / n", "roc_auc": "roc_auc", "pr_auc": "pr_auc"}
+    full = {"accuracy": "correct / n", "f1": rep["f1"], "log_loss": "CASE WHEN pos > 0 AND pos < n THEN ll / n END",
+            "brier_score": "CASE WHEN pos > 0 AND pos < n THEN sq / n END", "roc_auc": "roc_auc", "pr_auc": "pr_auc"}
+    long = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({rep[m]} AS DOUBLE) AS value FROM rv LEFT JOIN rauc USING (replicate)"
+                              for m in metrics)
+    fl = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({full[m]} AS DOUBLE) AS value FROM pt CROSS JOIN auc"
+                            for m in metrics)
+    return EVAL + sql_boot("scored") + f""",
+long AS ({long}),
+ci AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM long
+ WHERE value IS NOT NULL GROUP BY metric),
+fullv AS ({fl}),
+res AS (SELECT metric, value, CASE WHEN value IS NULL THEN NULL ELSE COALESCE(lo, value) END AS ci_lower,
+  CASE WHEN value IS NULL THEN NULL ELSE COALESCE(hi, value) END AS ci_upper FROM fullv LEFT JOIN ci USING (metric))"""
+
+
+SQL["bootstrap_ci"] = sql_metrics_ci(["accuracy"]) + \
+    "\nSELECT metric, ROUND(value, 6) AS value, ROUND(ci_lower, 6) AS ci_lower, ROUND(ci_upper, 6) AS ci_upper FROM res"
+SQL["metrics_with_ci"] = sql_metrics_ci(["accuracy", "f1", "roc_auc", "pr_auc", "log_loss", "brier_score"]) + \
+    "\nSELECT metric, ROUND(value, 6) AS value, ROUND(ci_lower, 6) AS ci_lower, ROUND(ci_upper, 6) AS ci_upper FROM res"
+SQL["format_metric_ci"] = sql_metrics_ci(["accuracy", "f1", "roc_auc", "pr_auc", "log_loss", "brier_score"]) + """
+SELECT metric, CASE WHEN value IS NULL OR isnan(value) THEN 'N/A'
+ ELSE printf('%.4f [%.4f, %.4f]', value, ci_lower, ci_upper) END AS formatted FROM res"""
+
+# --------------------------------------------------------------- baselines
+_VENUE = SCORED + """,
+trn AS (SELECT * FROM scored WHERE season <= 2018),
+tst AS (SELECT * FROM scored WHERE season = 2020),
+vp AS (SELECT venue, AVG(CAST(y_true AS DOUBLE)) AS prior, COUNT(*) AS n FROM trn WHERE venue IS NOT NULL GROUP BY venue),
+gp AS (SELECT AVG(CAST(y_true AS DOUBLE)) AS g FROM trn),
+vpred AS (SELECT tst.*, COALESCE(vp.prior, gp.g) AS p_baseline FROM tst LEFT JOIN vp USING (venue) CROSS JOIN gp)"""
+
+SQL["venue_baseline"] = _VENUE + "\nSELECT venue, ROUND(prior, 6) AS prior, CAST(n AS BIGINT) AS n FROM vp"
+SQL["venue_prior_lookup"] = _VENUE + "\nSELECT rid, venue, ROUND(p_baseline, 6) AS p_baseline FROM vpred"
+
+SQL["evaluate_baseline"] = _VENUE + """,
+ev AS (SELECT *, CASE WHEN p_baseline >= 0.5 THEN 1 ELSE 0 END AS yh FROM vpred),
+evp AS (SELECT COUNT(*) AS n, SUM(y_true) AS pos, SUM(CASE WHEN y_true = yh THEN 1E0 ELSE 0E0 END) AS correct,
+  SUM(-(y_true * ln(LEAST(GREATEST(p_baseline, 1E-15), 1 - 1E-15))
+       + (1 - y_true) * ln(1 - LEAST(GREATEST(p_baseline, 1E-15), 1 - 1E-15)))) AS ll FROM ev)""" + \
+    sql_auc_cte("eauc", "ev", [], p="p_baseline") + """
+SELECT ROUND(correct / n, 6) AS accuracy, ROUND(roc_auc, 6) AS roc_auc,
+ ROUND(CASE WHEN pos > 0 AND pos < n THEN ll / n END, 6) AS log_loss, CAST(n AS BIGINT) AS n_samples FROM evp CROSS JOIN eauc"""
+
+_FORM = SCORED + """,
+trn AS (SELECT * FROM scored WHERE season <= 2018),
+tst AS (SELECT * FROM scored WHERE season = 2020),
+rn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY team ORDER BY date DESC, match_id DESC, rid DESC) AS r FROM trn
+ WHERE team IS NOT NULL),
+fm AS (SELECT team, AVG(CAST(y_true AS DOUBLE)) AS prior, COUNT(*) AS n FROM rn WHERE r <= 5 GROUP BY team),
+gp AS (SELECT AVG(CAST(y_true AS DOUBLE)) AS g FROM trn)"""
+SQL["recent_form"] = _FORM + "\nSELECT team, ROUND(prior, 6) AS prior, CAST(n AS BIGINT) AS n FROM fm"
+SQL["recent_form_baseline"] = _FORM + """
+SELECT rid, team, ROUND(COALESCE(fm.prior, gp.g), 6) AS p_baseline FROM tst LEFT JOIN fm USING (team) CROSS JOIN gp"""
+
+SQL["paired_bootstrap_delta"] = EVAL + """,
+vp AS (SELECT venue, AVG(CAST(y_true AS DOUBLE)) AS p_base FROM scored GROUP BY venue),
+sb AS (SELECT scored.*, vp.p_base FROM scored JOIN vp USING (venue))""" + \
+    sql_auc_cte("bauc", "sb", [], p="p_base") + sql_boot("sb") + \
+    sql_auc_cte("rbase", "bw", ["replicate"], p="p_base", w="w") + """,
+dl AS (SELECT rauc.roc_auc - rbase.roc_auc AS value FROM rv JOIN rauc USING (replicate) JOIN rbase USING (replicate)
+ WHERE rauc.roc_auc IS NOT NULL AND rbase.roc_auc IS NOT NULL)
+SELECT 'roc_auc' AS metric, ROUND(auc.roc_auc - bauc.roc_auc, 6) AS delta,
+ ROUND((SELECT quantile_cont(value, 0.025) FROM dl), 6) AS ci_lower,
+ ROUND((SELECT quantile_cont(value, 0.975) FROM dl), 6) AS ci_upper FROM auc CROSS JOIN bauc"""

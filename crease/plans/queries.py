@@ -490,3 +490,149 @@ def _alerts(spark, sf):
         .unionByName(precision_at_k_upsets(s, k=20).select(F.lit("precision_at_20").alias("metric"),
                                                            F.col("precision_at_k").alias("value")))
     return kpi_alerts(m).select("metric", rnd("value").alias("value"), "threshold", "direction", "breached", "action")
+
+
+# ------------------------------------------------------------------ splits
+@q("time_split")
+def _time_split(spark, sf):
+    from crease.operators.splits import time_split
+    return time_split(_sc(spark, sf)).select("rid", "season", "split")
+
+
+@q("split_summary")
+def _split_summary(spark, sf):
+    from crease.operators.splits import split_summary, time_split
+    s = split_summary(time_split(_sc(spark, sf)), target="y_true")
+    return s.select("split", "n_samples", "n_unique_matches", "seasons", rnd("win_rate").alias("win_rate"),
+                    "n_wins", "n_losses")
+
+
+@q("distinct_match_splits")
+def _dms(spark, sf):
+    from crease.operators.splits import distinct_match_splits, time_split
+    return distinct_match_splits(time_split(_sc(spark, sf)))
+
+
+@q("write_split_manifest")
+def _manifest(spark, sf):
+    from crease.operators.splits import time_split, write_split_manifest
+    from crease.sources.sinks import read_csv_back
+    path, _ = write_split_manifest(time_split(_sc(spark, sf)), target="y_true")
+    return read_csv_back(spark, path, "match_id bigint, split string")
+
+
+@q("rolling_origin_cv")
+def _rolling(spark, sf):
+    from crease.operators.splits import rolling_origin_cv
+    cv = rolling_origin_cv(_sc(spark, sf), 3)
+    return cv.groupBy("fold", "test_season", "role").agg(
+        F.count(F.lit(1)).alias("n_samples"),
+        F.array_join(F.sort_array(F.collect_set("season")), ",").alias("seasons"),
+        rnd(F.avg(F.col("y_true").cast("double"))).alias("win_rate"))
+
+
+@q("stratified_split")
+def _strat(spark, sf):
+    from crease.operators.splits import stratified_split
+    return stratified_split(_sc(spark, sf), "y_true", "rid", 0.2, 42).select("rid", "y_true", "split")
+
+
+# --------------------------------------------------------------- bootstrap
+def _ci_out(df):
+    return df.select("metric", *[rnd(c).alias(c) for c in ("value", "ci_lower", "ci_upper")])
+
+
+@q("bootstrap_ci")
+def _boot(spark, sf):
+    from crease.operators.bootstrap import bootstrap_metrics
+    return _ci_out(bootstrap_metrics(_sc(spark, sf), metrics=["accuracy"], n_boot=1000, seed=42))
+
+
+def _mci(spark, sf):
+    from crease.operators.bootstrap import bootstrap_metrics
+    return bootstrap_metrics(_sc(spark, sf), n_boot=1000, seed=42)
+
+
+@q("metrics_with_ci")
+def _metrics_ci(spark, sf):
+    return _ci_out(_mci(spark, sf))
+
+
+@q("format_metric_ci")
+def _fmt_ci(spark, sf):
+    from crease.functions.expressions import format_metric_ci
+    return _mci(spark, sf).select("metric", format_metric_ci("value", "ci_lower", "ci_upper").alias("formatted"))
+
+
+@q("paired_bootstrap_delta")
+def _paired(spark, sf):
+    from crease.operators.bootstrap import paired_bootstrap_delta
+    s = _sc(spark, sf)
+    vp = s.groupBy("venue").agg(F.avg(F.col("y_true").cast("double")).alias("p_base"))
+    d = s.join(vp, "venue", "inner")
+    out = paired_bootstrap_delta(d, "y_true", "y_pred_proba", "p_base", "roc_auc", "rid", 1000, 0.95, 42)
+    return out.select("metric", *[rnd(c).alias(c) for c in ("delta", "ci_lower", "ci_upper")])
+
+
+# --------------------------------------------------------------- baselines
+def _train_test(spark, sf):
+    s = _sc(spark, sf)
+    return s.filter(F.col("season") <= 2018), s.filter(F.col("season") == 2020)
+
+
+@q("venue_baseline")
+def _venue(spark, sf):
+    from crease.operators.baselines import venue_baseline
+    trn, _ = _train_test(spark, sf)
+    return venue_baseline(trn).table.select("venue", rnd("prior").alias("prior"), "n")
+
+
+@q("venue_prior_lookup")
+def _venue_lookup(spark, sf):
+    from crease.operators.baselines import venue_baseline, venue_prior_lookup
+    trn, tst = _train_test(spark, sf)
+    return venue_prior_lookup(tst, venue_baseline(trn)).select("rid", "venue", rnd("p_baseline").alias("p_baseline"))
+
+
+@q("evaluate_baseline")
+def _eval_base(spark, sf):
+    from crease.operators.baselines import evaluate_baseline, venue_baseline
+    trn, tst = _train_test(spark, sf)
+    e = evaluate_baseline(venue_baseline(trn).predict(tst))
+    return e.select(*[rnd(c).alias(c) for c in ("accuracy", "roc_auc", "log_loss")],
+                    F.col("n_samples").cast("long").alias("n_samples"))
+
+
+@q("recent_form")
+def _form(spark, sf):
+    from crease.operators.baselines import recent_form
+    trn, _ = _train_test(spark, sf)
+    return recent_form(trn, window=5).select("team", rnd("prior").alias("prior"), "n")
+
+
+@q("recent_form_baseline")
+def _form_base(spark, sf):
+    from crease.operators.baselines import recent_form_baseline
+    trn, tst = _train_test(spark, sf)
+    return recent_form_baseline(trn, window=5).predict(tst).select("rid", "team", rnd("p_baseline").alias("p_baseline"))
+
+
+@q("logistic_baseline")
+def _logit(spark, sf):
+    from crease.operators.baselines import logistic_baseline
+    m = B.matrix(spark, sf)
+    trn = m.filter(F.col("season") <= 2018)
+    sc = logistic_baseline(trn, "team_won", ["batting_index", "bowling_index", "batting_strike_rate",
+                                             "bowling_economy", "wickets_per_match", "phase_efficacy"])
+    return spark.createDataFrame([(f, w) for f, w in zip(sc.features, sc.coefficients)] + [("intercept", sc.intercept)],
+                                 "feature string, coefficient double")
+
+
+@q("logistic_score")
+def _logit_score(spark, sf):
+    from crease.operators.baselines import logistic_baseline, logistic_score
+    m = B.matrix(spark, sf)
+    sc = logistic_baseline(m.filter(F.col("season") <= 2018), "team_won",
+                           ["batting_index", "bowling_index", "batting_strike_rate", "bowling_economy",
+                            "wickets_per_match", "phase_efficacy"])
+    return logistic_score(m.filter(F.col("season") == 2020), sc).select("match_id", "team", "player", "p_baseline")
