@@ -87,3 +87,42 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("match_id") * 1000 + F.row_number().over(w)).cast("long").alias("rid"))
         return out.withColumn("y_pred", (F.col("y_pred_proba") >= 0.5).cast("int"))
     return _memo(spark, sf_dir, "scored", build)
+
+
+def with_rid(df: DataFrame) -> DataFrame:
+    """Stable integer row id for player-match rows: match_id * 1000 + rank of
+    (team, player) within the match (a per-match window, bounded by squad size)."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("match_id").orderBy("team", "player")
+    return df.withColumn("rid", (F.col("match_id") * 1000 + F.row_number().over(w)).cast("long"))
+
+
+def cluster_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _memo(spark, sf_dir, "cluster_base", lambda: with_rid(indexed(spark, sf_dir)))
+
+
+def clusters(spark: SparkSession, sf_dir: str):
+    """Deterministic batter and bowler clusterings plus their label tables (memoised)."""
+    from crease.operators import roles as R
+    key = (spark.sparkContext.applicationId, sf_dir, "clusters")
+    if key not in _MEMO:
+        base = cluster_base(spark, sf_dir)
+        bat = R.cluster_batters(base)
+        bowl = R.cluster_bowlers(base)
+        _MEMO[key] = (bat, bowl, R.label_batter_clusters(bat.centroids), R.label_bowler_clusters(bowl.centroids))
+    return _MEMO[key]
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crease.operators import roles as R
+    from crease.operators.ratings import player_ratings, player_volume
+    from crease.operators.team import player_profiles
+    from crease.schema import MODEL_FEATURES
+
+    def build():
+        bat, bowl, bl, wl = clusters(spark, sf_dir)
+        ratings = player_ratings(matrix(spark, sf_dir), {c: 1.0 for c in MODEL_FEATURES})
+        vol = player_volume(features(spark, sf_dir))
+        return player_profiles(ratings, vol, R.cluster_mode(bat.assigned, "batter_cluster"),
+                               R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)
+    return _memo(spark, sf_dir, "profiles", build)

@@ -610,3 +610,117 @@ dl AS (SELECT rauc.roc_auc - rbase.roc_auc AS value FROM rv JOIN rauc USING (rep
 SELECT 'roc_auc' AS metric, ROUND(auc.roc_auc - bauc.roc_auc, 6) AS delta,
  ROUND((SELECT quantile_cont(value, 0.025) FROM dl), 6) AS ci_lower,
  ROUND((SELECT quantile_cont(value, 0.975) FROM dl), 6) AS ci_upper FROM auc CROSS JOIN bauc"""
+
+# ------------------------------------------------------------------ roles
+BAT_F = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage", "batting_index"]
+BOWL_F = ["bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy", "bowling_index"]
+
+
+def sql_lloyd(px: str, src: str, feats: list[str], k: int = 4, iters: int = 10) -> str:
+    n = len(feats)
+    st = ", ".join(f"AVG({f}) AS m{i}, CASE WHEN COALESCE(stddev_pop({f}), 0) = 0 THEN 1E0 ELSE stddev_pop({f}) END AS s{i}"
+                   for i, f in enumerate(feats))
+    z = ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(feats))
+    zs = ", ".join(f"z{i}" for i in range(n))
+    avgz = ", ".join(f"AVG(z{i}) AS z{i}" for i in range(n))
+    dist = " + ".join(f"(z.z{i} - c.z{i}) * (z.z{i} - c.z{i})" for i in range(n))
+    parts = [f"{px}st AS (SELECT {st} FROM {src})",
+             f"{px}z AS (SELECT rid, {z} FROM {src} CROSS JOIN {px}st)",
+             f"{px}c0 AS (SELECT CAST(rid % {k} AS INT) AS cl, {avgz} FROM {px}z GROUP BY 1)"]
+
+    def assign(t_in: str, name: str) -> str:
+        return (f"{name} AS (SELECT rid, cl FROM (SELECT z.rid, c.cl, ROW_NUMBER() OVER (PARTITION BY z.rid "
+                f"ORDER BY {dist}, c.cl) AS rn FROM {px}z z CROSS JOIN {t_in} c) q WHERE rn = 1)")
+    for t in range(1, iters + 1):
+        parts.append(assign(f"{px}c{t - 1}", f"{px}a{t}"))
+        coal = ", ".join(f"COALESCE(nw.z{i}, p.z{i}) AS z{i}" for i in range(n))
+        parts.append(f"{px}c{t} AS (SELECT p.cl, {coal} FROM {px}c{t - 1} p LEFT JOIN "
+                     f"(SELECT a.cl, {', '.join(f'AVG(z.z{i}) AS z{i}' for i in range(n))} FROM {px}a{t} a "
+                     f"JOIN {px}z z USING (rid) GROUP BY a.cl) nw USING (cl))")
+    parts.append(assign(f"{px}c{iters}", f"{px}asg"))
+    raw = ", ".join(f"c.z{i} * s{i} + m{i} AS {f}" for i, f in enumerate(feats))
+    parts.append(f"{px}cent AS (SELECT c.cl AS cluster, {raw} FROM {px}c{iters} c CROSS JOIN {px}st)")
+    return ",\n" + ",\n".join(parts)
+
+
+CLU = IDX + """,
+cb AS (SELECT idx.*, CAST(match_id * 1000 + ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY team, player) AS BIGINT) AS rid
+ FROM idx)""" + sql_lloyd("bt_", "cb", BAT_F) + sql_lloyd("bw_", "cb", BOWL_F) + """,
+bt_lab AS (SELECT CAST(cluster AS BIGINT) AS cluster, CASE
+  WHEN batting_strike_rate >= (SELECT quantile_cont(batting_strike_rate, 0.75) FROM bt_cent) THEN 'Power Hitter'
+  WHEN dot_percentage >= (SELECT quantile_cont(dot_percentage, 0.75) FROM bt_cent) THEN 'Anchor'
+  WHEN batting_average >= (SELECT quantile_cont(batting_average, 0.75) FROM bt_cent) THEN 'Accumulator'
+  ELSE 'Finisher' END AS label FROM bt_cent),
+bw_lab AS (SELECT CAST(cluster AS BIGINT) AS cluster, CASE
+  WHEN phase_efficacy >= (SELECT quantile_cont(phase_efficacy, 0.75) FROM bw_cent) THEN 'Death Specialist'
+  WHEN wickets_per_match >= (SELECT quantile_cont(wickets_per_match, 0.75) FROM bw_cent) THEN 'Strike Bowler'
+  WHEN bowling_economy <= (SELECT quantile_cont(bowling_economy, 0.25) FROM bw_cent) THEN 'Powerplay Controller'
+  ELSE 'Middle Overs' END AS label FROM bw_cent),
+bt_rows AS (SELECT cb.*, CAST(a.cl AS BIGINT) AS batter_cluster FROM cb JOIN bt_asg a USING (rid)),
+bw_rows AS (SELECT cb.*, CAST(a.cl AS BIGINT) AS bowler_cluster FROM cb JOIN bw_asg a USING (rid)),
+bt_mode AS (SELECT player, batter_cluster FROM (SELECT player, batter_cluster, ROW_NUMBER() OVER (PARTITION BY player
+  ORDER BY COUNT(*) DESC, batter_cluster) AS rn FROM bt_rows GROUP BY player, batter_cluster) q WHERE rn = 1),
+bw_mode AS (SELECT player, bowler_cluster FROM (SELECT player, bowler_cluster, ROW_NUMBER() OVER (PARTITION BY player
+  ORDER BY COUNT(*) DESC, bowler_cluster) AS rn FROM bw_rows GROUP BY player, bowler_cluster) q WHERE rn = 1)"""
+
+PROF = CLU + RATINGS[len(IDX):] + """,
+prof AS (
+ SELECT r.player, r.team, r.season, r.impact_score, r.batting_index, r.bowling_index, r.impact_rating,
+  COALESCE(v.balls_faced, 0E0) AS balls_faced, COALESCE(v.balls_bowled, 0E0) AS balls_bowled,
+  bm.batter_cluster, wm.bowler_cluster, bl.label AS batter_role, wl.label AS bowler_role
+ FROM ratings r LEFT JOIN volume v USING (player, team, season) LEFT JOIN bt_mode bm USING (player)
+  LEFT JOIN bw_mode wm USING (player) LEFT JOIN bt_lab bl ON bl.cluster = bm.batter_cluster
+  LEFT JOIN bw_lab wl ON wl.cluster = wm.bowler_cluster),
+profr AS (SELECT *, CASE WHEN balls_faced > 30 AND balls_bowled > 18 THEN 'Allrounder'
+  WHEN balls_faced > 30 AND batter_role IS NOT NULL THEN batter_role
+  WHEN balls_bowled > 18 AND bowler_role IS NOT NULL THEN bowler_role
+  ELSE COALESCE(batter_role, bowler_role, 'Specialist') END AS primary_role FROM prof)"""
+
+_ROUND_Z = ", ".join(f"ROUND(z{i}, 6) AS {f}_z" for i, f in enumerate(BAT_F))
+SQL["standardise"] = CLU + f"\nSELECT rid, {_ROUND_Z} FROM bt_z"
+SQL["kmeans_assign"] = CLU + "\nSELECT rid, batter_cluster FROM bt_rows"
+SQL["cluster_batters"] = CLU + "\nSELECT rid, player, batter_cluster FROM bt_rows"
+SQL["cluster_bowlers"] = CLU + "\nSELECT rid, player, bowler_cluster FROM bw_rows"
+SQL["label_batter_clusters"] = CLU + "\nSELECT cluster, label FROM bt_lab"
+SQL["label_bowler_clusters"] = CLU + "\nSELECT cluster, label FROM bw_lab"
+SQL["cluster_mode"] = CLU + "\nSELECT player, batter_cluster, bowler_cluster FROM bt_mode JOIN bw_mode USING (player)"
+SQL["role_label_map"] = CLU + """
+SELECT rid, batter_cluster, label AS batter_role FROM bt_rows LEFT JOIN bt_lab ON bt_lab.cluster = bt_rows.batter_cluster"""
+SQL["cluster_centroid_points"] = CLU + """
+SELECT label AS batter_role, ROUND(AVG(batting_strike_rate), 4) AS batting_strike_rate,
+ ROUND(AVG(boundary_percentage), 4) AS boundary_percentage
+FROM bt_rows JOIN bt_lab ON bt_lab.cluster = bt_rows.batter_cluster GROUP BY label"""
+SQL["primary_role"] = PROF + "\nSELECT player, team, season, primary_role FROM profr"
+SQL["player_profiles"] = PROF + """
+SELECT player, team, season, ROUND(impact_rating, 4) AS impact_rating, balls_faced, balls_bowled, batter_cluster,
+ bowler_cluster, batter_role, bowler_role, primary_role FROM profr"""
+
+SQL["best_xi"] = PROF + """,
+pb AS (SELECT player, MAX(impact_rating) AS r FROM profr
+ WHERE primary_role IN ('Power Hitter', 'Anchor', 'Accumulator', 'Finisher') GROUP BY player),
+s1 AS (SELECT player, k FROM (SELECT player, ROW_NUMBER() OVER (ORDER BY r DESC, player) AS k FROM pb) q WHERE k <= 5),
+pa AS (SELECT player, MAX(impact_rating) AS r FROM profr WHERE primary_role = 'Allrounder'
+ AND player NOT IN (SELECT player FROM s1) GROUP BY player),
+s2 AS (SELECT player, k + (SELECT COUNT(*) FROM s1) AS k FROM
+ (SELECT player, ROW_NUMBER() OVER (ORDER BY r DESC, player) AS k FROM pa) q WHERE k <= 2),
+c2 AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2),
+pw AS (SELECT player, MAX(impact_rating) AS r FROM profr
+ WHERE primary_role IN ('Death Specialist', 'Strike Bowler', 'Powerplay Controller', 'Middle Overs')
+ AND player NOT IN (SELECT player FROM c2) GROUP BY player),
+s3 AS (SELECT player, k + (SELECT COUNT(*) FROM c2) AS k FROM
+ (SELECT player, ROW_NUMBER() OVER (ORDER BY r DESC, player) AS k FROM pw) q WHERE k <= 11 - (SELECT COUNT(*) FROM c2)),
+c3 AS (SELECT * FROM c2 UNION ALL SELECT * FROM s3),
+pr AS (SELECT player, MAX(impact_rating) AS r FROM profr WHERE player NOT IN (SELECT player FROM c3) GROUP BY player),
+s4 AS (SELECT player, k + (SELECT COUNT(*) FROM c3) AS k FROM
+ (SELECT player, ROW_NUMBER() OVER (ORDER BY r DESC, player) AS k FROM pr) q WHERE k <= 11 - (SELECT COUNT(*) FROM c3)),
+xi AS (SELECT * FROM c3 UNION ALL SELECT * FROM s4),
+best AS (SELECT profr.*, xi.k, ROW_NUMBER() OVER (PARTITION BY profr.player ORDER BY impact_rating DESC, team, season) AS rn
+ FROM profr JOIN xi USING (player))
+SELECT player, team, season, ROUND(impact_rating, 4) AS impact_rating, primary_role, CAST(k AS INT) AS rank_in_xi
+FROM best WHERE rn = 1"""
+
+SQL["player_explorer_filter"] = PROF + """,
+top3 AS (SELECT season FROM (SELECT DISTINCT season FROM profr) q ORDER BY season DESC LIMIT 3)
+SELECT player, CASE WHEN trim(COALESCE(team, '')) = '' THEN 'Unlisted' ELSE team END AS team, season,
+ ROUND(impact_rating, 4) AS impact_rating, primary_role, balls_faced, balls_bowled
+FROM profr WHERE season >= (SELECT MIN(season) FROM top3) AND (balls_faced >= 30 OR balls_bowled >= 12)"""

@@ -636,3 +636,99 @@ def _logit_score(spark, sf):
                            ["batting_index", "bowling_index", "batting_strike_rate", "bowling_economy",
                             "wickets_per_match", "phase_efficacy"])
     return logistic_score(m.filter(F.col("season") == 2020), sc).select("match_id", "team", "player", "p_baseline")
+
+
+# ------------------------------------------------------------------ roles
+BAT_F = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage", "batting_index"]
+
+
+@q("standardise")
+def _standardise(spark, sf):
+    from crease.operators.roles import standardise
+    z, _, _ = standardise(B.cluster_base(spark, sf), BAT_F)
+    return z.select("rid", *[rnd(c + "_z").alias(c + "_z") for c in BAT_F])
+
+
+@q("kmeans_assign")
+def _kassign(spark, sf):
+    return B.clusters(spark, sf)[0].assigned.select("rid", "batter_cluster")
+
+
+@q("cluster_batters")
+def _cbat(spark, sf):
+    return B.clusters(spark, sf)[0].assigned.select("rid", "player", "batter_cluster")
+
+
+@q("cluster_bowlers")
+def _cbowl(spark, sf):
+    return B.clusters(spark, sf)[1].assigned.select("rid", "player", "bowler_cluster")
+
+
+@q("label_batter_clusters")
+def _lbat(spark, sf):
+    return B.clusters(spark, sf)[2]
+
+
+@q("label_bowler_clusters")
+def _lbowl(spark, sf):
+    return B.clusters(spark, sf)[3]
+
+
+@q("cluster_mode")
+def _cmode(spark, sf):
+    from crease.operators.roles import cluster_mode
+    bat, bowl, _, _ = B.clusters(spark, sf)
+    return cluster_mode(bat.assigned, "batter_cluster").join(cluster_mode(bowl.assigned, "bowler_cluster"), "player")
+
+
+@q("role_label_map")
+def _rlm(spark, sf):
+    from crease.operators.roles import role_label_map
+    bat, _, bl, _ = B.clusters(spark, sf)
+    return role_label_map(bat.assigned, bl, "batter_cluster", "batter_role").select("rid", "batter_cluster",
+                                                                                   "batter_role")
+
+
+@q("cluster_centroid_points")
+def _ccp(spark, sf):
+    from crease.operators.roles import cluster_centroid_points, role_label_map
+    bat, _, bl, _ = B.clusters(spark, sf)
+    a = role_label_map(bat.assigned, bl, "batter_cluster", "batter_role")
+    c = cluster_centroid_points(a, "batting_strike_rate", "boundary_percentage", "batter_role")
+    return c.select("batter_role", rnd("batting_strike_rate", 4).alias("batting_strike_rate"),
+                    rnd("boundary_percentage", 4).alias("boundary_percentage"))
+
+
+@q("kmeans_fit")
+def _kfit(spark, sf):
+    from crease.operators.roles import kmeans_fit
+    r = kmeans_fit(B.cluster_base(spark, sf), BAT_F, k=4, restarts=20, seed=42, out="batter_cluster")
+    return r.centroids
+
+
+@q("primary_role")
+def _prole(spark, sf):
+    return B.profiles(spark, sf).select("player", "team", "season", "primary_role")
+
+
+@q("player_profiles")
+def _profiles(spark, sf):
+    return B.profiles(spark, sf).select("player", "team", "season", rnd("impact_rating", 4).alias("impact_rating"),
+                                        "balls_faced", "balls_bowled", "batter_cluster", "bowler_cluster",
+                                        "batter_role", "bowler_role", "primary_role")
+
+
+@q("best_xi")
+def _xi(spark, sf):
+    from crease.operators.team import best_xi
+    x = best_xi(B.profiles(spark, sf))
+    return x.select("player", "team", "season", rnd("impact_rating", 4).alias("impact_rating"), "primary_role",
+                    "rank_in_xi")
+
+
+@q("player_explorer_filter")
+def _explorer(spark, sf):
+    from crease.operators.team import player_explorer_filter
+    p = player_explorer_filter(B.profiles(spark, sf))
+    return p.select("player", "team", "season", rnd("impact_rating", 4).alias("impact_rating"), "primary_role",
+                    "balls_faced", "balls_bowled")
