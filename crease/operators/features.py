@@ -139,3 +139,29 @@ def model_matrix(features: DataFrame, feature_cols: Sequence[str] = MODEL_FEATUR
     ids = [c for c in ID_COLUMNS if c in features.columns]
     out = features.select(*ids, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     return out, cols
+
+
+def prior_match_metrics(stats: DataFrame, order_cols: Sequence[str] = ("date", "match_id"),
+                        key: str = "player") -> DataFrame:
+    """Leak-safe features: each player's totals over PREVIOUS matches only.
+
+    Running sums use bucketed prefix sums partitioned by player, so a player
+    with a huge history is spread over many tasks instead of one window task.
+    The order key combines the day number and match id (both must be set).
+    """
+    from crease.operators.ordered import bounds_bucket, prefix_sums, quantile_bounds
+    date_c, match_c = order_cols
+    d = stats.withColumn("_ord", F.unix_date(F.col(date_c)).cast("long") * F.lit(10_000_000_000)
+                         + F.col(match_c).cast("long"))
+    sums = {"_one": F.lit(1).cast("long"), "_runs": _zero("runs_scored"), "_bf": _zero("balls_faced"),
+            "_dis": _zero("dismissals"), "_wk": _zero("wickets"), "_bb": _zero("balls_bowled"),
+            "_rc": _zero("runs_conceded")}
+    d = d.withColumns(sums)
+    bounds = quantile_bounds(d, "_ord")
+    c = prefix_sums(d, "_ord", list(sums), [key], inclusive=False, bucket=bounds_bucket("_ord", bounds))
+    return c.select(*[x for x in stats.columns], F.col("cum__one").alias("prior_matches"),
+                    F.col("cum__runs").alias("prior_runs"), F.col("cum__bf").alias("prior_balls_faced"),
+                    F.col("cum__wk").alias("prior_wickets"), F.col("cum__bb").alias("prior_balls_bowled"),
+                    safe_divide(F.col("cum__runs") * 100, F.col("cum__bf")).alias("prior_strike_rate"),
+                    safe_divide(F.col("cum__runs"), F.col("cum__dis")).alias("prior_batting_average"),
+                    safe_divide(F.col("cum__rc"), F.col("cum__bb") / 6.0).alias("prior_economy"))

@@ -215,11 +215,11 @@ SELECT match_id, season, team, player, team_won, winning_team,
 
 # Ratings with uniform weights over the 12 model features (no importances given).
 RATINGS = IDX + """,
-scored AS (
+iscored AS (
  SELECT mm.*, (""" + " + ".join(MM_FEATURES) + """) / 12E0 AS impact_score FROM mm),
 rat0 AS (
  SELECT player, team, season, AVG(impact_score) AS impact_score, AVG(batting_index) AS batting_index,
-  AVG(bowling_index) AS bowling_index FROM scored GROUP BY player, team, season),
+  AVG(bowling_index) AS bowling_index FROM iscored GROUP BY player, team, season),
 ratings AS (
  SELECT rat0.*, CASE WHEN mx - mn > 0 THEN 100 * (impact_score - mn) / (mx - mn) ELSE 50E0 END AS impact_rating
  FROM rat0 CROSS JOIN (SELECT MIN(impact_score) AS mn, MAX(impact_score) AS mx FROM rat0) b),
@@ -227,7 +227,7 @@ volume AS (
  SELECT player, team, season, CAST(SUM(balls_faced) AS DOUBLE) AS balls_faced,
   CAST(SUM(balls_bowled) AS DOUBLE) AS balls_bowled FROM feat GROUP BY player, team, season)"""
 
-SQL["impact_score"] = RATINGS + "\nSELECT match_id, player, team, season, " + r("impact_score", 4) + " FROM scored"
+SQL["impact_score"] = RATINGS + "\nSELECT match_id, player, team, season, " + r("impact_score", 4) + " FROM iscored"
 
 SQL["player_ratings"] = RATINGS + "\nSELECT player, team, season, " + ", ".join(
     [r("impact_score", 4), r("batting_index", 4), r("bowling_index", 4), r("impact_rating", 4)]) + " FROM ratings"
@@ -724,3 +724,55 @@ top3 AS (SELECT season FROM (SELECT DISTINCT season FROM profr) q ORDER BY seaso
 SELECT player, CASE WHEN trim(COALESCE(team, '')) = '' THEN 'Unlisted' ELSE team END AS team, season,
  ROUND(impact_rating, 4) AS impact_rating, primary_role, balls_faced, balls_bowled
 FROM profr WHERE season >= (SELECT MIN(season) FROM top3) AND (balls_faced >= 30 OR balls_bowled >= 12)"""
+
+# ------------------------------------------------------------- misc / model
+SQL["drop_unnamed"] = BASE + "\nSELECT * FROM raw_deliveries"
+
+SQL["export_summary_json"] = CLU + RATINGS[len(IDX):] + SCORED[len(PM):] + """,
+ptx AS (""" + sql_point("scored", []) + ")" + sql_auc_cte("xauc", "scored", []) + """
+SELECT 'model_metrics' AS section, 'accuracy' AS key, CAST(ROUND(correct / n, 6) AS VARCHAR) AS value FROM ptx
+UNION ALL SELECT 'model_metrics', 'roc_auc', CAST(ROUND(roc_auc, 6) AS VARCHAR) FROM xauc
+UNION ALL SELECT 'cluster_labels.batters', CAST(cluster AS VARCHAR), label FROM bt_lab
+UNION ALL SELECT 'cluster_labels.bowlers', CAST(cluster AS VARCHAR), label FROM bw_lab
+UNION ALL SELECT 'top_rating', player || '|' || team || '|' || CAST(season AS VARCHAR), CAST(ROUND(impact_rating, 4) AS VARCHAR)
+ FROM (SELECT * FROM ratings ORDER BY impact_rating DESC, player, team, season LIMIT 5) t"""
+
+SQL["importance_summary"] = IDX + """,
+mmx AS (SELECT * FROM mm)
+SELECT feature, ROUND(mean_abs_shap, 6) AS mean_abs_shap FROM (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, AVG(abs({c})) AS mean_abs_shap FROM mmx" for c in MM_FEATURES) + ") z"
+
+SQL["prior_match_metrics"] = SCORED.replace("scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)",
+                                            "scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)") + """,
+pf AS (SELECT f.*, mi.date FROM feat f JOIN match_info mi USING (match_id)),
+pw AS (SELECT match_id, season, team, player,
+ COALESCE(COUNT(*) OVER w, 0) AS prior_matches,
+ COALESCE(SUM(runs_scored) OVER w, 0E0) AS prior_runs, COALESCE(SUM(balls_faced) OVER w, 0) AS prior_balls_faced,
+ COALESCE(SUM(dismissals) OVER w, 0) AS prior_dismissals, COALESCE(SUM(wickets) OVER w, 0) AS prior_wickets,
+ COALESCE(SUM(balls_bowled) OVER w, 0) AS prior_balls_bowled, COALESCE(SUM(runs_conceded) OVER w, 0E0) AS prior_rc
+ FROM pf WINDOW w AS (PARTITION BY player ORDER BY date, match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT match_id, season, team, player, CAST(prior_matches AS BIGINT) AS prior_matches, ROUND(prior_runs, 6) AS prior_runs,
+ CAST(prior_balls_faced AS DOUBLE) AS prior_balls_faced, CAST(prior_wickets AS DOUBLE) AS prior_wickets,
+ CAST(prior_balls_bowled AS DOUBLE) AS prior_balls_bowled,
+ ROUND(CASE WHEN prior_balls_faced = 0 THEN 0E0 ELSE prior_runs * 100 / prior_balls_faced END, 6) AS prior_strike_rate,
+ ROUND(CASE WHEN prior_dismissals = 0 THEN 0E0 ELSE prior_runs / prior_dismissals END, 6) AS prior_batting_average,
+ ROUND(CASE WHEN prior_balls_bowled = 0 THEN 0E0 ELSE prior_rc / (prior_balls_bowled / 6E0) END, 6) AS prior_economy
+FROM pw"""
+
+_WEEK_UBIN = " + ".join(f"CASE WHEN p > {e!r}E0 THEN 1 ELSE 0 END" for e in _EDGES)
+SQL["weekly_kpi_breach"] = f"""
+WITH ev AS (SELECT ts, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS y, ROUND(value / (value + 50), 3) AS p
+ FROM events WHERE value IS NOT NULL AND ts IS NOT NULL AND value + 50 <> 0),
+bb AS (SELECT date_trunc('week', ts) AS week_start, ({_WEEK_UBIN}) AS bin, COUNT(*) AS n, SUM(CAST(y AS DOUBLE)) AS sy,
+ SUM(p) AS sp, SUM(abs(y - p)) AS sae FROM ev GROUP BY 1, 2),
+wk AS (SELECT week_start, SUM(n) AS n, SUM(sae) / SUM(n) AS mae, SUM(abs(sy - sp)) / SUM(n) AS ece FROM bb GROUP BY week_start),
+fl AS (SELECT *, mae > 0.1 AS mae_breach FROM wk)
+SELECT week_start, CAST(n AS BIGINT) AS n, ROUND(mae, 6) AS mae, ROUND(ece, 6) AS ece, mae_breach,
+ mae_breach AND COALESCE(LAG(mae_breach, 1) OVER (ORDER BY week_start), FALSE)
+  AND LAG(week_start, 1) OVER (ORDER BY week_start) = week_start - INTERVAL 7 DAY
+  AND COALESCE(LAG(mae_breach, 2) OVER (ORDER BY week_start), FALSE)
+  AND LAG(week_start, 2) OVER (ORDER BY week_start) = week_start - INTERVAL 14 DAY AS alert
+FROM fl"""
+
+SQL["platt_apply"] = SCORED + """
+SELECT rid, ROUND(1E0 / (1E0 + exp(-(4.0E0 * y_pred_proba + -2.0E0))), 6) AS y_pred_calibrated FROM scored"""

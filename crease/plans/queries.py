@@ -732,3 +732,161 @@ def _explorer(spark, sf):
     p = player_explorer_filter(B.profiles(spark, sf))
     return p.select("player", "team", "season", rnd("impact_rating", 4).alias("impact_rating"), "primary_role",
                     "balls_faced", "balls_bowled")
+
+
+# ------------------------------------------------------------- misc / model
+@q("drop_unnamed")
+def _drop_unnamed(spark, sf):
+    """Round trip through CSV: the fixture is written with a leading index
+    column (as pandas writers leave it), scanned back and cleaned."""
+    from crease.sources.deliveries import scan_deliveries
+    from crease.sources.sinks import scratch_path
+    raw = fixture_deliveries(spark, sf)
+    path = scratch_path(spark, "deliveries-csv")
+    raw.select(F.monotonically_increasing_id().alias("Unnamed: 0"), *raw.columns) \
+        .write.mode("overwrite").option("header", "true").csv(path)
+    schema = "`Unnamed: 0` bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
+    return scan_deliveries(spark, path, "csv", schema=schema)
+
+
+@q("export_summary_json")
+def _export(spark, sf):
+    from crease.operators.metrics import binary_metrics
+    from crease.operators.ratings import top_ratings
+    from crease.sources.sinks import write_json
+    m = binary_metrics(_sc(spark, sf))
+    _, _, bl, wl = B.clusters(spark, sf)
+    top = top_ratings(_ratings(spark, sf), 5)
+    summary = (m.select(F.lit("model_metrics").alias("section"), F.lit("accuracy").alias("key"),
+                        rnd("accuracy").cast("string").alias("value"))
+               .unionByName(m.select(F.lit("model_metrics").alias("section"), F.lit("roc_auc").alias("key"),
+                                     rnd("roc_auc").cast("string").alias("value")))
+               .unionByName(bl.select(F.lit("cluster_labels.batters").alias("section"),
+                                      F.col("cluster").cast("string").alias("key"), F.col("label").alias("value")))
+               .unionByName(wl.select(F.lit("cluster_labels.bowlers").alias("section"),
+                                      F.col("cluster").cast("string").alias("key"), F.col("label").alias("value")))
+               .unionByName(top.select(F.lit("top_rating").alias("section"),
+                                       F.concat_ws("|", "player", "team", F.col("season").cast("string")).alias("key"),
+                                       rnd("impact_rating", 4).cast("string").alias("value"))))
+    path = write_json(summary.coalesce(1), None, "summary")
+    return spark.read.schema("section string, key string, value string").json(path)
+
+
+@q("importance_summary")
+def _importance(spark, sf):
+    from crease.operators.explain import importance_summary
+    imp = importance_summary(B.matrix(spark, sf), MM_FEATURES)
+    return imp.select("feature", rnd("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@q("prior_match_metrics")
+def _prior(spark, sf):
+    s = B.features(spark, sf).join(B.match_info(spark, sf).select("match_id", "date"), "match_id", "inner")
+    p = FE.prior_match_metrics(s.select("match_id", "season", "team", "player", "date", "runs_scored", "balls_faced",
+                                        "dismissals", "wickets", "balls_bowled", "runs_conceded"))
+    return p.select("match_id", "season", "team", "player", F.col("prior_matches").cast("long").alias("prior_matches"),
+                    rnd("prior_runs").alias("prior_runs"),
+                    *[F.col(c).cast("double").alias(c) for c in ("prior_balls_faced", "prior_wickets",
+                                                                 "prior_balls_bowled")],
+                    *[rnd(c).alias(c) for c in ("prior_strike_rate", "prior_batting_average", "prior_economy")])
+
+
+@q("weekly_kpi_breach")
+def _weekly(spark, sf):
+    from crease.operators.policy import weekly_kpi, weekly_kpi_breach
+    from crease.sources.deliveries import read_table
+    ev = read_table(spark, sf, "events").filter(F.col("value").isNotNull() & F.col("ts").isNotNull()
+                                                 & (F.col("value") + 50 != 0))
+    ev = ev.select("ts", (F.col("event_type") == "purchase").cast("int").alias("y_true"),
+                   F.round(F.col("value") / (F.col("value") + 50), 3).alias("y_pred_proba"))
+    wk = weekly_kpi_breach(weekly_kpi(ev))
+    return wk.select("week_start", F.col("n").cast("long").alias("n"), rnd("mae").alias("mae"), rnd("ece").alias("ece"),
+                     "mae_breach", "alert")
+
+
+@q("platt_apply")
+def _platt_apply(spark, sf):
+    from crease.operators.calibration import PlattCalibrator, platt_apply
+    out = platt_apply(_sc(spark, sf), PlattCalibrator(4.0, -2.0))
+    return out.select("rid", rnd("y_pred_calibrated").alias("y_pred_calibrated"))
+
+
+def _val_test(spark, sf):
+    s = _sc(spark, sf)
+    return s.filter(F.col("season") == 2019), s.filter(F.col("season") == 2020)
+
+
+@q("platt_fit")
+def _platt_fit(spark, sf):
+    from crease.operators.calibration import platt_fit
+    val, _ = _val_test(spark, sf)
+    c = platt_fit(val)
+    return spark.createDataFrame([(c.a, c.b)], "a double, b double")
+
+
+@q("isotonic_fit")
+def _iso_fit(spark, sf):
+    from crease.operators.calibration import isotonic_fit
+    val, _ = _val_test(spark, sf)
+    m = isotonic_fit(val)
+    return spark.createDataFrame([(float(b), float(p)) for b, p in zip(m.boundaries, m.predictions)],
+                                 "boundary double, prediction double")
+
+
+@q("isotonic_apply")
+def _iso_apply(spark, sf):
+    from crease.operators.calibration import isotonic_apply, isotonic_fit
+    val, tst = _val_test(spark, sf)
+    return isotonic_apply(tst, isotonic_fit(val)).select("rid", "y_pred_proba", "y_pred_calibrated")
+
+
+@q("calibrate_model")
+def _calibrate(spark, sf):
+    from crease.operators.calibration import calibrate_model
+    val, tst = _val_test(spark, sf)
+    return calibrate_model(val, tst, method="platt").select("rid", "y_true", "y_pred_proba", "y_pred_calibrated")
+
+
+def _trained(spark, sf):
+    from crease.operators.model import train_impact_model
+    from crease.schema import MODEL_FEATURES
+    key = (spark.sparkContext.applicationId, sf, "trained")
+    if key not in B._MEMO:
+        B._MEMO[key] = train_impact_model(B.cluster_base(spark, sf), MODEL_FEATURES)
+    return B._MEMO[key]
+
+
+@q("train_impact_model")
+def _train(spark, sf):
+    a = _trained(spark, sf)
+    return a.test.select("match_id", "team", "player", "team_won", "y_pred_proba", "y_pred")
+
+
+@q("save_model")
+def _save(spark, sf):
+    from crease.operators.model import read_metadata, save_model
+    from crease.sources.sinks import scratch_path
+    path = save_model(_trained(spark, sf), scratch_path(spark, "impact_model"))
+    meta = read_metadata(spark, path)
+    return spark.createDataFrame([(c,) for c in meta.get("feature_columns", [])], "feature string")
+
+
+@q("load_model")
+def _load(spark, sf):
+    import os
+    from crease.operators.model import load_model, save_model, score
+    from crease.sources.sinks import scratch_path
+    base = scratch_path(spark, "models")
+    save_model(_trained(spark, sf), os.path.join(base, "best_model"))
+    model, meta = load_model(spark, base)
+    return score(model, _trained(spark, sf).test.drop("y_pred_proba", "y_pred")) \
+        .select("match_id", "team", "player", "y_pred_proba")
+
+
+@q("shap_values")
+def _shap(spark, sf):
+    from crease.operators.explain import shap_values
+    from crease.operators.model import gbt_stage
+    from crease.schema import MODEL_FEATURES
+    a = _trained(spark, sf)
+    return shap_values(a.train, gbt_stage(a.model), MODEL_FEATURES, 2000, keep=["rid"])
