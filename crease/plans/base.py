@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators.deliveries import prepare_deliveries
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
 from crease.operators.playermatch import player_match_stats
+from crease.session import cut_lineage
 from crease.sources.deliveries import fixture_deliveries
 
 
@@ -25,16 +25,17 @@ _MEMO: dict[tuple, DataFrame] = {}
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Persist a shared intermediate once per application and source folder.
+    """Materialise a shared intermediate once per application and source folder.
 
-    Many registered queries start from the same player-match table; persisting
-    it (memory, spilling to disk) keeps their plans small and the work done
-    once. Lost cached blocks are recomputed from lineage.
+    Many registered queries start from the same player-match table. A reliable
+    checkpoint in the shared ``spark.checkpoint.dir`` does the work once, cuts
+    the lineage (downstream plans stay small and quick to analyse) and
+    survives executor loss.
     """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     df = _MEMO.get(key)
     if df is None:
-        df = build().persist(StorageLevel.MEMORY_AND_DISK)
+        df = cut_lineage(build())
         _MEMO[key] = df
     return df
 
@@ -126,3 +127,13 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         return player_profiles(ratings, vol, R.cluster_mode(bat.assigned, "batter_cluster"),
                                R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)
     return _memo(spark, sf_dir, "profiles", build)
+
+
+def reset(spark: SparkSession | None = None) -> None:
+    """Unpersist and forget memoised intermediates (all, or one application's)."""
+    app = spark.sparkContext.applicationId if spark is not None else None
+    for key in list(_MEMO):
+        if app is None or key[0] == app:
+            val = _MEMO.pop(key)
+            if isinstance(val, DataFrame):
+                val.unpersist()
