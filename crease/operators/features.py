@@ -90,9 +90,10 @@ def correlation_weights(features: DataFrame, metrics: Sequence[str] = METRIC_COL
     raw = []
     for m in metrics:
         x = F.col(m).cast("double")
-        c = F.corr(x, t)
-        raw.append(F.when((F.stddev_pop(x) == 0) | (F.stddev_pop(t) == 0) | c.isNull() | F.isnan(c), F.lit(0.0))
-                   .otherwise(F.abs(c)))
+        # corr() divides by zero on a constant column under ANSI: guard explicitly
+        den = F.stddev_pop(x) * F.stddev_pop(t)
+        c = F.when(den > 0, F.covar_pop(x, t) / den)
+        raw.append(F.when(c.isNull() | F.isnan(c), F.lit(0.0)).otherwise(F.abs(c)))
     agg = features.agg(F.array(*raw).alias("w"))
     total = F.aggregate("w", F.lit(0.0), lambda acc, x: acc + x)
     return agg.select(F.when(total == 0, F.array(*[F.lit(1.0 / n)] * n))
