@@ -86,23 +86,48 @@ def _phase_map(role: str, value: str) -> F.Column:
     return F.map_from_entries(F.array_sort(entries))
 
 
+def bowler_phase_from_stats(stats: DataFrame) -> DataFrame:
+    """Bowler-phase totals rebuilt from the player-match phase maps (rows with
+    null match/season/team keys are not counted — they have no player-match row)."""
+    ex = stats.filter(F.col("phase_runs").isNotNull()).select(
+        F.col("player").alias("bowler"), F.explode("phase_runs").alias("phase", "_r"), "phase_balls")
+    return ex.groupBy("bowler", "phase").agg(
+        F.sum("_r").alias("phase_runs"), F.sum(F.element_at("phase_balls", F.col("phase"))).alias("phase_balls"))
+
+
+def phase_efficacy(stats: DataFrame, league: DataFrame) -> DataFrame:
+    """Σ over phases with balls of (league_rr · balls − 6 · runs) / Σ balls, per player-match.
+
+    Explode and the broadcast join keep the player-match hash partitioning,
+    so the re-aggregation by the same keys needs no exchange."""
+    ex = stats.filter(F.col("phase_runs").isNotNull()).select(
+        *KEYS, F.explode("phase_runs").alias("phase", "_r"), "phase_balls")
+    ex = ex.withColumn("_b", F.element_at("phase_balls", F.col("phase"))).drop("phase_balls")
+    ex = ex.join(F.broadcast(league), "phase", "left")
+    rows = F.col("phase").isNotNull() & (F.col("_b") != 0)
+    agg = ex.groupBy(*KEYS).agg(
+        F.sum(F.when(rows, F.coalesce(F.col("league_run_rate"), F.lit(0.0)) * F.col("_b") - F.col("_r") * 6))
+        .alias("_eff_num"), F.sum(F.when(rows, F.col("_b"))).alias("_eff_den"))
+    return agg.select(*KEYS, safe_divide(F.col("_eff_num"), F.col("_eff_den")).alias("phase_efficacy"))
+
+
 def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
-                       long: DataFrame | None = None) -> DataFrame:
+                       long: DataFrame | None = None, materialize: bool = True) -> DataFrame:
     """Player-match statistics: batting and bowling sums, phase maps, the
     outer-join side indicator ``_merge``, the winner and ``team_won``, and the
     bowler's ``phase_efficacy`` against the league phase rates.
 
-    ``league`` defaults to ``league_phase_rate(bowler_phase_stats(long))``; it
-    has one row per phase, so it is broadcast.
+    ``league`` defaults to the unweighted mean over bowlers of their phase run
+    rates; it has one row per phase and is broadcast. League rates, efficacy
+    and the output all read the same player-match aggregate; with
+    ``materialize`` (default) it is checkpointed once into the shared
+    ``spark.checkpoint.dir`` (an eager, reliable checkpoint) so the deliveries
+    are scanned and shuffled once instead of once per branch.
     """
     long = long if long is not None else player_phase_long(deliveries)
-    if league is None:
-        league = league_phase_rate(bowler_phase_stats(long))
     keyed = long.filter(F.col("match_id").isNotNull() & F.col("season").isNotNull()
                         & F.col("team").isNotNull() & F.col("player").isNotNull())
-    keyed = keyed.join(F.broadcast(league), "phase", "left")
     is_bat, is_bowl = F.col("role") == BAT, F.col("role") == BOWL
-    eff_rows = is_bowl & F.col("phase").isNotNull() & (F.col("balls") != 0)
 
     def bat(c):
         return F.sum(F.when(is_bat, F.col(c)))
@@ -119,9 +144,6 @@ def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
         bowl("runs_tot").cast("double").alias("runs_conceded"), bowl("balls").alias("balls_bowled"),
         bowl("wickets").alias("wickets"), bowl("dots").alias("dot_balls_bowling"),
         _phase_map(BOWL, "runs_tot").alias("phase_runs"), _phase_map(BOWL, "balls").alias("phase_balls"),
-        F.sum(F.when(eff_rows, F.coalesce(F.col("league_run_rate"), F.lit(0.0)) * F.col("balls")
-                     - F.col("runs_tot") * 6)).alias("_eff_num"),
-        F.sum(F.when(eff_rows, F.col("balls"))).alias("_eff_den"),
     )
     stats = stats.withColumns({
         "phases": F.when(F.col("_has_bat"), F.col("phases")),
@@ -129,8 +151,15 @@ def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
         "phase_balls": F.when(F.col("_has_bowl"), F.col("phase_balls")),
         "_merge": F.when(F.col("_has_bat") & F.col("_has_bowl"), F.lit("both"))
                    .when(F.col("_has_bat"), F.lit("left_only")).otherwise(F.lit("right_only")),
-        "phase_efficacy": safe_divide(F.col("_eff_num"), F.col("_eff_den")),
-    }).drop("_has_bat", "_has_bowl", "_eff_num", "_eff_den")
+    }).drop("_has_bat", "_has_bowl")
+    if materialize:
+        from crease.session import cut_lineage
+        stats = cut_lineage(stats)
+    if league is None:
+        league = league_phase_rate(bowler_phase_from_stats(stats))
+    eff = phase_efficacy(stats, league)
+    stats = stats.join(eff, KEYS, "left").withColumn("phase_efficacy",
+                                                     F.coalesce(F.col("phase_efficacy"), F.lit(0.0)))
     return match_result(stats, match_winners(deliveries) if deliveries is not None else None)
 
 
