@@ -95,21 +95,33 @@ def kpi_alerts(metrics: DataFrame) -> DataFrame:
                     "action")
 
 
-def weekly_kpi(df: DataFrame, ts: str = "ts", y: str = "y_true", p: str = "y_pred_proba",
-               n_bins: int = 10) -> DataFrame:
-    """Weekly (Monday-aligned) MAE and ECE. ``window(ts, '7 days', startTime='4 days')``
-    aligns to Mondays and works on batch and streaming frames alike."""
+def weekly_bins(df: DataFrame, ts: str = "ts", y: str = "y_true", p: str = "y_pred_proba",
+                n_bins: int = 10) -> DataFrame:
+    """Per (Monday-aligned week, probability bin): n, Σy, Σp, Σ|y−p|.
+
+    ``window(ts, '7 days', startTime='4 days')`` aligns to Mondays; this one
+    aggregate is all a streaming query has to keep as state."""
     wk = F.window(F.col(ts), "7 days", startTime="4 days")
     b = bin_index(p, uniform_edges(n_bins))
-    per_bin = df.groupBy(wk.alias("w"), b.alias("bin")).agg(
+    return df.groupBy(wk.alias("w"), b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("double")).alias("sy"),
         F.sum(F.col(p).cast("double")).alias("sp"),
         F.sum(F.abs(F.col(y).cast("double") - F.col(p).cast("double"))).alias("sae"))
+
+
+def rollup_weekly(per_bin: DataFrame) -> DataFrame:
+    """Weekly n, MAE and ECE from the per-bin sums."""
     return per_bin.groupBy(F.col("w.start").alias("week_start")).agg(
         F.sum("n").alias("n"), (F.sum("sae") / F.sum("n")).alias("mae"),
         (F.sum(F.abs(F.col("sy") - F.col("sp"))) / F.sum("n")).alias("ece"))
 
 
+def weekly_kpi(df: DataFrame, ts: str = "ts", y: str = "y_true", p: str = "y_pred_proba",
+               n_bins: int = 10) -> DataFrame:
+    """Weekly (Monday-aligned) MAE and ECE of a batch frame."""
+    return rollup_weekly(weekly_bins(df, ts, y, p, n_bins))
+
+
 def weekly_kpi_breach(weekly: DataFrame, limit: float = WEEKLY_MAE_LIMIT, run: int = WEEKLY_RUN) -> DataFrame:
     """Flag weeks closing a run of ``run`` consecutive weeks with MAE above ``limit``.
 
