@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MEMO: dict[tuple, DataFrame] = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def _memo(spark: SparkSession, sf_dir: str, name: str, build, checkpoint: bool = True) -> DataFrame:
     """Materialise a shared intermediate once per application and source folder.
 
     Many registered queries start from the same player-match table. A reliable
@@ -35,13 +36,15 @@ def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     df = _MEMO.get(key)
     if df is None:
-        df = cut_lineage(build())
+        df = cut_lineage(build()) if checkpoint else build().persist(StorageLevel.MEMORY_AND_DISK)
         _MEMO[key] = df
     return df
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "stats", lambda: player_match_stats(deliveries(spark, sf_dir)))
+    # player_match_stats already checkpoints its aggregate; persisting the
+    # small remainder (efficacy and winner joins) is enough here
+    return _memo(spark, sf_dir, "stats", lambda: player_match_stats(deliveries(spark, sf_dir)), checkpoint=False)
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
