@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions.expressions import with_portable_uniform
-from crease.operators.metrics import finish_point_metrics, point_metric_aggs, pr_auc, roc_auc
+from crease.operators.metrics import LOG_LOSS_EPS, finish_point_metrics, pr_auc, roc_auc
 
 # Cumulative distribution of Poisson(1), P(K <= k) for k = 0..9.
 POISSON1_CDF = [
@@ -60,22 +60,43 @@ def replicate_metrics(df: DataFrame, y: str, yhat: str | None, p: str | None, id
                       score_cols: dict[str, str] | None = None) -> DataFrame:
     """Per valid replicate (both classes drawn): the requested metric values.
 
-    ``score_cols`` maps an output prefix to a probability column, for paired
-    comparisons of several models on the same resamples."""
+    The replicate expansion is aggregated once to (replicate, score, ŷ) with
+    weighted positive/negative counts; point metrics and rank metrics are both
+    derived from that table. ``score_cols`` maps an output prefix to a
+    probability column, for paired comparisons on the same resamples."""
     rw = replicate_weights(df, id_col, n_boot, seed)
     score_cols = score_cols or {"": p}
+    w = F.col("w").cast("double")
+    yv = F.col(y).cast("double")
     out = None
     for prefix, pc in score_cols.items():
-        agg = rw.groupBy("replicate").agg(*point_metric_aggs(y, yhat, pc, "w"))
-        pm = finish_point_metrics(agg, ["replicate"]).filter((F.col("positive_rate") > 0) & (F.col("positive_rate") < 1))
+        keys = [F.col("replicate")]
+        keys.append(F.col(pc).cast("double").alias("score") if pc else F.lit(None).cast("double").alias("score"))
+        keys.append(F.col(yhat).cast("double").alias("_yh") if yhat else F.lit(None).cast("double").alias("_yh"))
+        g = rw.groupBy(*keys).agg(F.sum(w * yv).alias("pos"), F.sum(w * (1 - yv)).alias("neg"))
+        pos, neg, sc, yh = F.col("pos"), F.col("neg"), F.col("score"), F.col("_yh")
+        pcl = F.least(F.greatest(sc, F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
+        aggs = [F.sum(pos + neg).alias("_n"), F.sum(pos).alias("_pos")]
+        if yhat:
+            aggs += [F.sum(pos * yh + neg * (1 - yh)).alias("_correct"), F.sum(pos * yh).alias("_tp"),
+                     F.sum(neg * yh).alias("_fp"), F.sum(pos * (1 - yh)).alias("_fn")]
+        if pc:
+            aggs += [F.sum(pos * (sc - 1) * (sc - 1) + neg * sc * sc).alias("_sq"),
+                     F.sum(pos * -F.log(pcl) + neg * -F.log(1 - pcl)).alias("_ll"),
+                     F.sum(pos * (1 - sc) + neg * sc).alias("_ae")]
+        pm = finish_point_metrics(g.groupBy("replicate").agg(*aggs), ["replicate"]) \
+            .filter((F.col("positive_rate") > 0) & (F.col("positive_rate") < 1))
         cols = [c for c in metrics if c in pm.columns]
         part = pm.select("replicate", *[F.col(c).alias(prefix + c) for c in cols])
-        if "roc_auc" in metrics and pc:
-            part = part.join(roc_auc(rw, y, pc, ["replicate"], "w").withColumnRenamed("roc_auc", prefix + "roc_auc"),
-                             "replicate", "left")
-        if "pr_auc" in metrics and pc:
-            part = part.join(pr_auc(rw, y, pc, ["replicate"], "w").withColumnRenamed("pr_auc", prefix + "pr_auc"),
-                             "replicate", "left")
+        if pc and ({"roc_auc", "pr_auc"} & set(metrics)):
+            groups = g.groupBy("replicate", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) \
+                if yhat else g.drop("_yh")
+            if "roc_auc" in metrics:
+                part = part.join(roc_auc(rw, y, pc, ["replicate"], "w", groups=groups)
+                                 .withColumnRenamed("roc_auc", prefix + "roc_auc"), "replicate", "left")
+            if "pr_auc" in metrics:
+                part = part.join(pr_auc(rw, y, pc, ["replicate"], "w", groups=groups)
+                                 .withColumnRenamed("pr_auc", prefix + "pr_auc"), "replicate", "left")
         out = part if out is None else out.join(part, "replicate", "inner")
     return out
 
