@@ -100,7 +100,8 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
 def find_model_dirs(search_dir: str, pattern: str = "*model*") -> list[str]:
     """Saved model folders matching ``pattern`` in glob order (first match wins,
     not the newest, as in the reference)."""
-    return [p for p in glob.glob(os.path.join(search_dir, pattern)) if os.path.isdir(os.path.join(p, "model"))]
+    local = search_dir[len("file:"):] if search_dir.startswith("file:") else search_dir
+    return [p for p in glob.glob(os.path.join(local, pattern)) if os.path.isdir(os.path.join(p, "model"))]
 
 
 def load_model(spark: SparkSession, search_dir: str, pattern: str = "*model*", fallback=None):
