@@ -24,16 +24,24 @@ def tcast(c, dtype: str) -> Column:
     return col_or(c).try_cast(dtype)
 
 
+def known(c) -> Column:
+    """The value as double; NaN counts as missing."""
+    return F.nanvl(col_or(c).cast("double"), F.lit(None).cast("double"))
+
+
+def zero(c) -> Column:
+    """The value as double, 0 where it is missing (null or NaN)."""
+    return F.coalesce(known(c), F.lit(0.0))
+
+
 def num(c, default: float = 0.0) -> Column:
-    """Numeric coerce: bad or missing values become ``default`` (ANSI-safe)."""
-    return F.coalesce(tcast(col_or(c), "double"), F.lit(float(default)))
+    """Numeric coerce: bad or missing values (text, null, NaN) become ``default`` (ANSI-safe)."""
+    return F.coalesce(known(tcast(col_or(c), "double")), F.lit(float(default)))
 
 
 def safe_divide(numerator, denominator) -> Column:
-    """``numerator / denominator`` with 0 or null denominators giving 0.0."""
-    n = col_or(numerator).cast("double")
-    d = col_or(denominator).cast("double")
-    return F.coalesce(n / F.nullif(d, F.lit(0.0)), F.lit(0.0))
+    """``numerator / denominator``; a zero or missing (null, NaN) part gives 0.0."""
+    return F.coalesce(known(numerator) / F.nullif(known(denominator), F.lit(0.0)), F.lit(0.0))
 
 
 def phase_expr(over, bins: Iterable[tuple[str, int, int]], other: str = "Other") -> Column:
@@ -92,8 +100,7 @@ def season_int(season) -> Column:
 
 
 def weighted_sum(columns: Iterable[str], weights: Iterable[float]) -> Column:
-    terms = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(float(w))
-             for c, w in zip(columns, weights)]
+    terms = [zero(c) * F.lit(float(w)) for c, w in zip(columns, weights)]
     return reduce(lambda a, b: a + b, terms) if terms else F.lit(0.0)
 
 
@@ -106,25 +113,28 @@ HASH_MOD = 2147483647
 def with_portable_uniform(df, id_col, salt, seed: int = 42, out: str = "_u"):
     """Add a deterministic u in [0, 1) from an integer id, an integer salt and a seed.
 
+    Both halves of the id count: its remainder by the modulus and its quotient.
     Each mixing step is its own projection: the squaring steps reference the
     previous value twice, and Spark keeps such projections apart instead of
     inlining (and duplicating) them.
     """
     m = F.lit(HASH_MOD).cast("long")
     s = (col_or(salt) if not isinstance(salt, int) else F.lit(salt)).cast("long")
-    d = df.withColumn("_hi", F.pmod(col_or(id_col).cast("long"), m))
-    d = d.withColumn("_hx", (F.col("_hi") * 48271 + s * 69621 + F.lit(seed).cast("long")) % m)
+    i = col_or(id_col).cast("long")
+    d = df.withColumns({"_hi": F.pmod(i, m), "_hq": F.call_function("div", i - F.pmod(i, m), m)})
+    d = d.withColumn("_hx", (F.col("_hi") * 48271 + F.col("_hq") * 40692 + s * 69621 + F.lit(seed).cast("long")) % m)
     d = d.withColumn("_hx", (F.col("_hx") * F.col("_hx") + 12345) % m)
     d = d.withColumn("_hx", (F.col("_hx") * 48271 + F.col("_hi")) % m)
     d = d.withColumn("_hx", (F.col("_hx") * F.col("_hx") + 777) % m)
-    return d.withColumn(out, F.col("_hx").cast("double") / F.lit(float(HASH_MOD))).drop("_hi", "_hx")
+    return d.withColumn(out, F.col("_hx").cast("double") / F.lit(float(HASH_MOD))).drop("_hi", "_hq", "_hx")
 
 
 def portable_uniform_sql(id_expr: str, salt_expr: str, seed: int = 42) -> str:
     """The same function as SQL text (for the DuckDB oracle)."""
     m = HASH_MOD
     i = f"(CAST({id_expr} AS BIGINT) % {m})"
-    x = f"(({i} * 48271 + CAST({salt_expr} AS BIGINT) * 69621 + {seed}) % {m})"
+    q = f"(CAST({id_expr} AS BIGINT) // {m})"
+    x = f"(({i} * 48271 + {q} * 40692 + CAST({salt_expr} AS BIGINT) * 69621 + {seed}) % {m})"
     x = f"(({x} * {x} + 12345) % {m})"
     x = f"(({x} * 48271 + {i}) % {m})"
     x = f"(({x} * {x} + 777) % {m})"

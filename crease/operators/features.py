@@ -7,37 +7,33 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.functions.expressions import safe_divide
+from crease.functions.expressions import known, safe_divide, zero
 from crease.schema import (
     BATTING_METRICS, BOWLING_METRICS, METRIC_COLUMNS, MODEL_FEATURES, OPTIONAL_RAW_FEATURES,
 )
 
-ID_COLUMNS = ["match_id", "player", "team", "season", "team_won"]
-
-
-def _zero(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+ID_COLUMNS = ["match_id", "player", "team", "season", "team_won", "rid"]
 
 
 def batting_metrics(stats: DataFrame) -> DataFrame:
     """Strike rate, average (no dismissal -> 0), boundary %, dot %, contribution."""
     return stats.withColumns({
-        "batting_strike_rate": safe_divide(_zero("runs_scored") * 100, _zero("balls_faced")),
-        "batting_average": safe_divide(_zero("runs_scored"), _zero("dismissals")),
-        "boundary_percentage": safe_divide(_zero("boundaries") * 100, _zero("balls_faced")),
-        "dot_percentage": safe_divide(_zero("dot_balls") * 100, _zero("balls_faced")),
-        "batting_contribution": _zero("runs_scored"),
+        "batting_strike_rate": safe_divide(zero("runs_scored") * 100, zero("balls_faced")),
+        "batting_average": safe_divide(zero("runs_scored"), zero("dismissals")),
+        "boundary_percentage": safe_divide(zero("boundaries") * 100, zero("balls_faced")),
+        "dot_percentage": safe_divide(zero("dot_balls") * 100, zero("balls_faced")),
+        "batting_contribution": zero("runs_scored"),
     })
 
 
 def bowling_metrics(stats: DataFrame) -> DataFrame:
     """Overs, economy, strike rate, wickets per match (efficacy comes from the aggregate)."""
-    overs = _zero("balls_bowled") / F.lit(6.0)
+    overs = zero("balls_bowled") / F.lit(6.0)
     out = stats.withColumns({
         "overs_bowled": overs,
-        "bowling_economy": safe_divide(_zero("runs_conceded"), overs),
-        "bowling_strike_rate": safe_divide(_zero("balls_bowled"), _zero("wickets")),
-        "wickets_per_match": _zero("wickets"),
+        "bowling_economy": safe_divide(zero("runs_conceded"), overs),
+        "bowling_strike_rate": safe_divide(zero("balls_bowled"), zero("wickets")),
+        "wickets_per_match": zero("wickets"),
     })
     if "phase_efficacy" not in out.columns:
         out = out.withColumn("phase_efficacy", F.lit(0.0))
@@ -53,7 +49,8 @@ def feature_frame(stats: DataFrame) -> DataFrame:
     out = bowling_metrics(batting_metrics(stats))
     numeric = [c for c, t in out.dtypes if t in ("double", "bigint", "int", "float", "smallint")
                and c not in ("match_id", "season")]
-    return out.fillna(0, subset=numeric)
+    return out.fillna(0, subset=numeric).replace(float("nan"), 0.0, subset=[c for c in numeric
+                                                                            if dict(out.dtypes)[c] in ("double", "float")])
 
 
 def feature_merge(batting: DataFrame, bowling: DataFrame,
@@ -89,7 +86,7 @@ def correlation_weights(features: DataFrame, metrics: Sequence[str] = METRIC_COL
     t = F.col(target).cast("double")
     raw = []
     for m in metrics:
-        x = F.col(m).cast("double")
+        x = known(m)
         # corr() divides by zero on a constant column under ANSI: guard explicitly
         den = F.stddev_pop(x) * F.stddev_pop(t)
         c = F.when(den > 0, F.covar_pop(x, t) / den)
@@ -109,20 +106,22 @@ def weights_table(weights: DataFrame, metrics: Sequence[str] = METRIC_COLUMNS) -
 
 def composite_indices(features: DataFrame, weights: DataFrame | None = None,
                       target: str = "team_won", method: str = "correlation") -> DataFrame:
-    """batting_index, bowling_index (weighted row sums) and overall_index.
+    """batting_index, bowling_index (weighted row sums) and overall_index; a metric
+    that is absent counts as 0.
 
     The weights are a scalar subquery: computed once, no join, plan stays lazy.
     """
+    features = features.withColumns({m: F.lit(0.0) for m in METRIC_COLUMNS if m not in features.columns})
     if weights is None:
         weights = correlation_weights(features, METRIC_COLUMNS, target, method)
     w = weights.select("weights").scalar()
     bat = None
     for i, m in enumerate(BATTING_METRICS):
-        term = F.col(m).cast("double") * w[i]
+        term = zero(m) * w[i]
         bat = term if bat is None else bat + term
     bowl = None
     for i, m in enumerate(BOWLING_METRICS):
-        term = F.col(m).cast("double") * w[len(BATTING_METRICS) + i]
+        term = zero(m) * w[len(BATTING_METRICS) + i]
         bowl = term if bowl is None else bowl + term
     return features.withColumns({"batting_index": bat, "bowling_index": bowl}) \
         .withColumn("overall_index", F.col("batting_index") + F.col("bowling_index"))
@@ -138,7 +137,7 @@ def model_matrix(features: DataFrame, feature_cols: Sequence[str] = MODEL_FEATUR
     wanted = list(feature_cols) + (OPTIONAL_RAW_FEATURES if include_raw else [])
     cols = [c for c in wanted if c in features.columns]
     ids = [c for c in ID_COLUMNS if c in features.columns]
-    out = features.select(*ids, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    out = features.select(*ids, *[zero(c).alias(c) for c in cols])
     return out, cols
 
 
@@ -146,20 +145,21 @@ def prior_match_metrics(stats: DataFrame, order_cols: Sequence[str] = ("date", "
                         key: str = "player") -> DataFrame:
     """Leak-safe features: each player's totals over PREVIOUS matches only.
 
-    Running sums use bucketed prefix sums partitioned by player, so a player
-    with a huge history is spread over many tasks instead of one window task.
-    The order key combines the day number and match id (both must be set).
-    """
-    from crease.operators.ordered import bounds_bucket, prefix_sums, quantile_bounds
+    Running sums use prefix sums partitioned by player (``ordered.prefix_sums``),
+    so a player with a huge history is spread over many tasks instead of one
+    window task. Matches are ordered by date, then by match id of any size; a
+    null player is a group of its own, and undated matches come first."""
+    from crease.operators.ordered import prefix_sums
     date_c, match_c = order_cols
-    d = stats.withColumn("_ord", F.unix_date(F.col(date_c)).cast("long") * F.lit(10_000_000_000)
-                         + F.col(match_c).cast("long"))
-    sums = {"_one": F.lit(1).cast("long"), "_runs": _zero("runs_scored"), "_bf": _zero("balls_faced"),
-            "_dis": _zero("dismissals"), "_wk": _zero("wickets"), "_bb": _zero("balls_bowled"),
-            "_rc": _zero("runs_conceded")}
+    d = stats.withColumn("_day", F.coalesce(F.unix_date(F.col(date_c)).cast("long"),
+                                            F.lit(-10_000_000).cast("long")))
+    sums = {"_one": F.lit(1).cast("long"), "_runs": zero("runs_scored"), "_bf": zero("balls_faced"),
+            "_dis": zero("dismissals"), "_wk": zero("wickets"), "_bb": zero("balls_bowled"),
+            "_rc": zero("runs_conceded")}
     d = d.withColumns(sums)
-    bounds = quantile_bounds(d, "_ord")
-    c = prefix_sums(d, "_ord", list(sums), [key], inclusive=False, bucket=bounds_bucket("_ord", bounds))
+    c = prefix_sums(d, "_day", list(sums), [key], inclusive=False, then=[match_c],
+                    bounds=F.array(*[d.agg(f(F.when(F.col(date_c).isNotNull(), F.col("_day"))).cast("double")).scalar()
+                                     for f in (F.min, F.max)]))
     return c.select(*[x for x in stats.columns], F.col("cum__one").alias("prior_matches"),
                     F.col("cum__runs").alias("prior_runs"), F.col("cum__bf").alias("prior_balls_faced"),
                     F.col("cum__wk").alias("prior_wickets"), F.col("cum__bb").alias("prior_balls_bowled"),

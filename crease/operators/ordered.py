@@ -1,70 +1,96 @@
 """Order-dependent aggregates without a global single-partition window.
 
 A ``Window.orderBy`` with no partition moves every row to one task. Here the
-input is first aggregated to distinct order values, then cut into ordered
-buckets; bucket totals (at most ``n_buckets`` rows per partition key) give
-each bucket an offset, and the running sum inside a bucket is an ordinary
-partitioned window. Work and memory per task stay bounded by bucket size.
+range between the smallest and the largest order value is cut into ``CELLS``
+equal cells; the totals of the cells (at most ``CELLS`` rows per partition key)
+give each cell an offset, and the running sum inside a cell is an ordinary
+partitioned window. The cells follow the data's own range, so values that lie
+close together are still spread over all of them; only values that crowd into a
+small part of a wide range share a cell, which costs time but not correctness.
+Everything is lazy: the range is a scalar subquery.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+CELLS = 4096
 
 
-def unit_bucket(col: str, n_buckets: int = DEFAULT_BUCKETS, descending: bool = False) -> Column:
-    """Monotone bucket of a value in [0, 1] (probabilities)."""
-    b = F.least(F.lit(n_buckets - 1), F.greatest(F.lit(0), F.floor(F.col(col) * n_buckets).cast("int")))
-    return (F.lit(n_buckets - 1) - b) if descending else b
+def span(df: DataFrame, col: str) -> Column:
+    """``[min, max]`` of a column as a scalar subquery."""
+    v = F.col(col).cast("double")
+    return df.agg(F.array(F.min(v), F.max(v)).alias("span")).scalar()
 
 
-def quantile_bounds(df: DataFrame, col: str, n_buckets: int = DEFAULT_BUCKETS) -> list[float]:
-    """Approximate quantile cut points of ``col`` (``n_buckets - 1`` values, a bounded collect)."""
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(col).cast("double"), probs, 10000)).first()
-    return sorted(set(v for v in (row[0] or []) if v is not None))
-
-
-def bounds_bucket(col: str, bounds: Sequence[float], descending: bool = False) -> Column:
-    arr = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.array().cast("array<double>")
-    b = F.size(F.filter(arr, lambda x: x <= F.col(col).cast("double")))
-    return (F.lit(len(bounds)) - b) if descending else b
+def cell(value: Column, bounds: Column, cells: int = CELLS) -> Column:
+    """Number of the cell of a value; it never falls as the value rises."""
+    v, lo, hi = F.nanvl(value.cast("double"), bounds[1]), bounds[0], bounds[1]
+    place = F.floor((v - lo) / (hi - lo) * F.lit(float(cells)))
+    return F.when(hi > lo, F.least(F.lit(cells - 1), F.greatest(F.lit(0), place.cast("int")))).otherwise(F.lit(0))
 
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
-                descending: bool = False, inclusive: bool = True, bucket: Column | None = None,
-                prefix: str = "cum_") -> DataFrame:
-    """Running sums of ``sum_cols`` in ``order_col`` order within ``partition_cols``.
+                descending: bool = False, inclusive: bool = True, then: Sequence[str] = (),
+                bounds: Column | None = None, prefix: str = "cum_", cells: int = CELLS) -> DataFrame:
+    """Running sums of ``sum_cols`` in the order of ``order_col`` (then of the columns ``then``) within
+    ``partition_cols``; null partition keys form a group of their own.
 
-    ``df`` must hold one row per (partition_cols, order_col) — aggregate first.
-    ``bucket`` must be monotone in ``order_col`` (same direction as ``descending``);
-    default: ``unit_bucket`` for values in [0, 1].
+    ``bounds`` is the range of ``order_col``, a scalar array; by default it is taken from ``df``. Rows that agree in
+    all order columns are ordered anyhow: aggregate first where that matters.
     """
     part = list(partition_cols)
-    bucket = bucket if bucket is not None else unit_bucket(order_col, descending=descending)
-    d = df.withColumn("_bucket", bucket)
-    totals = d.groupBy(*part, "_bucket").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
-    w_off = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, "_bucket", *[F.coalesce(F.sum("_t_" + c).over(w_off), F.lit(0))
-                                                .alias("_o_" + c) for c in sum_cols])
+    bounds = bounds if bounds is not None else span(df, order_col)
+    d = df.withColumn("_cell", cell(F.col(order_col), bounds, cells))
+    totals = d.groupBy(*part, "_cell").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
+    cell_order = F.col("_cell").desc() if descending else F.col("_cell").asc()
+    before = Window.partitionBy(*part).orderBy(cell_order).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*part, "_cell"]
+    offsets = totals.select(*[F.col(c).alias("_k_" + c) for c in keys],
+                            *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c) for c in sum_cols])
     if not part:
-        offsets = F.broadcast(offsets)  # at most n_buckets rows
-    joined = d.join(offsets, [*part, "_bucket"], "inner")
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(*part, "_bucket").orderBy(order).rowsBetween(
+        offsets = F.broadcast(offsets)  # at most CELLS rows
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in keys])
+    joined = d.join(offsets, same, "inner")
+    order = [F.col(c).desc() if descending else F.col(c).asc() for c in (order_col, *then)]
+    within = Window.partitionBy(*part, "_cell").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     return joined.withColumns({
-        prefix + c: F.col("_o_" + c) + F.coalesce(F.sum(c).over(w), F.lit(0)) for c in sum_cols
-    }).drop("_bucket", *["_o_" + c for c in sum_cols])
+        prefix + c: F.col("_o_" + c) + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sum_cols
+    }).drop("_cell", *["_k_" + c for c in keys], *["_o_" + c for c in sum_cols])
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_cols: Sequence[str] = (),
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def with_row_number(df: DataFrame, group_col: str, order_cols: Sequence[str], out: str = "rid") -> DataFrame:
+    """A gapless number from 1 in the order of ``group_col``, then ``order_cols``, for any sortable group.
+
+    Rows are numbered inside their group, and the groups' sizes are summed up over the distinct groups; so the only
+    window over a group is as large as the group, and none is over the table.
+    """
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_size"))
+    numeric = dict(df.dtypes)[group_col] in ("bigint", "int", "smallint", "tinyint", "double", "float")
+    if numeric:
+        starts = prefix_sums(sizes, group_col, ["_size"], inclusive=False, prefix="_before")
+    else:  # the distinct groups of a text key, cut by the key's first characters
+        coded = sizes.withColumn("_code", text_code(group_col))
+        starts = prefix_sums(coded, "_code", ["_size"], inclusive=False, then=[group_col], prefix="_before")
+    starts = starts.select(F.col(group_col).alias("_group"), F.col("_before_size").alias("_start"))
+    w = Window.partitionBy(group_col).orderBy(*order_cols)
+    numbered = df.withColumn("_nth", F.row_number().over(w))
+    return (numbered.join(starts, F.col(group_col).eqNullSafe(F.col("_group")), "inner")
+            .withColumn(out, (F.col("_start") + F.col("_nth")).cast("long")).drop("_nth", "_group", "_start"))
+
+
+def text_code(col: str, chars: int = 6) -> Column:
+    """A number that never falls as a text rises: its first bytes as digits."""
+    raw = F.rpad(F.hex(F.substring(F.col(col).cast("string").cast("binary"), 1, chars)), 2 * chars, "0")
+    return F.conv(raw, 16, 10).cast("double")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_cols: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy's default) computed distributed.
 
     Returns ``(partition_cols..., q_index, q, value)``. Values are counted per
@@ -74,11 +100,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_c
     part = list(partition_cols)
     counts = df.filter(F.col(col).isNotNull()).groupBy(*part, F.col(col).cast("double").alias("_v")) \
         .agg(F.count(F.lit(1)).alias("_n"))
-    bounds = quantile_bounds(counts, "_v", n_buckets)
-    ranked = prefix_sums(counts, "_v", ["_n"], part, inclusive=False, bucket=bounds_bucket("_v", bounds))
-    total = ranked.groupBy(*part).agg(F.sum("_n").alias("_N"))
+    ranked = prefix_sums(counts, "_v", ["_n"], part, inclusive=False, bounds=span(df, col))
+    total = counts.groupBy(*part).agg(F.sum("_n").alias("_N"))
     if part:
-        cand = ranked.join(total, part, "inner")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in part])
+        cand = ranked.join(total.withColumnsRenamed({c: "_k_" + c for c in part}), same, "inner") \
+            .drop(*["_k_" + c for c in part])
     else:
         cand = ranked.withColumn("_N", total.select("_N").scalar())
     qarr = F.array(*[F.struct(F.lit(i).alias("q_index"), F.lit(float(p)).alias("q")) for i, p in enumerate(probs)])
@@ -87,13 +114,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_c
     cand = cand.withColumn("_h", (F.col("_N") - 1) * F.col("q")).withColumns({
         "_lo": F.floor("_h").cast("long"), "_hi": F.ceil("_h").cast("long")})
     # value at rank r is the row with cum_n <= r < cum_n + n
-    picked = cand.filter(((F.col("cum__n") <= F.col("_lo")) & (F.col("_lo") < F.col("cum__n") + F.col("_n")))
-                         | ((F.col("cum__n") <= F.col("_hi")) & (F.col("_hi") < F.col("cum__n") + F.col("_n"))))
-    picked = picked.withColumns({
-        "_vlo": F.when((F.col("cum__n") <= F.col("_lo")) & (F.col("_lo") < F.col("cum__n") + F.col("_n")), F.col("_v")),
-        "_vhi": F.when((F.col("cum__n") <= F.col("_hi")) & (F.col("_hi") < F.col("cum__n") + F.col("_n")), F.col("_v")),
-    })
+    at = {c: (F.col("cum__n") <= F.col(c)) & (F.col(c) < F.col("cum__n") + F.col("_n")) for c in ("_lo", "_hi")}
+    picked = cand.filter(at["_lo"] | at["_hi"]).withColumns({
+        "_vlo": F.when(at["_lo"], F.col("_v")), "_vhi": F.when(at["_hi"], F.col("_v"))})
     out = picked.groupBy(*part, "q_index", "q").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
-                                                     F.first("_h").alias("_h"))
+                                                    F.first("_h").alias("_h"))
     return out.select(*part, "q_index", "q", (F.col("_vlo") + (F.col("_h") - F.floor("_h")) *
                                               (F.col("_vhi") - F.col("_vlo"))).alias("value"))
