@@ -1,17 +1,18 @@
-"""Bootstrap confidence intervals with Poisson replicate weights.
-
-Instead of materialising resamples, each row gets an independent Poisson(1)
-weight per replicate (the standard distributed bootstrap). Weights come from a
-portable integer hash of (row id, replicate, seed), so they are reproducible
-and identical in any SQL engine. Metrics per replicate are weighted aggregates:
-the replicate expansion is fused with partial aggregation, so the shuffle
-carries one row per (replicate, task), and rank metrics one row per
-(replicate, distinct score).
+"""Bootstrap confidence intervals with Poisson replicate weights on distinct groups.
+
+Rows that agree in label, prediction and score(s) are interchangeable, so they
+are counted once and a replicate draws one weight per group: the sum of n
+independent Poisson(1) weights, which is Poisson(n). The cost follows the
+distinct groups, not the rows. Small groups add up Poisson(1) draws; from
+``EXACT_ROWS`` rows on, the Poisson(n) quantile of one uniform number is taken
+by its Cornish-Fisher expansion. The uniform numbers come from a portable
+integer hash of (group, replicate, draw, seed), so they are reproducible and
+identical in any SQL engine.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,22 @@ POISSON1_CDF = [
     0.999998874797402, 0.9999998885745216,
 ]
 
+#: Groups with fewer rows add up that many Poisson(1) draws.
+EXACT_ROWS = 8
+#: The rational approximation of the normal quantile (Abramowitz and Stegun, 26.2.23).
+NORMAL_C = (2.515517, 0.802853, 0.010328)
+NORMAL_D = (1.432788, 0.189269, 0.001308)
+#: Scores are told apart to this many units when a group gets its number.
+SCORE_UNITS = 1_000_000_000
+
 ALL_METRICS = ("accuracy", "f1", "roc_auc", "pr_auc", "log_loss", "brier_score")
 PROBABILISTIC = {"roc_auc", "pr_auc", "log_loss", "brier_score", "mae"}
 
+#: A metric of one's own: (weight, y, prediction, score) -> an aggregate, such as
+#: ``lambda w, y, h, p: F.sum(w * F.abs(y - p)) / F.sum(w)``.
+MetricFunction = Callable[[Column, Column, Column, Column], Column]
+Metrics = Sequence[str] | Mapping[str, MetricFunction]
+
 
 def poisson1_weight(u: Column) -> Column:
     expr = F.lit(0)
@@ -37,70 +51,98 @@ def poisson1_weight(u: Column) -> Column:
     return expr
 
 
-def replicate_weights(df: DataFrame, id_col: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
-    """Rows × replicates with a Poisson(1) weight ``w``.
-
-    Zero weights are kept (they add nothing to any weighted sum): a filter on
-    ``w`` would be pushed below the hash projections and inline them.
-
-    The input is spread over at least every core first (a shuffle of the
-    un-expanded rows): a small, coalesced input would otherwise expand in a
-    single task.
-    """
-    spark = df.sparkSession
-    n_parts = max(df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
-    d = df.repartition(n_parts)
-    d = d.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    d = with_portable_uniform(d, id_col, F.col("replicate"), seed, "_u")
-    return d.withColumn("w", poisson1_weight(F.col("_u"))).drop("_u")
-
-
-def replicate_metrics(df: DataFrame, y: str, yhat: str | None, p: str | None, id_col: str,
-                      metrics: Sequence[str] = ALL_METRICS, n_boot: int = 1000, seed: int = 42,
-                      score_cols: dict[str, str] | None = None) -> DataFrame:
-    """Per valid replicate (both classes drawn): the requested metric values.
-
-    The replicate expansion is aggregated once to (replicate, score, ŷ) with
-    weighted positive/negative counts; point metrics and rank metrics are both
-    derived from that table. ``score_cols`` maps an output prefix to a
-    probability column, for paired comparisons on the same resamples."""
-    rw = replicate_weights(df, id_col, n_boot, seed)
-    score_cols = score_cols or {"": p}
-    w = F.col("w").cast("double")
-    yv = F.col(y).cast("double")
-    out = None
-    for prefix, pc in score_cols.items():
-        keys = [F.col("replicate")]
-        keys.append(F.col(pc).cast("double").alias("score") if pc else F.lit(None).cast("double").alias("score"))
-        keys.append(F.col(yhat).cast("double").alias("_yh") if yhat else F.lit(None).cast("double").alias("_yh"))
-        g = rw.groupBy(*keys).agg(F.sum(w * yv).alias("pos"), F.sum(w * (1 - yv)).alias("neg"))
-        pos, neg, sc, yh = F.col("pos"), F.col("neg"), F.col("score"), F.col("_yh")
-        pcl = F.least(F.greatest(sc, F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
-        aggs = [F.sum(pos + neg).alias("_n"), F.sum(pos).alias("_pos")]
-        if yhat:
-            aggs += [F.sum(pos * yh + neg * (1 - yh)).alias("_correct"), F.sum(pos * yh).alias("_tp"),
-                     F.sum(neg * yh).alias("_fp"), F.sum(pos * (1 - yh)).alias("_fn")]
-        if pc:
-            aggs += [F.sum(pos * (sc - 1) * (sc - 1) + neg * sc * sc).alias("_sq"),
-                     F.sum(pos * -F.log(pcl) + neg * -F.log(1 - pcl)).alias("_ll"),
-                     F.sum(pos * (1 - sc) + neg * sc).alias("_ae")]
-        pm = finish_point_metrics(g.groupBy("replicate").agg(*aggs), ["replicate"]) \
-            .filter((F.col("positive_rate") > 0) & (F.col("positive_rate") < 1))
-        cols = [c for c in metrics if c in pm.columns]
-        part = pm.select("replicate", *[F.col(c).alias(prefix + c) for c in cols])
-        if pc and ({"roc_auc", "pr_auc"} & set(metrics)):
-            groups = g.groupBy("replicate", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")) \
-                if yhat else g.drop("_yh")
-            if "roc_auc" in metrics:
-                part = part.join(roc_auc(rw, y, pc, ["replicate"], "w", groups=groups)
-                                 .withColumnRenamed("roc_auc", prefix + "roc_auc"), "replicate", "left")
-            if "pr_auc" in metrics:
-                part = part.join(pr_auc(rw, y, pc, ["replicate"], "w", groups=groups)
-                                 .withColumnRenamed("pr_auc", prefix + "pr_auc"), "replicate", "left")
-        out = part if out is None else out.join(part, "replicate", "inner")
+def normal_quantile(u: Column) -> Column:
+    """Standard normal quantile, to about 4.5e-4."""
+    tail = F.greatest(F.least(u, F.lit(1.0) - u), F.lit(1e-12))
+    t = F.sqrt(F.lit(-2.0) * F.log(tail))
+    above = F.lit(NORMAL_C[0]) + t * (F.lit(NORMAL_C[1]) + t * F.lit(NORMAL_C[2]))
+    below = F.lit(1.0) + t * (F.lit(NORMAL_D[0]) + t * (F.lit(NORMAL_D[1]) + t * F.lit(NORMAL_D[2])))
+    z = t - above / below
+    return F.when(u < 0.5, -z).otherwise(z)
+
+
+def poisson_quantile(n: Column, z: Column) -> Column:
+    """Poisson(n) quantile at the standard normal quantile ``z`` (Cornish-Fisher)."""
+    x = n + F.sqrt(n) * z + (z * z - 1) / 6
+    return F.greatest(F.floor(x + 0.5), F.lit(0)).cast("double")
+
+
+def score_counts(df: DataFrame, y: str, yhat: Mapping[str, str | None], p: Mapping[str, str | None]) -> DataFrame:
+    """``_y``, per model ``_h_<name>`` and ``_p_<name>``, the number of rows ``_rows`` and a number ``_group``."""
+    def value(c: str | None) -> Column:
+        return F.col(c).cast("double") if c else F.lit(None).cast("double")
+
+    keys = {"_y": value(y)} | {f"_h_{m}": value(c) for m, c in yhat.items()} | {f"_p_{m}": value(c) for m, c in p.items()}
+    counted = df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(F.count(F.lit(1)).cast("double").alias("_rows"))
+    number = F.lit(0).cast("long")
+    for name in p:
+        units = F.round(F.coalesce(F.col(f"_p_{name}"), F.lit(0.0)) * SCORE_UNITS).cast("long")
+        number = number * 31 + units
+        number = number * 2 + F.coalesce(F.col(f"_h_{name}"), F.lit(0.0)).cast("long")
+    return counted.withColumn("_group", number * 2 + F.coalesce(F.col("_y"), F.lit(0.0)).cast("long"))
+
+
+def replicate_weights(groups: DataFrame, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+    """``groups`` once per replicate with the weight ``w`` drawn for it.
+
+    The table of groups is spread over the shuffle partitions first: it is
+    small, and its expansion would otherwise run in a single task."""
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    several = F.col("_rows") < EXACT_ROWS
+    draws = F.when(several, F.sequence(F.lit(1), F.col("_rows").cast("int"))).otherwise(F.array(F.lit(0)))
+    d = groups.repartition(parts).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    d = d.withColumn("_draw", F.explode(draws))
+    d = with_portable_uniform(d, "_group", F.col("replicate") * EXACT_ROWS + F.col("_draw"), seed, "_u")
+    one = F.when(F.col("_draw") > 0, poisson1_weight(F.col("_u")).cast("double")) \
+        .otherwise(poisson_quantile(F.col("_rows"), normal_quantile(F.col("_u"))))
+    return d.withColumn("w", one).drop("_u", "_draw", "_rows", "_group")
+
+
+def _point(weighted: DataFrame, name: str, has_yhat: bool, has_p: bool, keys: Sequence[str]) -> DataFrame:
+    w, yv, yh, sc = F.col("w"), F.col("_y"), F.col(f"_h_{name}"), F.col(f"_p_{name}")
+    clipped = F.least(F.greatest(sc, F.lit(LOG_LOSS_EPS)), F.lit(1 - LOG_LOSS_EPS))
+    aggs = [F.sum(w).alias("_n"), F.sum(w * yv).alias("_pos")]
+    if has_yhat:
+        aggs += [F.sum(w * (yv == yh).cast("double")).alias("_correct"), F.sum(w * yv * yh).alias("_tp"),
+                 F.sum(w * (1 - yv) * yh).alias("_fp"), F.sum(w * yv * (1 - yh)).alias("_fn")]
+    if has_p:
+        aggs += [F.sum(w * (sc - yv) * (sc - yv)).alias("_sq"),
+                 F.sum(w * -(yv * F.log(clipped) + (1 - yv) * F.log(1 - clipped))).alias("_ll"),
+                 F.sum(w * F.abs(yv - sc)).alias("_ae")]
+    return finish_point_metrics(weighted.groupBy(*keys).agg(*aggs), keys)
+
+
+def weighted_metrics(weighted: DataFrame, df: DataFrame, name: str, yhat: str | None, p: str | None,
+                     metrics: Metrics, keys: Sequence[str] = ("replicate",)) -> DataFrame:
+    """The metrics of one model per ``keys``, as ``<name>:<metric>``, from weighted groups; keys with one class only
+    are left out."""
+    keys = list(keys)
+    if isinstance(metrics, Mapping):
+        w, yv = F.col("w"), F.col("_y")
+        aggs = [f(w, yv, F.col(f"_h_{name}"), F.col(f"_p_{name}")).alias(f"{name}:{m}") for m, f in metrics.items()]
+        share = F.sum(w * yv) / F.sum(w)
+        return weighted.groupBy(*keys).agg(*aggs, share.alias("_share")) \
+            .filter((F.col("_share") > 0) & (F.col("_share") < 1)).drop("_share")
+    point = _point(weighted, name, bool(yhat), bool(p), keys) \
+        .filter((F.col("positive_rate") > 0) & (F.col("positive_rate") < 1))
+    out = point.select(*keys, *[F.col(c).alias(f"{name}:{c}") for c in metrics if c in point.columns])
+    if p and {"roc_auc", "pr_auc"} & set(metrics):
+        w, yv = F.col("w"), F.col("_y")
+        scores = weighted.groupBy(*keys, F.col(f"_p_{name}").alias("score")).agg(
+            F.sum(w * yv).alias("pos"), F.sum(w * (1 - yv)).alias("neg"))
+        for metric, f in (("roc_auc", roc_auc), ("pr_auc", pr_auc)):
+            if metric in metrics:
+                ranked = f(df, p=p, partition_cols=keys, groups=scores)
+                out = out.join(ranked.withColumnRenamed(metric, f"{name}:{metric}"), keys, "left")
     return out
 
 
+def _long(table: DataFrame, names: Sequence[str], value: Callable[[str], Column]) -> DataFrame:
+    return table.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), value(m).cast("double").alias("value")) for m in names])).alias("m")) \
+        .select("m.metric", "m.value")
+
+
 def _ci(long: DataFrame, confidence: float, keys: Sequence[str]) -> DataFrame:
     alpha = 1 - confidence
     return long.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
@@ -109,31 +151,35 @@ def _ci(long: DataFrame, confidence: float, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_valid"))
 
 
-def _full_sample(df, y, yhat, p, metrics):
+def _full_sample(df: DataFrame, y: str, yhat: str | None, p: str | None, metrics: Metrics) -> DataFrame:
+    """One row: the metrics over all rows and ``positive_rate``."""
     from crease.operators.metrics import binary_metrics, point_metrics
+    if isinstance(metrics, Mapping):
+        one, yv = F.lit(1.0), F.col(y).cast("double")
+        h, s = (F.col(c).cast("double") if c else F.lit(None).cast("double") for c in (yhat, p))
+        return df.agg(*[f(one, yv, h, s).alias(m) for m, f in metrics.items()], F.avg(yv).alias("positive_rate"))
     if p and ({"roc_auc", "pr_auc"} & set(metrics)):
         return binary_metrics(df, y, yhat, p)
     return point_metrics(df, y, yhat, p)
 
 
 def bootstrap_metrics(df: DataFrame, y: str = "y_true", yhat: str | None = "y_pred", p: str | None = "y_pred_proba",
-                      id_col: str = "rid", metrics: Sequence[str] = ALL_METRICS, n_boot: int = 1000,
-                      confidence: float = 0.95, seed: int = 42) -> DataFrame:
+                      metrics: Metrics = ALL_METRICS, n_boot: int = 1000, confidence: float = 0.95,
+                      seed: int = 42) -> DataFrame:
     """``(metric, value, ci_lower, ci_upper)``: full-sample value and percentile CI.
 
+    ``metrics`` names built-in ones or maps names to functions of one's own.
     Replicates drawing a single class are skipped; with none left the interval
     collapses to the value. Probabilistic metrics are null when the labels hold
     one class."""
-    metrics = list(metrics)
+    names = list(metrics)
     full = _full_sample(df, y, yhat, p, metrics)
     full_long = full.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m"),
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("m"),
         F.col("positive_rate")).select("m.metric", "m.value", "positive_rate")
-    reps = replicate_metrics(df, y, yhat, p, id_col, metrics, n_boot, seed)
-    long = reps.select(F.explode(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")) \
-        .select("m.metric", "m.value")
-    ci = _ci(long, confidence, ["metric"])
+    weighted = replicate_weights(score_counts(df, y, {"m": yhat}, {"m": p}), n_boot, seed)
+    reps = weighted_metrics(weighted, df, "m", yhat, p, metrics)
+    ci = _ci(_long(reps, names, lambda m: F.col(f"`m:{m}`")), confidence, ["metric"])
     j = full_long.join(ci, "metric", "left")
     single = (F.col("positive_rate") <= 0) | (F.col("positive_rate") >= 1)
     degenerate = F.col("metric").isin(*PROBABILISTIC) & single
@@ -143,30 +189,24 @@ def bootstrap_metrics(df: DataFrame, y: str = "y_true", yhat: str | None = "y_pr
                     F.when(degenerate, None).otherwise(F.coalesce("ci_upper", "value")).alias("ci_upper"))
 
 
-def paired_bootstrap_delta(df: DataFrame, y: str, p_model: str, p_base: str, metric: str = "roc_auc",
-                           id_col: str = "rid", n_boot: int = 1000, confidence: float = 0.95,
-                           seed: int = 42, yhat_threshold: float = 0.5) -> DataFrame:
-    """Model minus baseline on the same replicate weights: ``(metric, delta, ci_lower, ci_upper)``."""
-    d = df
-    yhat = None
-    if metric in ("accuracy", "f1"):
-        d = d.withColumns({"_hm": (F.col(p_model) >= yhat_threshold).cast("int"),
-                           "_hb": (F.col(p_base) >= yhat_threshold).cast("int")})
-    parts = {}
-    for tag, pc, hc in (("m_", p_model, "_hm"), ("b_", p_base, "_hb")):
-        yhat = hc if metric in ("accuracy", "f1") else None
-        parts[tag] = (pc, yhat)
-    # full sample
-    full = {}
-    for tag, (pc, hc) in parts.items():
-        full[tag] = _full_sample(d, y, hc, pc, [metric]).select(F.col(metric).alias(tag + metric))
-    delta = full["m_"].select((F.col("m_" + metric) - full["b_"].select("b_" + metric).scalar()).alias("delta"))
-    reps = None
-    for tag, (pc, hc) in parts.items():
-        r = replicate_metrics(d, y, hc, pc, id_col, [metric], n_boot, seed, score_cols={tag: pc})
-        reps = r if reps is None else reps.join(r, "replicate", "inner")
-    long = reps.select(F.lit(metric).alias("metric"), (F.col("m_" + metric) - F.col("b_" + metric)).alias("value"))
-    ci = _ci(long, confidence, ["metric"])
-    return delta.select(F.lit(metric).alias("metric"), "delta").join(ci, "metric", "left").select(
+def paired_bootstrap_delta(df: DataFrame, y: str, p_model: str, p_base: str, metric: str | MetricFunction = "roc_auc",
+                           n_boot: int = 1000, confidence: float = 0.95, seed: int = 42,
+                           yhat_threshold: float = 0.5) -> DataFrame:
+    """Model minus baseline on the same replicate weights: ``(metric, delta, ci_lower, ci_upper)``.
+
+    Rows are grouped by both scores, so one expansion serves both models."""
+    name = metric if isinstance(metric, str) else getattr(metric, "__name__", "metric")
+    metrics: Metrics = [metric] if isinstance(metric, str) else {name: metric}
+    d = df.withColumns({"_hm": (F.col(p_model) >= yhat_threshold).cast("int"),
+                        "_hb": (F.col(p_base) >= yhat_threshold).cast("int")})
+    models = {"m": ("_hm", p_model), "b": ("_hb", p_base)}
+    full = {m: _full_sample(d, y, h, p, metrics).select(F.col(name).alias(m)) for m, (h, p) in models.items()}
+    delta = full["m"].select(F.lit(name).alias("metric"), (F.col("m") - full["b"].scalar()).alias("delta"))
+    groups = score_counts(d, y, {m: h for m, (h, _) in models.items()}, {m: p for m, (_, p) in models.items()})
+    weighted = replicate_weights(groups, n_boot, seed)
+    reps = [weighted_metrics(weighted, d, m, h, p, metrics) for m, (h, p) in models.items()]
+    both = reps[0].join(reps[1], "replicate", "inner")
+    long = _long(both, [name], lambda m: F.col(f"`m:{m}`") - F.col(f"`b:{m}`"))
+    return delta.join(_ci(long, confidence, ["metric"]), "metric", "left").select(
         "metric", "delta", F.coalesce("ci_lower", "delta").alias("ci_lower"),
         F.coalesce("ci_upper", "delta").alias("ci_upper"))

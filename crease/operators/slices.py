@@ -8,22 +8,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crease.functions.expressions import matchup_key
-from crease.operators.metrics import point_metrics, roc_auc
-
-SLICE_METRICS = ["n_samples", "accuracy", "roc_auc", "log_loss", "positive_rate"]
+from crease.operators.metrics import LOG_LOSS_EPS
+from crease.operators.ordered import prefix_sums, span
 
 
 def slice_metrics(df: DataFrame, slice_col: str, y: str = "y_true", yhat: str = "y_pred",
                   p: str = "y_pred_proba", min_samples: int = 10) -> DataFrame:
-    """Per slice value: n, accuracy, ROC AUC, log loss, positive rate in one pass
-    of aggregates; null slices and slices under ``min_samples`` rows are dropped;
-    a single class gives null AUC and log loss."""
+    """Per slice value: n, accuracy, ROC AUC, log loss, positive rate; null slices
+    and slices under ``min_samples`` rows are dropped; a single class gives null
+    AUC and log loss.
+
+    All of them come from one table of counts per (slice, distinct score)."""
     d = df.filter(F.col(slice_col).isNotNull())
-    pm = point_metrics(d, y, yhat, p, [slice_col]).filter(F.col("n_samples") >= min_samples)
-    auc = roc_auc(d, y, p, [slice_col])
-    out = pm.join(auc, slice_col, "left")
-    return out.select(slice_col, F.col("n_samples").cast("long").alias("n_samples"), "accuracy", "roc_auc",
-                      "log_loss", "positive_rate")
+    yv = F.col(y).cast("double")
+    scores = d.groupBy(slice_col, F.col(p).cast("double").alias("score")).agg(
+        F.sum(yv).alias("pos"), F.sum(1 - yv).alias("neg"),
+        F.sum((yv == F.col(yhat).cast("double")).cast("double")).alias("correct"))
+    ranked = prefix_sums(scores, "score", ["neg"], [slice_col], inclusive=False, bounds=span(d, p))
+    pos, neg, clipped = F.col("pos"), F.col("neg"), F.least(F.greatest("score", F.lit(LOG_LOSS_EPS)),
+                                                            F.lit(1 - LOG_LOSS_EPS))
+    sums = ranked.groupBy(slice_col).agg(
+        F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"), F.sum("correct").alias("_correct"),
+        F.sum(pos * -F.log(clipped) + neg * -F.log(1 - clipped)).alias("_loss"),
+        F.sum(pos * (F.col("cum_neg") + 0.5 * neg)).alias("_u"))
+    n = F.col("_pos") + F.col("_neg")
+    two_classes = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    return sums.filter(n >= min_samples).select(
+        slice_col, n.cast("long").alias("n_samples"), (F.col("_correct") / n).alias("accuracy"),
+        F.when(two_classes, F.col("_u") / (F.col("_pos") * F.col("_neg"))).alias("roc_auc"),
+        F.when(two_classes, F.col("_loss") / n).alias("log_loss"), (F.col("_pos") / n).alias("positive_rate"))
 
 
 def slice_by_season(df: DataFrame, season: str = "season", **kw) -> DataFrame:
