@@ -10,10 +10,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crease.functions.expressions import zero
 from crease.operators.metrics import binary_metrics
 
 EXCLUDED = {"match_id", "season", "team_won"}
 
+# The features of the logistic baseline, those of them that the input has.
+LOGISTIC_FEATURES = [
+    "batting_strike_rate", "batting_average", "bowling_economy", "bowling_strike_rate", "batting_index",
+    "bowling_index",
+]
+
 
 @dataclass
 class PriorTable:
@@ -75,27 +82,31 @@ class LinearScorer:
     def column(self) -> Column:
         z = F.lit(self.intercept)
         for c, w in zip(self.features, self.coefficients):
-            z = z + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(w)
+            z = z + zero(c) * F.lit(w)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def logistic_features(df: DataFrame, y: str, features: Sequence[str] | None = None) -> list[str]:
+    """The given features, or the fixed list, or else every numeric column but ids, season and target."""
+    wanted = list(features) if features else LOGISTIC_FEATURES
+    found = [c for c in wanted if c in df.columns]
+    if found:
+        return found
+    return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint")
+            and c not in EXCLUDED and c != y]
+
+
 def logistic_baseline(train: DataFrame, y: str = "y_true", features: Sequence[str] | None = None,
-                      max_features: int = 6, max_iter: int = 1000) -> LinearScorer:
-    """L2 logistic regression (C = 1 equivalent) on up to ``max_features``
-    columns; default: every numeric column except ids, season and target."""
-    if features:
-        cols = [c for c in features if c in train.columns][:max_features]
-    else:
-        cols = [c for c, t in train.dtypes if t in ("double", "float", "int", "bigint", "smallint")
-                and c not in EXCLUDED and c != y][:max_features]
+                      max_iter: int = 1000, tol: float = 1e-12) -> LinearScorer:
+    """L2 logistic regression (C = 1 equivalent) on all of ``logistic_features``."""
+    cols = logistic_features(train, y, features)
     if not cols:
-        raise ValueError("No numeric features available for logistic baseline.")
+        raise ValueError("the logistic baseline found no numeric column to learn from")
     n = train.count()
-    d = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols],
-                     F.col(y).cast("double").alias("_y"))
+    d = train.select(*[zero(c).alias(c) for c in cols], F.col(y).cast("double").alias("_y"))
     d = VectorAssembler(inputCols=cols, outputCol="_x").transform(d)
     m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-                           standardization=False, maxIter=max_iter).fit(d)
+                           standardization=False, maxIter=max_iter, tol=tol).fit(d)
     return LinearScorer(cols, [float(v) for v in m.coefficients], float(m.intercept))
 
 
@@ -103,6 +114,16 @@ def logistic_score(df: DataFrame, scorer: LinearScorer, out: str = "p_baseline")
     return df.withColumn(out, scorer.column())
 
 
+def logistic_gradient(df: DataFrame, scorer: LinearScorer, y: str) -> DataFrame:
+    """``(coefficient, gradient)`` of the penalised mean log loss at the scorer's coefficients: all 0 at the fit."""
+    error = scorer.column() - F.col(y).cast("double")
+    parts = [F.struct(F.lit(c).alias("coefficient"),
+                      (F.avg(error * zero(c)) + F.lit(w) / F.count(F.lit(1))).alias("gradient"))
+             for c, w in zip(scorer.features, scorer.coefficients)]
+    parts.append(F.struct(F.lit("intercept").alias("coefficient"), F.avg(error).alias("gradient")))
+    return df.agg(F.array(*parts).alias("g")).select(F.inline("g"))
+
+
 def evaluate_baseline(pred: DataFrame, y: str = "y_true", p: str = "p_baseline") -> DataFrame:
     """Accuracy at 0.5, plus ROC AUC and log loss when both classes occur."""
     d = pred.withColumn("_yhat", (F.col(p) >= 0.5).cast("int"))

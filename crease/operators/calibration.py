@@ -11,14 +11,14 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.operators.ordered import exact_quantiles
+from crease.operators.ordered import exact_quantiles, span
 
 METHODS = ("platt", "isotonic")
 
 
 def _check_method(method: str) -> None:
     if method not in METHODS:
-        raise ValueError(f"Unknown calibration method: {method}")
+        raise ValueError(f"calibration knows the methods {', '.join(METHODS)}, not {method!r}")
 
 
 def uniform_edges(n_bins: int) -> list[float]:
@@ -54,7 +54,7 @@ def calibration_bins(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba",
             .agg(F.array_sort(F.collect_list("value"))).scalar()
         b = bin_index(p, (edges, n_bins - 1))
     else:
-        raise ValueError(f"Invalid strategy: {strategy}")
+        raise ValueError(f"bins are uniform or quantile, not {strategy!r}")
     return (df.groupBy(*part, b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(y).cast("double")).alias("fraction_of_positives"),
                  F.avg(F.col(p).cast("double")).alias("mean_predicted_value")))
@@ -77,12 +77,23 @@ def expected_calibration_error(df: DataFrame, y: str = "y_true", p: str = "y_pre
 
 
 def probability_histogram(df: DataFrame, p: str = "y_pred_proba", n_bins: int = 10) -> DataFrame:
-    """Density histogram on [0, 1] with ``n_bins`` equal bins (numpy: last bin closed)."""
-    b = F.least(F.lit(n_bins - 1), F.floor(F.col(p) * n_bins).cast("int"))
-    h = df.filter((F.col(p) >= 0) & (F.col(p) <= 1)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    total = h.agg(F.sum("count")).scalar()
-    return h.select("bin", (F.col("bin") / F.lit(float(n_bins))).alias("bin_start"), "count",
-                    (F.col("count") / (total * F.lit(1.0 / n_bins))).alias("density"))
+    """Density histogram of ``n_bins`` equal bins from the smallest to the largest value (the last bin is closed,
+    empty bins are there with count 0); a constant column gets the bins of [value - 0.5, value + 0.5]."""
+    v = F.col(p).cast("double")
+    rows = df.filter(v.isNotNull() & ~F.isnan(v))
+    bounds = span(rows, p)
+    wide = bounds[1] > bounds[0]
+    lo = F.when(wide, bounds[0]).otherwise(bounds[0] - 0.5)
+    hi = F.when(wide, bounds[1]).otherwise(bounds[1] + 0.5)
+    width = (hi - lo) / F.lit(float(n_bins))
+    place = F.least(F.lit(n_bins - 1), F.floor((v - lo) / width).cast("int"))
+    counts = rows.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bins = df.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
+    n = F.coalesce("n", F.lit(0))
+    return bins.join(F.broadcast(counts), "bin", "left").select(
+        "bin", (lo + F.col("bin") * width).alias("bin_start"), n.cast("long").alias("count"),
+        (n / (total * width)).alias("density"))
 
 
 @dataclass
@@ -106,6 +117,16 @@ def platt_fit(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba", max_ite
     return PlattCalibrator(float(m.coefficients[0]), float(m.intercept))
 
 
+def platt_gradient(df: DataFrame, cal: PlattCalibrator, y: str = "y_true", p: str = "y_pred_proba") -> DataFrame:
+    """``(coefficient, gradient)`` of the penalised mean log loss at the calibrator: all 0 at the fit."""
+    v = F.col(p).cast("double")
+    error = cal.column(p) - F.col(y).cast("double")
+    return df.agg(F.array(
+        F.struct(F.lit("a").alias("coefficient"),
+                 (F.avg(error * v) + F.lit(cal.a) / F.count(F.lit(1))).alias("gradient")),
+        F.struct(F.lit("b").alias("coefficient"), F.avg(error).alias("gradient"))).alias("g")).select(F.inline("g"))
+
+
 def platt_apply(df: DataFrame, cal: PlattCalibrator, p: str = "y_pred_proba",
                 out: str = "y_pred_calibrated") -> DataFrame:
     return df.withColumn(out, cal.column(p))
