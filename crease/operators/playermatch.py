@@ -3,15 +3,19 @@
 Design: each delivery is emitted once per role (batter row, bowler row) and
 aggregated ONCE to a long (match, season, team, player, role, phase) table.
 Partial aggregation runs map-side, so a hot key (one match, one player) only
-costs one row per task before the shuffle. Batting and bowling player-match
-rows then come from a second aggregate on the (much smaller) long table — this
-replaces two shuffles plus a full outer join with one extra small shuffle, and
-the side indicator of the outer join falls out of the roles present.
+costs one row per task before the shuffle. Player-match rows then come from a
+second aggregate on the (much smaller) long table — this replaces two shuffles
+plus a full outer join with one extra small shuffle, and the side indicator of
+the outer join falls out of the roles present. Batting or bowling alone is one
+aggregate of the deliveries (``batting_player_match``, ``bowling_player_match``).
+
+Nothing here starts a job; callers that read a result more than once
+materialise it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions.expressions import safe_divide
@@ -81,50 +85,48 @@ def match_winners(deliveries: DataFrame, winner: str = "win_team") -> DataFrame:
     return pairs.groupBy("match_id").agg(F.max(winner).alias("winning_team"))
 
 
-def _phase_map(role: str, value: str) -> F.Column:
-    entries = F.collect_list(F.when(F.col("role") == role, F.struct(F.col("phase"), F.col(value).cast("double"))))
+def _phase_map(role: str, value: str) -> Column:
+    """Phase -> value of one role's rows; a null phase has no entry."""
+    entry = F.struct(F.col("phase"), F.col(value).cast("double"))
+    entries = F.collect_list(F.when((F.col("role") == role) & F.col("phase").isNotNull(), entry))
     return F.map_from_entries(F.array_sort(entries))
 
 
-def bowler_phase_from_stats(stats: DataFrame) -> DataFrame:
-    """Bowler-phase totals rebuilt from the player-match phase maps (rows with
-    null match/season/team keys are not counted — they have no player-match row)."""
-    ex = stats.filter(F.col("phase_runs").isNotNull()).select(
-        F.col("player").alias("bowler"), F.explode("phase_runs").alias("phase", "_r"), "phase_balls")
-    return ex.groupBy("bowler", "phase").agg(
-        F.sum("_r").alias("phase_runs"), F.sum(F.element_at("phase_balls", F.col("phase"))).alias("phase_balls"))
+def league_map(league: DataFrame) -> Column:
+    """Phase -> league run rate as a scalar subquery (one entry a phase)."""
+    return league.filter(F.col("phase").isNotNull()).agg(
+        F.map_from_entries(F.collect_list(F.struct("phase", "league_run_rate"))).alias("rates")).scalar()
 
 
-def phase_efficacy(stats: DataFrame, league: DataFrame) -> DataFrame:
-    """Σ over phases with balls of (league_rr · balls − 6 · runs) / Σ balls, per player-match.
+def phase_efficacy(rates: Column, runs: str = "phase_runs", balls: str = "phase_balls") -> Column:
+    """Σ over phases with balls of (league_rr · balls − 6 · runs) / Σ balls, from the row's own phase maps; no phases
+    or no balls -> 0."""
+    phases = F.map_keys(F.col(runs))
 
-    Explode and the broadcast join keep the player-match hash partitioning,
-    so the re-aggregation by the same keys needs no exchange."""
-    ex = stats.filter(F.col("phase_runs").isNotNull()).select(
-        *KEYS, F.explode("phase_runs").alias("phase", "_r"), "phase_balls")
-    ex = ex.withColumn("_b", F.element_at("phase_balls", F.col("phase"))).drop("phase_balls")
-    ex = ex.join(F.broadcast(league), "phase", "left")
-    rows = F.col("phase").isNotNull() & (F.col("_b") != 0)
-    agg = ex.groupBy(*KEYS).agg(
-        F.sum(F.when(rows, F.coalesce(F.col("league_run_rate"), F.lit(0.0)) * F.col("_b") - F.col("_r") * 6))
-        .alias("_eff_num"), F.sum(F.when(rows, F.col("_b"))).alias("_eff_den"))
-    return agg.select(*KEYS, safe_divide(F.col("_eff_num"), F.col("_eff_den")).alias("phase_efficacy"))
+    def of(phase: Column, kind: str) -> Column:
+        return F.coalesce(F.try_element_at(F.col(kind), phase), F.lit(0.0))
+
+    def rate(phase: Column) -> Column:
+        return F.coalesce(F.try_element_at(rates, phase), F.lit(0.0))
+
+    def total(term) -> Column:
+        return F.aggregate(phases, F.lit(0.0), lambda acc, ph: acc + F.when(of(ph, balls) != 0, term(ph)).otherwise(0.0))
+
+    return safe_divide(total(lambda ph: rate(ph) * of(ph, balls) - of(ph, runs) * 6), total(lambda ph: of(ph, balls)))
 
 
 def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
-                       long: DataFrame | None = None, materialize: bool = True) -> DataFrame:
+                       long: DataFrame | None = None) -> DataFrame:
     """Player-match statistics: batting and bowling sums, phase maps, the
     outer-join side indicator ``_merge``, the winner and ``team_won``, and the
     bowler's ``phase_efficacy`` against the league phase rates.
 
     ``league`` defaults to the unweighted mean over bowlers of their phase run
-    rates; it has one row per phase and is broadcast. League rates, efficacy
-    and the output all read the same player-match aggregate; with
-    ``materialize`` (default) it is checkpointed once into the shared
-    ``spark.checkpoint.dir`` (an eager, reliable checkpoint) so the deliveries
-    are scanned and shuffled once instead of once per branch.
+    rates (``league_phase_rate``), which has one row per phase.
     """
     long = long if long is not None else player_phase_long(deliveries)
+    if league is None:
+        league = league_phase_rate(bowler_phase_stats(long))
     keyed = long.filter(F.col("match_id").isNotNull() & F.col("season").isNotNull()
                         & F.col("team").isNotNull() & F.col("player").isNotNull())
     is_bat, is_bowl = F.col("role") == BAT, F.col("role") == BOWL
@@ -152,14 +154,9 @@ def player_match_stats(deliveries: DataFrame, league: DataFrame | None = None,
         "_merge": F.when(F.col("_has_bat") & F.col("_has_bowl"), F.lit("both"))
                    .when(F.col("_has_bat"), F.lit("left_only")).otherwise(F.lit("right_only")),
     }).drop("_has_bat", "_has_bowl")
-    if materialize:
-        from crease.session import cut_lineage
-        stats = cut_lineage(stats)
-    if league is None:
-        league = league_phase_rate(bowler_phase_from_stats(stats))
-    eff = phase_efficacy(stats, league)
-    stats = stats.join(eff, KEYS, "left").withColumn("phase_efficacy",
-                                                     F.coalesce(F.col("phase_efficacy"), F.lit(0.0)))
+    # a column of its own: subqueries cannot stand inside the function over the phases
+    stats = stats.withColumn("_rates", league_map(league)) \
+        .withColumn("phase_efficacy", phase_efficacy(F.col("_rates"))).drop("_rates")
     return match_result(stats, match_winners(deliveries) if deliveries is not None else None)
 
 
@@ -176,14 +173,31 @@ def match_result(player_stats: DataFrame, winners: DataFrame | None) -> DataFram
     return out.withColumn("team_won", F.coalesce(F.col("team") == F.col("winning_team"), F.lit(False)).cast("int"))
 
 
-def batting_player_match(player_stats: DataFrame) -> DataFrame:
-    cols = ["runs_scored", "balls_faced", "fours", "sixes", "boundaries", "dot_balls", "dismissals"]
-    return player_stats.filter(F.col("_merge") != "right_only").select(*KEYS, *cols)
+def _side(deliveries: DataFrame, team: str, player: str, **sums: Column) -> DataFrame:
+    keys = [F.col("match_id"), F.col("season"), F.col(team).alias("team"), F.col(player).alias("player")]
+    named = F.col("match_id").isNotNull() & F.col("season").isNotNull() & F.col(team).isNotNull() & \
+        F.col(player).isNotNull()
+    return deliveries.filter(named).groupBy(*keys).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+
+
+def _flag(c: str) -> Column:
+    return F.col(c).cast("long")
+
+
+def batting_player_match(deliveries: DataFrame) -> DataFrame:
+    """Batting sums per player-match: one aggregate of the deliveries."""
+    return _side(deliveries, "batting_team", "batter", runs_scored=F.col("runs_batter"),
+                 balls_faced=F.col("valid_ball").cast("long"), fours=_flag("is_four"), sixes=_flag("is_six"),
+                 boundaries=_flag("is_boundary"),
+                 dot_balls=(F.col("is_dot_ball") & (F.col("valid_ball") != 0)).cast("long"),
+                 dismissals=_flag("batter_dismissed"))
 
 
-def bowling_player_match(player_stats: DataFrame) -> DataFrame:
-    cols = ["runs_conceded", "balls_bowled", "wickets", "dot_balls_bowling"]
-    return player_stats.filter(F.col("_merge") != "left_only").select(*KEYS, *cols)
+def bowling_player_match(deliveries: DataFrame) -> DataFrame:
+    """Bowling sums per player-match: one aggregate of the deliveries."""
+    return _side(deliveries, "bowling_team", "bowler", runs_conceded=F.col("runs_total"),
+                 balls_bowled=F.col("valid_ball").cast("long"), wickets=_flag("is_bowler_wicket"),
+                 dot_balls_bowling=(F.col("is_dot_ball") & (F.col("valid_ball") != 0)).cast("long"))
 
 
 def phase_map_long(player_stats: DataFrame, map_col: str = "phase_runs") -> DataFrame:
