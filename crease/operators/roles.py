@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crease.functions.expressions import with_portable_uniform, zero
 from crease.schema import (
     ALLROUNDER, BATTER_CLUSTER_FEATURES, BOWLER_CLUSTER_FEATURES, SPECIALIST,
 )
@@ -58,8 +59,21 @@ def _nearest(zcols: Sequence[str], centroids: list[list[float]]) -> Column:
 
 
 def _prepare(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in df.columns else F.lit(0.0))
-                           for c in features})
+    return df.withColumns({c: (zero(c) if c in df.columns else F.lit(0.0)) for c in features})
+
+
+def _empty(d: DataFrame, features: list[str], out: str) -> ClusterResult:
+    columns = ", ".join(["cluster int"] + [f"{c} double" for c in features])
+    return ClusterResult(d.withColumn(out, F.lit(None).cast("long")), d.sparkSession.createDataFrame([], columns),
+                         features)
+
+
+def _result(d: DataFrame, zcols: list[str], centers: list[list[float]], features: list[str], mean: list[float],
+            std: list[float], out: str) -> ClusterResult:
+    assigned = kmeans_assign(d, zcols, centers, out).withColumn(out, F.col(out).cast("long")).drop(*zcols)
+    raw = [(j, *[float(v) * s + m for v, s, m in zip(cen, std, mean)]) for j, cen in enumerate(centers)]
+    cdf = d.sparkSession.createDataFrame(raw, ", ".join(["cluster int"] + [f"{c} double" for c in features]))
+    return ClusterResult(assigned, cdf, features, mean, std)
 
 
 def kmeans_assign(df: DataFrame, zcols: Sequence[str], centroids: list[list[float]], out: str = "cluster") -> DataFrame:
@@ -67,74 +81,84 @@ def kmeans_assign(df: DataFrame, zcols: Sequence[str], centroids: list[list[floa
     return df.withColumn(out, _nearest(zcols, centroids))
 
 
-def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str = "rid",
-                 iterations: int = 10, out: str = "cluster") -> ClusterResult:
-    """Deterministic k-means on standardised features: initial groups
-    ``pmod(id, k)``, then ``iterations`` Lloyd steps (an empty cluster keeps its
-    centroid). Each step is one grouped aggregate whose k centroids come back to
-    the driver, as in Spark ML's k-means. Empty input -> empty result, no fit."""
+def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str = "rid", max_iter: int = 300,
+                 out: str = "cluster", seed: int = 42) -> ClusterResult:
+    """k-means from a start that any SQL engine can repeat: the min(k, rows) rows with the smallest hash of their id
+    are the first centroids, and Lloyd steps run until no centroid moves (``max_iter`` at most; an empty cluster keeps
+    its centroid). A step is one grouped aggregate whose k centroids come back to the driver. Empty input -> empty
+    result, no fit. ``kmeans_fit`` is the fit with restarts."""
     features = list(features)
     d = _prepare(df, features)
     if d.isEmpty():
-        empty_c = d.sparkSession.createDataFrame([], ", ".join(["cluster int"] + [f"{c} double" for c in features]))
-        return ClusterResult(d.withColumn(out, F.lit(None).cast("long")), empty_c, features)
+        return _empty(d, features, out)
     d, mean, std = standardise(d, features)
     zcols = [c + "_z" for c in features]
-    d = d.persist()
-    init = d.groupBy(F.pmod(F.col(id_col), F.lit(k)).cast("int").alias("_g")).agg(
-        *[F.avg(c).alias(c) for c in zcols]).collect()
-    cents = {r["_g"]: [r[c] for c in zcols] for r in init}
-    k_eff = max(1, min(k, len(cents)))
-    centroids = [cents[g] for g in sorted(cents)][:k_eff]
-    for _ in range(iterations):
-        rows = kmeans_assign(d, zcols, centroids, "_c").groupBy("_c").agg(*[F.avg(c).alias(c) for c in zcols]).collect()
-        new = [list(c) for c in centroids]
+    points = d.select(id_col, *zcols).persist()
+    first = with_portable_uniform(points, id_col, 0, seed, "_u").orderBy("_u", id_col).limit(k).collect()
+    centers = [[r[c] for c in zcols] for r in first]
+    for _ in range(max_iter):
+        rows = kmeans_assign(points, zcols, centers, "_c").groupBy("_c").agg(
+            *[F.avg(c).alias(c) for c in zcols], F.count(F.lit(1)).alias("_n")).collect()
+        new = [list(c) for c in centers]
         for r in rows:
             new[r["_c"]] = [r[c] for c in zcols]
-        if new == centroids:
+        still = max(abs(a - b) for x, y in zip(new, centers) for a, b in zip(x, y)) <= 1e-12
+        centers = new
+        if still:
             break
-        centroids = new
-    assigned = kmeans_assign(d, zcols, centroids, out).withColumn(out, F.col(out).cast("long")).drop(*zcols)
-    raw = [(j, *[float(v) * s + m for v, s, m in zip(cen, std, mean)]) for j, cen in enumerate(centroids)]
-    cdf = d.sparkSession.createDataFrame(raw, ", ".join(["cluster int"] + [f"{c} double" for c in features]))
-    return ClusterResult(assigned, cdf, features, mean, std)
+    points.unpersist()
+    return _result(d, zcols, centers, features, mean, std, out)
 
 
 def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 20, seed: int = 42,
                max_iter: int = 300, out: str = "cluster") -> ClusterResult:
-    """Spark ML k-means (k-means||) on standardised features, ``restarts`` seeds,
-    keeping the lowest training cost; k = min(k, rows). Clusters are renumbered
-    by centroid order for stable ids."""
+    """Spark ML k-means (k-means||) on standardised features, ``restarts`` seeds, keeping the lowest training cost;
+    k = min(k, rows). Each runs to a fixed point (no tolerance). Clusters are numbered by centroid order."""
     features = list(features)
     d = _prepare(df, features)
-    n = d.count()
+    n = d.limit(k).count()
     if n == 0:
-        empty_c = d.sparkSession.createDataFrame([], ", ".join(["cluster int"] + [f"{c} double" for c in features]))
-        return ClusterResult(d.withColumn(out, F.lit(None).cast("long")), empty_c, features)
+        return _empty(d, features, out)
     d, mean, std = standardise(d, features)
     zcols = [c + "_z" for c in features]
-    vec = VectorAssembler(inputCols=zcols, outputCol="_zv").transform(d).persist()
-    k_eff = max(1, min(k, n))
+    vec = VectorAssembler(inputCols=zcols, outputCol="_zv").transform(d).select("_zv").persist()
     best = None
     for r in range(restarts):
-        model = KMeans(k=k_eff, seed=seed + r, maxIter=max_iter, featuresCol="_zv").fit(vec)
+        model = KMeans(k=min(k, n), seed=seed + r, maxIter=max_iter, tol=0.0, featuresCol="_zv").fit(vec)
         cost = model.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, model)
-    centers = sorted([list(map(float, c)) for c in best[1].clusterCenters()])
-    assigned = kmeans_assign(d, zcols, centers, out).withColumn(out, F.col(out).cast("long")).drop(*zcols)
     vec.unpersist()
-    raw = [(j, *[v * s + m for v, s, m in zip(cen, std, mean)]) for j, cen in enumerate(centers)]
-    cdf = d.sparkSession.createDataFrame(raw, ", ".join(["cluster int"] + [f"{c} double" for c in features]))
-    return ClusterResult(assigned, cdf, features, mean, std)
-
-
-def cluster_batters(batting: DataFrame, k: int = 4, method: str = "lloyd", **kw) -> ClusterResult:
+    centers = sorted([list(map(float, c)) for c in best[1].clusterCenters()])
+    return _result(d, zcols, centers, features, mean, std, out)
+
+
+def kmeans_check(result: ClusterResult, out: str = "cluster") -> DataFrame:
+    """``(cluster, misassigned, drift)``: rows of a cluster that lie nearer to another centroid, and the largest
+    distance in any feature, in standard units, between the centroid and its members' mean. A fixed point has 0."""
+    features = result.features
+    d = result.assigned.withColumns({f"_z{i}": (zero(c) - m) / s for i, (c, m, s) in
+                                     enumerate(zip(features, result.mean, result.std))})
+    zcols = [f"_z{i}" for i in range(len(features))]
+    rows = sorted((r["cluster"], [(r[c] - m) / s for c, m, s in zip(features, result.mean, result.std)])
+                  for r in result.centroids.collect())  # at most k
+    centers = [c for _, c in rows]
+    near = kmeans_assign(d, zcols, centers, "_near")
+    sums = near.groupBy(F.col(out).cast("int").alias("cluster")).agg(
+        F.count_if(F.col("_near") != F.col(out)).alias("misassigned"), *[F.avg(c).alias(c) for c in zcols])
+    def centre(i: int) -> Column:
+        return F.element_at(F.array(*[F.lit(c[i]) for c in centers]), F.col("cluster") + 1)
+    drift = F.greatest(*[F.abs(F.col(c) - centre(i)) for i, c in enumerate(zcols)], F.lit(0.0))
+    return sums.select("cluster", "misassigned", drift.alias("drift"))
+
+
+def cluster_batters(batting: DataFrame, k: int = 4, method: str = "restarts", **kw) -> ClusterResult:
+    """Batter archetypes; ``method`` is ``restarts`` (``kmeans_fit``) or ``lloyd`` (``lloyd_kmeans``)."""
     fit = lloyd_kmeans if method == "lloyd" else kmeans_fit
     return fit(batting, BATTER_CLUSTER_FEATURES, k, out="batter_cluster", **kw)
 
 
-def cluster_bowlers(bowling: DataFrame, k: int = 4, method: str = "lloyd", **kw) -> ClusterResult:
+def cluster_bowlers(bowling: DataFrame, k: int = 4, method: str = "restarts", **kw) -> ClusterResult:
     fit = lloyd_kmeans if method == "lloyd" else kmeans_fit
     return fit(bowling, BOWLER_CLUSTER_FEATURES, k, out="bowler_cluster", **kw)
 

@@ -11,6 +11,7 @@ from crease.operators.roles import primary_role, role_label_map
 from crease.schema import ALLROUNDER, BATTING_ROLES, BOWLING_ROLES
 
 TEAM_SIZE = 11
+MAX_BATTERS, MAX_ALLROUNDERS = 5, 2
 
 
 def player_profiles(ratings: DataFrame, volume: DataFrame, batter_mode: DataFrame, bowler_mode: DataFrame,
@@ -25,36 +26,43 @@ def player_profiles(ratings: DataFrame, volume: DataFrame, batter_mode: DataFram
     return p.withColumn("primary_role", primary_role())
 
 
-def _pick(pool: DataFrame, chosen: list[str], count: int, rating: str) -> list[str]:
-    """Top ``count`` distinct players of a pool not yet chosen (best row per
-    player; ties by name). At most 11 names come back."""
-    if count <= 0:
-        return []
-    best = pool.groupBy("player").agg(F.max(rating).alias("_r"))
-    if chosen:
-        best = best.filter(~F.col("player").isin(*chosen))
-    rows = best.orderBy(F.col("_r").desc(), F.col("player").asc()).limit(count).collect()
-    return [r["player"] for r in rows]
+def xi_candidates(profiles: DataFrame, rating: str = "impact_rating") -> DataFrame:
+    """``(pool, player, rating)``: the best ``TEAM_SIZE`` players of each pool (batters, all-rounders, bowlers, all),
+    44 rows at most. No choice can need more: a pool is asked for 11 players at most, less those chosen before."""
+    role = F.col("primary_role")
+    pools = F.array(F.when(role.isin(*BATTING_ROLES), "bat"), F.when(role == ALLROUNDER, "all"),
+                    F.when(role.isin(*BOWLING_ROLES), "bowl"), F.lit("any"))
+    best = profiles.select("player", rating, F.explode(F.array_compact(pools)).alias("pool")) \
+        .groupBy("pool", "player").agg(F.max(rating).alias("rating"))
+    w = Window.partitionBy("pool").orderBy(F.col("rating").desc(), F.col("player").asc())
+    return best.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= 2 * TEAM_SIZE)
 
 
-def best_xi(profiles: DataFrame, rating: str = "impact_rating", all_rows: bool = False) -> DataFrame:
-    """Greedy balanced XI: up to 5 batters, up to 2 all-rounders, bowlers to 11,
-    then the best remaining players. Returns one best profile row per chosen
-    player with ``rank_in_xi`` (``all_rows`` returns every season row, quirk Q10)."""
+def choose_xi(candidates: Sequence[tuple[str, str, int]]) -> list[str]:
+    """Greedy choice from (pool, player, place in the pool): up to 5 batters, up to 2 all-rounders, bowlers to 11,
+    then the best remaining players."""
+    pools: dict[str, list[str]] = {}
+    for pool, player, _ in sorted(candidates, key=lambda c: c[2]):
+        pools.setdefault(pool, []).append(player)
     chosen: list[str] = []
-    role = F.col("primary_role")
-    chosen += _pick(profiles.filter(role.isin(*BATTING_ROLES)), chosen, 5, rating)
-    chosen += _pick(profiles.filter(role == ALLROUNDER), chosen, 2, rating)
-    chosen += _pick(profiles.filter(role.isin(*BOWLING_ROLES)), chosen, TEAM_SIZE - len(chosen), rating)
-    if len(chosen) < TEAM_SIZE:
-        chosen += _pick(profiles, chosen, TEAM_SIZE - len(chosen), rating)
-    picked = profiles.filter(F.col("player").isin(*chosen)) if chosen else profiles.limit(0)
+    for pool, most in (("bat", MAX_BATTERS), ("all", MAX_ALLROUNDERS), ("bowl", TEAM_SIZE), ("any", TEAM_SIZE)):
+        free = [p for p in pools.get(pool, []) if p not in chosen]
+        chosen += free[:min(most, TEAM_SIZE - len(chosen))]
+    return chosen
+
+
+def best_xi(profiles: DataFrame, rating: str = "impact_rating", all_rows: bool = False) -> DataFrame:
+    """The balanced XI: one best profile row per chosen player with ``rank_in_xi``
+    (``all_rows`` returns every season row, quirk Q10). One aggregate brings the
+    candidates (22 a pool at most) to the driver, where they are chosen from."""
+    rows = xi_candidates(profiles, rating).select("pool", "player", "nth").collect()
+    order = {name: i + 1 for i, name in enumerate(choose_xi([tuple(r) for r in rows]))}
+    picked = profiles.filter(F.col("player").isin(*order)) if order else profiles.limit(0)
     w = Window.partitionBy("player").orderBy(F.col(rating).desc(), F.col("team").asc(), F.col("season").asc())
     if not all_rows:
         picked = picked.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    order = {name: i + 1 for i, name in enumerate(chosen)}
     rank = F.create_map(*[x for kv in order.items() for x in (F.lit(kv[0]), F.lit(kv[1]))]) if order else None
-    return picked.withColumn("rank_in_xi", rank[F.col("player")] if rank is not None else F.lit(None))
+    return picked.withColumn("rank_in_xi", rank[F.col("player")] if rank is not None else F.lit(None).cast("int"))
 
 
 def player_explorer_filter(profiles: DataFrame, seasons: Sequence[int] | None = None,
@@ -62,8 +70,11 @@ def player_explorer_filter(profiles: DataFrame, seasons: Sequence[int] | None =
                            min_balls_faced: float = 30, min_balls_bowled: float = 12,
                            last_n_seasons: int = 3) -> DataFrame:
     """Season/team/role filters plus a workload floor (faced >= a OR bowled >= b).
-    Default seasons: the latest ``last_n_seasons`` (a scalar subquery).
-    Blank teams are shown as "Unlisted"."""
+    Default seasons: the latest ``last_n_seasons``. A floor is never above the
+    largest workload there is. Both are scalar subqueries. Blank teams are shown
+    as "Unlisted"."""
+    most = profiles.agg(F.array(F.floor(F.max("balls_faced").cast("double")),
+                                F.floor(F.max("balls_bowled").cast("double")))).scalar()
     p = profiles.withColumn("team", F.when(F.trim(F.coalesce(F.col("team"), F.lit(""))) == "", F.lit("Unlisted"))
                             .otherwise(F.col("team")))
     if seasons is None:
@@ -76,4 +87,6 @@ def player_explorer_filter(profiles: DataFrame, seasons: Sequence[int] | None =
         p = p.filter(F.col("team").isin(*teams))
     if roles:
         p = p.filter(F.col("primary_role").isin(*roles))
-    return p.filter((F.col("balls_faced") >= min_balls_faced) | (F.col("balls_bowled") >= min_balls_bowled))
+    faced = F.least(F.lit(float(min_balls_faced)), F.coalesce(most[0], F.lit(0)).cast("double"))
+    bowled = F.least(F.lit(float(min_balls_bowled)), F.coalesce(most[1], F.lit(0)).cast("double"))
+    return p.filter((F.col("balls_faced") >= faced) | (F.col("balls_bowled") >= bowled))
