@@ -1,7 +1,8 @@
 """Path-dependent TreeSHAP for Spark ML boosted trees.
 
 The fitted ensemble (at most trees × 2^(depth+1) nodes) is collected once and
-broadcast; rows are explained in Arrow batches with ``mapInPandas``.
+broadcast; rows are explained in Arrow batches with ``mapInPandas``, all of them
+unless the caller asks for a sample.
 
 Per tree, the cover-weighted expectation E[f | x_S] is a sum over leaves of
 ``value × Π_{j∈S} o_j(x) × Π_{j∉S} z_j``, where for the features j on the
@@ -85,61 +86,68 @@ def expected_value(leaves) -> float:
     return float(sum(v * np.prod([z for _, _, z in feats]) for v, feats in leaves))
 
 
-def shap_matrix(X: np.ndarray, leaves) -> np.ndarray:
-    """SHAP values (rows × features) in GBT margin units."""
-    n, d = X.shape
-    phi = np.zeros((n, d))
-    for value, feats in leaves:
-        m = len(feats)
-        if m == 0:
-            continue
-        coef = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-        o = []
-        for f, tests, _ in feats:
-            ok = np.ones(n, dtype=bool)
-            x = X[:, f]
-            for thr, goes_left in tests:
-                ok &= (x <= thr) if goes_left else ~(x <= thr)
-            o.append(ok.astype(float))
-        zs = [z for _, _, z in feats]
-        for i in range(m):
-            poly = [np.ones(n)]
-            for j in range(m):
-                if j == i:
-                    continue
-                new = [poly[0] * zs[j]]
-                for k in range(1, len(poly)):
-                    new.append(poly[k] * zs[j] + poly[k - 1] * o[j])
-                new.append(poly[-1] * o[j])
-                poly = new
-            s = sum(poly[k] * coef[k] for k in range(m))
-            phi[:, feats[i][0]] += value * (o[i] - zs[i]) * s
-    return phi
-
-
-def shap_values(model_df: DataFrame, gbt_model, feature_cols: Sequence[str], sample_size: int | None = 2000,
+def shap_matrix_function():
+    """The function (X, leaves) -> SHAP values (rows × features) in GBT margin units, made here so that it travels to
+    Python workers by value."""
+    def shap_matrix(X: np.ndarray, leaves) -> np.ndarray:
+        n, d = X.shape
+        phi = np.zeros((n, d))
+        for value, feats in leaves:
+            m = len(feats)
+            if m == 0:
+                continue
+            coef = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
+            o = []
+            for f, tests, _ in feats:
+                ok = np.ones(n, dtype=bool)
+                x = X[:, f]
+                for thr, goes_left in tests:
+                    ok &= (x <= thr) if goes_left else ~(x <= thr)
+                o.append(ok.astype(float))
+            zs = [z for _, _, z in feats]
+            for i in range(m):
+                poly = [np.ones(n)]
+                for j in range(m):
+                    if j == i:
+                        continue
+                    new = [poly[0] * zs[j]]
+                    for k in range(1, len(poly)):
+                        new.append(poly[k] * zs[j] + poly[k - 1] * o[j])
+                    new.append(poly[-1] * o[j])
+                    poly = new
+                s = sum(poly[k] * coef[k] for k in range(m))
+                phi[:, feats[i][0]] += value * (o[i] - zs[i]) * s
+        return phi
+
+    return shap_matrix
+
+
+def shap_values(model_df: DataFrame, gbt_model, feature_cols: Sequence[str], sample_size: int | None = None,
                 id_col: str = "rid", seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """Per explained row: one SHAP column per feature (log-odds units), the
-    base value and the model margin (log-odds). ``sample_size`` rows are drawn
-    by a seeded hash order (a top-k, not a collect); None explains every row."""
+    base value and the model margin (log-odds). Every row is explained, in the
+    partitions it comes in; a caller may ask for ``sample_size`` rows, drawn by a
+    seeded hash order. A missing feature fails every test on its path, as in the
+    model."""
     feature_cols = list(feature_cols)
-    if model_df.isEmpty():
-        raise ValueError("Cannot compute SHAP values on an empty frame.")
     d = model_df
     if sample_size is not None:
-        d = with_portable_uniform(d, id_col, 0, seed, "_s").orderBy("_s", id_col).limit(sample_size).drop("_s")
+        parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        d = with_portable_uniform(d, id_col, 0, seed, "_s").orderBy("_s", id_col).limit(sample_size).drop("_s") \
+            .repartition(parts)
     leaves = compile_ensemble(extract_trees(gbt_model))
     base = 2.0 * expected_value(leaves)
     bc = model_df.sparkSession.sparkContext.broadcast(leaves)
     keep = [c for c in keep if c in d.columns]
     schema = T.StructType([d.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in feature_cols]
                           + [T.StructField("base_value", T.DoubleType()), T.StructField("margin", T.DoubleType())])
+    matrix_of = shap_matrix_function()
 
     def explain(batches):
         lv = bc.value
         for pdf in batches:
-            X = pdf[feature_cols].astype(float).fillna(0.0).to_numpy()
-            phi = 2.0 * shap_matrix(X, lv)
+            X = pdf[feature_cols].astype(float).to_numpy()
+            phi = 2.0 * matrix_of(X, lv)
             out = pd.DataFrame(phi, columns=feature_cols)
             for c in keep:
                 out.insert(keep.index(c), c, pdf[c].to_numpy())

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -15,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crease.operators.bootstrap import ALL_METRICS, bootstrap_metrics
+from crease.operators.calibration import expected_calibration_error
 from crease.operators.metrics import binary_metrics
 from crease.operators.splits import stratified_split
 
@@ -24,9 +24,13 @@ DEFAULT_SEED = 42
 # 0.05, row and column subsampling 0.8). Spark's GBT has no leaf L2 penalty.
 GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
 
+# Name patterns of saved models, tried in this order; names with this word hold metadata.
+MODEL_PATTERNS = ("best-model*", "best_model*")
+METADATA_WORD = "metadata"
+
 
 def deterministic_seed(seed: int | None = None) -> int:
-    """The library-wide seed (42 unless given); pass it to every seeded operator."""
+    """The library-wide seed (42 unless given) that training and splits use."""
     return DEFAULT_SEED if seed is None else int(seed)
 
 
@@ -38,6 +42,13 @@ class ModelArtifacts:
     train: DataFrame
     test: DataFrame
     metrics: dict = field(default_factory=dict)
+    persisted: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give up the frames kept in memory; ``train`` and ``test`` stay usable and are computed again."""
+        for df in self.persisted:
+            df.unpersist()
+        self.persisted = []
 
 
 def score(model: PipelineModel, df: DataFrame, proba: str = "y_pred_proba", pred: str = "y_pred") -> DataFrame:
@@ -48,10 +59,11 @@ def score(model: PipelineModel, df: DataFrame, proba: str = "y_pred_proba", pred
 
 
 def train_impact_model(model_df: DataFrame, feature_cols: Sequence[str], target: str = "team_won",
-                       test_size: float = 0.2, seed: int = DEFAULT_SEED, split_col: str | None = None,
+                       test_size: float = 0.2, seed: int | None = None, split_col: str | None = None,
                        id_col: str = "rid", params: dict | None = None) -> ModelArtifacts:
     """Fit boosted trees on a stratified (default) or given train/test split,
     score the test rows and compute accuracy and ROC AUC (one small row)."""
+    seed = deterministic_seed(seed)
     feature_cols = list(feature_cols)
     if split_col:
         split = model_df
@@ -70,13 +82,30 @@ def train_impact_model(model_df: DataFrame, feature_cols: Sequence[str], target:
     m = binary_metrics(scored_test.withColumn("_y", F.col(target).cast("int")), "_y", "y_pred", "y_pred_proba") \
         .select("accuracy", "roc_auc").first()
     return ModelArtifacts(model, feature_cols, target, train, scored_test,
-                          {"accuracy": m["accuracy"], "roc_auc": m["roc_auc"]})
+                          {"accuracy": m["accuracy"], "roc_auc": m["roc_auc"]}, [split, scored_test])
 
 
 def gbt_stage(model: PipelineModel):
     return model.stages[-1]
 
 
+def evaluate_model(test: DataFrame, target: str = "team_won", p: str = "y_pred_proba", calibrated: str | None = None,
+                   metrics: Sequence[str] = ALL_METRICS, n_boot: int = 1000, confidence: float = 0.95,
+                   seed: int | None = None) -> DataFrame:
+    """``(metric, value, ci_lower, ci_upper)`` of the raw scores, or of the column ``calibrated``; then with
+    ``expected_calibration_error``, which has no interval of its own."""
+    score_col = calibrated or p
+    d = test.select(F.col(target).cast("int").alias("_y"), F.col(score_col).cast("double").alias("_p"),
+                    (F.col(score_col) >= 0.5).cast("int").alias("_h"))
+    out = bootstrap_metrics(d, "_y", "_h", "_p", metrics, n_boot, confidence, deterministic_seed(seed))
+    if calibrated is None:
+        return out
+    ece = expected_calibration_error(d, "_y", "_p").select(
+        F.lit("expected_calibration_error").alias("metric"), F.col("ece").alias("value"),
+        F.col("ece").alias("ci_lower"), F.col("ece").alias("ci_upper"))
+    return out.unionByName(ece)
+
+
 def save_model(artifacts: ModelArtifacts, path: str) -> str:
     """Persist the fitted pipeline and a one-row JSON metadata record."""
     artifacts.model.write().overwrite().save(f"{path}/model")
@@ -97,19 +126,29 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
         return {}
 
 
-def find_model_dirs(search_dir: str, pattern: str = "*model*") -> list[str]:
-    """Saved model folders matching ``pattern`` in glob order (first match wins,
-    not the newest, as in the reference)."""
-    local = search_dir[len("file:"):] if search_dir.startswith("file:") else search_dir
-    return [p for p in glob.glob(os.path.join(local, pattern)) if os.path.isdir(os.path.join(p, "model"))]
-
-
-def load_model(spark: SparkSession, search_dir: str, pattern: str = "*model*", fallback=None):
-    """First saved model by name pattern; returns ``(PipelineModel, metadata)``.
+def find_model_dirs(spark: SparkSession, search_dir: str, patterns: Sequence[str] = MODEL_PATTERNS) -> list[str]:
+    """Saved model folders by the ordered name patterns, on whatever store ``search_dir`` names; within a pattern in
+    name order. Names that hold the word metadata are passed over."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for pattern in patterns:
+        glob = jvm.org.apache.hadoop.fs.Path(f"{search_dir.rstrip('/')}/{pattern}/model")
+        fs = glob.getFileSystem(conf)
+        for status in fs.globStatus(glob) or []:
+            folder = status.getPath().getParent()
+            if METADATA_WORD not in folder.getName() and folder.toString() not in found:
+                found.append(folder.toString())
+    return found
+
+
+def load_model(spark: SparkSession, search_dir: str, patterns: Sequence[str] = MODEL_PATTERNS,
+               fallback: Callable | None = None):
+    """First saved model by the ordered name patterns that can be read; returns ``(PipelineModel, metadata)``.
     Without one, ``fallback()`` (e.g. a training function) is called, else None."""
-    for p in find_model_dirs(search_dir, pattern):
+    for path in find_model_dirs(spark, search_dir, patterns):
         try:
-            return PipelineModel.load(f"{p}/model"), read_metadata(spark, p)
-        except Exception:  # noqa: BLE001
+            return PipelineModel.load(f"{path}/model"), read_metadata(spark, path)
+        except Exception:  # noqa: BLE001 - an unreadable model is passed over, as a missing one
             continue
     return fallback() if fallback else None
