@@ -73,7 +73,7 @@ PLAYER_MATCH_KEYS = ["match_id", "season", "team", "player"]
 # Canonical raw delivery schema (what a clean source file holds).
 DELIVERY_SCHEMA = T.StructType([
     T.StructField("match_id", T.LongType()),
-    T.StructField("season", T.IntegerType()),
+    T.StructField("season", T.StringType()),
     T.StructField("date", T.StringType()),
     T.StructField("venue", T.StringType()),
     T.StructField("city", T.StringType()),

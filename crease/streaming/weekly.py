@@ -4,8 +4,9 @@ The stream keeps one stateful aggregate — per (week, probability bin) sums,
 bounded by weeks × bins — and each micro-batch rolls the complete table up to
 weekly MAE / ECE and the three-weeks-running breach flag (the run test needs
 an ordered look-back, which runs on the small weekly table in
-``foreachBatch``). Results are overwritten into a table under the shared
-checkpoint folder; the streaming checkpoint makes the query restartable.
+``foreachBatch``). Every micro-batch publishes the complete table in a folder of
+its own, ``epoch=<n>``, which appears as a whole; readers take the last
+(``latest``). The streaming checkpoint makes the query restartable.
 """
 
 from __future__ import annotations
@@ -34,9 +35,15 @@ def start_weekly_monitor(spark: SparkSession, source: str, schema, output_path:
 
     def publish(batch: DataFrame, epoch_id: int) -> None:
         weekly = weekly_kpi_breach(rollup_weekly(batch))
-        weekly.write.mode("overwrite").parquet(output_path)
+        weekly.write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")
 
     writer = per_bin.writeStream.outputMode("complete").foreachBatch(publish) \
         .option("checkpointLocation", checkpoint_location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def latest(spark: SparkSession, output_path: str) -> DataFrame:
+    """The weekly table that was published last."""
+    published = spark.read.parquet(output_path)
+    return published.where(F.col("epoch") == published.agg(F.max("epoch")).scalar()).drop("epoch")
