@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings the operators assume. They are applied only when the caller has not
-# set them already, so cluster-level configuration always wins.
+# Settings the operators assume. They go into a session that is built here; a
+# session that exists keeps its own.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -19,7 +22,10 @@ DEFAULTS = {
 
 def get_spark(master: str | None = None, app_name: str = "crease",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
-    """Return the active session, or build one (tests and local runs)."""
+    """Return the active session as it is, or build one (tests and local runs)."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -27,31 +33,25 @@ def get_spark(master: str | None = None, app_name: str = "crease",
     builder = builder.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in (extra or {}).items():
+    for key, value in {**DEFAULTS, **(extra or {})}.items():
         builder = builder.config(key, value)
-    spark = builder.getOrCreate()
-    configure(spark)
-    return spark
-
-
-def configure(spark: SparkSession) -> SparkSession:
-    for key, value in DEFAULTS.items():
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+    return builder.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Shared checkpoint folder named by ``spark.checkpoint.dir``, used as it is.
 
-    On a cluster the setting names a shared (distributed) folder and is used as
-    is. Only when it is unset (local runs, tests) a scratch folder is created.
+    Only where it is unset and the session runs in one process (``local``
+    master: tests, trials) a scratch folder is made, and removed at the end; on
+    a cluster an unset folder is an error, as executors share no local disk.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="crease-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
