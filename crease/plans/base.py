@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators.deliveries import prepare_deliveries
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
+from crease.operators.ordered import with_row_number
 from crease.operators.playermatch import player_match_stats
-from crease.session import cut_lineage
 from crease.sources.deliveries import fixture_deliveries
+from crease.sources.sinks import remove_path, scratch_path
 
 
 def rnd(c, digits: int = 6) -> Column:
@@ -22,29 +22,24 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_deliveries(fixture_deliveries(spark, sf_dir))
 
 
-_MEMO: dict[tuple, DataFrame] = {}
+_MEMO: dict[tuple, object] = {}
+_PATHS: dict[tuple, str] = {}
 
 
-def _memo(spark: SparkSession, sf_dir: str, name: str, build, checkpoint: bool = True) -> DataFrame:
-    """Materialise a shared intermediate once per application and source folder.
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player-match statistics with ``rid``, their number in the order of match, team and player.
 
-    Many registered queries start from the same player-match table. A reliable
-    checkpoint in the shared ``spark.checkpoint.dir`` does the work once, cuts
-    the lineage (downstream plans stay small and quick to analyse) and
-    survives executor loss.
+    Most registered queries start here, so this one table is written as Parquet
+    in the shared folder, once per application and source folder; all else is
+    derived from it lazily. ``reset`` removes it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    df = _MEMO.get(key)
-    if df is None:
-        df = cut_lineage(build()) if checkpoint else build().persist(StorageLevel.MEMORY_AND_DISK)
-        _MEMO[key] = df
-    return df
-
-
-def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # player_match_stats already checkpoints its aggregate; persisting the
-    # small remainder (efficacy and winner joins) is enough here
-    return _memo(spark, sf_dir, "stats", lambda: player_match_stats(deliveries(spark, sf_dir)), checkpoint=False)
+    key = (spark.sparkContext.applicationId, sf_dir, "stats")
+    if key not in _MEMO:
+        rows = with_row_number(player_match_stats(deliveries(spark, sf_dir)), "match_id", ["team", "player"])
+        path = scratch_path(spark, "stats")
+        rows.write.parquet(path)
+        _PATHS[key], _MEMO[key] = path, spark.read.schema(rows.schema).parquet(path)
+    return _MEMO[key]
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +47,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def build():
-        f = features(spark, sf_dir)
-        return composite_indices(f, correlation_weights(f))
-    return _memo(spark, sf_dir, "indexed", build)
+    f = features(spark, sf_dir)
+    return composite_indices(f, correlation_weights(f))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,44 +68,26 @@ def match_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored fixture: a fixed logistic score of player-match rows (no model),
     used to exercise the evaluation operators on whole data."""
-    from pyspark.sql import Window
-
-    def build():
-        f = features(spark, sf_dir)
-        mi = match_info(spark, sf_dir)
-        z = (F.lit(0.04) * (F.col("runs_scored") - 7) + F.lit(0.3) * F.col("wickets")
-             + F.lit(0.02) * F.round(F.col("phase_efficacy"), 4))
-        p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
-        w = Window.partitionBy("match_id").orderBy("team", "player")
-        out = f.join(mi, "match_id", "inner").select(
-            "match_id", "season", "team", "player", "venue", "date",
-            F.when(F.col("team") == F.col("team_a"), F.col("team_b")).otherwise(F.col("team_a")).alias("opponent"),
-            F.col("team_won").cast("int").alias("y_true"), p.alias("y_pred_proba"),
-            (F.col("match_id") * 1000 + F.row_number().over(w)).cast("long").alias("rid"))
-        return out.withColumn("y_pred", (F.col("y_pred_proba") >= 0.5).cast("int"))
-    return _memo(spark, sf_dir, "scored", build)
-
-
-def with_rid(df: DataFrame) -> DataFrame:
-    """Stable integer row id for player-match rows: match_id * 1000 + rank of
-    (team, player) within the match (a per-match window, bounded by squad size)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("match_id").orderBy("team", "player")
-    return df.withColumn("rid", (F.col("match_id") * 1000 + F.row_number().over(w)).cast("long"))
-
-
-def cluster_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _memo(spark, sf_dir, "cluster_base", lambda: with_rid(indexed(spark, sf_dir)))
+    f = features(spark, sf_dir)
+    mi = match_info(spark, sf_dir)
+    z = (F.lit(0.04) * (F.col("runs_scored") - 7) + F.lit(0.3) * F.col("wickets")
+         + F.lit(0.02) * F.round(F.col("phase_efficacy"), 4))
+    p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
+    out = f.join(mi, "match_id", "inner").select(
+        "match_id", "season", "team", "player", "venue", "date",
+        F.when(F.col("team") == F.col("team_a"), F.col("team_b")).otherwise(F.col("team_a")).alias("opponent"),
+        F.col("team_won").cast("int").alias("y_true"), p.alias("y_pred_proba"), "rid")
+    return out.withColumn("y_pred", (F.col("y_pred_proba") >= 0.5).cast("int"))
 
 
 def clusters(spark: SparkSession, sf_dir: str):
-    """Deterministic batter and bowler clusterings plus their label tables (memoised)."""
+    """Batter and bowler clusterings from a repeatable start plus their label tables (memoised)."""
     from crease.operators import roles as R
     key = (spark.sparkContext.applicationId, sf_dir, "clusters")
     if key not in _MEMO:
-        base = cluster_base(spark, sf_dir)
-        bat = R.cluster_batters(base)
-        bowl = R.cluster_bowlers(base)
+        base = indexed(spark, sf_dir)
+        bat = R.cluster_batters(base, method="lloyd")
+        bowl = R.cluster_bowlers(base, method="lloyd")
         _MEMO[key] = (bat, bowl, R.label_batter_clusters(bat.centroids), R.label_bowler_clusters(bowl.centroids))
     return _MEMO[key]
 
@@ -123,20 +98,20 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crease.operators.team import player_profiles
     from crease.schema import MODEL_FEATURES
 
-    def build():
-        bat, bowl, bl, wl = clusters(spark, sf_dir)
-        ratings = player_ratings(matrix(spark, sf_dir), {c: 1.0 for c in MODEL_FEATURES})
-        vol = player_volume(features(spark, sf_dir))
-        return player_profiles(ratings, vol, R.cluster_mode(bat.assigned, "batter_cluster"),
-                               R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)
-    return _memo(spark, sf_dir, "profiles", build)
+    bat, bowl, bl, wl = clusters(spark, sf_dir)
+    ratings = player_ratings(matrix(spark, sf_dir), {c: 1.0 for c in MODEL_FEATURES})
+    vol = player_volume(features(spark, sf_dir))
+    return player_profiles(ratings, vol, R.cluster_mode(bat.assigned, "batter_cluster"),
+                           R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)
 
 
 def reset(spark: SparkSession | None = None) -> None:
-    """Unpersist and forget memoised intermediates (all, or one application's)."""
+    """Forget the shared intermediates (all, or one application's) and remove what they hold on disk or in memory."""
+    from crease.operators.model import ModelArtifacts
     app = spark.sparkContext.applicationId if spark is not None else None
-    for key in list(_MEMO):
-        if app is None or key[0] == app:
-            val = _MEMO.pop(key)
-            if isinstance(val, DataFrame):
-                val.unpersist()
+    for key in [k for k in _MEMO if app is None or k[0] == app]:
+        value = _MEMO.pop(key)
+        if isinstance(value, ModelArtifacts):
+            value.release()
+        if key in _PATHS and spark is not None:
+            remove_path(spark, _PATHS.pop(key))

@@ -42,6 +42,21 @@ SELECT m AS match_id, CAST(2008 + m % 13 AS INT) AS season,
   CASE WHEN m % 37 = 36 OR r1 = r2 THEN NULL WHEN r1 > r2 THEN concat('T', CAST(home AS STRING)) ELSE concat('T', CAST(away AS STRING)) END AS winner
 FROM e)"""
 
+# The fixture as a messy file would carry it (Spark SQL; the oracle states what must come out).
+DIRTY_SELECT = """
+SELECT match_id, innings, over, ball_in_over, striker, bowler, batting_team, bowling_team,
+  CASE match_id % 6 WHEN 0 THEN CAST(match_date AS STRING) WHEN 1 THEN date_format(match_date, 'dd/MM/yyyy')
+    WHEN 2 THEN date_format(match_date, 'd-M-yyyy') WHEN 3 THEN date_format(match_date, 'MMM d, yyyy')
+    WHEN 4 THEN concat(CAST(match_date AS STRING), ' 19:30:00') ELSE 'rain' END AS match_date,
+  CASE WHEN match_id % 5 = 4 THEN concat(CAST(season - 1 AS STRING), '/', substr(CAST(season AS STRING), 3))
+    ELSE CAST(season AS STRING) END AS season,
+  CASE (over + ball_in_over) % 7 WHEN 0 THEN 'NaN' WHEN 1 THEN 'four' WHEN 2 THEN concat(' ', CAST(batsman_runs AS STRING), ' ')
+    WHEN 3 THEN NULL ELSE CAST(batsman_runs AS STRING) END AS batsman_runs,
+  CASE WHEN over % 4 = 0 THEN CAST(total_runs AS STRING) || '.0' WHEN over % 4 = 1 THEN '' ELSE CAST(total_runs AS STRING)
+    END AS total_runs,
+  CASE ball_in_over % 3 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE CAST(valid_ball AS DOUBLE) END AS valid_ball
+FROM raw_deliveries"""
+
 # Canonical, prepared deliveries in portable SQL (what ``prepare_deliveries``
 # produces on the fixture): aliases renamed, phase and flags derived.
 PREPARED_CTE = """

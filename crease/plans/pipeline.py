@@ -1,10 +1,11 @@
-"""The end-to-end batch pipeline: deliveries -> ratings, archetypes, best XI.
+"""The end-to-end batch runs: deliveries -> ratings, archetypes, best XI; and training for later use.
 
-Everything before model training is one lazy plan; the player-match feature
-table is cut from its lineage with a reliable checkpoint in the shared
-``spark.checkpoint.dir`` (it is re-read by training, SHAP, ratings and both
-clusterings, and must survive executor loss). Driver round trips are bounded:
-the feature weights, k centroids per iteration, importances and <= 11 names.
+Everything before the model is one lazy plan; the player-match feature table
+is written once as Parquet in the shared folder, as training, explanation,
+ratings and both clusterings read it and it must survive the loss of an
+executor. Driver round trips are bounded: the feature weights, k centroids per
+iteration, importances and the XI's candidates. ``PipelineOutputs.release``
+gives up what is kept in memory and removes the table.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ from crease.operators.deliveries import prepare_deliveries
 from crease.operators.explain import importance_summary, shap_values
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
 from crease.operators.metrics import classification_report
-from crease.operators.model import gbt_stage, train_impact_model
+from crease.operators.model import ModelArtifacts, gbt_stage, load_model, save_model, score, train_impact_model
+from crease.operators.ordered import with_row_number
 from crease.operators.playermatch import player_match_stats
 from crease.operators.ratings import player_ratings, player_volume, top_ratings
 from crease.operators.team import best_xi, player_profiles
-from crease.plans.base import with_rid
-from crease.session import cut_lineage
+from crease.sources.sinks import export_summary, remove_path, scratch_path
 
 
 @dataclass
@@ -40,42 +41,87 @@ class PipelineOutputs:
     batter_labels: DataFrame
     bowler_labels: DataFrame
     classification_report: DataFrame
+    artifacts: ModelArtifacts
+    feature_path: str
     timings: dict = field(default_factory=dict)
 
+    def export_summary(self, path: str | None = None) -> str:
+        return export_summary(self.model_metrics, self.batter_labels, self.bowler_labels, path)
 
-def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int = 42, gbt_params: dict | None = None,
-                 shap_sample: int = 2000, clustering: str = "lloyd", checkpoint: bool = True) -> PipelineOutputs:
+    def release(self) -> None:
+        """After this the outputs can no longer be computed: keep what was written or collected."""
+        self.artifacts.release()
+        self.importance.unpersist()
+        remove_path(self.features.sparkSession, self.feature_path)
+
+
+def feature_table(spark: SparkSession, raw_deliveries: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
+    """Indexed player-match features with ``rid``, written as Parquet; (the table, its path)."""
+    feats = feature_frame(player_match_stats(prepare_deliveries(raw_deliveries)))
+    numbered = with_row_number(feats, "match_id", ["team", "player"])
+    path = path or scratch_path(spark, "features")
+    numbered.write.parquet(path)
+    stored = spark.read.schema(numbered.schema).parquet(path)
+    return composite_indices(stored, correlation_weights(stored)), path
+
+
+def saved_artifacts(spark: SparkSession, model_dir: str, matrix: DataFrame, cols: list[str],
+                    target: str = "team_won") -> ModelArtifacts | None:
+    """The first saved model in ``model_dir`` over ``matrix`` (no test rows; metrics from its metadata), or None."""
+    found = load_model(spark, model_dir)
+    if found is None:
+        return None
+    model, meta = found
+    features = [c for c in meta.get("feature_columns", cols) if c in matrix.columns]
+    empty = score(model, matrix.limit(0))
+    return ModelArtifacts(model, features, target, matrix, empty, meta.get("metrics", {}))
+
+
+def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | None = None,
+                 gbt_params: dict | None = None, shap_sample: int | None = None, clustering: str = "restarts",
+                 model_dir: str | None = None) -> PipelineOutputs:
+    """The whole run. A model saved in ``model_dir`` is preferred; without one (or without a folder) it is trained."""
     t = {}
     t0 = time.time()
-    stats = player_match_stats(prepare_deliveries(raw_deliveries))
-    feats = feature_frame(stats)
-    base = with_rid(composite_indices(feats, correlation_weights(feats)))
-    base = cut_lineage(base) if checkpoint else base.persist()
+    base, path = feature_table(spark, raw_deliveries)
     t["features"] = time.time() - t0
 
     t0 = time.time()
     matrix, cols = model_matrix(base)
-    matrix = matrix.join(base.select("match_id", "team", "player", "rid"), ["match_id", "team", "player"], "inner")
-    art = train_impact_model(matrix, cols, seed=seed, params=gbt_params)
+    art = saved_artifacts(spark, model_dir, matrix, cols) if model_dir else None
+    if art is None:
+        art = train_impact_model(matrix, cols, seed=seed, params=gbt_params)
     t["train"] = time.time() - t0
 
     t0 = time.time()
-    shap = shap_values(art.train, gbt_stage(art.model), cols, shap_sample, seed=seed)
-    importance = importance_summary(shap, cols).persist()
+    shap = shap_values(art.train, gbt_stage(art.model), art.feature_cols, shap_sample)
+    importance = importance_summary(shap, art.feature_cols).persist()
     weights = {r["feature"]: r["mean_abs_shap"] for r in importance.collect()}  # <= #features rows
     if not weights:
         weights = {c: 1.0 for c in cols}
     t["explain"] = time.time() - t0
 
     t0 = time.time()
-    ratings = player_ratings(matrix, weights).persist()
+    ratings = player_ratings(matrix, weights)
     bat = R.cluster_batters(base, method=clustering)
     bowl = R.cluster_bowlers(base, method=clustering)
     bl, wl = R.label_batter_clusters(bat.centroids), R.label_bowler_clusters(bowl.centroids)
     profiles = player_profiles(ratings, player_volume(base), R.cluster_mode(bat.assigned, "batter_cluster"),
-                               R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl).persist()
+                               R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)
     xi = best_xi(profiles)
     t["roles"] = time.time() - t0
     report = classification_report(art.test.withColumn("_y", F.col("team_won").cast("int")), "_y", "y_pred")
     return PipelineOutputs(base, art.metrics, importance, ratings, top_ratings(ratings, 25), profiles, xi,
-                           bl, wl, report, t)
+                           bl, wl, report, art, path, t)
+
+
+def retrain_and_save(spark: SparkSession, raw_deliveries: DataFrame, model_path: str, seed: int | None = None,
+                     gbt_params: dict | None = None) -> dict:
+    """Train on the deliveries and save the model with its metadata; its metrics."""
+    base, path = feature_table(spark, raw_deliveries)
+    matrix, cols = model_matrix(base)
+    art = train_impact_model(matrix, cols, seed=seed, params=gbt_params)
+    save_model(art, model_path)
+    art.release()
+    remove_path(spark, path)
+    return art.metrics

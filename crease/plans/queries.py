@@ -16,7 +16,9 @@ from crease.operators import features as FE
 from crease.operators import playermatch as PMO
 from crease.plans import base as B
 from crease.plans.base import rnd
-from crease.sources.deliveries import fixture_deliveries
+from crease.schema import BATTER_CLUSTER_FEATURES as BAT_F
+from crease.schema import MODEL_FEATURES as MM_FEATURES
+from crease.sources.deliveries import dirty_deliveries, fixture_deliveries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,9 +34,20 @@ def q(name: str):
     return deco
 
 
+def _csv_copy(spark, raw):
+    """The rows as a CSV file with a leading index column, as some writers leave it."""
+    from crease.sources.sinks import scratch_path
+    path = scratch_path(spark, "deliveries-csv")
+    raw.select(F.monotonically_increasing_id().alias("Unnamed: 0"), *raw.columns) \
+        .write.mode("overwrite").option("header", "true").csv(path)
+    return path
+
+
 @q("scan_deliveries")
 def _scan(spark, sf):
-    return fixture_deliveries(spark, sf)
+    from crease.sources.deliveries import scan_deliveries
+    return scan_deliveries(spark, _csv_copy(spark, fixture_deliveries(spark, sf))).withColumns(
+        {"match_date": F.col("match_date").cast("date"), "season": F.col("season").cast("int")})
 
 
 @q("canonicalise_columns")
@@ -44,12 +57,13 @@ def _canon(spark, sf):
 
 @q("parse_date")
 def _parse_date(spark, sf):
-    return B.deliveries(spark, sf).select(*POS, "date")
+    return D.parse_date(D.canonicalise_columns(dirty_deliveries(spark, sf))).select(*POS, "date")
 
 
 @q("numeric_coerce")
 def _numeric(spark, sf):
-    return B.deliveries(spark, sf).select(*POS, "runs_batter", "runs_total")
+    raw = D.canonicalise_columns(dirty_deliveries(spark, sf))
+    return D.numeric_coerce(raw, ["runs_batter", "runs_total"]).select(*POS, "runs_batter", "runs_total")
 
 
 @q("derive_over_ball")
@@ -69,7 +83,7 @@ def _phase(spark, sf):
 
 @q("valid_ball_flag")
 def _valid(spark, sf):
-    return B.deliveries(spark, sf).select(*POS, "valid_ball")
+    return D.valid_ball_flag(D.canonicalise_columns(dirty_deliveries(spark, sf))).select(*POS, "valid_ball")
 
 
 @q("dot_ball_flag")
@@ -104,12 +118,12 @@ def _dq(spark, sf):
 
 @q("batting_player_match")
 def _bat_pm(spark, sf):
-    return PMO.batting_player_match(B.stats(spark, sf))
+    return PMO.batting_player_match(B.deliveries(spark, sf))
 
 
 @q("bowling_player_match")
 def _bowl_pm(spark, sf):
-    return PMO.bowling_player_match(B.stats(spark, sf))
+    return PMO.bowling_player_match(B.deliveries(spark, sf))
 
 
 @q("phase_map_agg")
@@ -163,11 +177,6 @@ def _bowl_metrics(spark, sf):
                             ["overs_bowled", "bowling_economy", "bowling_strike_rate", "wickets_per_match"]])
 
 
-MM_FEATURES = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage",
-               "bowling_economy", "bowling_strike_rate", "wickets_per_match", "phase_efficacy",
-               "batting_index", "bowling_index", "overall_index", "overs_bowled"]
-
-
 @q("correlation_weights")
 def _weights(spark, sf):
     f = B.features(spark, sf)
@@ -243,7 +252,7 @@ def _attach(spark, sf):
     from crease.operators.ratings import attach_index
     f = B.features(spark, sf)
     idx = FE.composite_indices(f)
-    bat = PMO.batting_player_match(B.stats(spark, sf))
+    bat = PMO.batting_player_match(B.deliveries(spark, sf))
     out = attach_index(FE.batting_metrics(bat), idx, "batting_index")
     return out.select(*PMK, "balls_faced", rnd("batting_strike_rate").alias("batting_strike_rate"),
                       rnd("batting_index", 4).alias("batting_index"))
@@ -349,7 +358,7 @@ def _matchup(spark, sf):
 @q("season_int")
 def _season_int(spark, sf):
     from crease.functions.expressions import season_int
-    return B.deliveries(spark, sf).select("match_id", season_int("season").alias("season")).distinct()
+    return dirty_deliveries(spark, sf).select("match_id", season_int("season").alias("season")).distinct()
 
 
 @q("calibration_curve")
@@ -523,12 +532,9 @@ def _manifest(spark, sf):
 
 @q("rolling_origin_cv")
 def _rolling(spark, sf):
-    from crease.operators.splits import rolling_origin_cv
-    cv = rolling_origin_cv(_sc(spark, sf), 3)
-    return cv.groupBy("fold", "test_season", "role").agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.array_join(F.sort_array(F.collect_set("season")), ",").alias("seasons"),
-        rnd(F.avg(F.col("y_true").cast("double"))).alias("win_rate"))
+    from crease.operators.splits import rolling_origin_summary
+    out = rolling_origin_summary(_sc(spark, sf), "y_true", 3)
+    return out.select("fold", "test_season", "role", "n_samples", "seasons", rnd("win_rate").alias("win_rate"))
 
 
 @q("stratified_split")
@@ -570,14 +576,19 @@ def _paired(spark, sf):
     s = _sc(spark, sf)
     vp = s.groupBy("venue").agg(F.avg(F.col("y_true").cast("double")).alias("p_base"))
     d = s.join(vp, "venue", "inner")
-    out = paired_bootstrap_delta(d, "y_true", "y_pred_proba", "p_base", "roc_auc", "rid", 1000, 0.95, 42)
+    out = paired_bootstrap_delta(d, "y_true", "y_pred_proba", "p_base", "roc_auc", 1000, 0.95, 42)
     return out.select("metric", *[rnd(c).alias(c) for c in ("delta", "ci_lower", "ci_upper")])
 
 
 # --------------------------------------------------------------- baselines
+def _split(spark, sf):
+    from crease.operators.splits import time_split
+    return time_split(_sc(spark, sf), check=False)
+
+
 def _train_test(spark, sf):
-    s = _sc(spark, sf)
-    return s.filter(F.col("season") <= 2018), s.filter(F.col("season") == 2020)
+    d = _split(spark, sf)
+    return d.filter(F.col("split") == "train").drop("split"), d.filter(F.col("split") == "test").drop("split")
 
 
 @q("venue_baseline")
@@ -619,33 +630,27 @@ def _form_base(spark, sf):
 
 @q("logistic_baseline")
 def _logit(spark, sf):
-    from crease.operators.baselines import logistic_baseline
-    m = B.matrix(spark, sf)
-    trn = m.filter(F.col("season") <= 2018)
-    sc = logistic_baseline(trn, "team_won", ["batting_index", "bowling_index", "batting_strike_rate",
-                                             "bowling_economy", "wickets_per_match", "phase_efficacy"])
-    return spark.createDataFrame([(f, w) for f, w in zip(sc.features, sc.coefficients)] + [("intercept", sc.intercept)],
-                                 "feature string, coefficient double")
+    """The fit, held against its own optimality: the gradient of the penalised loss is 0 at the coefficients."""
+    from crease.operators.baselines import logistic_baseline, logistic_gradient
+    from crease.operators.splits import time_split
+    train = time_split(B.matrix(spark, sf), check=False).filter(F.col("split") == "train")
+    g = logistic_gradient(train, logistic_baseline(train, "team_won"), "team_won")
+    return g.select("coefficient", (F.abs("gradient") < 1e-3).alias("optimal"))
 
 
 @q("logistic_score")
 def _logit_score(spark, sf):
-    from crease.operators.baselines import logistic_baseline, logistic_score
-    m = B.matrix(spark, sf)
-    sc = logistic_baseline(m.filter(F.col("season") <= 2018), "team_won",
-                           ["batting_index", "bowling_index", "batting_strike_rate", "bowling_economy",
-                            "wickets_per_match", "phase_efficacy"])
-    return logistic_score(m.filter(F.col("season") == 2020), sc).select("match_id", "team", "player", "p_baseline")
+    from crease.operators.baselines import LOGISTIC_FEATURES, LinearScorer, logistic_score
+    scorer = LinearScorer(LOGISTIC_FEATURES, [0.01, -0.02, 0.05, -0.03, 0.04, 0.02], -0.25)
+    return logistic_score(B.matrix(spark, sf), scorer).select("match_id", "team", "player",
+                                                              rnd("p_baseline").alias("p_baseline"))
 
 
 # ------------------------------------------------------------------ roles
-BAT_F = ["batting_strike_rate", "batting_average", "boundary_percentage", "dot_percentage", "batting_index"]
-
-
 @q("standardise")
 def _standardise(spark, sf):
     from crease.operators.roles import standardise
-    z, _, _ = standardise(B.cluster_base(spark, sf), BAT_F)
+    z, _, _ = standardise(B.indexed(spark, sf), BAT_F)
     return z.select("rid", *[rnd(c + "_z").alias(c + "_z") for c in BAT_F])
 
 
@@ -701,9 +706,10 @@ def _ccp(spark, sf):
 
 @q("kmeans_fit")
 def _kfit(spark, sf):
-    from crease.operators.roles import kmeans_fit
-    r = kmeans_fit(B.cluster_base(spark, sf), BAT_F, k=4, restarts=20, seed=42, out="batter_cluster")
-    return r.centroids
+    """The fit with restarts, held against what a k-means fixed point is."""
+    from crease.operators.roles import kmeans_check, kmeans_fit
+    r = kmeans_fit(B.indexed(spark, sf), BAT_F, k=4, restarts=20, seed=42, out="batter_cluster")
+    return kmeans_check(r, "batter_cluster").select("cluster", "misassigned", rnd("drift").alias("drift"))
 
 
 @q("primary_role")
@@ -737,38 +743,20 @@ def _explorer(spark, sf):
 # ------------------------------------------------------------- misc / model
 @q("drop_unnamed")
 def _drop_unnamed(spark, sf):
-    """Round trip through CSV: the fixture is written with a leading index
-    column (as pandas writers leave it), scanned back and cleaned."""
+    """Round trip through CSV with an index column, which is dropped; types are given."""
     from crease.sources.deliveries import scan_deliveries
-    from crease.sources.sinks import scratch_path
     raw = fixture_deliveries(spark, sf)
-    path = scratch_path(spark, "deliveries-csv")
-    raw.select(F.monotonically_increasing_id().alias("Unnamed: 0"), *raw.columns) \
-        .write.mode("overwrite").option("header", "true").csv(path)
     schema = "`Unnamed: 0` bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields)
-    return scan_deliveries(spark, path, "csv", schema=schema)
+    return scan_deliveries(spark, _csv_copy(spark, raw), "csv", schema=schema)
 
 
 @q("export_summary_json")
 def _export(spark, sf):
     from crease.operators.metrics import binary_metrics
-    from crease.operators.ratings import top_ratings
-    from crease.sources.sinks import write_json
-    m = binary_metrics(_sc(spark, sf))
+    from crease.sources.sinks import export_summary
+    m = binary_metrics(_sc(spark, sf)).select("accuracy", "roc_auc").first()
     _, _, bl, wl = B.clusters(spark, sf)
-    top = top_ratings(_ratings(spark, sf), 5)
-    summary = (m.select(F.lit("model_metrics").alias("section"), F.lit("accuracy").alias("key"),
-                        rnd("accuracy").cast("string").alias("value"))
-               .unionByName(m.select(F.lit("model_metrics").alias("section"), F.lit("roc_auc").alias("key"),
-                                     rnd("roc_auc").cast("string").alias("value")))
-               .unionByName(bl.select(F.lit("cluster_labels.batters").alias("section"),
-                                      F.col("cluster").cast("string").alias("key"), F.col("label").alias("value")))
-               .unionByName(wl.select(F.lit("cluster_labels.bowlers").alias("section"),
-                                      F.col("cluster").cast("string").alias("key"), F.col("label").alias("value")))
-               .unionByName(top.select(F.lit("top_rating").alias("section"),
-                                       F.concat_ws("|", "player", "team", F.col("season").cast("string")).alias("key"),
-                                       rnd("impact_rating", 4).cast("string").alias("value"))))
-    path = write_json(summary.coalesce(1), None, "summary")
+    path = export_summary(m.asDict(), bl, wl)
     return spark.read.schema("section string, key string, value string").json(path)
 
 
@@ -795,11 +783,8 @@ def _prior(spark, sf):
 def _weekly(spark, sf):
     from crease.operators.policy import weekly_kpi, weekly_kpi_breach
     from crease.sources.deliveries import read_table
-    ev = read_table(spark, sf, "events").filter(F.col("value").isNotNull() & F.col("ts").isNotNull()
-                                                 & (F.col("value") + 50 != 0))
-    ev = ev.select("ts", (F.col("event_type") == "purchase").cast("int").alias("y_true"),
-                   F.round(F.col("value") / (F.col("value") + 50), 3).alias("y_pred_proba"))
-    wk = weekly_kpi_breach(weekly_kpi(ev))
+    from crease.streaming.weekly import events_to_scored
+    wk = weekly_kpi_breach(weekly_kpi(events_to_scored(read_table(spark, sf, "events"))))
     return wk.select("week_start", F.col("n").cast("long").alias("n"), rnd("mae").alias("mae"), rnd("ece").alias("ece"),
                      "mae_breach", "alert")
 
@@ -812,81 +797,98 @@ def _platt_apply(spark, sf):
 
 
 def _val_test(spark, sf):
-    s = _sc(spark, sf)
-    return s.filter(F.col("season") == 2019), s.filter(F.col("season") == 2020)
+    d = _split(spark, sf)
+    return d.filter(F.col("split") == "val").drop("split"), d.filter(F.col("split") == "test").drop("split")
 
 
 @q("platt_fit")
 def _platt_fit(spark, sf):
-    from crease.operators.calibration import platt_fit
+    """The fit, held against its own optimality: the gradient of the penalised loss is 0 at the coefficients."""
+    from crease.operators.calibration import platt_fit, platt_gradient
     val, _ = _val_test(spark, sf)
-    c = platt_fit(val)
-    return spark.createDataFrame([(c.a, c.b)], "a double, b double")
+    return platt_gradient(val, platt_fit(val)).select("coefficient", rnd("gradient", 5).alias("gradient"))
 
 
 @q("isotonic_fit")
 def _iso_fit(spark, sf):
-    from crease.operators.calibration import isotonic_fit
+    from crease.operators.calibration import isotonic_apply, isotonic_fit
     val, _ = _val_test(spark, sf)
-    m = isotonic_fit(val)
-    return spark.createDataFrame([(float(b), float(p)) for b, p in zip(m.boundaries, m.predictions)],
-                                 "boundary double, prediction double")
+    scores = val.select("y_pred_proba").distinct()
+    return isotonic_apply(scores, isotonic_fit(val)).select("y_pred_proba", rnd("y_pred_calibrated").alias("fitted"))
 
 
 @q("isotonic_apply")
 def _iso_apply(spark, sf):
     from crease.operators.calibration import isotonic_apply, isotonic_fit
     val, tst = _val_test(spark, sf)
-    return isotonic_apply(tst, isotonic_fit(val)).select("rid", "y_pred_proba", "y_pred_calibrated")
+    return isotonic_apply(tst, isotonic_fit(val)).select("rid", "y_pred_proba",
+                                                         rnd("y_pred_calibrated").alias("y_pred_calibrated"))
 
 
 @q("calibrate_model")
 def _calibrate(spark, sf):
     from crease.operators.calibration import calibrate_model
     val, tst = _val_test(spark, sf)
-    return calibrate_model(val, tst, method="platt").select("rid", "y_true", "y_pred_proba", "y_pred_calibrated")
+    return calibrate_model(val, tst, method="isotonic").select("rid", "y_true", "y_pred_proba",
+                                                               rnd("y_pred_calibrated").alias("y_pred_calibrated"))
 
 
 def _trained(spark, sf):
     from crease.operators.model import train_impact_model
-    from crease.schema import MODEL_FEATURES
     key = (spark.sparkContext.applicationId, sf, "trained")
     if key not in B._MEMO:
-        B._MEMO[key] = train_impact_model(B.cluster_base(spark, sf), MODEL_FEATURES)
+        B._MEMO[key] = train_impact_model(B.matrix(spark, sf), MM_FEATURES)
     return B._MEMO[key]
 
 
 @q("train_impact_model")
 def _train(spark, sf):
-    a = _trained(spark, sf)
-    return a.test.select("match_id", "team", "player", "team_won", "y_pred_proba", "y_pred")
+    """The rows the model was tested on, and whether each has a probability and the prediction that follows from it."""
+    p = F.col("y_pred_proba")
+    sound = F.coalesce(p.between(0, 1) & (F.col("y_pred") == (p >= 0.5).cast("int")), F.lit(False))
+    return _trained(spark, sf).test.select("rid", F.col("team_won").cast("int").alias("team_won"), sound.alias("sound"))
+
+
+def _reloaded(spark, sf):
+    """Scores of the test rows by the trained model and by its saved copy, and the copy's metadata."""
+    from crease.operators.model import load_model, save_model, score
+    from crease.sources.sinks import scratch_path
+    art = _trained(spark, sf)
+    base = scratch_path(spark, "models")
+    save_model(art, f"{base}/best_model")
+    model, meta = load_model(spark, base)
+    again = score(model, art.test.drop("y_pred_proba", "y_pred")).select("rid", F.col("y_pred_proba").alias("p_again"))
+    return art.test.join(again, "rid", "left"), meta
 
 
 @q("save_model")
 def _save(spark, sf):
-    from crease.operators.model import read_metadata, save_model
-    from crease.sources.sinks import scratch_path
-    path = save_model(_trained(spark, sf), scratch_path(spark, "impact_model"))
-    meta = read_metadata(spark, path)
-    return spark.createDataFrame([(c,) for c in meta.get("feature_columns", [])], "feature string")
+    """Per feature of the saved metadata: the rows scored by the saved model, and how many scores differ."""
+    both, meta = _reloaded(spark, sf)
+    sums = both.agg(F.count(F.lit(1)).alias("n_scored"),
+                    F.count_if(~F.col("p_again").eqNullSafe(F.col("y_pred_proba"))).alias("mismatches"))
+    names = F.array(*[F.lit(c) for c in meta.get("feature_columns", [])])
+    return sums.select(F.explode(names).alias("feature"), "n_scored", "mismatches")
 
 
 @q("load_model")
 def _load(spark, sf):
-    import os
-    from crease.operators.model import load_model, save_model, score
-    from crease.sources.sinks import scratch_path
-    base = scratch_path(spark, "models")
-    save_model(_trained(spark, sf), os.path.join(base, "best_model"))
-    model, meta = load_model(spark, base)
-    return score(model, _trained(spark, sf).test.drop("y_pred_proba", "y_pred")) \
-        .select("match_id", "team", "player", "y_pred_proba")
+    both, _ = _reloaded(spark, sf)
+    return both.select("rid", F.col("p_again").eqNullSafe(F.col("y_pred_proba")).alias("same_score"))
 
 
 @q("shap_values")
 def _shap(spark, sf):
+    """Every training row: whether its contributions and the base value add up to the model's own margin."""
     from crease.operators.explain import shap_values
     from crease.operators.model import gbt_stage
-    from crease.schema import MODEL_FEATURES
+    from pyspark.ml.functions import vector_to_array
     a = _trained(spark, sf)
-    return shap_values(a.train, gbt_stage(a.model), MODEL_FEATURES, 2000, keep=["rid"])
+    values = shap_values(a.train, gbt_stage(a.model), MM_FEATURES, keep=["rid"])
+    raw = a.model.transform(a.train.withColumn("_label", F.lit(0.0)))
+    margin = raw.select("rid", (vector_to_array("rawPrediction")[1] * 2).alias("raw"))
+    total = F.col("base_value")
+    for c in MM_FEATURES:
+        total = total + F.col(c)
+    return values.withColumn("total", total).join(margin, "rid").select(
+        "rid", (F.abs(F.col("total") - F.col("raw")) < 1e-6).alias("additive"))
