@@ -16,7 +16,7 @@ def test_entry_and_contract(spark):
 @pytest.mark.skipif(not os.path.exists(SF), reason="test data not present")
 def test_pointer_file_rejected(spark, tmp_path):
     from crease.sources.deliveries import DataUnavailableError, reject_pointer_file
-    p = tmp_path / "IPL.csv"
-    p.write_text("version https://git-lfs.github.com/spec/v1\noid sha256:abc\nsize 1\n")
+    p = tmp_path / "balls.csv"
+    p.write_text("  Version https://git-LFS.github.com/spec/v1\noid sha256:abc\nsize 1\n")
     with pytest.raises(DataUnavailableError):
         reject_pointer_file(spark, str(p))

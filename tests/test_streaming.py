@@ -9,14 +9,14 @@ SF = "/root/testdata/sf0.001"
 def test_stream_matches_batch(spark):
     from crease.operators.policy import weekly_kpi, weekly_kpi_breach
     from crease.sources.sinks import scratch_path
-    from crease.streaming.weekly import events_to_scored, start_weekly_monitor
+    from crease.streaming.weekly import events_to_scored, latest, start_weekly_monitor
     src = spark.read.parquet(f"{SF}/events.parquet")
     staged = scratch_path(spark, "events-src")
     src.write.parquet(staged)
     out, ckpt = scratch_path(spark, "weekly"), scratch_path(spark, "weekly-ckpt")
     q = start_weekly_monitor(spark, staged, src.schema, out, ckpt)
     q.awaitTermination(120)
-    got = {r.week_start: (r.n, round(r.mae, 9), r.alert) for r in spark.read.parquet(out).collect()}
+    got = {r.week_start: (r.n, round(r.mae, 9), r.alert) for r in latest(spark, out).collect()}
     want = {r.week_start: (r.n, round(r.mae, 9), r.alert)
             for r in weekly_kpi_breach(weekly_kpi(events_to_scored(src))).collect()}
     assert got == want and len(got) > 0
