@@ -11,9 +11,10 @@ Documents with equal sets form one class; only classes are compared.  Links are
 1. in every key's bucket the smallest id is paired with each other member (as many pairs as members);
 2. confirmed links are joined to components;
 3. buckets that hold more than one component are searched through: every pair from different components whose
-   signatures are within ``MAX_DISTANCE`` is confirmed, too.  Pairs inside a component could add nothing.  A bucket with
-   more than ``BLOCK_ROWS`` members is dealt in blocks, each pair of blocks a unit of work of bounded size; a pair that
-   meets in several buckets comes out of the first only.
+   signatures are within ``MAX_DISTANCE`` is confirmed, in the first of the buckets that the two share.  Pairs inside a
+   component could add nothing.  Signatures alone say which rows have a partner where; those are then sent their full
+   sets.  A bucket with more than ``BLOCK_ROWS`` members is dealt in blocks, each pair of blocks a unit of work of
+   bounded size, and only links that join components leave it.
 
 So a group of near copies costs in proportion to its members, and no pair that could join two components is left out.
 
@@ -25,7 +26,7 @@ are kept; an empty table gives no rows; other columns of the input are not read,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ SIMILARITY = 80
 CHUNKS, CHUNK_SYMBOLS = 16, 6
 #: Mean distance at similarity 0.8 is 19.2 with a deviation of 3.9.
 MAX_DISTANCE = 36
-BLOCK_ROWS = 1_024
+BLOCK_ROWS = 512
 #: Words whose hashes a task remembers; it changes no result.
 MEMO_WORDS = 300_000
 
@@ -139,46 +140,71 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
 
-def _search_buckets(max_distance: int):
-    """Pairs of different components within the distance, from rows sorted by (key, a, b)."""
-    def pairs_of(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray] | None:
-        table = pa.Table.from_batches(rows).combine_chunks()
-        if table.num_rows < 2:
-            return None
-        ids, component, block = (table[c].to_numpy() for c in ("id", "component", "block"))
-        first_unit = table["a"][0].as_py() == table["b"][0].as_py()
-        kind = table["key"][0].as_py() & 127
-        symbols = _symbols(table["signature"].combine_chunks())
-        left, right = [], []
-        for i in range(len(ids) - 1):
-            others = np.flatnonzero(component[i + 1:] != component[i]) + i + 1
-            if not first_unit:
-                others = others[block[others] != block[i]]
+UNIT = "key long, id long, component long, signature binary, block long, a long, b long"
+
+
+class _Unit:
+    """The members of one bucket, or of two blocks of one."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        self.table = table = pa.Table.from_batches(rows).combine_chunks()
+        self.ids, self.component, self.block = (table[c].to_numpy() for c in ("id", "component", "block"))
+        self.one_block = table["a"][0].as_py() == table["b"][0].as_py()
+        self.kind = table["key"][0].as_py() & 127
+        self.symbols = _symbols(table["signature"].combine_chunks())
+
+    def candidates(self, i: int, max_distance: int) -> np.ndarray:
+        """Later members of another component within the distance that meet member ``i`` here first."""
+        others = np.flatnonzero(self.component[i + 1:] != self.component[i]) + i + 1
+        if not self.one_block:
+            others = others[self.block[others] != self.block[i]]
+        differs = self.symbols[others] != self.symbols[i]
+        near = differs.sum(axis=1) <= max_distance
+        others, differs = others[near], differs[near]
+        # the first key under which the two meet: the first chunk with one difference at most, without it
+        by_chunk = differs.reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+        chunk = (by_chunk.sum(axis=2) <= 1).argmax(axis=1)
+        place = by_chunk[np.arange(len(others)), chunk].argmax(axis=1)
+        return others[chunk * CHUNK_SYMBOLS + place == self.kind]
+
+    def with_candidates(self, max_distance: int) -> list[pa.RecordBatch]:
+        """The rows that are part of any candidate pair here."""
+        part = np.zeros(len(self.ids), bool)
+        for i in range(len(self.ids) - 1):
+            others = self.candidates(i, max_distance)
+            part[others] = True
+            part[i] |= len(others) > 0
+        return self.table.filter(pa.array(part)).to_batches() if part.any() else []
+
+    def links(self, max_distance: int, similarity: int) -> list[pa.RecordBatch]:
+        """Links between members of different components, confirmed on full sets; as many as join them, not all."""
+        sets = self.table["shingles"].combine_chunks()
+        ends = np.cumsum([0, *sets.value_lengths().to_pylist()])
+        _, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        has = np.zeros(int(flat.max(initial=-1)) + 1, bool)
+        sizes, found = np.diff(ends), []
+        for i in range(len(self.ids) - 1):
+            others = self.candidates(i, max_distance)
             if not len(others):
                 continue
-            differs = symbols[others] != symbols[i]
-            near = differs.sum(axis=1) <= max_distance
-            others, differs = others[near], differs[near]
-            # the first key under which the two meet: the first chunk with one difference at most, without it
-            by_chunk = differs.reshape(-1, CHUNKS, CHUNK_SYMBOLS)
-            chunk = (by_chunk.sum(axis=2) <= 1).argmax(axis=1)
-            place = by_chunk[np.arange(len(others)), chunk].argmax(axis=1)
-            others = others[chunk * CHUNK_SYMBOLS + place == kind]
-            left.append(np.full(len(others), ids[i]))
-            right.append(ids[others])
-        if not left:
-            return None
-        x, y = np.concatenate(left), np.concatenate(right)
-        return np.minimum(x, y), np.maximum(x, y)
-
+            own = flat[ends[i]:ends[i + 1]]
+            has[own] = True
+            common = np.array([np.count_nonzero(has[flat[ends[j]:ends[j + 1]]]) for j in others])
+            has[own] = False
+            union = sizes[i] + sizes[others] - common
+            for j in others[100 * common >= similarity * union].tolist():
+                if self.component[j] != self.component[i]:
+                    found.append((int(self.ids[i]), int(self.ids[j])))
+                    self.component = np.where(self.component == self.component[j], self.component[i], self.component)
+        if not found:
+            return []
+        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])]
+
+
+def _by_unit(work: Callable[[_Unit], list[pa.RecordBatch]]):
+    """A task's function that does ``work`` on each unit of rows sorted by (key, a, b)."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, last = [], None
-
-        def give(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = pairs_of(rows) if rows else None
-            if found is not None and len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -187,17 +213,23 @@ def _search_buckets(max_distance: int):
             for start, end in zip(starts, starts[1:]):
                 key = tuple(keys[start])
                 if key != last:
-                    yield from give(rows)
+                    if sum(r.num_rows for r in rows) > 1:
+                        yield from work(_Unit(rows))
                     rows = []
                 rows.append(batch.slice(start, end - start))
                 last = key
-        yield from give(rows)
+        if sum(r.num_rows for r in rows) > 1:
+            yield from work(_Unit(rows))
 
     return search
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n_words: int = N_WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Sets are made of the documents in the pairs only."""
+def _units(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
+    """``doc_id, shingles`` of the documents with these ids (a table of its own, column ``doc_id``)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n_words)
         for batch in batches:
@@ -209,10 +241,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, n_words: int = N_WORDS, similarit
                 yield pa.RecordBatch.from_arrays([part.column(0), lists.cast(pa.list_(pa.int64()))],
                                                  names=["doc_id", "shingles"])
 
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shingles = materialise(map_batches(filter_by_ids(named, ids, "doc_id"), sets, "doc_id long, shingles array<long>"),
-                           "sets")
+    return materialise(map_batches(filter_by_ids(named, ids, "doc_id"), sets, "doc_id long, shingles array<long>"),
+                       "sets")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, n_words: int = N_WORDS, similarity: int = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.  Sets are made of the documents in the pairs only."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    shingles = shingle_sets(docs, ids, n_words)
     side = [shingles.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab"]
     both = pairs.join(side[1], "b").join(side[0], "a")
     common = F.size(F.array_intersect("of_a", "of_b"))
@@ -246,9 +283,12 @@ def near_documents(docs: DataFrame, n_words: int = N_WORDS, similarity: int = SI
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
              .select("key", "id", "component", "signature", "block", F.least("block", "other").alias("a"),
                      F.greatest("block", "other").alias("b")))
-    units = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    rest = materialise(map_batches(units, _search_buckets(max_distance), "a long, b long").distinct(), "rest")
-    more = confirm(rest, docs, n_words, similarity)
+    # signatures say which rows of a unit have a partner there; only those are sent their sets
+    asked = materialise(map_batches(_units(dealt), _by_unit(lambda unit: unit.with_candidates(max_distance)), UNIT), "asked")
+    shingles = shingle_sets(docs, asked.select(F.col("id").alias("doc_id")).distinct(), n_words)
+    full = asked.join(shingles, F.col("id") == F.col("doc_id")).drop("doc_id")
+    more = materialise(map_batches(_units(full), _by_unit(lambda unit: unit.links(max_distance, similarity)),
+                                   "a long, b long").distinct(), "more")
     found = connected_components(links.unionByName(more))
 
     ids = classes.select("set_hash", "id").join(found, F.col("id") == F.col("node"), "left").select(
