@@ -18,6 +18,7 @@ of the input are not read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -99,11 +100,12 @@ class ChunkEncoder:
         cut = [list(self.parts(text)) for text in texts]
         new = {part: part.replace("\n", " ").split(" ") for parts in cut for part, inner in parts
                if not (inner and part in self.inner)}
-        table = self.words.table({word for words in new.values() for word in words})
-        made = {}
-        for part, words in new.items():
-            values = [table[word] for word in words]
-            made[part] = b"".join([v[0] for v in values]), b"".join([v[1] for v in values])
+        words = set().union(*new.values())
+        memo = self.words
+        memo.learn(words)
+        ids_of, decoded_of = memo.ids.__getitem__, memo.decoded.__getitem__
+        made = {part: (b"".join(map(ids_of, split)), b"".join(map(decoded_of, split))) for part, split in new.items()}
+        memo.trim(words)
         out = []
         for parts in cut:
             values = [made.get(part) or self.inner[part] for part, _ in parts]
@@ -162,7 +164,11 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, keep: bool = True) ->
                     ids_of.append(batch.column(0)[at].as_py())
                     texts.append(batch.column(1)[at].as_py() or "")
                     held, at = held + len(texts[-1]), at + 1
+                # no reference cycles are made here, but enough objects for the collector to look at all of them again
+                # and again, which took half of the time
+                gc.disable()
                 done = encoder.encode(texts)
+                gc.enable()
                 columns = (ids_of, [len(ids) // 4 for ids, _ in done],
                            [hashlib.sha256(ids).hexdigest() for ids, _ in done],
                            [hashlib.sha256(decoded).hexdigest() for _, decoded in done],
