@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -95,10 +97,17 @@ def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str
     zcols = [c + "_z" for c in features]
     points = d.select(id_col, *zcols).persist()
     first = with_portable_uniform(points, id_col, 0, seed, "_u").orderBy("_u", id_col).limit(k).collect()
-    centers = [[r[c] for c in zcols] for r in first]
+    centers = settle(points, zcols, [[r[c] for c in zcols] for r in first], max_iter)
+    points.unpersist()
+    return _result(d, zcols, centers, features, mean, std, out)
+
+
+def settle(points: DataFrame, zcols: list[str], centers: list[list[float]], max_iter: int = 300) -> list[list[float]]:
+    """Lloyd steps until no centroid moves; an empty cluster keeps its centroid. A step is one grouped aggregate whose
+    k rows come back to the driver."""
     for _ in range(max_iter):
         rows = kmeans_assign(points, zcols, centers, "_c").groupBy("_c").agg(
-            *[F.avg(c).alias(c) for c in zcols], F.count(F.lit(1)).alias("_n")).collect()
+            *[F.avg(c).alias(c) for c in zcols]).collect()
         new = [list(c) for c in centers]
         for r in rows:
             new[r["_c"]] = [r[c] for c in zcols]
@@ -106,14 +115,14 @@ def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str
         centers = new
         if still:
             break
-    points.unpersist()
-    return _result(d, zcols, centers, features, mean, std, out)
+    return centers
 
 
 def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 20, seed: int = 42,
-               max_iter: int = 300, out: str = "cluster") -> ClusterResult:
-    """Spark ML k-means (k-means||) on standardised features, ``restarts`` seeds, keeping the lowest training cost;
-    k = min(k, rows). Each runs to a fixed point (no tolerance). Clusters are numbered by centroid order."""
+               max_iter: int = 300, out: str = "cluster", parallel: int = 8) -> ClusterResult:
+    """Spark ML k-means (k-means||) on standardised features, ``restarts`` seeds (``parallel`` at a time), keeping the
+    lowest training cost; k = min(k, rows). The best one is taken to its fixed point. Clusters are numbered by centroid
+    order."""
     features = list(features)
     d = _prepare(df, features)
     n = d.limit(k).count()
@@ -121,15 +130,17 @@ def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int
         return _empty(d, features, out)
     d, mean, std = standardise(d, features)
     zcols = [c + "_z" for c in features]
-    vec = VectorAssembler(inputCols=zcols, outputCol="_zv").transform(d).select("_zv").persist()
-    best = None
-    for r in range(restarts):
-        model = KMeans(k=min(k, n), seed=seed + r, maxIter=max_iter, tol=0.0, featuresCol="_zv").fit(vec)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    vec.unpersist()
-    centers = sorted([list(map(float, c)) for c in best[1].clusterCenters()])
+    points = d.select(*zcols).persist()
+    vec = VectorAssembler(inputCols=zcols, outputCol="_zv").transform(points)
+
+    def fit(r: int) -> tuple[float, int, list[list[float]]]:
+        model = KMeans(k=min(k, n), seed=seed + r, maxIter=max_iter, featuresCol="_zv").fit(vec)
+        return model.summary.trainingCost, r, [list(map(float, c)) for c in model.clusterCenters()]
+
+    with ThreadPool(parallel) as pool:
+        _, _, centers = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(restarts)))
+    centers = sorted(settle(points, zcols, centers, max_iter))
+    points.unpersist()
     return _result(d, zcols, centers, features, mean, std, out)
 
 
