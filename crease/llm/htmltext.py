@@ -9,8 +9,8 @@ different pages that show it.  From these come two importances between 0 and 1:
 * content: 1 less the mean entropy of its texts over the pages (texts that stand on every page have 0).
 
 A page's branch has the composite importance ``(1 - GAMMA**l) * presentation + GAMMA**l * mean over its parts``, with
-``l`` presentations and, as parts, its own texts' content importance and its children.  Branches under
-``LEAST_IMPORTANCE`` are removed.  Equal pages of a host count once, so copies of an article don't make it look like a
+``l`` presentations and, as parts, its own texts' content importance and its children.  A branch is removed if it and
+all its descendants are under ``LEAST_IMPORTANCE``.  Equal pages of a host count once, so copies of an article don't make it look like a
 template, and places on fewer than ``LEAST_PAGES`` different pages have no evidence and are kept.
 
 Tags and names that say what a branch is (``nav``, ``class="ad"`` ...) settle it without entropy, as does ``article`` or
@@ -99,7 +99,7 @@ class Node:
 
 
 class Text:
-    """A block of text and the number of its characters and links that are links."""
+    """A block of text, how many of its characters (but white space) stand in links, and the number of links."""
 
     __slots__ = ("text", "link_chars", "links")
 
@@ -117,7 +117,7 @@ def parse(html: str) -> Node:
         if words:
             text = " ".join("".join(words).split())
             if text:
-                node.kids.append(Text(text, len(" ".join("".join(link_words).split())), links))
+                node.kids.append(Text(text, len("".join("".join(link_words).split())), links))
             words.clear()
             link_words.clear()
         links = 0
@@ -233,27 +233,29 @@ def site_rows(root: Node) -> Iterator[tuple[int, bool, int]]:
 Importance = dict[int, tuple[float, int, float | None]]
 
 
-def composite(node: Node, known: Importance) -> float:
-    """The composite importance of a branch; 1 where there is no evidence."""
-    order = list(elements(node))
+def highest_importance(node: Node, known: Importance) -> float:
+    """The largest composite importance in a branch; 1 where there is no evidence.  A branch is noise only if all of
+    it is."""
     value: dict[int, float] = {}
-    for at in reversed(order):
+    highest = 0.0
+    for at in reversed(list(elements(node))):
         found = known.get(at.place)
         parts = [value[id(k)] for k in at.kids if isinstance(k, Node)]
         if found is None:
-            value[id(at)] = max([1.0, *parts])
-            continue
-        presentation, ways, content = found
-        if content is not None and any(isinstance(k, Text) for k in at.kids):
-            parts.append(content)
-        damp = GAMMA ** ways
-        value[id(at)] = (1 - damp) * presentation + damp * (sum(parts) / len(parts)) if parts else presentation
-    return value[id(node)]
+            value[id(at)] = 1.0
+        else:
+            presentation, ways, content = found
+            if content is not None and any(isinstance(k, Text) for k in at.kids):
+                parts.append(content)
+            damp = GAMMA ** ways
+            value[id(at)] = (1 - damp) * presentation + damp * (sum(parts) / len(parts)) if parts else presentation
+        highest = max(highest, value[id(at)])
+    return highest
 
 
 def menu_like(node: Node) -> bool:
     texts = [k for x in elements(node) for k in x.kids if isinstance(k, Text)]
-    chars = sum(len(t.text) for t in texts)
+    chars = sum(len(t.text.replace(" ", "")) for t in texts)
     return sum(t.links for t in texts) >= MENU_LINKS and sum(t.link_chars for t in texts) >= LINK_SHARE * chars
 
 
@@ -289,7 +291,7 @@ def _texts(scope: Node, in_article: bool, known: Importance) -> list[str]:
             continue
         if node is not scope and (is_noise(node, in_article) or not in_article and menu_like(node)):
             continue
-        if node is not scope and known and composite(node, known) < LEAST_IMPORTANCE:
+        if node is not scope and known and highest_importance(node, known) < LEAST_IMPORTANCE:
             continue
         stack.extend(reversed(node.kids))
     return out

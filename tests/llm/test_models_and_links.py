@@ -47,8 +47,8 @@ def vectors(spark, rows):
                                  "vec_id long, embedding array<float>, rank int, score double")
 
 
-ODD_VECTORS = [(9001, None), (9002, [0.0] * 6), (9003, [1.0, None, 0, 0, 0, 0]), (9004, [float("nan")] * 6),
-               (9005, [float("inf"), 0, 0, 0, 0, 0]), (None, [1.0] * 6), (9006, []), (9007, [1.0, 2.0])]
+ODD_VECTORS = [(9001, None), (9002, [0.0] * 6), (9003, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (9004, [float("nan")] * 6),
+               (9005, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (9006, []), (9007, [1.0, 2.0])]
 
 
 def brute_nearest(rows, ask, k):
@@ -67,7 +67,7 @@ def test_factor_one_is_exact_with_ties_copies_and_odd_vectors(spark):
     base = random.standard_normal((300, 6)).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
     rows += [(1000 + i, base[0].tolist()) for i in range(60)]  # a group of copies larger than k
-    rows += [(2000 + i, [float(i % 3), 1, 0, 0, 0, 0]) for i in range(40)] + ODD_VECTORS
+    rows += [(2000 + i, [float(i % 3), 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(40)] + ODD_VECTORS
     found = defaultdict(list)
     out = vptree.nearest(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=10, factor=1.0, shard_rows=130, query_block=20)
     for r in sorted(out.collect(), key=lambda r: (r.query_id, r["rank"])):

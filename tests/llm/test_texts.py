@@ -245,8 +245,7 @@ def test_entropy_removes_what_all_pages_of_a_site_share(spark):
     rows += [(2000, None, None), (2001, "http://q", ""), (None, "", "<p>x</p>"), (2002, "h", "<p>" + "long " * 50_000)]
     table = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, host int")
     found = {r.page_id: r for r in htmltext.extract_text(table).collect()}
-    assert found[3].text == "Welcome here\nStory 3 has its own words\nAll of it stays" or \
-        found[3].text == "Story 3 has its own words"
+    assert found[3].text == "Story 3 has its own words"
     importance = htmltext.site_importance(table.selectExpr("html", "lower(url) AS host")).collect()
     assert all(0 <= r.presentation <= 1 for r in importance)
     # equal pages count once: no place of one.com stands on enough different pages
