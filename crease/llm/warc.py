@@ -310,7 +310,9 @@ def read_captures(keys: DataFrame, archives: str, index: str, parts: DataFrame)
                                  "payload_digest": digest, "intact": digest == named})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    ordered = keys.select("key").repartitionByRange("key").sortWithinPartitions("key")
+    # a stated number of parts: a key is short, but what it makes a task read is not, so parts must not be merged by size
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keys.select("key").repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return map_batches(ordered, read, RECORDS)
 
 
