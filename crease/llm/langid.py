@@ -111,16 +111,18 @@ def infer(model: LanguageModel, text: str) -> tuple[str, float, dict[str, float]
     while len(members) < len(model.languages):
         # an upper bound on what the likelihood can gain by a further language, and by all shares
         slope = (likelihood / (share @ likelihood[members]) * weight).sum(axis=1) - weight.sum()
-        open_still = [i for i in np.argsort(-slope, kind="stable").tolist() if i not in members and slope[i] > penalty]
-        tried = [(*mix(likelihood, weight, [*members, i]), i) for i in open_still[:1]]
-        if not tried or tried[0][1] - best <= penalty:
+        open_still = [i for i in range(len(slope)) if i not in members and slope[i] > penalty]
+        # the steepest need not gain most: one n-gram that the members lack makes a huge slope and hardly a gain
+        tried = [(*mix(likelihood, weight, [*members, i]), i) for i in open_still]
+        found = max(tried, key=lambda t: t[1], default=None)
+        if found is None or found[1] - best <= penalty:
             break
-        share, best, added = tried[0]
+        share, best, added = found
         members.append(added)
     order = sorted(range(len(members)), key=lambda j: (-share[j], members[j]))
-    found = {model.languages[members[j]]: float(share[j]) for j in order}
-    language = next(iter(found))
-    return language, min(1.0, found[language]), found
+    proportions = {model.languages[members[j]]: float(share[j]) for j in order}
+    language = next(iter(proportions))
+    return language, min(1.0, proportions[language]), proportions
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, proportions map<string,double>"

@@ -238,6 +238,26 @@ def test_mixture_estimates_match_a_plain_search():
     assert abs(share[0] - grid[int(np.argmax(plain))]) < 0.01 and best >= max(plain) - 0.1
 
 
+def test_a_stray_ngram_of_a_third_language_hides_no_second_one():
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(300)]
+    # related languages: the same words, one half of them four times as frequent in either
+    weights = {"aa": [4] * 150 + [1] * 150, "bb": [1] * 150 + [4] * 150}
+    text = " ".join([*r.choices(words, weights["aa"], k=560), *r.choices(words, weights["bb"], k=440)]) + " \u6f22"
+    counts = np.full((3, langid.BUCKETS), langid.SMOOTHING)
+    for i, weight in enumerate(weights.values()):
+        learned = " ".join([*r.choices(words, weight, k=20_000), *words])
+        counts[i] += 400 * np.bincount(langid.ngram_buckets(learned), minlength=langid.BUCKETS)
+    known = counts[0] > langid.SMOOTHING
+    strays = [b for b in langid.ngram_buckets(text).tolist() if not known[b]]
+    counts[:2, strays] += 400
+    counts[:2, strays[-1]] = langid.SMOOTHING  # one n-gram that only the third language has
+    counts[2, strays[-1]] += 1e7
+    model = langid.LanguageModel(["aa", "bb", "cc"], counts / counts.sum(axis=1, keepdims=True))
+    language, score, found = langid.infer(model, text)
+    assert language == "aa" and set(found) == {"aa", "bb"} and score < 0.75 and found["bb"] > 0.25
+
+
 # ---------------------------------------------------------------- quality
 def test_quality_defined_cases(spark):
     r = random.Random(2)
