@@ -10,7 +10,8 @@ different pages that show it.  From these come two importances between 0 and 1:
 
 A page's branch has the composite importance ``(1 - GAMMA**l) * presentation + GAMMA**l * mean over its parts``, with
 ``l`` presentations and, as parts, its own texts' content importance and its children.  A branch is removed if it and
-all its descendants are under ``LEAST_IMPORTANCE``.  Equal pages of a host count once, so copies of an article don't make it look like a
+all its descendants are under ``LEAST_IMPORTANCE``.  Pages of a host with equal main text (what tags and names alone
+leave) count once, whatever menus and adverts stand around it, so copies of an article don't make it look like a
 template, and places on fewer than ``LEAST_PAGES`` different pages have no evidence and are kept.
 
 Tags and names that say what a branch is (``nav``, ``class="ad"`` ...) settle it without entropy, as does ``article`` or
@@ -302,15 +303,20 @@ def main_text(html: str | None, known: Importance) -> str:
 
 
 def site_importance(sites: DataFrame) -> DataFrame:
-    """``host, place, presentation, ways, content`` of every place on ``LEAST_PAGES`` different pages at least."""
+    """``host, place, presentation, ways, content`` of every place on ``LEAST_PAGES`` different pages at least.
+
+    Pages are told apart by the text that tags and names leave of them.  Of the ways in which copies present a place
+    one counts, picked by hash.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[], [], [], [], []]
             for host, html in zip(batch["host"].to_pylist(), batch["html"]):
                 html = html.as_py()
                 if html:
-                    page = xxhash.xxh3_64_intdigest(html.encode()) >> 1
-                    for place, shown, what in site_rows(parse(html)):
+                    root = parse(html)
+                    page = xxhash.xxh3_64_intdigest("\n".join(kept_texts(root, {})).encode()) >> 1
+                    for place, shown, what in site_rows(root):
                         for column, x in zip(columns, (host, place, shown, what, page)):
                             column.append(x)
             types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
@@ -319,10 +325,13 @@ def site_importance(sites: DataFrame) -> DataFrame:
 
     rows = map_batches(sites.select("host", "html"), count,
                        "host string, place long, shown boolean, what long, page long")
-    # distinct and count in one: a page's row for a place and text is unique but for equal pages
-    pages = (rows.groupBy("host", "place", "shown", "what", "page").agg(F.lit(1).alias("one"))
+    shown, n, what, page = map(F.col, ("shown", "n", "what", "page"))
+    # a page has one row for a place and text, and one for a place's presentation: of those of copies the smallest,
+    # mixed with the page, so that no presentation is picked more often than others
+    once = rows.groupBy("host", "place", "shown", F.when(~shown, what).alias("text"), "page").agg(
+        F.min(what.bitwiseXOR(page)).alias("mixed"))
+    pages = (once.select("host", "place", "shown", F.col("mixed").bitwiseXOR(page).alias("what"))
              .groupBy("host", "place", "shown", "what").agg(F.count("*").alias("n")))
-    shown, n = F.col("shown"), F.col("n")
     sums = pages.groupBy("host", "place").agg(
         F.sum(F.when(shown, n)).alias("m"), F.count(F.when(shown, 1)).cast("int").alias("ways"),
         F.sum(F.when(shown, n * F.log(n))).alias("shown_log"), F.count(F.when(~shown, 1)).alias("texts"),

@@ -255,6 +255,33 @@ def test_entropy_removes_what_all_pages_of_a_site_share(spark):
     assert htmltext.extract_text(table.limit(0)).count() == 0
 
 
+def test_copies_with_other_menus_on_one_host_keep_their_text(spark):
+    page = ("<html><body><nav><ul>{menu}</ul></nav><article><h1>{head}</h1>{ad}<p>{text}</p>{own}</article></body></html>")
+    own = "<blockquote>Said once</blockquote><table><tr><td>1 2 3</td></tr></table>"
+
+    def copy(i):
+        return page.format(menu="".join(f"<li><a href='/{j}'>Item {j}</a></li>" for j in range(i + 1)), head="Copied",
+                           ad=f"<div class='ad'>Buy {i}</div>" * (i % 3), text="The same words", own=own)
+
+    rows = [(i, "http://only.com/x", copy(i)) for i in range(12)] + [(100 + i, "http://many.com/x", copy(i)) for i in range(12)]
+    rows += [(200 + i, "http://many.com/y", page.format(menu="", head=f"Head {i}", ad="", text=f"Story {i}", own=""))
+             for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in htmltext.extract_text(table).collect()}
+    assert {found[i] for i in [*range(12), *range(100, 112)]} == {"Copied\nThe same words\nSaid once\n1 2 3"}
+    assert [found[200 + i] for i in range(12)] == [f"Head {i}\nStory {i}" for i in range(12)]
+
+
+def test_templates_are_found_among_copies(spark):
+    page = ("<html><body><div class='top'>{ad}<div>Welcome here</div></div><div class='story'><p>Story {i} has its own words"
+            "</p></div></body></html>")
+    rows = [(100 * i + j, "http://a.b/", page.format(i=i, ad="<div class='ad'>Buy</div>" * (j % 2) + "<nav>M</nav>" * (j % 3)))
+            for i in range(12) for j in range(6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in htmltext.extract_text(table).collect()}
+    assert all(found[100 * i + j] == f"Story {i} has its own words" for i in range(12) for j in range(6))
+
+
 def test_places_that_look_alike_have_low_importance():
     page = "<html><body><div class='x'><p>Same words</p></div><div class='y'><p>Own words {}</p></div></body></html>"
     rows = Counter()
