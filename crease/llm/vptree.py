@@ -9,13 +9,14 @@ Queries travel through a tree together, so the distances at a node are one matri
 The query set is dealt in blocks of ``QUERY_BLOCK``; each (shard, block) is a task's unit of work and returns k rows a
 query, of which the k best over all shards are kept.  A unit therefore has a bounded size whatever the tables' sizes.
 
-Of rows with identical vectors only the k + 1 with the smallest ids can be among any k nearest, so larger groups of
-copies are reduced to those before they are dealt (a rank limit, applied in each task before the shuffle); nothing that
-could be found is lost.
+Of rows with identical vectors only those with the k + 1 smallest ids, k rows of each id, can be among any k nearest, so
+larger groups of copies are reduced to those before they are dealt (a rank limit over ids, applied in each task before
+the shuffle, and one over the rows of an id); nothing that could be found is lost.
 
 Defined cases: null ids, and vectors that are null, zero or hold null or non-finite components take no part; vectors
 of other lengths than the query's are no candidates; repeated rows with one id are candidates each, and a query never
-finds a row of its own id; ties go to the smaller id; an empty table, or no query, gives no rows; other columns of the
+finds a row of its own id; equal rows of a query are asked once, and a query id with several vectors has the k best of
+what all of them find; ties go to the smaller id; an empty table, or no query, gives no rows; other columns of the
 input are not read, whatever their names.
 """
 
@@ -127,9 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, factor: float = F
     ship_package(vectors.sparkSession)
     rows = vector_rows(vectors, key, vector)
     copies = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = (rows.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).drop("nth"))
+    of_one_id = Window.partitionBy("embedding", "vec_id").orderBy("nth")
+    kept = (rows.withColumn("nth", F.dense_rank().over(copies)).where(F.col("nth") <= k + 1)
+            .withColumn("row", F.row_number().over(of_one_id)).where(F.col("row") <= k).drop("nth", "row"))
     kept = materialise(kept, "candidates")
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).distinct()
     shards = max(1, -(-kept.count() // shard_rows))
     blocks = max(1, -(-queries.count() // query_block))
     hashed = F.xxhash64("vec_id", F.lit("shard"))

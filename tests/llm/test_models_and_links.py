@@ -87,6 +87,22 @@ def test_nearest_of_few_or_no_rows(spark):
     assert vptree.nearest(few, F.col("vec_id") < 0).count() == 0
 
 
+def test_repeated_ids_take_no_places_of_other_copies(spark):
+    k = 3
+    rows = [(0, [1.0, 0.0])] * 4 + [(i, [1.0, 0.0]) for i in range(1, 9) for _ in range(2 if i == 1 else 1)]
+    rows += [(2, [1.0, 0.0])] * 20 + [(50 + i, [0.9, 0.1 * i]) for i in range(5)] + [(100, [0.0, 1.0])] * 3
+    found = defaultdict(list)
+    out = vptree.nearest(vectors(spark, rows), F.col("vec_id") % 100 == 0, k=k, factor=1.0).collect()
+    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+        found[r.query_id].append(r.vec_id)
+    expected = brute_nearest(rows, lambda i: i % 100 == 0, k)
+    assert found == {i: [j for _, j in best] for i, best in expected.items()}
+    assert found[0] == [1, 1, 2] and len(found[100]) == k
+    own = [(0, [1.0, 0.0])] * 6 + [(i, [1.0, 0.0]) for i in range(1, 9)] + [(20, [0.9, 0.1])]
+    out = vptree.nearest(vectors(spark, own), F.col("vec_id") == 0, k=k, factor=1.0).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in out) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
+
+
 def test_op4_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
