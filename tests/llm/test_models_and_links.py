@@ -206,6 +206,26 @@ def test_all_signatures_within_the_distance_meet_in_a_chunk():
         assert ((a == b).sum(axis=1) >= 1).all()
 
 
+def test_a_rare_distance_between_similar_sets_loses_no_link(spark):
+    # found by search: 8 of 10 words in common, but 38 of 96 symbols differ
+    words = [f"w{i}" for i in (1675, 1923, 2297, 1510, 392, 2660, 2074, 1252, 2357, 57)]
+    common, pair = words[:8], [words[:9], [*words[:8], words[9]]]
+
+    def keys_of(of):
+        return minhash._chunk_keys(minhash.signature(minhash.Shingler(1)(" ".join(of)))[None, :])[0]
+
+    x, y = (minhash.signature(minhash.Shingler(1)(" ".join(p))) for p in pair)
+    assert (x != y).sum() == 38
+    met = np.flatnonzero(keys_of(pair[0]) == keys_of(pair[1]))
+    # each bucket they meet in has a smaller id that is not similar to either: the common words but one
+    others = [[w for w in common if w != left] for left in common]
+    chosen = {next(i for i, o in enumerate(others) if keys_of(o)[at] == keys_of(pair[0])[at]) for at in met}
+    rows = [(i, " ".join(others[i])) for i in sorted(chosen)] + [(100 + i, " ".join(p)) for i, p in enumerate(pair)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_documents(table, n_words=1).collect())
+    assert len(met) and found == brute_documents(rows, 1)
+
+
 # ---------------------------------------------------------------- language
 def labelled(spark, rows):
     return spark.createDataFrame([(*r, 0.5, "x") for r in rows],
