@@ -19,7 +19,8 @@ Tags and names that say what a branch is (``nav``, ``class="ad"`` ...) settle it
 alone would keep them.
 
 Only counts are shuffled, never html: one short row for each place, presentation and text of a page.  The importances
-are broadcast after a check of their number; beyond ``BROADCAST_PLACES`` they are joined to the pages by host.
+are broadcast after a check of their number; beyond ``BROADCAST_PLACES`` they are joined to short rows (page, place), and
+each page is sent those of its own places, which is when its html is shuffled once, by page.
 
 Defined cases: a null or empty html has an empty text; a null or strange url has the empty host, whose pages form one
 site; markup that is cut off is closed at the end; repeated rows are pages each; an empty table gives no rows; other
@@ -343,6 +344,25 @@ def site_importance(sites: DataFrame) -> DataFrame:
                     F.when(F.col("texts") > 0, 1 - F.col("text_log") / (F.col("texts") * log_m)).alias("content")))
 
 
+def known_by_page(sites: DataFrame, importance: DataFrame) -> DataFrame:
+    """``host, page, known``: for each page of ``sites`` (host, html, page), a list of the importances of its own places."""
+    def list_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages, places = [], [], []
+            for host, page, html in zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["html"]):
+                html = html.as_py()
+                own = {node.place for node in elements(parse(html))} if html else ()
+                hosts += [host] * len(own)
+                pages += [page] * len(own)
+                places += own
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()),
+                                              pa.array(places, pa.int64())], names=["host", "page", "place"])
+
+    places = map_batches(sites.select("host", "page", "html"), list_places, "host string, page long, place long")
+    packed = F.collect_list(F.struct("place", "presentation", "ways", "content")).alias("known")
+    return places.distinct().join(importance, ["host", "place"]).groupBy("host", "page").agg(packed)
+
+
 EXTRACTED = "page_id long, url string, text string, n_chars long"
 
 
@@ -352,7 +372,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     sites = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                          F.col("html").cast("string").alias("html"), host.alias("host"))
     importance = materialise(site_importance(sites), "importance")
-    packed = F.collect_list(F.struct("place", "presentation", "ways", "content")).alias("known")
     few = small_enough(importance, BROADCAST_PLACES)
     spark = pages.sparkSession
     if few:
@@ -363,7 +382,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
         ready = sites
     else:
         shared = None
-        ready = sites.join(importance.groupBy("host").agg(packed), "host", "left").select(
+        paged = sites.withColumn("page", F.xxhash64("html"))
+        ready = paged.join(known_by_page(paged, importance), ["host", "page"], "left").select(
             "page_id", "url", "html", "host", "known")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,6 +238,16 @@ def test_main_text(body, text):
     assert htmltext.main_text(page, {}) == text
 
 
+def test_a_page_is_sent_its_own_places_only(spark):
+    page = "<html><body><div class='k{kind}'><p>Same {kind}</p></div><div class='y'><p>Own {i}</p></div></body></html>"
+    rows = [(f"{i % 2}.org" if i < 2 else "a.b", page.format(kind=i % 4, i=i)) for i in range(60)] + [("a.b", None)]
+    table = spark.createDataFrame(rows, "host string, html string").selectExpr("*", "xxhash64(html) AS page")
+    importance = htmltext.site_importance(table)
+    found = htmltext.known_by_page(table, importance).collect()
+    assert importance.count() == 2 + 2 + 4 * 2 and len(found) == 58
+    assert {len(r.known) for r in found} == {6} and len({r.page for r in found}) == 58
+
+
 def test_entropy_removes_what_all_pages_of_a_site_share(spark):
     rows = [(i, f"http://Site{i // 40}.com/{i}", f"<html><body><div><div>Welcome here</div><div><p>Story {i} has its own words"
              f"</p></div></div><div>All of it stays</div></body></html>") for i in range(80)]
