@@ -83,12 +83,12 @@ def kmeans_assign(df: DataFrame, zcols: Sequence[str], centroids: list[list[floa
     return df.withColumn(out, _nearest(zcols, centroids))
 
 
-def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str = "rid", max_iter: int = 300,
-                 out: str = "cluster", seed: int = 42) -> ClusterResult:
+def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str = "rid",
+                 max_iter: int | None = None, out: str = "cluster", seed: int = 42) -> ClusterResult:
     """k-means from a start that any SQL engine can repeat: the min(k, rows) rows with the smallest hash of their id
-    are the first centroids, and Lloyd steps run until no centroid moves (``max_iter`` at most; an empty cluster keeps
-    its centroid). A step is one grouped aggregate whose k centroids come back to the driver. Empty input -> empty
-    result, no fit. ``kmeans_fit`` is the fit with restarts."""
+    are the first centroids, and Lloyd steps run until no centroid moves (an error after ``max_iter``, if given; an
+    empty cluster keeps its centroid). A step is one grouped aggregate whose k centroids come back to the driver. Empty
+    input -> empty result, no fit. ``kmeans_fit`` is the fit with restarts."""
     features = list(features)
     d = _prepare(df, features)
     if d.isEmpty():
@@ -102,20 +102,30 @@ def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str
     return _result(d, zcols, centers, features, mean, std, out)
 
 
-def settle(points: DataFrame, zcols: list[str], centers: list[list[float]], max_iter: int = 300) -> list[list[float]]:
+def settle(points: DataFrame, zcols: list[str], centers: list[list[float]],
+           max_iter: int | None = None) -> list[list[float]]:
     """Lloyd steps until no centroid moves; an empty cluster keeps its centroid. A step is one grouped aggregate whose
-    k rows come back to the driver."""
-    for _ in range(max_iter):
+    k rows come back to the driver. Nothing moves if all clusters keep their rows (count and hash), as means differ in
+    rounding then. It is an error if rows still move after ``max_iter`` steps (None: no bound) or go in a circle."""
+    seen: set[tuple] = set()
+    last = None
+    while max_iter is None or len(seen) < max_iter:
         rows = kmeans_assign(points, zcols, centers, "_c").groupBy("_c").agg(
+            F.count("*").alias("_n"), F.sum(F.pmod(F.xxhash64(*zcols), F.lit(1 << 31))).alias("_h"),
             *[F.avg(c).alias(c) for c in zcols]).collect()
         new = [list(c) for c in centers]
         for r in rows:
             new[r["_c"]] = [r[c] for c in zcols]
         still = max(abs(a - b) for x, y in zip(new, centers) for a, b in zip(x, y)) <= 1e-12
         centers = new
-        if still:
-            break
-    return centers
+        members = tuple(sorted((r["_c"], r["_n"], r["_h"]) for r in rows))
+        if still or members == last:
+            return centers
+        if members in seen:
+            raise RuntimeError(f"k-means goes in a circle after {len(seen)} steps")
+        seen.add(members)
+        last = members
+    raise RuntimeError(f"k-means has not ended after {max_iter} steps")
 
 
 def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 20, seed: int = 42,
@@ -139,7 +149,7 @@ def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int
 
     with ThreadPool(parallel) as pool:
         _, _, centers = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(restarts)))
-    centers = sorted(settle(points, zcols, centers, max_iter))
+    centers = sorted(settle(points, zcols, centers))
     points.unpersist()
     return _result(d, zcols, centers, features, mean, std, out)
 

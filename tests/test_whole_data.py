@@ -212,3 +212,31 @@ def test_feature_frame_fills_what_is_missing(spark):
     d = balls(spark, [ball(1, "A", "B", "a1", "b1", 4, "Middle")])
     for r in feature_frame(player_match_stats(d)).collect():
         assert None not in (r.runs_scored, r.balls_bowled, r.bowling_economy, r.phase_efficacy)
+
+
+class Moving:
+    """Points whose only centroid is at ``path(step)``."""
+
+    def __init__(self, path):
+        self.path, self.step = path, 0
+
+    def groupBy(self, *_):
+        return self
+
+    agg = groupBy
+
+    def collect(self):
+        self.step += 1
+        at = self.path(self.step)
+        return [{"_c": 0, "_n": 1, "_h": int(at), "x": float(at)}]
+
+
+def test_lloyd_steps_go_on_until_nothing_moves(spark, monkeypatch):
+    monkeypatch.setattr(R, "kmeans_assign", lambda points, *_: points)
+    assert R.settle(Moving(lambda i: min(i, 700)), ["x"], [[0.0]]) == [[700.0]]
+    assert R.settle(Moving(lambda i: min(i, 3)), ["x"], [[0.0]], max_iter=4) == [[3.0]]
+    # rounding moves a mean for ever, but no row moves
+    assert R.settle(Moving(lambda i: 5 + 1e-9 * i), ["x"], [[0.0]])[0][0] == pytest.approx(5)
+    for path, bound in ((lambda i: i, 5), (lambda i: i % 2, None)):
+        with pytest.raises(RuntimeError):
+            R.settle(Moving(path), ["x"], [[0.0]], max_iter=bound)
