@@ -78,6 +78,15 @@ def test_buckets_hold_one_length_each(spark, tmp_path):
         assert len(r.ids) == 4 * int(r.length)
 
 
+def test_pieces_are_numbered_inside_their_buckets(spark):
+    docs = documents(spark, [(i, "a b c " * (i % 90)) for i in range(400)]).repartition(3)
+    numbers = {}
+    for r in queries.pack_documents(docs, keep_ids=False).collect():
+        numbers.setdefault((r.length, r.bucket_row >> 33), []).append(r.bucket_row & (1 << 33) - 1)
+    assert len({part for _, part in numbers}) == 3
+    assert all(sorted(n) == list(range(len(n))) for n in numbers.values())
+
+
 # ---------------------------------------------------------------- BPE
 def whole(text):
     tokenizer = load_tokenizer(WORDS)
