@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilters, htmltext, langid, minhash, packing, quality, urlfilter, vptree, warc
+from . import bpe, capfilters, htmltext, langid, minhash, packing, pieces, quality, urlfilter, vptree, warc
 from .storage import scan
 
 #: The rules that the URL query judges by, as (host, path, verdict).
@@ -89,9 +89,14 @@ def op10_capfilters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_vectors(scan(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan(spark, sf_dir, "documents", ["doc_id", "text"])
+    return pieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), keep=False).drop("ids", "decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extract, op2_packing, op3_bpe, op4_vptree, op5_warc, op6_minhash, op7_urlfilter,
-                            op8_langid, op9_quality, op10_capfilters)}
+                            op8_langid, op9_quality, op10_capfilters, op11_sentencepiece)}
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
