@@ -2,38 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import crease
-from crease.session import checkpoint_dir
+from crease.session import checkpoint_dir, ship_package
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 500_000
 
 
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application: Spark copies it to every executor."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        root = Path(crease.__file__).resolve().parent
-        made = tempfile.mkdtemp(prefix="crease-package-")  # the driver serves the file from here to the end
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        shutil.copytree(root, f"{made}/staged/{root.name}", ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(f"{made}/{root.name}", "zip", f"{made}/staged"))
-        _shipped.add(sc.applicationId)
-
-
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship_package(df.sparkSession)
