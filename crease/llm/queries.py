@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, capfilters, htmltext, langid, minhash, packing, pieces, quality, urlfilter, vptree, warc
-from .storage import scan
+from . import bpe, capfilters, htmltext, langid, minhash, packing, pieces, quality, spelling, trie, urlfilter, vptree, warc
+from .storage import materialise, scan
 
 #: The rules that the URL query judges by, as (host, path, verdict).
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -94,12 +94,40 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(docs, tokenizer_file("piece_bpe_32k.model"), keep=False).drop("ids", "decoded")
 
 
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """Each conversation c begins with the first h turns of conversation c - c % 5 in place of its own first h, where
+    h = crc32(c) % 9."""
+    head = F.crc32(F.col("conv_id").cast("string")) % 9
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    begins = turns.where("conv_id % 5 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 8).alias("begin"))
+    own = turns.select("conv_id", "turns", base.alias("base"), head.cast("int").alias("head"))
+    return own.join(begins, "base", "left").select("conv_id", F.concat(
+        F.slice(F.coalesce("begin", F.array().cast("array<string>")), F.lit(1), F.col("head")),
+        F.slice("turns", F.col("head") + 1, F.size("turns"))).alias("turns"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.conversation_turns(scan(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    return trie.prefix_trie(rebuilt(materialise(turns, "turns")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(scan(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extract, op2_packing, op3_bpe, op4_vptree, op5_warc, op6_minhash, op7_urlfilter,
-                            op8_langid, op9_quality, op10_capfilters, op11_sentencepiece)}
+                            op8_langid, op9_quality, op10_capfilters, op11_sentencepiece, op12_conversation_trie,
+                            op13_spelling_variants)}
 
 _RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
 
+def _crc32(codes: str) -> str:
+    """The unsigned CRC-32 of a list of byte values, in DuckDB."""
+    return f"""xor(4294967295, list_reduce([4294967295] || {codes}, lambda s, b: list_reduce(
+      [xor(s, b)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda t, i: xor(t >> 1, (t & 1) * 3988292384))))"""
+
+
 SQL: dict[str, str] = {
     "op5_warc": r"""
 WITH p AS (
@@ -159,4 +187,64 @@ k AS (SELECT x, count(*) AS n FROM e GROUP BY x)
 SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(c.lo, v.vec_id)) AS component_id,
   least(v.vec_id, coalesce(c.lo, v.vec_id)) = v.vec_id AS kept
 FROM v LEFT JOIN c ON c.x = v.vec_id LEFT JOIN k ON k.x = v.vec_id""",
+    "op12_conversation_trie": rf"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, ''))
+    ORDER BY turn NULLS FIRST, coalesce(role, ''),
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS ts,
+    {_crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 9 AS h
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.ts, []), 1, c.h), list_slice(c.ts, c.h + 1, len(c.ts))) AS ts
+  FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+p AS (SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS d, ts FROM r),
+m AS (
+  SELECT list_slice(ts, 1, d) AS path, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM p GROUP BY ALL),
+k AS (SELECT list_slice(path, 1, d - 1) AS path, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY ALL),
+o AS (
+  SELECT m.*, coalesce(k.n_children, 0) AS n_children,
+    CASE WHEN m.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(m.path[m.d].t) END AS saving
+  FROM m LEFT JOIN k ON k.path = m.path AND k.d = m.d),
+a AS (SELECT path, unnest(range(0, d + 1)) AS above, n_children, saving FROM o),
+s AS (
+  SELECT list_slice(path, 1, above) AS path, above AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+    sum(saving) AS saved_tokens
+  FROM a GROUP BY ALL)
+SELECT o.conv_id, o.d AS depth, q.conv_id AS parent_conv_id, o.n_convs, o.n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN s ON s.path = o.path AND s.d = o.d
+LEFT JOIN m q ON o.d > 0 AND q.d = o.d - 1 AND q.path = list_slice(o.path, 1, o.d - 1)""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE t AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+d AS (SELECT doc, run, count(*) AS k FROM t WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, k, {_crc32("""flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE
+    WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)]
+    ELSE [CAST(192 + (ord(x) >> 6) AS BIGINT), CAST(128 + (ord(x) & 63) AS BIGINT)] END))""")} AS h FROM d),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+    ELSE run END AS word, k FROM h),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+x AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+c AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM x),
+e AS (
+  SELECT a.word AS x, b.word AS y FROM c a JOIN c b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, v.word FROM c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word FROM c JOIN v ON v.word = c.rest),
+g AS (
+  SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near,
+    row_number() OVER (PARTITION BY x ORDER BY n DESC, encode(y)) AS nth FROM e JOIN v ON v.word = e.y),
+f AS (
+  SELECT v.word, v.n, coalesce(g.n_near, 0) AS n_near, CASE WHEN g.n >= 10 * v.n THEN g.y END AS form,
+    CASE WHEN g.n >= 10 * v.n THEN g.n END AS form_n
+  FROM v LEFT JOIN g ON g.x = v.word AND g.nth = 1),
+r(word, root) AS (
+  SELECT word, word FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, r.root FROM r JOIN f ON f.form = r.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word""",
 }
