@@ -10,14 +10,18 @@ Documents with equal sets form one class; only classes are compared.  Links are
 
 1. in every key's bucket the smallest id is paired with each other member (as many pairs as members);
 2. confirmed links are joined to components;
-3. buckets that hold more than one component are searched through: every pair from different components whose
-   sets' sizes allow the similarity is confirmed, in the first of the buckets that the two share.  Pairs inside a
-   component could add nothing.  Signatures and sizes say which rows have a partner where; those are then sent their
-   full sets.  A bucket with more than ``BLOCK_ROWS`` members is dealt in blocks, each pair of blocks a unit of work of
-   bounded size, and only links that join components leave it.
-
-So a group of near copies costs in proportion to its members, and no pair that meets in a bucket and could
-join two components is left out.  A pair at similarity 0.8 meets in none with a probability of 4e-8.
+3. buckets that hold more than one component are searched through.  Their members are sent signatures and *parity
+   sketches* of their sets: the bits in which two sketches differ are no more than the shingles in which the sets
+   differ, so a pair whose sketches differ in too many bits for the similarity cannot be linked, and is passed over.  Of
+   the other pairs of different components, those are confirmed that would join the bucket's components, the closest
+   first; at most as many as members.  This is repeated as long as it finds links;
+4. every other pair of different components that the sketches and sizes leave open is then confirmed on full sets, in
+   the first of the buckets that the two share.  Pairs inside a component could add nothing.
+
+A bucket with more than ``BLOCK_ROWS`` members is dealt in blocks, each pair of blocks a unit of work of bounded size.  So a
+group of near copies costs in proportion to its members, and no pair that meets in a bucket and could join two
+components is left out.  A pair at similarity 0.8 meets in none with a probability of 4e-8.  The sketches say less of
+sets of much more than ``SKETCH_BITS`` shingles; that costs time only.
 
 Defined cases: a null or empty text, or one of white space only, has an empty set and is linked with nothing; a text
 with fewer than ``n_words`` words has its whole sequence as its only shingle; rows with equal ``doc_id`` are one node
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import Forest, connected_components
 from .storage import filter_by_ids, map_batches, materialise
 
 N_WORDS = 2
@@ -43,6 +47,7 @@ N_WORDS = 2
 SIMILARITY = 80
 CHUNKS, CHUNK_SYMBOLS = 16, 6
 BLOCK_ROWS = 512
+SKETCH_BITS = 4_096
 #: Words whose hashes a task remembers; it changes no result.
 MEMO_WORDS = 300_000
 
@@ -116,6 +121,12 @@ def sign_documents(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), sign, SIGNED)
 
 
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Bit i is set if an odd number of shingles fall on it."""
+    odd = np.bincount((shingles & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS)
 
@@ -139,7 +150,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
 
-UNIT = "key long, id long, component long, signature binary, size long, block long, a long, b long"
+UNIT = ("key long, id long, component long, signature binary, size long, sketch binary, block long, a long, b long")
 
 
 class _Unit:
@@ -152,27 +163,50 @@ class _Unit:
         self.one_block = table["a"][0].as_py() == table["b"][0].as_py()
         self.kind = table["key"][0].as_py() & 127
         self.symbols = _symbols(table["signature"].combine_chunks())
+        self.sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(self.ids), -1)
 
-    def candidates(self, i: int, similarity: int) -> np.ndarray:
-        """Later members of another component, of a size that allows the similarity, that meet member ``i`` here first."""
+    def candidates(self, i: int, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+        """Later members of another component that meet member ``i`` here first, and whose size and sketch allow the
+        similarity, with the least number of shingles in which the sets differ."""
         others = np.flatnonzero(self.component[i + 1:] != self.component[i]) + i + 1
         if not self.one_block:
             others = others[self.block[others] != self.block[i]]
         # the intersection is no larger than the smaller set, the union no smaller than the larger one
         least, most = np.minimum(self.size[others], self.size[i]), np.maximum(self.size[others], self.size[i])
         others = others[100 * least >= similarity * most]
-        differs = self.symbols[others] != self.symbols[i]
+        apart = np.bitwise_count(self.sketch[others] ^ self.sketch[i]).sum(axis=1, dtype=np.int64)
+        # with d shingles apart, the intersection is half of the sizes' sum less d, the union half of the sum and d
+        near = (100 + similarity) * apart <= (100 - similarity) * (self.size[others] + self.size[i])
+        others, apart = others[near], apart[near]
         # the first key under which the two meet: the first chunk with one difference at most, without it
-        by_chunk = differs.reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+        by_chunk = (self.symbols[others] != self.symbols[i]).reshape(-1, CHUNKS, CHUNK_SYMBOLS)
         chunk = (by_chunk.sum(axis=2) <= 1).argmax(axis=1)
         place = by_chunk[np.arange(len(others)), chunk].argmax(axis=1)
-        return others[chunk * CHUNK_SYMBOLS + place == self.kind]
+        here = chunk * CHUNK_SYMBOLS + place == self.kind
+        return others[here], apart[here]
+
+    def joining(self, similarity: int) -> list[pa.RecordBatch]:
+        """The candidate pairs, closest first, that would join components which those before them leave apart."""
+        first, second, far = [], [], []
+        for i in range(len(self.ids) - 1):
+            others, apart = self.candidates(i, similarity)
+            first.append(np.full(len(others), i))
+            second.append(others)
+            far.append(apart / (self.size[others] + self.size[i]))
+        first, second, far = (np.concatenate(c) for c in (first, second, far))
+        forest, found = Forest(), []
+        for at in np.argsort(far, kind="stable").tolist():
+            x, y = int(self.component[first[at]]), int(self.component[second[at]])
+            if forest.root(x) != forest.root(y):
+                forest.link(x, y)
+                found.append((int(self.ids[first[at]]), int(self.ids[second[at]])))
+        return _pairs(found)
 
     def with_candidates(self, similarity: int) -> list[pa.RecordBatch]:
         """The rows that are part of any candidate pair here."""
         part = np.zeros(len(self.ids), bool)
         for i in range(len(self.ids) - 1):
-            others = self.candidates(i, similarity)
+            others, _ = self.candidates(i, similarity)
             part[others] = True
             part[i] |= len(others) > 0
         return self.table.filter(pa.array(part)).to_batches() if part.any() else []
@@ -185,7 +219,7 @@ class _Unit:
         has = np.zeros(int(flat.max(initial=-1)) + 1, bool)
         sizes, found = np.diff(ends), []
         for i in range(len(self.ids) - 1):
-            others = self.candidates(i, similarity)
+            others, _ = self.candidates(i, similarity)
             if not len(others):
                 continue
             own = flat[ends[i]:ends[i + 1]]
@@ -197,9 +231,13 @@ class _Unit:
                 if self.component[j] != self.component[i]:
                     found.append((int(self.ids[i]), int(self.ids[j])))
                     self.component = np.where(self.component == self.component[j], self.component[i], self.component)
-        if not found:
-            return []
-        return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])]
+        return _pairs(found)
+
+
+def _pairs(found: list[tuple[int, int]]) -> list[pa.RecordBatch]:
+    if not found:
+        return []
+    return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])]
 
 
 def _by_unit(work: Callable[[_Unit], list[pa.RecordBatch]]):
@@ -229,6 +267,23 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sketches(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
+    """``set_hash, sketch`` of the documents with these ids (a written table, column ``doc_id``)."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(n_words)
+        for batch in batches:
+            sets = [shingler(text.as_py()) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.array([parity_sketch(s) for s in sets], pa.binary())], names=["set_hash", "sketch"])
+
+    return map_batches(filter_by_ids(_named(docs), ids, "doc_id"), sketch, "set_hash binary, sketch binary")
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
     """``doc_id, shingles`` of the documents with these ids (a table of its own, column ``doc_id``)."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,8 +297,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists.cast(pa.list_(pa.int64()))],
                                                  names=["doc_id", "shingles"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(map_batches(filter_by_ids(named, ids, "doc_id"), sets, "doc_id long, shingles array<long>"),
+    return materialise(map_batches(filter_by_ids(_named(docs), ids, "doc_id"), sets, "doc_id long, shingles array<long>"),
                        "sets")
 
 
@@ -258,6 +312,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, n_words: int = N_WORDS, similarit
     return both.where(100 * common >= similarity * union).select("a", "b").distinct()
 
 
+def _mixed_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members (key, id, n) of the buckets that hold more than one component, with their ``component``."""
+    member = materialise(members.join(found, F.col("id") == F.col("node"), "left").select(
+        "key", "id", "n", F.coalesce("component", "id").alias("component")), "members")
+    mixed = (member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .where("lo <> hi").select("key"))
+    return materialise(member.join(mixed, "key"), "mixed")
+
+
+def _dealt(opened: DataFrame, sketched: DataFrame, block_rows: int) -> DataFrame:
+    """Members of mixed buckets as rows of units: a bucket's blocks in pairs."""
+    shares = F.ceil(F.col("n") / F.lit(block_rows)).cast("long")
+    return (opened.join(sketched, "id").withColumn("block", F.pmod(F.xxhash64("id", "key"), shares))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
+            .select("key", "id", "component", "signature", "size", "sketch", "block",
+                    F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")))
+
+
 def near_documents(docs: DataFrame, n_words: int = N_WORDS, similarity: int = SIMILARITY,
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (doc_id, text)."""
@@ -274,20 +346,27 @@ def near_documents(docs: DataFrame, n_words: int = N_WORDS, similarity: int = SI
     # rows of one id with different sets are one node
     found = connected_components(links)
 
-    member = buckets.join(found, F.col("id") == F.col("node"), "left").select(
-        "key", "id", "n", F.coalesce("component", "id").alias("component"))
-    member = materialise(member, "members")
-    mixed = (member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .where("lo <> hi").select("key"))
-    shares = F.ceil(F.col("n") / F.lit(block_rows)).cast("long")
-    dealt = (member.join(mixed, "key").join(classes.select("id", "signature", "size"), "id")
-             .withColumn("block", F.pmod(F.xxhash64("id", "key"), shares))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)))
-             .select("key", "id", "component", "signature", "size", "block", F.least("block", "other").alias("a"),
-                     F.greatest("block", "other").alias("b")))
-    # signatures say which rows of a unit have a partner there; only those are sent their sets
-    asked = materialise(map_batches(_units(dealt), _by_unit(lambda unit: unit.with_candidates(similarity)), UNIT), "asked")
-    shingles = shingle_sets(docs, asked.select(F.col("id").alias("doc_id")).distinct(), n_words)
+    opened = _mixed_buckets(buckets.select("key", "id", "n"), found)
+    ids = materialise(opened.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    sketched = materialise(classes.join(sketches(docs, ids, n_words).dropDuplicates(["set_hash"]), "set_hash")
+                           .select("id", "signature", "size", "sketch"), "sketched")
+    tried = None
+    while True:
+        joining = map_batches(_units(_dealt(opened, sketched, block_rows)),
+                              _by_unit(lambda unit: unit.joining(similarity)), "a long, b long").distinct()
+        new = materialise(joining if tried is None else joining.join(tried, ["a", "b"], "left_anti"), "joining")
+        more = materialise(confirm(new, docs, n_words, similarity), "more")
+        if more.isEmpty():
+            break
+        tried = new if tried is None else tried.unionByName(new)
+        links = links.unionByName(more)
+        found = connected_components(links)
+        opened = _mixed_buckets(opened.select("key", "id", "n"), found)
+
+    # of the pairs that are left, signatures and sketches say which rows have a partner where; those get their sets
+    asked = materialise(map_batches(_units(_dealt(opened, sketched, block_rows)),
+                                    _by_unit(lambda unit: unit.with_candidates(similarity)), UNIT), "asked")
+    shingles = shingle_sets(docs, materialise(asked.select(F.col("id").alias("doc_id")).distinct(), "ids"), n_words)
     full = asked.join(shingles, F.col("id") == F.col("doc_id")).drop("doc_id")
     more = materialise(map_batches(_units(full), _by_unit(lambda unit: unit.links(similarity)),
                                    "a long, b long").distinct(), "more")
