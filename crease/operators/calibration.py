@@ -7,10 +7,10 @@ from typing import Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crease.operators.isotonic import isotonic_apply, isotonic_fit
 from crease.operators.ordered import exact_quantiles, span
 
 METHODS = ("platt", "isotonic")
@@ -132,19 +132,6 @@ def platt_apply(df: DataFrame, cal: PlattCalibrator, p: str = "y_pred_proba",
     return df.withColumn(out, cal.column(p))
 
 
-def isotonic_fit(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba") -> IsotonicRegressionModel:
-    """Monotone increasing fit (Spark ML, parallel pool-adjacent-violators);
-    prediction clips outside the fitted range and interpolates linearly."""
-    data = df.select(F.col(p).cast("double").alias("_p"), F.col(y).cast("double").alias("_y"))
-    return IsotonicRegression(featuresCol="_p", labelCol="_y", isotonic=True).fit(data)
-
-
-def isotonic_apply(df: DataFrame, model: IsotonicRegressionModel, p: str = "y_pred_proba",
-                   out: str = "y_pred_calibrated") -> DataFrame:
-    m = model.copy().setFeaturesCol(p).setPredictionCol(out)
-    return m.transform(df.withColumn(p, F.col(p).cast("double")))
-
-
 def fit_calibrator(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba", method: str = "platt"):
     _check_method(method)
     return platt_fit(df, y, p) if method == "platt" else isotonic_fit(df, y, p)

@@ -1,8 +1,7 @@
-"""Path-dependent TreeSHAP for Spark ML boosted trees.
+"""Path-dependent TreeSHAP for boosted trees.
 
-The fitted ensemble (at most trees × 2^(depth+1) nodes) is collected once and
-broadcast; rows are explained in Arrow batches with ``mapInPandas``, all of them
-unless the caller asks for a sample.
+The node table (at most rounds × 2^(depth+1) rows) is compiled once to arrays per tree and broadcast; rows are explained
+in Arrow batches, all of them unless the caller asks for a sample.
 
 Per tree, the cover-weighted expectation E[f | x_S] is a sum over leaves of
 ``value × Π_{j∈S} o_j(x) × Π_{j∉S} z_j``, where for the features j on the
@@ -10,11 +9,14 @@ leaf's path o_j says whether x follows the path at every node testing j and
 z_j is the product of the cover ratios of those nodes. Each leaf is therefore
 a product game over its (at most depth) path features, whose Shapley value
 is ``(o_i − z_i) · Σ_k e_k · k!(m−k−1)!/m!`` with e_k the coefficients of
-``Π_{j≠i}(z_j + o_j·t)``. Values are in log-odds (twice Spark's GBT margin).
+``Π_{j≠i}(z_j + o_j·t)``. All leaves of a tree are worked out together: paths with fewer features are filled up with
+players that change nothing (o = z = 1). Values are in log-odds; a node's cover is its sum of Hessians.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import factorial
 from typing import Sequence
 
@@ -25,135 +27,129 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crease.functions.expressions import with_portable_uniform
-
-
-def extract_trees(gbt_model) -> list[dict]:
-    """Nodes of every tree as plain lists: feature, threshold, children, cover, value."""
-    trees = []
-    for tree, weight in zip(gbt_model.trees, gbt_model.treeWeights):
-        nodes = {}
-        root = tree._call_java("rootNode")
-        stack = [(root, 0)]
-        next_id = 1
-        while stack:
-            node, nid = stack.pop()
-            cover = float(node.impurityStats().stats()[0])
-            if node.getClass().getSimpleName() == "InternalNode":
-                split = node.split()
-                left, right = next_id, next_id + 1
-                next_id += 2
-                nodes[nid] = (int(split.featureIndex()), float(split.threshold()), left, right, cover, 0.0)
-                stack.append((node.leftChild(), left))
-                stack.append((node.rightChild(), right))
-            else:
-                nodes[nid] = (-1, 0.0, -1, -1, cover, float(node.prediction()))
-        trees.append({"weight": float(weight), "nodes": nodes})
-    return trees
-
-
-def _leaf_paths(tree: dict) -> list[tuple[float, list[tuple[int, float, bool, float]]]]:
-    """(leaf value, [(feature, threshold, goes_left, cover_ratio), ...]) per leaf."""
-    nodes = tree["nodes"]
-    out = []
-    stack = [(0, [])]
-    while stack:
-        nid, path = stack.pop()
-        f, thr, left, right, cover, value = nodes[nid]
-        if f < 0:
-            out.append((value, path))
+from crease.operators.boosting import BoostedTrees, Tree
+from crease.session import ship_package
+
+#: Rows that are explained together.
+ROWS = 2_048
+
+
+@dataclass
+class TreePaths:
+    """The paths of a tree's leaves as arrays.
+
+    ``test`` holds the inner nodes' (feature, cut, missing goes left).  ``follow[l, d, t]`` is 1 if player d of leaf l needs
+    test t to go left, -1 if right, 0 if it does not care; ``feature[l, d]`` is -1 for a player that fills up.
+    """
+
+    value: np.ndarray
+    feature: np.ndarray
+    ratio: np.ndarray
+    follow: np.ndarray
+    test_feature: np.ndarray
+    test_cut: np.ndarray
+    test_missing_left: np.ndarray
+
+
+def tree_paths(tree: Tree) -> TreePaths:
+    inner = np.flatnonzero(tree.feature >= 0)
+    test_of = {int(node): t for t, node in enumerate(inner)}
+    leaves: list[tuple[float, dict[int, list]]] = []
+    waiting: list[tuple[int, list]] = [(0, [])]
+    while waiting:
+        node, path = waiting.pop()
+        if tree.feature[node] < 0:
+            players: dict[int, list] = {}
+            for feature, test, side, ratio in path:
+                player = players.setdefault(feature, [1.0, []])
+                player[0] *= ratio
+                player[1].append((test, side))
+            leaves.append((float(tree.value[node]), players))
             continue
-        for child, goes_left in ((left, True), (right, False)):
-            ratio = nodes[child][4] / cover if cover > 0 else 0.0
-            stack.append((child, path + [(f, thr, goes_left, ratio)]))
+        for child, side in ((int(tree.left[node]), 1), (int(tree.right[node]), -1)):
+            ratio = float(tree.cover[child] / tree.cover[node])
+            waiting.append((child, [*path, (int(tree.feature[node]), test_of[node], side, ratio)]))
+    depth = max(1, max(len(players) for _, players in leaves))
+    out = TreePaths(np.array([v for v, _ in leaves]), np.full((len(leaves), depth), -1), np.ones((len(leaves), depth)),
+                    np.zeros((len(leaves), depth, len(inner)), np.int8), tree.feature[inner], tree.cut[inner],
+                    tree.missing_left[inner])
+    for leaf, (_, players) in enumerate(leaves):
+        for d, (feature, (ratio, tests)) in enumerate(players.items()):
+            out.feature[leaf, d], out.ratio[leaf, d] = feature, ratio
+            for test, side in tests:
+                out.follow[leaf, d, test] = side
     return out
 
 
-def compile_ensemble(trees: list[dict]) -> list[tuple[float, list]]:
-    """Per leaf of every tree: weighted value and its per-feature (tests, z) groups."""
-    leaves = []
-    for tree in trees:
-        for value, path in _leaf_paths(tree):
-            groups: dict[int, list] = {}
-            z: dict[int, float] = {}
-            for f, thr, goes_left, ratio in path:
-                groups.setdefault(f, []).append((thr, goes_left))
-                z[f] = z.get(f, 1.0) * ratio
-            leaves.append((tree["weight"] * value, [(f, groups[f], z[f]) for f in groups]))
-    return leaves
-
-
-def expected_value(leaves) -> float:
-    return float(sum(v * np.prod([z for _, _, z in feats]) for v, feats in leaves))
-
-
-def shap_matrix_function():
-    """The function (X, leaves) -> SHAP values (rows × features) in GBT margin units, made here so that it travels to
-    Python workers by value."""
-    def shap_matrix(X: np.ndarray, leaves) -> np.ndarray:
-        n, d = X.shape
-        phi = np.zeros((n, d))
-        for value, feats in leaves:
-            m = len(feats)
-            if m == 0:
-                continue
-            coef = [factorial(k) * factorial(m - k - 1) / factorial(m) for k in range(m)]
-            o = []
-            for f, tests, _ in feats:
-                ok = np.ones(n, dtype=bool)
-                x = X[:, f]
-                for thr, goes_left in tests:
-                    ok &= (x <= thr) if goes_left else ~(x <= thr)
-                o.append(ok.astype(float))
-            zs = [z for _, _, z in feats]
-            for i in range(m):
-                poly = [np.ones(n)]
-                for j in range(m):
-                    if j == i:
-                        continue
-                    new = [poly[0] * zs[j]]
-                    for k in range(1, len(poly)):
-                        new.append(poly[k] * zs[j] + poly[k - 1] * o[j])
-                    new.append(poly[-1] * o[j])
-                    poly = new
-                s = sum(poly[k] * coef[k] for k in range(m))
-                phi[:, feats[i][0]] += value * (o[i] - zs[i]) * s
-        return phi
-
-    return shap_matrix
-
-
-def shap_values(model_df: DataFrame, gbt_model, feature_cols: Sequence[str], sample_size: int | None = None,
-                id_col: str = "rid", seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+def expected_value(model: BoostedTrees, paths: Sequence[TreePaths]) -> float:
+    return model.base + float(sum((p.value * p.ratio.prod(axis=1)).sum() for p in paths))
+
+
+def shap_matrix(values: np.ndarray, paths: Sequence[TreePaths]) -> np.ndarray:
+    """SHAP values (rows × features) of rows of raw values."""
+    n, n_features = values.shape
+    out = np.zeros((n_features, n))
+    for p in paths:
+        n_leaves, depth = p.feature.shape
+        if not len(p.test_feature):
+            continue
+        tested = values[:, p.test_feature].T
+        left = (tested < p.test_cut[:, None]) | (np.isnan(tested) & p.test_missing_left[:, None])
+        # o[l, d] of each row: no test of the player goes the other way
+        follow = p.follow.reshape(-1, len(left)).astype(np.float32)
+        against = np.maximum(follow, 0) @ (~left).astype(np.float32) + np.maximum(-follow, 0) @ left.astype(np.float32)
+        o = (against == 0).reshape(n_leaves, depth, n).astype(float)
+        z = p.ratio[:, :, None]
+        shares = [factorial(k) * factorial(depth - k - 1) / factorial(depth) for k in range(depth)]
+        for i in range(depth):
+            terms = [np.ones((n_leaves, n))]  # coefficients of the product over the other players
+            for j in range(depth):
+                if j != i:
+                    taken = [term * o[:, j] for term in terms]
+                    passed = [term * z[:, j] for term in terms]
+                    terms = [passed[0], *(a + b for a, b in zip(passed[1:], taken)), taken[-1]]
+            game = (o[:, i] - z[:, i]) * sum(term * share for term, share in zip(terms, shares))
+            to = np.zeros((n_features, n_leaves))
+            own = p.feature[:, i] >= 0
+            to[p.feature[own, i], np.flatnonzero(own)] = p.value[own]
+            out += to @ game
+    return out.T
+
+
+def shap_values(model_df: DataFrame, model: BoostedTrees, feature_cols: Sequence[str] | None = None,
+                sample_size: int | None = None, id_col: str = "rid", seed: int = 42,
+                keep: Sequence[str] = ()) -> DataFrame:
     """Per explained row: one SHAP column per feature (log-odds units), the
     base value and the model margin (log-odds). Every row is explained, in the
     partitions it comes in; a caller may ask for ``sample_size`` rows, drawn by a
-    seeded hash order. A missing feature fails every test on its path, as in the
-    model."""
-    feature_cols = list(feature_cols)
+    seeded hash order. A missing feature goes to the side the model chose for it."""
+    feature_cols = list(feature_cols or model.feature_cols)
+    if feature_cols != model.feature_cols:
+        raise ValueError("the features must be the model's, in its order")
     d = model_df
+    ship_package(d.sparkSession)
     if sample_size is not None:
         parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         d = with_portable_uniform(d, id_col, 0, seed, "_s").orderBy("_s", id_col).limit(sample_size).drop("_s") \
             .repartition(parts)
-    leaves = compile_ensemble(extract_trees(gbt_model))
-    base = 2.0 * expected_value(leaves)
-    bc = model_df.sparkSession.sparkContext.broadcast(leaves)
+    paths = [tree_paths(tree) for tree in model.trees]
+    base = expected_value(model, paths)
+    source = d.sparkSession.sparkContext.broadcast(paths)
     keep = [c for c in keep if c in d.columns]
     schema = T.StructType([d.schema[c] for c in keep] + [T.StructField(c, T.DoubleType()) for c in feature_cols]
                           + [T.StructField("base_value", T.DoubleType()), T.StructField("margin", T.DoubleType())])
-    matrix_of = shap_matrix_function()
-
-    def explain(batches):
-        lv = bc.value
-        for pdf in batches:
-            X = pdf[feature_cols].astype(float).to_numpy()
-            phi = 2.0 * matrix_of(X, lv)
-            out = pd.DataFrame(phi, columns=feature_cols)
-            for c in keep:
-                out.insert(keep.index(c), c, pdf[c].to_numpy())
-            out["base_value"] = base
-            out["margin"] = base + phi.sum(axis=1)
-            yield out
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), ROWS):
+                part = whole.iloc[at:at + ROWS]
+                contributions = shap_matrix(part[feature_cols].to_numpy(float), source.value)
+                out = pd.DataFrame(contributions, columns=feature_cols)
+                for c in keep:
+                    out.insert(keep.index(c), c, part[c].to_numpy())
+                out["base_value"] = base
+                out["margin"] = base + contributions.sum(axis=1)
+                yield out
 
     return d.select(*keep, *[F.col(c).cast("double") for c in feature_cols]).mapInPandas(explain, schema)
 

@@ -3,8 +3,8 @@
 Every metric accepts an optional ``weight`` column (bootstrap replicates) and
 ``partition_cols`` (slices, replicates): one aggregate computes them for all
 groups at once. Rank metrics (ROC AUC, average precision, curves) first group
-by distinct score, then use prefix sums over cells of the score's own range
-(``ordered.prefix_sums``).
+by distinct score, then use prefix sums over cells cut at a sample of the
+distinct scores (``ordered.prefix_sums``).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.operators.ordered import prefix_sums, span
+from crease.operators.ordered import prefix_sums, splitters
 
 # Fixed value: double-precision epsilon, to which probabilities are clipped before the logarithm.
 LOG_LOSS_EPS = 2.220446049250313e-16
@@ -79,12 +79,16 @@ def score_groups(df: DataFrame, y: str, p: str, partition_cols: Sequence[str] =
         F.sum(w * yv).alias("pos"), F.sum(w * (1 - yv)).alias("neg"))
 
 
+def _splits(df: DataFrame, p: str) -> Column:
+    return splitters(df.select(F.col(p).cast("double").alias("score")), "score")
+
+
 def roc_auc(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba", partition_cols: Sequence[str] = (),
             weight: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Mann-Whitney ROC AUC with ties counted half; one class -> null."""
     part = list(partition_cols)
     g = groups if groups is not None else score_groups(df, y, p, part, weight)
-    c = prefix_sums(g, "score", ["neg"], part, inclusive=False, bounds=span(df, p))
+    c = prefix_sums(g, "score", ["neg"], part, inclusive=False, splits=_splits(df, p))
     a = c.groupBy(*part).agg(F.sum(F.col("pos") * (F.col("cum_neg") + 0.5 * F.col("neg"))).alias("_u"),
                              F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     return a.select(*part, F.when((F.col("_P") > 0) & (F.col("_N") > 0),
@@ -96,7 +100,7 @@ def pr_auc(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba", partition_
     """Average precision: Σ over distinct thresholds of ΔRecall · Precision; one class -> null."""
     part = list(partition_cols)
     g = groups if groups is not None else score_groups(df, y, p, part, weight)
-    c = prefix_sums(g, "score", ["pos", "neg"], part, descending=True, inclusive=True, bounds=span(df, p))
+    c = prefix_sums(g, "score", ["pos", "neg"], part, descending=True, inclusive=True, splits=_splits(df, p))
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     a = c.groupBy(*part).agg(F.sum(F.when(F.col("pos") > 0, F.col("pos") * prec).otherwise(F.lit(0.0))).alias("_s"),
                              F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
@@ -108,7 +112,7 @@ def curve_points(df: DataFrame, y: str = "y_true", p: str = "y_pred_proba",
     """Per distinct threshold (descending): tp, fp, fpr, tpr, precision, recall."""
     part = list(partition_cols)
     g = score_groups(df, y, p, part)
-    c = prefix_sums(g, "score", ["pos", "neg"], part, descending=True, inclusive=True, bounds=span(df, p))
+    c = prefix_sums(g, "score", ["pos", "neg"], part, descending=True, inclusive=True, splits=_splits(df, p))
     tot = g.groupBy(*part).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     c = c.join(tot, part, "inner") if part else \
         c.withColumns({"_P": tot.select("_P").scalar(), "_N": tot.select("_N").scalar()})

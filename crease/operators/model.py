@@ -1,4 +1,4 @@
-"""Win model: boosted trees (Spark ML), evaluation, persistence."""
+"""Win model: second-order boosted trees, evaluation, persistence."""
 
 from __future__ import annotations
 
@@ -6,13 +6,10 @@ import json
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crease.operators.boosting import NODE_SCHEMA, BoostedTrees, BoostingParams, fit_boosted_trees, with_margins
 from crease.operators.bootstrap import ALL_METRICS, bootstrap_metrics
 from crease.operators.calibration import expected_calibration_error
 from crease.operators.metrics import binary_metrics
@@ -20,9 +17,8 @@ from crease.operators.splits import stratified_split
 
 DEFAULT_SEED = 42
 
-# Boosting settings of the reference model (300 rounds, depth 4, learning rate
-# 0.05, row and column subsampling 0.8). Spark's GBT has no leaf L2 penalty.
-GBT_PARAMS = dict(maxIter=300, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
+# Boosting settings of the win model.
+BOOSTING = dict(rounds=300, max_depth=4, learning_rate=0.05, subsample=0.8, colsample=0.8, l2=1.0)
 
 # Name patterns of saved models, tried in this order; names with this word hold metadata.
 MODEL_PATTERNS = ("best-model*", "best_model*")
@@ -36,7 +32,7 @@ def deterministic_seed(seed: int | None = None) -> int:
 
 @dataclass
 class ModelArtifacts:
-    model: PipelineModel
+    model: BoostedTrees
     feature_cols: list[str]
     target: str
     train: DataFrame
@@ -51,11 +47,11 @@ class ModelArtifacts:
         self.persisted = []
 
 
-def score(model: PipelineModel, df: DataFrame, proba: str = "y_pred_proba", pred: str = "y_pred") -> DataFrame:
-    out = model.transform(df)
-    out = out.withColumn(proba, vector_to_array(F.col("probability"))[1])
-    out = out.withColumn(pred, (F.col(proba) >= 0.5).cast("int"))
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+def score(model: BoostedTrees, df: DataFrame, proba: str = "y_pred_proba", pred: str = "y_pred") -> DataFrame:
+    """``df`` with the probability of label 1 and the label it says."""
+    out = with_margins(df, model, "_margin")
+    return (out.withColumn(proba, F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin"))))
+            .withColumn(pred, (F.col(proba) >= 0.5).cast("int")).drop("_margin"))
 
 
 def train_impact_model(model_df: DataFrame, feature_cols: Sequence[str], target: str = "team_won",
@@ -74,21 +70,15 @@ def train_impact_model(model_df: DataFrame, feature_cols: Sequence[str], target:
     split = split.persist()
     train = split.filter(F.col(split_col) == "train")
     test = split.filter(F.col(split_col) == "test")
-    gbt = GBTClassifier(labelCol="_label", featuresCol="features", seed=seed, **{**GBT_PARAMS, **(params or {})})
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep"), gbt])
-    fit_df = train.withColumn("_label", F.col(target).cast("double"))
-    model = pipe.fit(fit_df)
-    scored_test = score(model, test.withColumn("_label", F.col(target).cast("double"))).drop("_label").persist()
+    model = fit_boosted_trees(train, feature_cols, target, id_col,
+                              BoostingParams(**{**BOOSTING, "seed": seed, **(params or {})}))
+    scored_test = score(model, test).persist()
     m = binary_metrics(scored_test.withColumn("_y", F.col(target).cast("int")), "_y", "y_pred", "y_pred_proba") \
         .select("accuracy", "roc_auc").first()
     return ModelArtifacts(model, feature_cols, target, train, scored_test,
                           {"accuracy": m["accuracy"], "roc_auc": m["roc_auc"]}, [split, scored_test])
 
 
-def gbt_stage(model: PipelineModel):
-    return model.stages[-1]
-
-
 def evaluate_model(test: DataFrame, target: str = "team_won", p: str = "y_pred_proba", calibrated: str | None = None,
                    metrics: Sequence[str] = ALL_METRICS, n_boot: int = 1000, confidence: float = 0.95,
                    seed: int | None = None) -> DataFrame:
@@ -106,17 +96,27 @@ def evaluate_model(test: DataFrame, target: str = "team_won", p: str = "y_pred_p
     return out.unionByName(ece)
 
 
+def _write_json(spark: SparkSession, record: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def save_model(artifacts: ModelArtifacts, path: str) -> str:
-    """Persist the fitted pipeline and a one-row JSON metadata record."""
-    artifacts.model.write().overwrite().save(f"{path}/model")
-    spark = artifacts.train.sparkSession
-    meta = {"feature_columns": artifacts.feature_cols, "target": artifacts.target,
-            "metrics": {k: (None if v is None else float(v)) for k, v in artifacts.metrics.items()}}
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/metadata")
+    """Persist the model (its node table, features and base score) and a one-row JSON metadata record."""
+    spark, model = artifacts.train.sparkSession, artifacts.model
+    model.nodes(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model/nodes")
+    _write_json(spark, {"feature_columns": model.feature_cols, "base": model.base}, f"{path}/model/spec")
+    _write_json(spark, {"feature_columns": artifacts.feature_cols, "target": artifacts.target,
+                        "metrics": {k: (None if v is None else float(v)) for k, v in artifacts.metrics.items()}},
+                f"{path}/metadata")
     return path
 
 
+def read_model(spark: SparkSession, path: str) -> BoostedTrees:
+    spec = json.loads(spark.read.text(f"{path}/model/spec").first()[0])
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/model/nodes")
+    return BoostedTrees.from_nodes(nodes, spec["feature_columns"], spec["base"])
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     """Metadata of a saved model; missing or corrupt metadata gives ``{}``."""
     try:
@@ -144,11 +144,11 @@ def find_model_dirs(spark: SparkSession, search_dir: str, patterns: Sequence[str
 
 def load_model(spark: SparkSession, search_dir: str, patterns: Sequence[str] = MODEL_PATTERNS,
                fallback: Callable | None = None):
-    """First saved model by the ordered name patterns that can be read; returns ``(PipelineModel, metadata)``.
+    """First saved model by the ordered name patterns that can be read; returns ``(BoostedTrees, metadata)``.
     Without one, ``fallback()`` (e.g. a training function) is called, else None."""
     for path in find_model_dirs(spark, search_dir, patterns):
         try:
-            return PipelineModel.load(f"{path}/model"), read_metadata(spark, path)
+            return read_model(spark, path), read_metadata(spark, path)
         except Exception:  # noqa: BLE001 - an unreadable model is passed over, as a missing one
             continue
     return fallback() if fallback else None

@@ -1,13 +1,14 @@
 """Order-dependent aggregates without a global single-partition window.
 
 A ``Window.orderBy`` with no partition moves every row to one task. Here the
-range between the smallest and the largest order value is cut into ``CELLS``
-equal cells; the totals of the cells (at most ``CELLS`` rows per partition key)
-give each cell an offset, and the running sum inside a cell is an ordinary
-partitioned window. The cells follow the data's own range, so values that lie
-close together are still spread over all of them; only values that crowd into a
-small part of a wide range share a cell, which costs time but not correctness.
-Everything is lazy: the range is a scalar subquery.
+values are cut into cells of about equal numbers of distinct values; the totals
+of the cells give each cell an offset, and the running sum inside a cell is an
+ordinary partitioned window. Where the cells are cut is read off a sample of the
+distinct values, those with the smallest hashes (``splitters``), so values that
+crowd into a small part of a wide range, or texts that begin alike, are spread
+over all cells as any others are. Where values are known to be spread evenly
+(``bounds``), cells of equal width do. Everything is lazy: the sample, or the
+range, is a scalar subquery.
 """
 
 from __future__ import annotations
@@ -18,9 +19,33 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most cells; a power of two.
 CELLS = 4096
 
 
+def splitters(df: DataFrame, col: str, cells: int = CELLS) -> Column:
+    """The ``cells - 1`` distinct values of a column that have the smallest hashes (all, if there are fewer), ascending,
+    as a scalar subquery. Columns of any type will do.
+
+    Samples of parts can be merged, and neither the order of the rows nor how often a value occurs matters."""
+    values = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull()).distinct()
+    sample = values.orderBy(F.xxhash64("v"), "v").limit(cells - 1)
+    return sample.agg(F.array_sort(F.collect_list("v")).alias("splits")).scalar()
+
+
+def with_cell(df: DataFrame, col: str, splits: Column, out: str = "_cell", cells: int = CELLS) -> DataFrame:
+    """``out``: how many of the ``splits``, fewer than ``cells``, are not above the value, by binary search; it never
+    falls as the value rises, and is 0 for nulls."""
+    # each step reads the one before it twice; Spark keeps such projections apart, inside one generated loop
+    d = df.withColumn("_splits", splits).withColumn(out, F.lit(0))
+    step = cells // 2
+    while step:
+        under = F.coalesce((F.get("_splits", F.col(out) + (step - 1)) <= F.col(col)).cast("int"), F.lit(0))
+        d = d.withColumn(out, F.col(out) + under * step)
+        step //= 2
+    return d.drop("_splits")
+
+
 def span(df: DataFrame, col: str) -> Column:
     """``[min, max]`` of a column as a scalar subquery."""
     v = F.col(col).cast("double")
@@ -36,16 +61,20 @@ def cell(value: Column, bounds: Column, cells: int = CELLS) -> Column:
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], partition_cols: Sequence[str] = (),
                 descending: bool = False, inclusive: bool = True, then: Sequence[str] = (),
-                bounds: Column | None = None, prefix: str = "cum_", cells: int = CELLS) -> DataFrame:
+                bounds: Column | None = None, prefix: str = "cum_", cells: int = CELLS,
+                splits: Column | None = None) -> DataFrame:
     """Running sums of ``sum_cols`` in the order of ``order_col`` (then of the columns ``then``) within
     ``partition_cols``; null partition keys form a group of their own.
 
-    ``bounds`` is the range of ``order_col``, a scalar array; by default it is taken from ``df``. Rows that agree in
-    all order columns are ordered anyhow: aggregate first where that matters.
+    ``splits`` cuts the cells, by default at a sample of the distinct values of ``df``; with ``bounds``, a scalar array of
+    the least and the largest value, cells have equal widths. Rows that agree in all order columns are ordered anyhow:
+    aggregate first where that matters.
     """
     part = list(partition_cols)
-    bounds = bounds if bounds is not None else span(df, order_col)
-    d = df.withColumn("_cell", cell(F.col(order_col), bounds, cells))
+    if bounds is not None:
+        d = df.withColumn("_cell", cell(F.col(order_col), bounds, cells))
+    else:
+        d = with_cell(df, order_col, splits if splits is not None else splitters(df, order_col, cells), cells=cells)
     totals = d.groupBy(*part, "_cell").agg(*[F.sum(c).alias("_t_" + c) for c in sum_cols])
     cell_order = F.col("_cell").desc() if descending else F.col("_cell").asc()
     before = Window.partitionBy(*part).orderBy(cell_order).rowsBetween(Window.unboundedPreceding, -1)
@@ -71,12 +100,8 @@ def with_row_number(df: DataFrame, group_col: str, order_cols: Sequence[str], ou
     window over a group is as large as the group, and none is over the table.
     """
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_size"))
-    numeric = dict(df.dtypes)[group_col] in ("bigint", "int", "smallint", "tinyint", "double", "float")
-    if numeric:
-        starts = prefix_sums(sizes, group_col, ["_size"], inclusive=False, prefix="_before")
-    else:  # the distinct groups of a text key, cut by the key's first characters
-        coded = sizes.withColumn("_code", text_code(group_col))
-        starts = prefix_sums(coded, "_code", ["_size"], inclusive=False, then=[group_col], prefix="_before")
+    starts = prefix_sums(sizes, group_col, ["_size"], inclusive=False, prefix="_before",
+                         splits=splitters(df, group_col))
     starts = starts.select(F.col(group_col).alias("_group"), F.col("_before_size").alias("_start"))
     w = Window.partitionBy(group_col).orderBy(*order_cols)
     numbered = df.withColumn("_nth", F.row_number().over(w))
@@ -84,12 +109,6 @@ def with_row_number(df: DataFrame, group_col: str, order_cols: Sequence[str], ou
             .withColumn(out, (F.col("_start") + F.col("_nth")).cast("long")).drop("_nth", "_group", "_start"))
 
 
-def text_code(col: str, chars: int = 6) -> Column:
-    """A number that never falls as a text rises: its first bytes as digits."""
-    raw = F.rpad(F.hex(F.substring(F.col(col).cast("string").cast("binary"), 1, chars)), 2 * chars, "0")
-    return F.conv(raw, 16, 10).cast("double")
-
-
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_cols: Sequence[str] = ()) -> DataFrame:
     """Exact linear-interpolation quantiles (numpy's default) computed distributed.
 
@@ -100,7 +119,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], partition_c
     part = list(partition_cols)
     counts = df.filter(F.col(col).isNotNull()).groupBy(*part, F.col(col).cast("double").alias("_v")) \
         .agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, "_v", ["_n"], part, inclusive=False, bounds=span(df, col))
+    ranked = prefix_sums(counts, "_v", ["_n"], part, inclusive=False,
+                         splits=splitters(df.withColumn("_v", F.col(col).cast("double")), "_v"))
     total = counts.groupBy(*part).agg(F.sum("_n").alias("_N"))
     if part:
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in part])

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crease.operators.calibration import bin_index, uniform_edges
+from crease.operators.intervals import first_match
 
 # (use_case, low, high, label, action) — [low, high), the last band of a use case is closed.
 PROBABILITY_BANDS: list[tuple[str, float, float, str, str]] = [
@@ -58,27 +59,25 @@ def use_cases() -> list[str]:
     return seen
 
 
-def _band_case(p: Column, use_case: str, field: int) -> Column:
-    bands = [b for b in PROBABILITY_BANDS if b[0] == use_case]
-    expr = None
-    for i, b in enumerate(bands):
-        lo, hi = b[1], b[2]
-        cond = (p >= lo) & ((p <= hi) if i == len(bands) - 1 else (p < hi))
-        expr = F.when(cond, F.lit(b[field])) if expr is None else expr.when(cond, F.lit(b[field]))
-    return expr
+def band_table(spark: SparkSession, bands: Sequence[tuple] = PROBABILITY_BANDS) -> DataFrame:
+    """Bands ``(use_case, low, high, label, action)`` as a table; the last one of a use case is closed."""
+    last = {b[0]: i for i, b in enumerate(bands)}
+    rows = [(case, float(low), float(high), label, action, last[case] == i, i)
+            for i, (case, low, high, label, action) in enumerate(bands)]
+    return spark.createDataFrame(rows, "use_case string, low double, high double, band string, action string, "
+                                       "closed boolean, position long")
 
 
-def policy_band_join(df: DataFrame, p: str = "y_pred_proba", cases: Sequence[str] | None = None) -> DataFrame:
-    """One row per input row and use case with the band label and action.
+def policy_band_join(df: DataFrame, p: str = "y_pred_proba", cases: Sequence[str] | None = None,
+                     bands: DataFrame | None = None) -> DataFrame:
+    """One row per input row and use case with the band label and action (``intervals.first_match``).
 
-    The band table is a fixed handful of rows, so the range lookup compiles to
-    CASE expressions (no join); the fan-out is the number of use cases.
-    """
-    cases = list(cases or use_cases())
-    pc = F.col(p).cast("double")
-    arr = F.array(*[F.struct(F.lit(c).alias("use_case"), _band_case(pc, c, 3).alias("band"),
-                             _band_case(pc, c, 4).alias("action")) for c in cases])
-    return df.withColumn("_b", F.explode(arr)).select(*df.columns, "_b.use_case", "_b.band", "_b.action")
+    ``bands`` has ``use_case, low, high, closed, position, band, action``; by default it is the documented policy."""
+    bands = bands if bands is not None else band_table(df.sparkSession)
+    if cases is not None:
+        bands = bands.where(F.col("use_case").isin(*cases))
+    return first_match(df, p, bands, by="use_case", keep=("band", "action")).select(
+        *df.columns, "use_case", "band", "action")
 
 
 def alert_table(spark: SparkSession) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crease.functions.expressions import matchup_key
 from crease.operators.metrics import LOG_LOSS_EPS
-from crease.operators.ordered import prefix_sums, span
+from crease.operators.ordered import prefix_sums, splitters
 
 
 def slice_metrics(df: DataFrame, slice_col: str, y: str = "y_true", yhat: str = "y_pred",
@@ -24,7 +24,7 @@ def slice_metrics(df: DataFrame, slice_col: str, y: str = "y_true", yhat: str =
     scores = d.groupBy(slice_col, F.col(p).cast("double").alias("score")).agg(
         F.sum(yv).alias("pos"), F.sum(1 - yv).alias("neg"),
         F.sum((yv == F.col(yhat).cast("double")).cast("double")).alias("correct"))
-    ranked = prefix_sums(scores, "score", ["neg"], [slice_col], inclusive=False, bounds=span(d, p))
+    ranked = prefix_sums(scores, "score", ["neg"], [slice_col], inclusive=False, splits=splitters(scores, "score"))
     pos, neg, clipped = F.col("pos"), F.col("neg"), F.least(F.greatest("score", F.lit(LOG_LOSS_EPS)),
                                                             F.lit(1 - LOG_LOSS_EPS))
     sums = ranked.groupBy(slice_col).agg(

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators.deliveries import prepare_deliveries
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
 from crease.operators.ordered import with_row_number
-from crease.operators.playermatch import player_match_stats
+from crease.operators.playermatch import player_match_stats, player_phase_long
 from crease.sources.deliveries import fixture_deliveries
 from crease.sources.sinks import remove_path, scratch_path
 
@@ -26,22 +28,40 @@ _MEMO: dict[tuple, object] = {}
 _PATHS: dict[tuple, str] = {}
 
 
-def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Player-match statistics with ``rid``, their number in the order of match, team and player.
-
-    Most registered queries start here, so this one table is written as Parquet
-    in the shared folder, once per application and source folder; all else is
-    derived from it lazily. ``reset`` removes it.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, "stats")
+def _shared(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries start from: written as Parquet in the shared folder, once per application and
+    source folder. ``reset`` removes it."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _MEMO:
-        rows = with_row_number(player_match_stats(deliveries(spark, sf_dir)), "match_id", ["team", "player"])
-        path = scratch_path(spark, "stats")
+        rows = make()
+        path = scratch_path(spark, name)
         rows.write.parquet(path)
         _PATHS[key], _MEMO[key] = path, spark.read.schema(rows.schema).parquet(path)
     return _MEMO[key]
 
 
+def phase_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums per player-match, role and phase: the one aggregate of all deliveries, which the league's rates and the
+    player-match rows are both taken from."""
+    return _shared(spark, sf_dir, "long", lambda: player_phase_long(deliveries(spark, sf_dir)))
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct match attributes of the deliveries."""
+    return _shared(spark, sf_dir, "matches", lambda: deliveries(spark, sf_dir).select(
+        "match_id", "venue", "date", "batting_team", "bowling_team", "win_team").distinct())
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player-match statistics with ``rid``, their number in the order of match, team and player. Numbering reads its
+    rows several times, so they are stored before it."""
+    def unnumbered() -> DataFrame:
+        return player_match_stats(matches(spark, sf_dir), long=phase_long(spark, sf_dir))
+
+    return _shared(spark, sf_dir, "stats", lambda: with_row_number(
+        _shared(spark, sf_dir, "unnumbered", unnumbered), "match_id", ["team", "player"]))
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_frame(stats(spark, sf_dir))
 
@@ -57,8 +77,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per match: venue, date and the two teams (for slices and opponents)."""
-    pairs = deliveries(spark, sf_dir).filter(F.col("match_id").isNotNull()) \
-        .select("match_id", "venue", "date", "batting_team", "bowling_team").distinct()
+    pairs = matches(spark, sf_dir).filter(F.col("match_id").isNotNull())
     return pairs.groupBy("match_id").agg(
         F.max("venue").alias("venue"), F.max("date").alias("date"),
         F.least(F.min("batting_team"), F.min("bowling_team")).alias("team_a"),
@@ -68,11 +87,16 @@ def match_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored fixture: a fixed logistic score of player-match rows (no model),
     used to exercise the evaluation operators on whole data."""
+    return _shared(spark, sf_dir, "scored", lambda: _scored(spark, sf_dir))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = features(spark, sf_dir)
     mi = match_info(spark, sf_dir)
     z = (F.lit(0.04) * (F.col("runs_scored") - 7) + F.lit(0.3) * F.col("wickets")
          + F.lit(0.02) * F.round(F.col("phase_efficacy"), 4))
-    p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 3)
+    # engines differ in the last bits of exp
+    p = F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 9)
     out = f.join(mi, "match_id", "inner").select(
         "match_id", "season", "team", "player", "venue", "date",
         F.when(F.col("team") == F.col("team_a"), F.col("team_b")).otherwise(F.col("team_a")).alias("opponent"),

@@ -271,7 +271,7 @@ scored0 AS (
  SELECT f.match_id, f.season, f.team, f.player, mi.venue, mi.date,
   CASE WHEN f.team = mi.team_a THEN mi.team_b ELSE mi.team_a END AS opponent,
   CAST(f.team_won AS INT) AS y_true,
-  ROUND(1E0 / (1E0 + exp(-(0.04E0 * (f.runs_scored - 7) + 0.3E0 * f.wickets + 0.02E0 * ROUND(f.phase_efficacy, 4)))), 3)
+  ROUND(1E0 / (1E0 + exp(-(0.04E0 * (f.runs_scored - 7) + 0.3E0 * f.wickets + 0.02E0 * ROUND(f.phase_efficacy, 4)))), 9)
    AS y_pred_proba,
   CAST(ROW_NUMBER() OVER (ORDER BY f.match_id, f.team, f.player) AS BIGINT) AS rid
  FROM feat f JOIN match_info mi USING (match_id)),
@@ -546,7 +546,8 @@ st AS (SELECT rid, {label}, CASE WHEN ROW_NUMBER() OVER (PARTITION BY {label} OR
 SQL["stratified_split"] = SCORED + sql_strat("scored", "y_true") + "\nSELECT rid, y_true, split FROM st"
 
 # --------------------------------------------------------------- bootstrap
-from crease.operators.bootstrap import EXACT_ROWS, NORMAL_C, NORMAL_D, POISSON1_CDF, SCORE_UNITS  # noqa: E402
+from crease.functions.expressions import HASH_MOD  # noqa: E402
+from crease.operators.bootstrap import EXACT_ROWS, NUMBER_HALVES, POISSON1_CDF, SCORE_UNITS  # noqa: E402
 
 
 def sql_boot(src: str, models: dict[str, tuple[str, str]], n_boot: int = 1000, seed: int = 42) -> str:
@@ -554,25 +555,37 @@ def sql_boot(src: str, models: dict[str, tuple[str, str]], n_boot: int = 1000, s
 
     ``models`` maps a name to its prediction and score columns; groups agree in all of them."""
     cols = ", ".join(f"{h}, {p}" for h, p in models.values())
-    number = "0"
-    for h, p in models.values():
-        number = f"(({number} * 31 + CAST(ROUND({p} * {SCORE_UNITS}) AS BIGINT)) * 2 + {h})"
+    values = [v for h, p in models.values() for v in (p, h)] + ["y_true"]
+    # one step of the group's number a CTE, as each reads the one before it twice
+    steps, src_step = [], "bg0"
+    for i, v in enumerate(part for c in values for part in (
+            f"CAST(FLOOR({c}) AS BIGINT)", f"CAST(FLOOR(({c} - FLOOR({c})) * {SCORE_UNITS}) AS BIGINT)")):
+        mixed = ", ".join(f"(n{j} * {a} + ({v} % {HASH_MOD}) * {b} + ({v} // {HASH_MOD}) * {c} + {step}) % {HASH_MOD} AS n{j}"
+                          for j, (a, b, c, step, _) in enumerate(NUMBER_HALVES))
+        squared = ", ".join(f"(n{j} * n{j} + {half[4]}) % {HASH_MOD} AS n{j}" for j, half in enumerate(NUMBER_HALVES))
+        steps.append(f"ba{i} AS (SELECT * REPLACE ({mixed}) FROM {src_step}),\n"
+                     f"bb{i} AS (SELECT * REPLACE ({squared}) FROM ba{i}),")
+        src_step = f"bb{i}"
     u = portable_uniform_sql("grp", f"(replicate * {EXACT_ROWS} + draw)", seed)
     one = " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in POISSON1_CDF)
-    c, d = NORMAL_C, NORMAL_D
     (yh, pp) = next(iter(models.values()))
     clip = f"LEAST(GREATEST({pp}, 2.220446049250313E-16), 1 - 2.220446049250313E-16)"
     return f""",
-bg AS (SELECT y_true, {cols}, CAST(COUNT(*) AS DOUBLE) AS nr, CAST({number} * 2 + y_true AS BIGINT) AS grp
+bg0 AS (SELECT y_true, {cols}, COUNT(*) AS nr, CAST(1 AS BIGINT) AS n0, CAST(1 AS BIGINT) AS n1
  FROM {src} GROUP BY y_true, {cols}),
-bd AS (SELECT bg.*, r.range AS replicate, unnest(CASE WHEN nr < {EXACT_ROWS} THEN range(1, CAST(nr AS BIGINT) + 1)
-  ELSE [0] END) AS draw FROM bg CROSS JOIN range({n_boot}) r),
+{chr(10).join(steps)}
+bg AS (SELECT * EXCLUDE (n0, n1), n0 * 2147483648 + n1 AS grp FROM {src_step}),
+bd AS (SELECT bg.*, r.range AS replicate, unnest(CASE WHEN nr < {EXACT_ROWS} THEN range(1, nr + 1) ELSE [0] END) AS draw
+ FROM bg CROSS JOIN range({n_boot}) r),
 bu AS (SELECT *, {u} AS u FROM bd),
-bt AS (SELECT *, sqrt(-2E0 * ln(GREATEST(LEAST(u, 1E0 - u), 1E-12))) AS t FROM bu),
-bz AS (SELECT *, (CASE WHEN u < 0.5 THEN -1E0 ELSE 1E0 END) * (t - ({c[0]} + t * ({c[1]} + t * {c[2]}))
-  / (1E0 + t * ({d[0]} + t * ({d[1]} + t * {d[2]})))) AS z FROM bt),
-bw AS (SELECT *, CASE WHEN draw > 0 THEN CAST({one} AS DOUBLE)
-  ELSE GREATEST(FLOOR(nr + sqrt(nr) * z + (z * z - 1) / 6 + 0.5), 0E0) END AS w FROM bz),
+pn AS (SELECT DISTINCT nr, CAST(FLOOR(10 * sqrt(nr)) AS BIGINT) + 10 AS reach FROM bg WHERE nr >= {EXACT_ROWS}),
+pk AS (SELECT nr, GREATEST(0, nr - reach) AS lo, unnest(range(GREATEST(0, nr - reach), nr + reach + 1)) AS k FROM pn),
+pc AS (SELECT nr, k, SUM(exp(k * ln(nr) - nr - lgamma(k + 1))) OVER (PARTITION BY nr ORDER BY k) AS cdf FROM pk),
+bl AS (SELECT bu.* EXCLUDE (u, draw), COALESCE(pc.k + 1, GREATEST(0, bu.nr - CAST(FLOOR(10 * sqrt(bu.nr)) AS BIGINT) - 10)) AS w
+ FROM (SELECT * FROM bu WHERE draw = 0) bu ASOF LEFT JOIN pc ON pc.nr = bu.nr AND bu.u >= pc.cdf),
+bs AS (SELECT y_true, {cols}, replicate, SUM({one}) AS w FROM bu WHERE draw > 0 GROUP BY y_true, {cols}, replicate),
+bw AS (SELECT y_true, {cols}, replicate, CAST(w AS DOUBLE) AS w FROM bl
+ UNION ALL SELECT y_true, {cols}, replicate, CAST(w AS DOUBLE) AS w FROM bs),
 rp AS (SELECT replicate, SUM(w) AS n, SUM(w * y_true) AS pos,
   SUM(w * CASE WHEN y_true = {yh} THEN 1 ELSE 0 END) AS correct,
   SUM(w * CASE WHEN y_true = 1 AND {yh} = 1 THEN 1 ELSE 0 END) AS tp,
@@ -868,3 +881,27 @@ SQL["load_model"] = _MODEL_ROWS + "\nSELECT rid, TRUE AS same_score FROM st WHER
 SQL["save_model"] = _MODEL_ROWS + "\nSELECT feature, (SELECT COUNT(*) FROM st WHERE split = 'test') AS n_scored, " \
     "CAST(0 AS BIGINT) AS mismatches FROM (VALUES " + ", ".join(f"('{c}')" for c in MM_FEATURES) + ") t(feature)"
 SQL["shap_values"] = _MODEL_ROWS + "\nSELECT rid, TRUE AS additive FROM st WHERE split = 'train'"
+SQL["boosting_first_split"] = IDX + """,
+bm AS (SELECT AVG(CAST(team_won AS DOUBLE)) AS m, COUNT(*) AS n, SUM(team_won) AS pos FROM feat),
+bv AS (""" + " UNION ALL ".join(f"""
+ SELECT {i} AS f, '{c}' AS feature, CAST({c} AS DOUBLE) AS v, COUNT(*) AS n, SUM(team_won) AS pos FROM feat GROUP BY {c}"""
+                               for i, c in enumerate(("boundaries", "dismissals", "wickets"))) + """),
+bc AS (SELECT f, feature, v AS cut, SUM(n) OVER w AS nl, SUM(pos) OVER w AS pl FROM bv
+ WINDOW w AS (PARTITION BY f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+bs AS (SELECT f, feature, cut, m * nl - pl AS gl, m * (bm.n - nl) - (bm.pos - pl) AS gr, m * (1 - m) * nl AS hl,
+  m * (1 - m) * (bm.n - nl) AS hr FROM bc, bm WHERE nl IS NOT NULL)
+SELECT feature, cut, ROUND(gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1), 2) AS gain,
+ ROUND(hl + hr, 2) AS cover, ROUND(-0.05 * gl / (hl + 1), 6) AS left_value, ROUND(-0.05 * gr / (hr + 1), 6) AS right_value
+FROM bs WHERE hl >= 1 AND hr >= 1
+ORDER BY gl * gl / (hl + 1) + gr * gr / (hr + 1) - (gl + gr) * (gl + gr) / (hl + hr + 1) DESC, f, cut LIMIT 1"""
+
+SQL["phase_bins_table"] = BASE + """
+SELECT match_id, innings, over, ball_in_over, CASE WHEN over BETWEEN 1 AND 3 THEN 'New ball'
+ WHEN over BETWEEN 1 AND 6 THEN 'Powerplay' WHEN over BETWEEN 5 AND 15 THEN 'Middle' WHEN over = 20 THEN 'Last over'
+ WHEN over BETWEEN 15 AND 20 THEN 'Death' ELSE 'Other' END AS phase FROM deliveries WHERE over <> 4"""
+SQL["interval_join"] = """
+SELECT o_orderkey, MIN(p_partkey) AS partkey
+FROM orders LEFT JOIN part ON CAST(o_totalprice AS DOUBLE) >= CAST(p_retailprice AS DOUBLE) * 50
+ AND (CAST(o_totalprice AS DOUBLE) < CAST(p_retailprice AS DOUBLE) * 60
+  OR (p_partkey % 2 = 0 AND CAST(o_totalprice AS DOUBLE) = CAST(p_retailprice AS DOUBLE) * 60))
+GROUP BY o_orderkey"""

@@ -21,9 +21,9 @@ from crease.operators.deliveries import prepare_deliveries
 from crease.operators.explain import importance_summary, shap_values
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
 from crease.operators.metrics import classification_report
-from crease.operators.model import ModelArtifacts, gbt_stage, load_model, save_model, score, train_impact_model
+from crease.operators.model import ModelArtifacts, load_model, save_model, score, train_impact_model
 from crease.operators.ordered import with_row_number
-from crease.operators.playermatch import player_match_stats
+from crease.operators.playermatch import player_match_stats, player_phase_long
 from crease.operators.ratings import player_ratings, player_volume, top_ratings
 from crease.operators.team import best_xi, player_profiles
 from crease.sources.sinks import export_summary, remove_path, scratch_path
@@ -56,13 +56,23 @@ class PipelineOutputs:
 
 
 def feature_table(spark: SparkSession, raw_deliveries: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
-    """Indexed player-match features with ``rid``, written as Parquet; (the table, its path)."""
-    feats = feature_frame(player_match_stats(prepare_deliveries(raw_deliveries)))
-    numbered = with_row_number(feats, "match_id", ["team", "player"])
+    """Indexed player-match features with ``rid``, written as Parquet; (the table, its path).
+
+    The sums per phase are stored first, as the league's rates and the player-match rows are both taken from them, and
+    the features before they are numbered, as numbering reads them several times."""
+    def stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    balls = prepare_deliveries(raw_deliveries)
+    steps = [scratch_path(spark, "long"), scratch_path(spark, "unnumbered")]
+    long = stored(player_phase_long(balls), steps[0])
+    feats = stored(feature_frame(player_match_stats(balls, long=long)), steps[1])
     path = path or scratch_path(spark, "features")
-    numbered.write.parquet(path)
-    stored = spark.read.schema(numbered.schema).parquet(path)
-    return composite_indices(stored, correlation_weights(stored)), path
+    table = stored(with_row_number(feats, "match_id", ["team", "player"]), path)
+    for step in steps:
+        remove_path(spark, step)
+    return composite_indices(table, correlation_weights(table)), path
 
 
 def saved_artifacts(spark: SparkSession, model_dir: str, matrix: DataFrame, cols: list[str],
@@ -78,7 +88,7 @@ def saved_artifacts(spark: SparkSession, model_dir: str, matrix: DataFrame, cols
 
 
 def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | None = None,
-                 gbt_params: dict | None = None, shap_sample: int | None = None, clustering: str = "restarts",
+                 boosting: dict | None = None, shap_sample: int | None = None, clustering: str = "restarts",
                  model_dir: str | None = None) -> PipelineOutputs:
     """The whole run. A model saved in ``model_dir`` is preferred; without one (or without a folder) it is trained."""
     t = {}
@@ -90,11 +100,11 @@ def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | Non
     matrix, cols = model_matrix(base)
     art = saved_artifacts(spark, model_dir, matrix, cols) if model_dir else None
     if art is None:
-        art = train_impact_model(matrix, cols, seed=seed, params=gbt_params)
+        art = train_impact_model(matrix, cols, seed=seed, params=boosting)
     t["train"] = time.time() - t0
 
     t0 = time.time()
-    shap = shap_values(art.train, gbt_stage(art.model), art.feature_cols, shap_sample)
+    shap = shap_values(art.train, art.model, art.feature_cols, shap_sample)
     importance = importance_summary(shap, art.feature_cols).persist()
     weights = {r["feature"]: r["mean_abs_shap"] for r in importance.collect()}  # <= #features rows
     if not weights:
@@ -116,11 +126,11 @@ def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | Non
 
 
 def retrain_and_save(spark: SparkSession, raw_deliveries: DataFrame, model_path: str, seed: int | None = None,
-                     gbt_params: dict | None = None) -> dict:
+                     boosting: dict | None = None) -> dict:
     """Train on the deliveries and save the model with its metadata; its metrics."""
     base, path = feature_table(spark, raw_deliveries)
     matrix, cols = model_matrix(base)
-    art = train_impact_model(matrix, cols, seed=seed, params=gbt_params)
+    art = train_impact_model(matrix, cols, seed=seed, params=boosting)
     save_model(art, model_path)
     art.release()
     remove_path(spark, path)

@@ -81,6 +81,31 @@ def _phase(spark, sf):
     return B.deliveries(spark, sf).select(*POS, "phase")
 
 
+#: Bins that overlap, as a user may give them: (name, first over, last over).
+OVERLAPPING_BINS = [("New ball", 1, 3), ("Powerplay", 1, 6), ("Middle", 5, 15), ("Last over", 20, 20), ("Death", 15, 20)]
+
+
+@q("phase_bins_table")
+def _phase_bins(spark, sf):
+    bins = spark.createDataFrame([(*b, i) for i, b in enumerate(OVERLAPPING_BINS)],
+                                 "name string, first_over int, last_over int, position long")
+    return D.assign_phase(B.deliveries(spark, sf).where("over <> 4"), bins).select(*POS, "phase")
+
+
+@q("interval_join")
+def _interval_join(spark, sf):
+    """Orders' totals by the first of many overlapping bands, made of the parts' prices: the bucketed join."""
+    from crease.operators.intervals import first_match
+    from crease.sources.deliveries import read_table
+    price = F.col("p_retailprice").cast("double")
+    bands = read_table(spark, sf, "part").select((price * 50).alias("low"), (price * 60).alias("high"),
+                                                 (F.col("p_partkey") % 2 == 0).alias("closed"),
+                                                 F.col("p_partkey").alias("position"), F.col("p_partkey").alias("partkey"))
+    orders = read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return first_match(orders, "o_totalprice", bands, keep=("partkey",), broadcast_segments=0).select(
+        "o_orderkey", "partkey")
+
+
 @q("valid_ball_flag")
 def _valid(spark, sf):
     return D.valid_ball_flag(D.canonicalise_columns(dirty_deliveries(spark, sf))).select(*POS, "valid_ball")
@@ -880,15 +905,32 @@ def _load(spark, sf):
 @q("shap_values")
 def _shap(spark, sf):
     """Every training row: whether its contributions and the base value add up to the model's own margin."""
+    from crease.operators.boosting import with_margins
     from crease.operators.explain import shap_values
-    from crease.operators.model import gbt_stage
-    from pyspark.ml.functions import vector_to_array
     a = _trained(spark, sf)
-    values = shap_values(a.train, gbt_stage(a.model), MM_FEATURES, keep=["rid"])
-    raw = a.model.transform(a.train.withColumn("_label", F.lit(0.0)))
-    margin = raw.select("rid", (vector_to_array("rawPrediction")[1] * 2).alias("raw"))
+    values = shap_values(a.train, a.model, MM_FEATURES, keep=["rid"])
+    margin = with_margins(a.train, a.model, "raw").select("rid", "raw")
     total = F.col("base_value")
     for c in MM_FEATURES:
         total = total + F.col(c)
     return values.withColumn("total", total).join(margin, "rid").select(
         "rid", (F.abs(F.col("total") - F.col("raw")) < 1e-6).alias("additive"))
+
+
+#: Features with few values, each of which is a cut.
+COUNT_FEATURES = ["boundaries", "dismissals", "wickets"]
+
+
+@q("boosting_first_split")
+def _first_split(spark, sf):
+    """The root of the first tree over all rows: the split that gains most, and its leaves."""
+    from crease.operators.boosting import BoostingParams, fit_boosted_trees
+    one = BoostingParams(rounds=1, max_depth=1, subsample=1.0, colsample=1.0)
+    model = fit_boosted_trees(B.features(spark, sf), COUNT_FEATURES, "team_won", params=one)
+    nodes = model.nodes(spark)
+    root, leaf = nodes.where("node = 0"), nodes.where("node > 0")
+    values = leaf.agg(F.min_by("value", "node").alias("left_value"), F.max_by("value", "node").alias("right_value"))
+    names = F.array(*[F.lit(c) for c in COUNT_FEATURES])
+    return root.select(names[F.col("feature")].alias("feature"), "cut", rnd("gain", 2).alias("gain"),
+                       rnd("cover", 2).alias("cover")).join(F.broadcast(values)).select(
+        "feature", "cut", "gain", "cover", rnd("left_value").alias("left_value"), rnd("right_value").alias("right_value"))

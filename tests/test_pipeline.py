@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from crease.operators.model import deterministic_seed, evaluate_model, find_model_dirs, load_model, read_metadata, save_model
 from crease.plans.pipeline import retrain_and_save, run_pipeline
 
-FEW = {"maxIter": 3}
+FEW = {"rounds": 3}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +28,7 @@ def raw(spark):
 
 @pytest.fixture(scope="module")
 def outputs(spark, raw):
-    out = run_pipeline(spark, raw, gbt_params=FEW)
+    out = run_pipeline(spark, raw, boosting=FEW)
     yield out
     out.release()
 
@@ -80,7 +80,7 @@ def test_unreadable_models_and_metadata_are_passed_over(spark, outputs, tmp_path
 
 
 def test_retrain_and_save(spark, raw, tmp_path):
-    metrics = retrain_and_save(spark, raw, f"{tmp_path}/best_model", gbt_params=FEW)
+    metrics = retrain_and_save(spark, raw, f"{tmp_path}/best_model", boosting=FEW)
     model, meta = load_model(spark, str(tmp_path))
     assert meta["metrics"] == pytest.approx(metrics) and len(meta["feature_columns"]) == 12
 

@@ -57,19 +57,19 @@ def test_best_xi_unique_and_balanced(spark):
 
 
 def test_treeshap_additivity(spark):
+    from crease.operators.boosting import with_margins
     from crease.operators.explain import shap_values
-    from crease.operators.model import gbt_stage, train_impact_model
+    from crease.operators.model import train_impact_model
     rng = np.random.default_rng(0)
     X = rng.random((100, 5))
     y = (X[:, 0] + X[:, 1] > 1).astype(int)
     rows = [(i, int(y[i]), *map(float, X[i])) for i in range(100)]
     cols = [f"f{j}" for j in range(5)]
     df = spark.createDataFrame(rows, "rid long, team_won int, " + ", ".join(f"{c} double" for c in cols))
-    art = train_impact_model(df, cols, params={"maxIter": 5})
-    sv = shap_values(art.train, gbt_stage(art.model), cols, 20, keep=["rid"]).toPandas()
+    art = train_impact_model(df, cols, params={"rounds": 5})
+    sv = shap_values(art.train, art.model, cols, 20, keep=["rid"]).toPandas()
     assert sv.shape == (20, 5 + 3) and np.isfinite(sv[cols].to_numpy()).all()
-    raw = art.model.transform(art.train.withColumn("_label", F.lit(0.0))).select("rid", "rawPrediction").toPandas()
-    raw["m"] = raw["rawPrediction"].apply(lambda v: 2 * float(v[1]))
-    j = sv.merge(raw[["rid", "m"]], on="rid")
+    raw = with_margins(art.train, art.model, "m").select("rid", "m").toPandas()
+    j = sv.merge(raw, on="rid")
     assert np.allclose(j["margin"], j["m"], atol=1e-9)
     assert np.allclose(sv[cols].sum(axis=1) + sv["base_value"], sv["margin"], atol=1e-9)

@@ -131,20 +131,19 @@ def test_logistic_baseline_uses_its_list_and_caps_nothing(spark):
 
 
 def test_every_row_is_explained_in_several_tasks_and_missing_features_too(spark):
-    from pyspark.ml.functions import vector_to_array
+    from crease.operators.boosting import with_margins
     from crease.operators.explain import shap_values
-    from crease.operators.model import gbt_stage, train_impact_model
+    from crease.operators.model import train_impact_model
     rng = np.random.default_rng(5)
     X = rng.random((2300, 3))
     rows = [(i, int(X[i, 0] > X[i, 1]), *[None if i % 97 == 0 and j == 1 else float(X[i, j]) for j in range(3)])
             for i in range(2300)]
     cols = ["f0", "f1", "f2"]
     df = spark.createDataFrame(rows, "rid long, team_won int, " + ", ".join(f"{c} double" for c in cols)).repartition(4)
-    art = train_impact_model(df.dropna(), cols, params={"maxIter": 3})
-    values = shap_values(df, gbt_stage(art.model), cols, keep=["rid"])
+    art = train_impact_model(df.dropna(), cols, params={"rounds": 3})
+    values = shap_values(df, art.model, cols, keep=["rid"])
     assert values.rdd.getNumPartitions() > 1 and values.count() == 2300
-    raw = art.model.transform(df.withColumn("_label", F.lit(0.0))).select(
-        "rid", (vector_to_array("rawPrediction")[1] * 2).alias("raw"))
+    raw = with_margins(df, art.model, "raw").select("rid", "raw")
     assert values.join(raw, "rid").filter(F.abs(F.col("margin") - F.col("raw")) > 1e-9).count() == 0
     art.release()
     assert not art.persisted
