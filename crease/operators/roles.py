@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 from typing import Sequence
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.functions.expressions import with_portable_uniform, zero
+from crease.functions.expressions import zero
+from crease.operators.kmeans import fit_centres, vector_number
 from crease.schema import (
     ALLROUNDER, BATTER_CLUSTER_FEATURES, BOWLER_CLUSTER_FEATURES, SPECIALIST,
 )
@@ -83,74 +80,17 @@ def kmeans_assign(df: DataFrame, zcols: Sequence[str], centroids: list[list[floa
     return df.withColumn(out, _nearest(zcols, centroids))
 
 
-def lloyd_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, id_col: str = "rid",
-                 max_iter: int | None = None, out: str = "cluster", seed: int = 42) -> ClusterResult:
-    """k-means from a start that any SQL engine can repeat: the min(k, rows) rows with the smallest hash of their id
-    are the first centroids, and Lloyd steps run until no centroid moves (an error after ``max_iter``, if given; an
-    empty cluster keeps its centroid). A step is one grouped aggregate whose k centroids come back to the driver. Empty
-    input -> empty result, no fit. ``kmeans_fit`` is the fit with restarts."""
-    features = list(features)
-    d = _prepare(df, features)
-    if d.isEmpty():
-        return _empty(d, features, out)
-    d, mean, std = standardise(d, features)
-    zcols = [c + "_z" for c in features]
-    points = d.select(id_col, *zcols).persist()
-    first = with_portable_uniform(points, id_col, 0, seed, "_u").orderBy("_u", id_col).limit(k).collect()
-    centers = settle(points, zcols, [[r[c] for c in zcols] for r in first], max_iter)
-    points.unpersist()
-    return _result(d, zcols, centers, features, mean, std, out)
-
-
-def settle(points: DataFrame, zcols: list[str], centers: list[list[float]],
-           max_iter: int | None = None) -> list[list[float]]:
-    """Lloyd steps until no centroid moves; an empty cluster keeps its centroid. A step is one grouped aggregate whose
-    k rows come back to the driver. Nothing moves if all clusters keep their rows (count and hash), as means differ in
-    rounding then. It is an error if rows still move after ``max_iter`` steps (None: no bound) or go in a circle."""
-    seen: set[tuple] = set()
-    last = None
-    while max_iter is None or len(seen) < max_iter:
-        rows = kmeans_assign(points, zcols, centers, "_c").groupBy("_c").agg(
-            F.count("*").alias("_n"), F.sum(F.pmod(F.xxhash64(*zcols), F.lit(1 << 31))).alias("_h"),
-            *[F.avg(c).alias(c) for c in zcols]).collect()
-        new = [list(c) for c in centers]
-        for r in rows:
-            new[r["_c"]] = [r[c] for c in zcols]
-        still = max(abs(a - b) for x, y in zip(new, centers) for a, b in zip(x, y)) <= 1e-12
-        centers = new
-        members = tuple(sorted((r["_c"], r["_n"], r["_h"]) for r in rows))
-        if still or members == last:
-            return centers
-        if members in seen:
-            raise RuntimeError(f"k-means goes in a circle after {len(seen)} steps")
-        seen.add(members)
-        last = members
-    raise RuntimeError(f"k-means has not ended after {max_iter} steps")
-
-
 def kmeans_fit(df: DataFrame, features: Sequence[str], k: int = 4, restarts: int = 20, seed: int = 42,
-               max_iter: int = 300, out: str = "cluster", parallel: int = 8) -> ClusterResult:
-    """Spark ML k-means (k-means||) on standardised features, ``restarts`` seeds (``parallel`` at a time), keeping the
-    lowest training cost; k = min(k, rows). The best one is taken to its fixed point. Clusters are numbered by centroid
-    order."""
+               out: str = "cluster") -> ClusterResult:
+    """k-means on standardised features, the best of ``restarts`` fits (``kmeans.fit_centres``), each taken to its fixed
+    point; k = min(k, distinct rows). Clusters are numbered by centroid order. Empty input -> empty result, no fit."""
     features = list(features)
     d = _prepare(df, features)
-    n = d.limit(k).count()
-    if n == 0:
+    if d.isEmpty():
         return _empty(d, features, out)
     d, mean, std = standardise(d, features)
     zcols = [c + "_z" for c in features]
-    points = d.select(*zcols).persist()
-    vec = VectorAssembler(inputCols=zcols, outputCol="_zv").transform(points)
-
-    def fit(r: int) -> tuple[float, int, list[list[float]]]:
-        model = KMeans(k=min(k, n), seed=seed + r, maxIter=max_iter, featuresCol="_zv").fit(vec)
-        return model.summary.trainingCost, r, [list(map(float, c)) for c in model.clusterCenters()]
-
-    with ThreadPool(parallel) as pool:
-        _, _, centers = min(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(restarts)))
-    centers = sorted(settle(points, zcols, centers))
-    points.unpersist()
+    centers, _ = fit_centres(d, zcols, vector_number([F.col(c) for c in features]), k, restarts, seed)
     return _result(d, zcols, centers, features, mean, std, out)
 
 
@@ -173,15 +113,14 @@ def kmeans_check(result: ClusterResult, out: str = "cluster") -> DataFrame:
     return sums.select("cluster", "misassigned", drift.alias("drift"))
 
 
-def cluster_batters(batting: DataFrame, k: int = 4, method: str = "restarts", **kw) -> ClusterResult:
-    """Batter archetypes; ``method`` is ``restarts`` (``kmeans_fit``) or ``lloyd`` (``lloyd_kmeans``)."""
-    fit = lloyd_kmeans if method == "lloyd" else kmeans_fit
-    return fit(batting, BATTER_CLUSTER_FEATURES, k, out="batter_cluster", **kw)
+def cluster_batters(batting: DataFrame, k: int = 4, **kw) -> ClusterResult:
+    """Batter archetypes: the best of the restarts of ``kmeans_fit``."""
+    return kmeans_fit(batting, BATTER_CLUSTER_FEATURES, k, out="batter_cluster", **kw)
 
 
-def cluster_bowlers(bowling: DataFrame, k: int = 4, method: str = "restarts", **kw) -> ClusterResult:
-    fit = lloyd_kmeans if method == "lloyd" else kmeans_fit
-    return fit(bowling, BOWLER_CLUSTER_FEATURES, k, out="bowler_cluster", **kw)
+def cluster_bowlers(bowling: DataFrame, k: int = 4, **kw) -> ClusterResult:
+    """Bowler archetypes: the best of the restarts of ``kmeans_fit``."""
+    return kmeans_fit(bowling, BOWLER_CLUSTER_FEATURES, k, out="bowler_cluster", **kw)
 
 
 def _p(col: str, q: float) -> Column:

@@ -105,13 +105,13 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, sf_dir: str):
-    """Batter and bowler clusterings from a repeatable start plus their label tables (memoised)."""
+    """Batter and bowler clusterings, the best of 20 restarts each, plus their label tables (memoised)."""
     from crease.operators import roles as R
     key = (spark.sparkContext.applicationId, sf_dir, "clusters")
     if key not in _MEMO:
         base = indexed(spark, sf_dir)
-        bat = R.cluster_batters(base, method="lloyd")
-        bowl = R.cluster_bowlers(base, method="lloyd")
+        bat = R.cluster_batters(base)
+        bowl = R.cluster_bowlers(base)
         _MEMO[key] = (bat, bowl, R.label_batter_clusters(bat.centroids), R.label_bowler_clusters(bowl.centroids))
     return _MEMO[key]
 

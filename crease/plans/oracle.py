@@ -548,6 +548,7 @@ SQL["stratified_split"] = SCORED + sql_strat("scored", "y_true") + "\nSELECT rid
 # --------------------------------------------------------------- bootstrap
 from crease.functions.expressions import HASH_MOD  # noqa: E402
 from crease.operators.bootstrap import EXACT_ROWS, NUMBER_HALVES, POISSON1_CDF, SCORE_UNITS  # noqa: E402
+from crease.operators.kmeans import DRAWS, UNITS  # noqa: E402
 
 
 def sql_boot(src: str, models: dict[str, tuple[str, str]], n_boot: int = 1000, seed: int = 42) -> str:
@@ -668,38 +669,66 @@ SELECT 'roc_auc' AS metric, ROUND(auc.roc_auc - bauc.roc_auc, 6) AS delta,
  ROUND((SELECT quantile_cont(value, 0.975) FROM dl), 6) AS ci_upper FROM auc CROSS JOIN bauc"""
 
 # ------------------------------------------------------------------ roles
-def sql_lloyd(px: str, src: str, feats: list[str], k: int = 4, seed: int = 42, max_iter: int = 300) -> str:
-    """Lloyd steps as a recursive query: a state is the k centroids (a list of lists, by number) of one step; it goes
-    on until no centroid moves."""
+def sql_kmeans(px: str, src: str, feats: list[str], k: int = 4, restarts: int = 20, seed: int = 42) -> str:
+    """The best of all restarts: starts drawn by races of exponential times over the distinct vectors, Lloyd steps as a
+    recursive query (a state is a restart's centres and its clusters' weights and hashes) that ends when no cluster of
+    any restart changes."""
     n = len(feats)
+    names = ", ".join(feats)
     st = ", ".join(f"AVG({f}) AS m{i}, CASE WHEN COALESCE(stddev_pop({f}), 0) = 0 THEN 1E0 ELSE stddev_pop({f}) END AS s{i}"
                    for i, f in enumerate(feats))
     z = ", ".join(f"({f} - m{i}) / s{i} AS z{i}" for i, f in enumerate(feats))
     zs = "[" + ", ".join(f"z{i}" for i in range(n)) + "]"
+    steps, last = [], f"{px}v0"
+    for i, f in enumerate(feats):
+        key = f"CAST(FLOOR({f} * {UNITS} + 0.5) AS BIGINT)"
+        low = f"((({key} % {HASH_MOD}) + {HASH_MOD}) % {HASH_MOD})"
+        high = f"(((({key} - {low}) // {HASH_MOD}) % {HASH_MOD} + {HASH_MOD}) % {HASH_MOD})"
+        mixed = ", ".join(f"(n{j} * {a} + {low} * {b} + {high} * {c} + {step}) % {HASH_MOD} AS n{j}"
+                          for j, (a, b, c, step, _) in enumerate(NUMBER_HALVES))
+        squared = ", ".join(f"(n{j} * n{j} + {half[4]}) % {HASH_MOD} AS n{j}" for j, half in enumerate(NUMBER_HALVES))
+        steps.append(f"{px}va{i} AS (SELECT * REPLACE ({mixed}) FROM {last}),\n"
+                     f"{px}vb{i} AS (SELECT * REPLACE ({squared}) FROM {px}va{i}),")
+        last = f"{px}vb{i}"
+
+    def race(j: int) -> str:
+        return f"-ln(GREATEST({portable_uniform_sql('number', f'(r * {DRAWS} + {j})', seed)}, 1E-12))"
+
+    far = " + ".join(f"(z{i} - q[{i + 1}]) * (z{i} - q[{i + 1}])" for i in range(n))
+    draws = "".join(f"""
+{px}s{j} AS (SELECT r, list_append(any_value(c), arg_min(z, score)) AS c FROM (
+ SELECT r, c, {zs} AS z, {race(j)} / near AS score FROM (
+  SELECT s.r, s.c, p.*, list_min(list_transform(s.c, lambda q: {far})) AS near FROM {px}s{j - 1} s CROSS JOIN {px}p p) d
+ WHERE near > 0) e GROUP BY r),""" for j in range(1, k))
     dist = [" + ".join(f"(z{i} - c[{j + 1}][{i + 1}]) * (z{i} - c[{j + 1}][{i + 1}])" for i in range(n)) for j in range(k)]
-    far = "CAST('infinity' AS DOUBLE)"
-    ds = ", ".join(f"CASE WHEN len(c) >= {j + 1} THEN {d} ELSE {far} END" for j, d in enumerate(dist))
-    means = "[" + ", ".join(f"AVG(z{i})" for i in range(n)) + "]"
+    ds = ", ".join(f"CASE WHEN len(c) >= {j + 1} THEN {d} ELSE CAST('infinity' AS DOUBLE) END" for j, d in enumerate(dist))
+    means = "[" + ", ".join(f"SUM(w * z{i}) / SUM(w)" for i in range(n)) + "]"
     raw = ", ".join(f"c.cen[{i + 1}] * s{i} + m{i} AS {f}" for i, f in enumerate(feats))
     return f""",
 {px}st AS (SELECT {st} FROM {src}),
 {px}z AS (SELECT rid, {z} FROM {src} CROSS JOIN {px}st),
-{px}first AS (SELECT {zs} AS cen, u, rid FROM (SELECT *, {portable_uniform_sql('rid', '0', seed)} AS u FROM {px}z) q
- ORDER BY u, rid LIMIT {k}),
-{px}step(it, c, done) AS (
- SELECT 0, list(cen ORDER BY u, rid), FALSE FROM {px}first
+{px}v0 AS (SELECT {names}, COUNT(*) AS w, CAST(1 AS BIGINT) AS n0, CAST(1 AS BIGINT) AS n1 FROM {src} GROUP BY {names}),
+{chr(10).join(steps)}
+{px}p AS MATERIALIZED (SELECT {z}, w, n0 * 2147483648 + n1 AS number FROM {last} CROSS JOIN {px}st),
+{px}s0 AS (SELECT g.range AS r, [arg_min({zs}, {race(0).replace("(r *", "(g.range *")})] AS c
+ FROM {px}p CROSS JOIN range({restarts}) g GROUP BY g.range),{draws}
+{px}step(it, r, c, mem, done) AS (
+ SELECT 0, r, c, '', FALSE FROM {px}s{k - 1}
  UNION ALL
- SELECT it + 1, list(COALESCE(cen, c[j + 1]) ORDER BY j),
-  max(CASE WHEN cen IS NULL THEN 0E0 ELSE list_sum(list_transform(range(1, {n} + 1),
-   lambda i: abs(cen[i] - c[j + 1][i]))) END) <= 1E-12
+ SELECT it + 1, r, list(COALESCE(cen, c[j + 1]) ORDER BY j), string_agg(sig, ';' ORDER BY j),
+  string_agg(sig, ';' ORDER BY j) = mem
  FROM (
-  SELECT s.it, s.c, g.range AS j, q.cen
+  SELECT s.it, s.r, s.c, s.mem, g.range AS j, q.cen, COALESCE(q.sig, '') AS sig
   FROM {px}step s CROSS JOIN range({k}) g LEFT JOIN (
-   SELECT list_position(ds, list_min(ds)) - 1 AS j, {means} AS cen
-   FROM (SELECT z.*, [{ds}] AS ds FROM {px}z z CROSS JOIN {px}step) d GROUP BY 1) q ON q.j = g.range
-  WHERE NOT s.done AND s.it < {max_iter} AND g.range < len(s.c)) t
- GROUP BY it, c),
-{px}last AS (SELECT c FROM {px}step ORDER BY it DESC LIMIT 1),
+   SELECT r, list_position(ds, list_min(ds)) - 1 AS j, {means} AS cen, SUM(w) || ',' || SUM(number & 1073741823) AS sig
+   FROM (SELECT p.*, o.r, [{ds}] AS ds FROM {px}p p CROSS JOIN {px}step o WHERE NOT o.done) d GROUP BY 1, 2) q
+   ON q.r = s.r AND q.j = g.range
+  WHERE NOT s.done AND g.range < len(s.c)) t
+ GROUP BY it, r, c, mem),
+{px}last AS (SELECT list_sort(any_value(c)) AS c FROM (
+ SELECT r, c, SUM(w * list_min(ds)) AS cost FROM (
+  SELECT p.*, o.r, o.c, [{ds}] AS ds FROM {px}p p CROSS JOIN {px}step o WHERE o.done) d
+ GROUP BY r, c ORDER BY cost, r LIMIT 1) b),
 {px}asg AS (SELECT rid, list_position(ds, list_min(ds)) - 1 AS cl
  FROM (SELECT z.*, [{ds}] AS ds FROM {px}z z CROSS JOIN {px}last) d),
 {px}cen AS (SELECT unnest(range(len(c))) AS cl, unnest(c) AS cen FROM {px}last),
@@ -707,7 +736,7 @@ def sql_lloyd(px: str, src: str, feats: list[str], k: int = 4, seed: int = 42, m
 
 
 CLU = IDX.replace("WITH ", "WITH RECURSIVE ", 1) + """,
-cb AS (SELECT idx.*, CAST(ROW_NUMBER() OVER (ORDER BY match_id, team, player) AS BIGINT) AS rid FROM idx)""" + sql_lloyd("bt_", "cb", BAT_F) + sql_lloyd("bw_", "cb", BOWL_F) + """,
+cb AS (SELECT idx.*, CAST(ROW_NUMBER() OVER (ORDER BY match_id, team, player) AS BIGINT) AS rid FROM idx)""" + sql_kmeans("bt_", "cb", BAT_F) + sql_kmeans("bw_", "cb", BOWL_F) + """,
 bt_lab AS (SELECT CAST(cluster AS BIGINT) AS cluster, CASE
   WHEN batting_strike_rate >= (SELECT quantile_cont(batting_strike_rate, 0.75) FROM bt_cent) THEN 'Power Hitter'
   WHEN dot_percentage >= (SELECT quantile_cont(dot_percentage, 0.75) FROM bt_cent) THEN 'Anchor'

@@ -88,7 +88,7 @@ def saved_artifacts(spark: SparkSession, model_dir: str, matrix: DataFrame, cols
 
 
 def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | None = None,
-                 boosting: dict | None = None, shap_sample: int | None = None, clustering: str = "restarts",
+                 boosting: dict | None = None, shap_sample: int | None = None,
                  model_dir: str | None = None) -> PipelineOutputs:
     """The whole run. A model saved in ``model_dir`` is preferred; without one (or without a folder) it is trained."""
     t = {}
@@ -113,8 +113,8 @@ def run_pipeline(spark: SparkSession, raw_deliveries: DataFrame, seed: int | Non
 
     t0 = time.time()
     ratings = player_ratings(matrix, weights)
-    bat = R.cluster_batters(base, method=clustering)
-    bowl = R.cluster_bowlers(base, method=clustering)
+    bat = R.cluster_batters(base)
+    bowl = R.cluster_bowlers(base)
     bl, wl = R.label_batter_clusters(bat.centroids), R.label_bowler_clusters(bowl.centroids)
     profiles = player_profiles(ratings, player_volume(base), R.cluster_mode(bat.assigned, "batter_cluster"),
                                R.cluster_mode(bowl.assigned, "bowler_cluster"), bl, wl)

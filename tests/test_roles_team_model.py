@@ -8,14 +8,14 @@ from crease.operators.team import best_xi
 
 def test_empty_clustering_keeps_columns(spark):
     df = spark.createDataFrame([], "rid long, feature_a double, feature_b double")
-    res = R.lloyd_kmeans(df, ["feature_a", "feature_b"], 4)
+    res = R.kmeans_fit(df, ["feature_a", "feature_b"], 4)
     assert res.assigned.count() == 0 and "cluster" in res.assigned.columns
     assert res.centroids.count() == 0
 
 
-def test_lloyd_separates_obvious_groups(spark):
+def test_kmeans_separates_obvious_groups(spark):
     rows = [(i, float(i % 2) * 100 + (i % 5) * 0.1, 1.0) for i in range(40)]
-    res = R.lloyd_kmeans(spark.createDataFrame(rows, "rid long, a double, b double"), ["a", "b"], k=2)
+    res = R.kmeans_fit(spark.createDataFrame(rows, "rid long, a double, b double"), ["a", "b"], k=2)
     got = {}
     for r in res.assigned.collect():
         got.setdefault(r.a >= 50, set()).add(r.cluster)

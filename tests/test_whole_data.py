@@ -18,19 +18,40 @@ from crease.schema import METRIC_COLUMNS
 
 def test_kmeans_finds_k_groups_whatever_the_ids_residues(spark):
     rows = [(4 * i, float(i % 4) * 10 + (i % 3) * 0.01) for i in range(80)]
-    res = R.lloyd_kmeans(spark.createDataFrame(rows, "rid long, a double"), ["a"], k=4)
+    res = R.kmeans_fit(spark.createDataFrame(rows, "rid long, a double"), ["a"], k=4)
     assert res.centroids.count() == 4 and res.assigned.select("cluster").distinct().count() >= 2
-    few = R.lloyd_kmeans(spark.createDataFrame(rows[:3], "rid long, a double"), ["a"], k=4)
+    few = R.kmeans_fit(spark.createDataFrame(rows[:3], "rid long, a double"), ["a"], k=4)
     assert few.centroids.count() == 3 and few.assigned.select("cluster").distinct().count() == 3
 
 
-@pytest.mark.parametrize("fit", [R.lloyd_kmeans, R.kmeans_fit])
-def test_kmeans_runs_to_a_fixed_point(spark, fit):
+def test_kmeans_runs_to_a_fixed_point_no_dearer_than_spark_s_best(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
     rng = np.random.default_rng(1)
-    rows = [(i, *map(float, rng.normal(0, 1, 2))) for i in range(600)]
-    res = fit(spark.createDataFrame(rows, "rid long, a double, b double"), ["a", "b"], k=4)
-    for r in R.kmeans_check(res).collect():
-        assert r.misassigned == 0 and r.drift < 1e-9
+    rows = [(i, *map(float, np.round(rng.normal(0, 1, 2), 1))) for i in range(600)]  # many rows are equal
+    df = spark.createDataFrame(rows, "rid long, a double, b double")
+    res = R.kmeans_fit(df, ["a", "b"], k=4, restarts=8)
+    assert [r.misassigned for r in R.kmeans_check(res).collect()] == [0] * 4
+    assert all(r.drift < 1e-9 for r in R.kmeans_check(res).collect())
+    z, _, _ = R.standardise(df, ["a", "b"])
+    x = np.array([(r.a_z, r.b_z) for r in z.orderBy("rid").collect()])
+    centres = np.array([[(r.a - res.mean[0]) / res.std[0], (r.b - res.mean[1]) / res.std[1]] for r in res.centroids.collect()])
+    cost = ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+    vec = VectorAssembler(inputCols=["a_z", "b_z"], outputCol="v").transform(z)
+    best = min(KMeans(k=4, seed=s, featuresCol="v").fit(vec).summary.trainingCost for s in range(3))
+    assert cost <= best * (1 + 1e-9)
+    again = R.kmeans_fit(df.repartition(5), ["a", "b"], k=4, restarts=8)
+    assert {r.rid: r.cluster for r in again.assigned.collect()} == {r.rid: r.cluster for r in res.assigned.collect()}
+
+
+def test_kmeans_reads_distinct_vectors_only(spark, monkeypatch):
+    from crease.operators import kmeans
+    seen = []
+    step = kmeans._step
+    monkeypatch.setattr(kmeans, "_step", lambda points, d, centres: seen.append(points.count()) or step(points, d, centres))
+    df = spark.range(5_000).selectExpr("id rid", "CAST(id % 6 AS DOUBLE) a")
+    res = R.kmeans_fit(df, ["a"], k=3)
+    assert set(seen) == {6} and sorted(r.a for r in res.centroids.collect()) == pytest.approx([0.5, 2.5, 4.5])
 
 
 def test_uniform_numbers_tell_ids_apart_over_the_whole_range(spark):
@@ -211,31 +232,3 @@ def test_feature_frame_fills_what_is_missing(spark):
     d = balls(spark, [ball(1, "A", "B", "a1", "b1", 4, "Middle")])
     for r in feature_frame(player_match_stats(d)).collect():
         assert None not in (r.runs_scored, r.balls_bowled, r.bowling_economy, r.phase_efficacy)
-
-
-class Moving:
-    """Points whose only centroid is at ``path(step)``."""
-
-    def __init__(self, path):
-        self.path, self.step = path, 0
-
-    def groupBy(self, *_):
-        return self
-
-    agg = groupBy
-
-    def collect(self):
-        self.step += 1
-        at = self.path(self.step)
-        return [{"_c": 0, "_n": 1, "_h": int(at), "x": float(at)}]
-
-
-def test_lloyd_steps_go_on_until_nothing_moves(spark, monkeypatch):
-    monkeypatch.setattr(R, "kmeans_assign", lambda points, *_: points)
-    assert R.settle(Moving(lambda i: min(i, 700)), ["x"], [[0.0]]) == [[700.0]]
-    assert R.settle(Moving(lambda i: min(i, 3)), ["x"], [[0.0]], max_iter=4) == [[3.0]]
-    # rounding moves a mean for ever, but no row moves
-    assert R.settle(Moving(lambda i: 5 + 1e-9 * i), ["x"], [[0.0]])[0][0] == pytest.approx(5)
-    for path, bound in ((lambda i: i, 5), (lambda i: i % 2, None)):
-        with pytest.raises(RuntimeError):
-            R.settle(Moving(path), ["x"], [[0.0]], max_iter=bound)
