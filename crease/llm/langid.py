@@ -32,7 +32,7 @@ N_BYTES, BUCKETS = 4, 1 << 16
 SMOOTHING = 0.5
 #: Log-likelihood a further language has to gain, and that much more for each doubling of the text.
 PENALTY, PENALTY_PER_DOUBLING = 8.0, 1.0
-EM_ROUNDS = 40
+#: Proportions are found when none moves by more in a step.
 EM_TOLERANCE = 1e-4
 UNDETERMINED = "und"
 
@@ -88,13 +88,11 @@ def learn_languages(docs: DataFrame, learn: Column, language: str = "lang") -> L
 def mix(likelihood: np.ndarray, weight: np.ndarray, members: list[int]) -> tuple[np.ndarray, float]:
     """(proportions of the members, log-likelihood) by expectation-maximisation."""
     of = likelihood[members]
-    share = np.full(len(members), 1.0 / len(members))
-    for _ in range(EM_ROUNDS if len(members) > 1 else 1):
+    share, moved = np.full(len(members), 1.0 / len(members)), 1.0
+    while moved >= EM_TOLERANCE:  # the likelihood rises with every step
         expected = share[:, None] * of
         new = (expected / expected.sum(axis=0) * weight).sum(axis=1) / weight.sum()
         moved, share = np.abs(new - share).max(), new
-        if moved < EM_TOLERANCE:
-            break
     return share, float((weight * np.log(share @ of)).sum())
 
 

@@ -114,13 +114,19 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 5) -> Qual
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> QualityModel:
-    """Fit on at most ``max_rows`` of the rows of ``labels`` (doc_id, quality) that ``learn`` holds for."""
+    """Fit on at most ``max_rows`` of the labelled texts that ``learn`` holds for: the first by a hash of the id, then by
+    a hash of the text where several documents have one id.  Equal texts of an id count once."""
     chosen = (labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
               .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows))
     chosen = materialise(chosen, "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    # an id may have any number of documents, so the bound is set again after the join, on narrow rows
+    bounded = materialise(texts.select("doc_id", "hash").join(F.broadcast(chosen), "doc_id").distinct()
+                          .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "hash").limit(max_rows), "bounded")
+    sample = (texts.join(F.broadcast(bounded), ["doc_id", "hash"]).groupBy("doc_id", "hash", "quality")
+              .agg(F.first("text").alias("text")).select("doc_id", "quality", "text"))
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
