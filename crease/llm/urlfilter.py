@@ -1,10 +1,10 @@
 """URL rules by a blocked Bloom filter and an exact hash join; DataFrame functions only.
 
 The list holds canonical URL keys, host then path.  A url asks for every key that could fit it: each suffix of its host
-on label borders, followed by each beginning of its path that has the length of a listed path.  The Bloom filter keeps
-the possible hits among them, so that only these are exploded; the exact hash join with the list removes what the
-filter let through by mistake.  The filter is split into blocks of 64 bits: a key's hash names one block and
-``PROBES`` bits of it, so a test reads one word.
+on label borders, followed by each beginning of its path that has the length of a listed path.  The Bloom filter drops
+the keys that cannot be in the list before anything is joined or shuffled; the exact hash join with the list removes what
+the filter let through by mistake.  The filter is an array of 64-bit blocks: a key's hash names one block and ``PROBES``
+bits of it, so a test reads one word, however long the list is.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; of rules with equal keys
 the smallest verdict counts; a rule with a null host is no rule, a null path counts as empty; an empty list gives
@@ -61,17 +61,22 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
 
 
 def bloom_filter(prepared: DataFrame, blocks: int) -> DataFrame:
-    """One row: ``bloom``, the filter's blocks that are not empty by number, and ``lengths``, the listed path lengths.
-    At most ``MAX_BLOCKS`` entries."""
+    """One row: ``bloom``, the filter's blocks by number, and ``lengths``, the listed path lengths.  At most
+    ``MAX_BLOCKS`` words."""
     key, n = F.col("rule"), F.lit(blocks)
-    filled = prepared.groupBy(key_block(key, n).alias("block")).agg(F.bit_or(key_bits(key)).alias("bits"))
-    words = filled.agg(F.map_from_entries(F.collect_list(F.struct("block", "bits"))).alias("bloom"))
+    empty = prepared.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"),
+                                                       F.lit(0).cast("long").alias("bits"))
+    filled = (prepared.select(key_block(key, n).alias("block"), key_bits(key).alias("bits")).unionByName(empty)
+              .groupBy("block").agg(F.bit_or("bits").alias("bits")))
+    words = filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "bits"))), lambda w: w["bits"])
+                       .alias("bloom"))
     lengths = prepared.agg(F.array_sort(F.collect_set("rule_path_length")).alias("lengths"))
     return words.select("bloom", lengths.scalar().alias("lengths"))
 
 
 def possible_hits(pages: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
-    """``pages`` with ``hits``: the keys of each url that pass the filter, as (rule, rule_host_length)."""
+    """``pages`` with ``rule, rule_host_length``: a row for each key of its url that passes the filter, and one without
+    a key."""
     labels = F.split(F.col("host"), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -80,18 +85,15 @@ def possible_hits(pages: DataFrame, bloom: DataFrame, blocks: int) -> DataFrame:
     keys = F.flatten(F.transform(F.filter("suffixes", lambda h: F.length(h) > 0),
                                  lambda h: F.transform(F.col("starts"), lambda p: F.struct(
                                      F.concat(h, p).alias("rule"), F.length(h).alias("rule_host_length")))))
-    n = F.lit(blocks)
-
-    def passes(k: Column) -> Column:
-        bits = key_bits(k["rule"])
-        word = F.coalesce(F.try_element_at(F.col("bloom"), key_block(k["rule"], n)), F.lit(0).cast("long"))
-        return word.bitwiseAND(bits) == bits
-
-    return (pages.withColumn("bloom", bloom.select("bloom").scalar())
-            .withColumn("lengths", F.coalesce(bloom.select("lengths").scalar(), F.array().cast("array<int>")))
-            .withColumn("suffixes", suffixes).withColumn("starts", starts)
-            .withColumn("hits", F.filter(keys, passes))
-            .drop("bloom", "lengths", "suffixes", "starts"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("rule"), F.lit(None).cast("int").alias("rule_host_length")))
+    asked = (pages.withColumn("lengths", F.coalesce(bloom.select("lengths").scalar(), F.array().cast("array<int>")))
+             .withColumn("suffixes", suffixes).withColumn("starts", starts)
+             .select(*pages.columns, F.explode(F.concat(none, keys)).alias("key"))
+             .select(*pages.columns, "key.rule", "key.rule_host_length"))
+    # the filter stands in the condition itself: as a column it would be copied into every row
+    bits = key_bits(F.col("rule"))
+    word = F.get(bloom.select("bloom").scalar(), key_block(F.col("rule"), F.lit(blocks)))
+    return asked.where(F.col("rule").isNull() | (word.bitwiseAND(bits) == bits))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -106,10 +108,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     urls = pages.select(F.col("page_id"), url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"),
                         F.monotonically_increasing_id().alias("row"))
     listed = F.broadcast(prepared) if count <= BROADCAST_RULES else prepared
-    asked = (possible_hits(urls, bloom_filter(prepared, blocks), blocks)
-             .select("page_id", "host", "path", "row", F.explode_outer("hits").alias("hit"))
-             .select("page_id", "host", "path", "row", F.col("hit.rule").alias("rule"),
-                     F.col("hit.rule_host_length").alias("rule_host_length")))
+    asked = possible_hits(urls, bloom_filter(prepared, blocks), blocks)
     fitted = asked.join(listed, ["rule", "rule_host_length"], "left")
     order = F.when(F.col("rule_verdict").isNotNull(),
                    F.struct(F.length("rule").alias("n"), F.col("rule_host_length").alias("h"),
