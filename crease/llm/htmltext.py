@@ -15,8 +15,9 @@ leave) count once, whatever menus and adverts stand around it, so copies of an a
 template, and places on fewer than ``LEAST_PAGES`` different pages have no evidence and are kept.
 
 Tags and names that say what a branch is (``nav``, ``class="ad"`` ...) settle it without entropy, as does ``article`` or
-``main`` for where the text is: on the given pages menus, adverts and footers change from page to page, and entropy
-alone would keep them.
+``main`` for where the text is.  Inside the article names decide nothing, but for a few that mean adverts and comments
+as a whole class or id.  On the given pages menus, adverts and footers change from page to page, so entropy alone would
+keep them, and the tree changes no page's text there; it decides where a site repeats texts that no tag or name tells.
 
 Only counts are shuffled, never html: one short row for each place, presentation and text of a page.  The importances
 are broadcast after a check of their number; beyond ``BROADCAST_PLACES`` they are joined to short rows (page, place), and
@@ -30,6 +31,7 @@ columns of the input are not read, whatever their names.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -56,8 +58,9 @@ BLOCK = frozenset("""address article aside blockquote body center dd details dia
 #: Elements whose content is not text of the page.
 RAW = frozenset("script style template noscript textarea title iframe svg canvas select object video audio".split())
 #: Start tags that end an open element of these kinds.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-        "th": {"td", "th"}}
+ENDS = {tag: frozenset(kinds.split()) for tag, kinds in (
+    ("li", "li"), ("dt", "dt dd"), ("dd", "dt dd"), ("tr", "tr td th"), ("td", "td th"), ("th", "td th"))}
+PARAGRAPH, NOT_PARAGRAPH = frozenset(("p",)), BLOCK - {"p"}
 #: Elements that a search for an open element to end stops at.
 LIMIT = frozenset("article aside body dl footer form header main nav ol section table ul".split())
 NOISE_TAGS = frozenset("aside button dialog footer form head header menu nav".split())
@@ -69,22 +72,30 @@ NOISE_NAMES = frozenset("""ad ads adsense advert advertisement advertisements ad
     related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe
     subscription tags teaser toolbar warning widget widgets""".split())
 COMMENT_NAMES = frozenset("comment comments reply replies teaser related ad advert sponsored promo".split())
-HEADER_NAMES = frozenset(("header", "masthead", "byline", "tags"))
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-                    re.S)
+#: Inside the article only these decide, as a whole class or id and on elements that hold others: adverts and threads of
+#: comments.  Any other word may be what the article is about.
+ARTICLE_NOISE = frozenset("ad ads advert advertisement comments comment-list commentlist disqus_thread".split())
+HOLDERS = frozenset("div section ul ol table".split())
+
+#: A quote that is never closed ends with its tag.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
+                    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "names", "hidden", "parent", "kids", "place")
+    """An element; the last four slots are of its whole branch, and ``survey`` sets them."""
+
+    __slots__ = ("tag", "key", "names", "tokens", "hidden", "parent", "kids", "place",
+                 "chars", "link_chars", "links", "holds_main")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
-        self.names, self.hidden, styled = frozenset(), False, ""
+        self.names, self.tokens, self.hidden, styled = frozenset(), frozenset(), False, ""
         if attributes:
-            words = []
+            words, tokens = [], []
             for name, value in _NAMES.findall(attributes):
                 name, value = name.lower(), unescape(value.strip("\"'"))
                 if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -93,8 +104,9 @@ class Node:
                     self.hidden |= bool(re.search(r"display\s*:\s*none", value, re.I))
                 elif name in ("class", "id", "role"):
                     words += [w.lower() for w in _WORD.findall(value)]
+                    tokens += value.lower().split()
                     styled += f".{value}" if name == "class" else ""
-            self.names = frozenset(words)
+            self.names, self.tokens = frozenset(words), frozenset(tokens)
         self.key = tag + styled
         above = parent.place if parent else 0
         self.place = xxhash.xxh3_64_intdigest(self.key.encode(), seed=above & 0x7FFFFFFFFFFFFFFF) >> 1
@@ -113,6 +125,7 @@ def parse(html: str) -> Node:
     """The tree of block elements with their texts; inline elements belong to the text around them."""
     root = node = Node("html", "", None)
     words, link_words, links, in_link = [], [], 0, False
+    opened = Counter()  # open elements by tag: a search for one that is not open need not begin
 
     def flush() -> None:
         nonlocal links
@@ -124,15 +137,21 @@ def parse(html: str) -> Node:
             link_words.clear()
         links = 0
 
-    def find(kinds: set[str] | frozenset[str], limit: frozenset[str]) -> Node | None:
+    def close(kinds: frozenset[str], limit: frozenset[str]) -> None:
+        """Close the innermost open element of these kinds, unless one of ``limit`` lies further in."""
+        nonlocal node
+        if not any(opened[kind] for kind in kinds):
+            return
         at = node
-        while at.parent is not None:
-            if at.tag in kinds:
-                return at
-            if at.tag in limit:
-                return None
+        while at.tag not in kinds:
+            if at.parent is None or at.tag in limit:
+                return
             at = at.parent
-        return None
+        while True:
+            opened[node.tag] -= 1
+            last, node = node, node.parent
+            if last is at:
+                return
 
     def say(piece: str) -> None:
         if piece:
@@ -149,12 +168,12 @@ def parse(html: str) -> Node:
             break
         say(html[at:found.start()])
         at = found.end()
-        tag = found[2]
+        tag = found[2] or found[5]
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(found[1])
+        tag, closing, attributes = tag.lower(), bool(found[1] or found[4]), found[3] or found[6] or ""
         if tag in RAW:
-            if not closing and not found[3].endswith("/"):
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
             words.append(" ")
@@ -167,28 +186,39 @@ def parse(html: str) -> Node:
         elif closing:
             flush()
             in_link = False
-            open_one = find({tag}, frozenset() if tag in LIMIT or tag == "div" else LIMIT)
-            if open_one is not None:
-                node = open_one.parent
+            close(frozenset((tag,)), frozenset() if tag in LIMIT or tag == "div" else LIMIT)
         else:
             flush()
             in_link = False
-            paragraph = find({"p"}, BLOCK - {"p"})
-            if paragraph is not None:
-                node = paragraph.parent
+            close(PARAGRAPH, NOT_PARAGRAPH)
             if tag in ENDS:
-                before = find(ENDS[tag], LIMIT)
-                if before is not None:
-                    node = before.parent
+                close(ENDS[tag], LIMIT)
             if tag in VOID or tag == "html":
                 continue
-            child = Node(tag, found[3] or "", node)
+            child = Node(tag, attributes, node)
             node.kids.append(child)
+            opened[tag] += 1
             node = child
     flush()
+    survey(root)
     return root
 
 
+def survey(root: Node) -> None:
+    """What is needed of whole branches, in one pass from below."""
+    for node in reversed(list(elements(root))):
+        node.chars = node.link_chars = node.links = 0
+        node.holds_main = node.tag in ("article", "main") and not node.names & COMMENT_NAMES
+        for kid in node.kids:
+            node.link_chars += kid.link_chars
+            node.links += kid.links
+            if isinstance(kid, Text):
+                node.chars += len(kid.text.replace(" ", ""))
+            else:
+                node.chars += kid.chars
+                node.holds_main |= kid.holds_main
+
+
 def elements(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -207,11 +237,10 @@ def is_noise(node: Node, in_article: bool) -> bool:
         return bool(node.names & COMMENT_NAMES)
     if node.tag in NOISE_TAGS:
         return not (in_article and node.tag == "header")
-    names = node.names & NOISE_NAMES
     if in_article:
-        names = names - HEADER_NAMES
+        return node.tag in HOLDERS and bool(node.tokens & ARTICLE_NOISE)
     # a wrapper may be named after what stands beside the article in it
-    return bool(names) and not any(x.tag in ("article", "main") and not x.names & COMMENT_NAMES for x in elements(node))
+    return bool(node.names & NOISE_NAMES) and not node.holds_main
 
 
 def site_rows(root: Node) -> Iterator[tuple[int, bool, int]]:
@@ -235,34 +264,34 @@ def site_rows(root: Node) -> Iterator[tuple[int, bool, int]]:
 Importance = dict[int, tuple[float, int, float | None]]
 
 
-def highest_importance(node: Node, known: Importance) -> float:
-    """The largest composite importance in a branch; 1 where there is no evidence.  A branch is noise only if all of
-    it is."""
+def low_branches(root: Node, known: Importance) -> set[int]:
+    """The branches (by ``id``) that are under ``LEAST_IMPORTANCE`` and hold nothing else: one pass from below.  An
+    element without evidence is not low."""
     value: dict[int, float] = {}
-    highest = 0.0
-    for at in reversed(list(elements(node))):
-        found = known.get(at.place)
-        parts = [value[id(k)] for k in at.kids if isinstance(k, Node)]
+    low: set[int] = set()
+    for node in reversed(list(elements(root))):
+        found = known.get(node.place)
+        kids = [k for k in node.kids if isinstance(k, Node)]
         if found is None:
-            value[id(at)] = 1.0
-        else:
-            presentation, ways, content = found
-            if content is not None and any(isinstance(k, Text) for k in at.kids):
-                parts.append(content)
-            damp = GAMMA ** ways
-            value[id(at)] = (1 - damp) * presentation + damp * (sum(parts) / len(parts)) if parts else presentation
-        highest = max(highest, value[id(at)])
-    return highest
+            value[id(node)] = 1.0
+            continue
+        presentation, ways, content = found
+        parts = [value[id(k)] for k in kids]
+        if content is not None and len(kids) < len(node.kids):
+            parts.append(content)
+        damp = GAMMA ** ways
+        value[id(node)] = (1 - damp) * presentation + damp * (sum(parts) / len(parts)) if parts else presentation
+        if value[id(node)] < LEAST_IMPORTANCE and all(id(k) in low for k in kids):
+            low.add(id(node))
+    return low
 
 
 def menu_like(node: Node) -> bool:
-    texts = [k for x in elements(node) for k in x.kids if isinstance(k, Text)]
-    chars = sum(len(t.text.replace(" ", "")) for t in texts)
-    return sum(t.links for t in texts) >= MENU_LINKS and sum(t.link_chars for t in texts) >= LINK_SHARE * chars
+    return node.links >= MENU_LINKS and node.link_chars >= LINK_SHARE * node.chars
 
 
 def kept_texts(root: Node, known: Importance) -> list[str]:
-    clean: list[tuple[Node, bool]] = []  # branches to go through, and whether they are the article
+    low = low_branches(root, known) if known else set()
 
     def scopes(tag: str) -> list[Node]:
         found, stack = [], [root]
@@ -277,23 +306,20 @@ def kept_texts(root: Node, known: Importance) -> list[str]:
         return found
 
     for tag in ("article", "main"):
-        clean = [(node, True) for node in scopes(tag)]
-        texts = [t for scope in clean for t in _texts(*scope, known)]
+        texts = [t for scope in scopes(tag) for t in _texts(scope, True, low)]
         if texts:
             return texts
-    return _texts(root, False, known)
+    return _texts(root, False, low)
 
 
-def _texts(scope: Node, in_article: bool, known: Importance) -> list[str]:
+def _texts(scope: Node, in_article: bool, low: set[int]) -> list[str]:
     out, stack = [], [scope]
     while stack:
         node = stack.pop()
         if isinstance(node, Text):
             out.append(node.text)
             continue
-        if node is not scope and (is_noise(node, in_article) or not in_article and menu_like(node)):
-            continue
-        if node is not scope and known and highest_importance(node, known) < LEAST_IMPORTANCE:
+        if node is not scope and (id(node) in low or is_noise(node, in_article) or not in_article and menu_like(node)):
             continue
         stack.extend(reversed(node.kids))
     return out

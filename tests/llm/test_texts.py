@@ -348,3 +348,32 @@ def test_importances_reach_pages_by_broadcast_or_join(spark, monkeypatch, few):
     table = spark.createDataFrame([(i, "http://a.b/", page.format(i)) for i in range(30)],
                                   "page_id long, url string, html string")
     assert {r.text for r in htmltext.extract_text(table).collect()} == {f"Own words {i}" for i in range(30)}
+
+
+@pytest.mark.parametrize("body", ['<h2 id="related">Kept</h2>', '<p class="share-of-gdp">Kept</p>',
+                                  '<section id="legal"><p>Kept</p></section>', '<div class="warning">Kept</div>',
+                                  '<figure class="ad-hoc"><figcaption>Kept</figcaption></figure>'])
+def test_names_decide_nothing_inside_the_article(body):
+    assert htmltext.main_text(f"<body><article><p>One</p>{body}</article></body>", {}) == "One\nKept"
+
+
+def test_adverts_and_comments_inside_the_article_go():
+    page = "<article><p>a</p><div class='ad big'>no</div><ul id=comments><li>no</ul><p class=ad>b</p></article>"
+    assert htmltext.main_text(page, {}) == "a\nb"
+
+
+def test_a_quote_that_is_never_closed_prints_no_markup():
+    assert htmltext.main_text('<article><p>a</p><p title="x>broken</p><p>b</p></article>', {}) == "a\nbroken\nb"
+    assert htmltext.main_text("<article><p>a</p><p title='x>y", {}) == "a\ny"
+
+
+def test_extraction_is_linear_in_depth():
+    import time
+    taken = []
+    for depth in (10_000, 100_000):
+        page = f"<body>{'<div class=k>' * depth}<p>deep</p>{'</section>' * depth}{'</div>' * depth}<p>x</p></body>"
+        known = {node.place: (0.5, 2, None) for node in htmltext.elements(htmltext.parse(page[:5_000]))}
+        start = time.time()
+        assert htmltext.main_text(page, known) == "deep\nx"
+        taken.append(time.time() - start)
+    assert taken[1] < 25 * taken[0] + 1
