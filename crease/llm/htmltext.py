@@ -5,19 +5,25 @@ tree keeps how the element is presented (which children it has) and which texts
 different pages that show it.  From these come two importances between 0 and 1:
 
 * presentation: the entropy of the presentations, to the base of the number of pages (a place that looks alike on all
-  pages has 0);
+  pages has 0).  A presentation is the row of children, with the length class and link share of texts among them;
 * content: 1 less the mean entropy of its texts over the pages (texts that stand on every page have 0).
 
+and what kind of text stands there: a place is *prose* if its blocks have ``PROSE_CHARS`` characters on average, less
+than half of them in links.
+
 A page's branch has the composite importance ``(1 - GAMMA**l) * presentation + GAMMA**l * mean over its parts``, with
 ``l`` presentations and, as parts, its own texts' content importance and its children.  A branch is removed if it and
 all its descendants are under ``LEAST_IMPORTANCE``.  Pages of a host with equal main text (what tags and names alone
 leave) count once, whatever menus and adverts stand around it, so copies of an article don't make it look like a
 template, and places on fewer than ``LEAST_PAGES`` different pages have no evidence and are kept.
 
+The tree also finds where the text is: an element with prose right below it holds the text, and all that stands in
+it belongs to it.  On a page that has such an element, a branch outside of all of them is removed if the site's pages show
+that no place in it is prose, such as menus, adverts and footers whose words change from page to page.
+
 Tags and names that say what a branch is (``nav``, ``class="ad"`` ...) settle it without entropy, as does ``article`` or
 ``main`` for where the text is.  Inside the article names decide nothing, but for a few that mean adverts and comments
-as a whole class or id.  On the given pages menus, adverts and footers change from page to page, so entropy alone would
-keep them, and the tree changes no page's text there; it decides where a site repeats texts that no tag or name tells.
+as a whole class or id.
 
 Only counts are shuffled, never html: one short row for each place, presentation and text of a page.  The importances
 are broadcast after a check of their number; beyond ``BROADCAST_PLACES`` they are joined to short rows (page, place), and
@@ -46,6 +52,7 @@ from .storage import map_batches, materialise, small_enough
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
 LEAST_PAGES = 8
+PROSE_CHARS = 80
 BROADCAST_PLACES = 200_000
 #: A branch outside the article whose text is links to this share, and that has some of them, is a menu.
 LINK_SHARE, MENU_LINKS = 0.8, 3
@@ -243,25 +250,38 @@ def is_noise(node: Node, in_article: bool) -> bool:
     return bool(node.names & NOISE_NAMES) and not node.holds_main
 
 
-def site_rows(root: Node) -> Iterator[tuple[int, bool, int]]:
-    """(place, whether a presentation or a text, its hash), each once for the page."""
+def text_shape(text: Text) -> str:
+    """Length class and link share class of a text."""
+    chars = max(1, len(text.text.replace(" ", "")))
+    return f"#{chars.bit_length()}.{2 * text.link_chars // chars}"
+
+
+def site_rows(root: Node) -> Iterator[tuple[int, bool, int, int, int, int]]:
+    """(place, whether a presentation or a text, its hash, blocks, characters, characters in links), each once for the
+    page; the sums are those of a place's texts and stand with its presentation."""
     shown: dict[int, set[int]] = {}
+    sums: dict[int, list[int]] = {}
     for node in elements(root):
         children, last = [], None
+        total = sums.setdefault(node.place, [0, 0, 0])
         for kid in node.kids:
-            name = kid.key if isinstance(kid, Node) else "#"
+            name = kid.key if isinstance(kid, Node) else text_shape(kid)
             if name != last:
                 children.append(name)
             last = name
+            if isinstance(kid, Text):
+                for i, x in enumerate((1, len(kid.text), kid.link_chars)):
+                    total[i] += x
         shown.setdefault(node.place, set()).add(xxhash.xxh3_64_intdigest(" ".join(children).encode()) >> 1)
     for place, ways in shown.items():
         # elements at one place are one presentation: all the ways they look
-        yield place, True, xxhash.xxh3_64_intdigest(np.array(sorted(ways), np.uint64).tobytes()) >> 1
-    yield from {(node.place, False, xxhash.xxh3_64_intdigest(kid.text.encode()) >> 1)
+        yield place, True, xxhash.xxh3_64_intdigest(np.array(sorted(ways), np.uint64).tobytes()) >> 1, *sums[place]
+    yield from {(node.place, False, xxhash.xxh3_64_intdigest(kid.text.encode()) >> 1, 0, 0, 0)
                 for node in elements(root) for kid in node.kids if isinstance(kid, Text)}
 
 
-Importance = dict[int, tuple[float, int, float | None]]
+#: Place -> presentation importance, number of presentations, content importance (none without texts), prose or not.
+Importance = dict[int, tuple[float, int, float | None, bool]]
 
 
 def low_branches(root: Node, known: Importance) -> set[int]:
@@ -275,7 +295,7 @@ def low_branches(root: Node, known: Importance) -> set[int]:
         if found is None:
             value[id(node)] = 1.0
             continue
-        presentation, ways, content = found
+        presentation, ways, content, _ = found
         parts = [value[id(k)] for k in kids]
         if content is not None and len(kids) < len(node.kids):
             parts.append(content)
@@ -283,7 +303,33 @@ def low_branches(root: Node, known: Importance) -> set[int]:
         value[id(node)] = (1 - damp) * presentation + damp * (sum(parts) / len(parts)) if parts else presentation
         if value[id(node)] < LEAST_IMPORTANCE and all(id(k) in low for k in kids):
             low.add(id(node))
-    return low
+    return low | without_prose(root, known)
+
+
+def without_prose(root: Node, known: Importance) -> set[int]:
+    """The outermost branches (by ``id``) that hold no prose and stand in no element with prose right below it; none on
+    a page without such an element."""
+    prose: set[int] = set()  # elements whose own texts are prose
+    open_branch: set[int] = set()  # branches with prose, or with an element without evidence
+    holders: set[int] = set()
+    for node in reversed(list(elements(root))):
+        found = known.get(node.place)
+        if found is not None and found[3] and any(isinstance(k, Text) for k in node.kids):
+            prose.add(id(node))
+        if found is None or id(node) in prose or any(id(k) in open_branch for k in node.kids):
+            open_branch.add(id(node))
+        if id(node) in prose or any(id(k) in prose for k in node.kids):
+            holders.add(id(node))
+    out: set[int] = set()
+    waiting = [root] if holders else []
+    while waiting:
+        for kid in waiting.pop().kids:
+            if isinstance(kid, Node) and id(kid) not in holders:
+                if id(kid) in open_branch:
+                    waiting.append(kid)
+                else:
+                    out.add(id(kid))
+    return out
 
 
 def menu_like(node: Node) -> bool:
@@ -330,44 +376,47 @@ def main_text(html: str | None, known: Importance) -> str:
 
 
 def site_importance(sites: DataFrame) -> DataFrame:
-    """``host, place, presentation, ways, content`` of every place on ``LEAST_PAGES`` different pages at least.
+    """``host, place, presentation, ways, content, prose`` of every place on ``LEAST_PAGES`` different pages at least.
 
     Pages are told apart by the text that tags and names leave of them.  Of the ways in which copies present a place
     one counts, picked by hash.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[], [], [], [], []]
+            columns = [[] for _ in names]
             for host, html in zip(batch["host"].to_pylist(), batch["html"]):
                 html = html.as_py()
                 if html:
                     root = parse(html)
                     page = xxhash.xxh3_64_intdigest("\n".join(kept_texts(root, {})).encode()) >> 1
-                    for place, shown, what in site_rows(root):
-                        for column, x in zip(columns, (host, place, shown, what, page)):
+                    for row in site_rows(root):
+                        for column, x in zip(columns, (host, page, *row)):
                             column.append(x)
-            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             names=["host", "place", "shown", "what", "page"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    rows = map_batches(sites.select("host", "html"), count,
-                       "host string, place long, shown boolean, what long, page long")
+    names = ["host", "page", "place", "shown", "what", "blocks", "chars", "link_chars"]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    rows = map_batches(sites.select("host", "html"), count, "host string, page long, place long, shown boolean, "
+                       "what long, blocks int, chars int, link_chars int")
+    kinds = names[5:]
     shown, n, what, page = map(F.col, ("shown", "n", "what", "page"))
     # a page has one row for a place and text, and one for a place's presentation: of those of copies the smallest,
     # mixed with the page, so that no presentation is picked more often than others
     once = rows.groupBy("host", "place", "shown", F.when(~shown, what).alias("text"), "page").agg(
-        F.min(what.bitwiseXOR(page)).alias("mixed"))
-    pages = (once.select("host", "place", "shown", F.col("mixed").bitwiseXOR(page).alias("what"))
-             .groupBy("host", "place", "shown", "what").agg(F.count("*").alias("n")))
+        F.min(what.bitwiseXOR(page)).alias("mixed"), *(F.max(c).alias(c) for c in kinds))
+    pages = (once.select("host", "place", "shown", F.col("mixed").bitwiseXOR(page).alias("what"), *kinds)
+             .groupBy("host", "place", "shown", "what").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in kinds)))
     sums = pages.groupBy("host", "place").agg(
         F.sum(F.when(shown, n)).alias("m"), F.count(F.when(shown, 1)).cast("int").alias("ways"),
         F.sum(F.when(shown, n * F.log(n))).alias("shown_log"), F.count(F.when(~shown, 1)).alias("texts"),
-        F.sum(F.when(~shown, F.log(n))).alias("text_log"))
+        F.sum(F.when(~shown, F.log(n))).alias("text_log"), *(F.sum(c).alias(c) for c in kinds))
     log_m = F.log("m")
     return (sums.where(F.col("m") >= LEAST_PAGES)
             .select("host", "place", F.greatest(F.lit(0.0), 1 - F.col("shown_log") / (F.col("m") * log_m))
                     .alias("presentation"), "ways",
-                    F.when(F.col("texts") > 0, 1 - F.col("text_log") / (F.col("texts") * log_m)).alias("content")))
+                    F.when(F.col("texts") > 0, 1 - F.col("text_log") / (F.col("texts") * log_m)).alias("content"),
+                    ((F.col("chars") >= PROSE_CHARS * F.col("blocks")) & (2 * F.col("link_chars") < F.col("chars")))
+                    .alias("prose")))
 
 
 def known_by_page(sites: DataFrame, importance: DataFrame) -> DataFrame:
@@ -385,7 +434,7 @@ def known_by_page(sites: DataFrame, importance: DataFrame) -> DataFrame:
                                               pa.array(places, pa.int64())], names=["host", "page", "place"])
 
     places = map_batches(sites.select("host", "page", "html"), list_places, "host string, page long, place long")
-    packed = F.collect_list(F.struct("place", "presentation", "ways", "content")).alias("known")
+    packed = F.collect_list(F.struct("place", "presentation", "ways", "content", "prose")).alias("known")
     return places.distinct().join(importance, ["host", "place"]).groupBy("host", "page").agg(packed)
 
 
@@ -403,7 +452,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     if few:
         told: dict[str, Importance] = {}
         for r in importance.collect():  # at most BROADCAST_PLACES rows
-            told.setdefault(r["host"], {})[r["place"]] = (r["presentation"], r["ways"], r["content"])
+            told.setdefault(r["host"], {})[r["place"]] = (r["presentation"], r["ways"], r["content"], r["prose"])
         shared = spark.sparkContext.broadcast(told)
         ready = sites
     else:
@@ -419,7 +468,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
                 if shared is not None:
                     known = shared.value.get(host, {})
                 else:
-                    known = {r["place"]: (r["presentation"], r["ways"], r["content"])
+                    known = {r["place"]: (r["presentation"], r["ways"], r["content"], r["prose"])
                              for r in batch["known"][i].as_py() or ()}
                 texts.append(main_text(html.as_py(), known))
             yield pa.RecordBatch.from_arrays(

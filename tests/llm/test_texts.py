@@ -329,7 +329,7 @@ def test_places_that_look_alike_have_low_importance():
     page = "<html><body><div class='x'><p>Same words</p></div><div class='y'><p>Own words {}</p></div></body></html>"
     rows = Counter()
     for i in range(50):
-        for place, shown, what in htmltext.site_rows(htmltext.parse(page.format(i))):
+        for place, shown, what, *_ in htmltext.site_rows(htmltext.parse(page.format(i))):
             rows[place, shown, what] += 1
     known = {}
     for place in {p for p, _, _ in rows}:
@@ -337,7 +337,7 @@ def test_places_that_look_alike_have_low_importance():
         texts = [n for (p, s, _), n in rows.items() if p == place and not s]
         m = sum(shown)
         known[place] = (1 - sum(n * np.log(n) for n in shown) / (m * np.log(m)), len(shown),
-                        1 - np.mean(np.log(texts)) / np.log(m) if texts else None)
+                        1 - np.mean(np.log(texts)) / np.log(m) if texts else None, False)
     assert htmltext.main_text(page.format(7), known) == "Own words 7"
 
 
@@ -372,8 +372,64 @@ def test_extraction_is_linear_in_depth():
     taken = []
     for depth in (10_000, 100_000):
         page = f"<body>{'<div class=k>' * depth}<p>deep</p>{'</section>' * depth}{'</div>' * depth}<p>x</p></body>"
-        known = {node.place: (0.5, 2, None) for node in htmltext.elements(htmltext.parse(page[:5_000]))}
+        known = {node.place: (0.5, 2, None, False) for node in htmltext.elements(htmltext.parse(page[:5_000]))}
         start = time.time()
         assert htmltext.main_text(page, known) == "deep\nx"
         taken.append(time.time() - start)
     assert taken[1] < 25 * taken[0] + 1
+
+
+def test_the_tree_alone_removes_noise_from_the_given_pages_and_no_article(spark, monkeypatch):
+    """Without names, menu rule or the article's tag."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    sites = pages.selectExpr("lower(coalesce(regexp_extract(url, '^[^:]*://([^/?#]*)', 1), '')) AS host", "html")
+    known = {}
+    for r in htmltext.site_importance(sites).collect():
+        known.setdefault(r.host, {})[r.place] = (r.presentation, r.ways, r.content, r.prose)
+    rows = [(r.host, htmltext.parse(r.html)) for r in sites.collect() if r.html]
+    articles = [htmltext.kept_texts(root, {}) for _, root in rows]
+    monkeypatch.setattr(htmltext, "is_noise", lambda node, in_article: False)
+    monkeypatch.setattr(htmltext, "menu_like", lambda node: False)
+    noise = removed = 0
+    for (host, root), article in zip(rows, articles):
+        whole = htmltext._texts(root, False, set())
+        left = htmltext._texts(root, False, htmltext.low_branches(root, known.get(host, {})))
+        assert not [block for block in article if block not in left]
+        noise += len(whole) - len(article)
+        removed += len(whole) - len(left)
+    assert noise > 15_000 and removed > 0.85 * noise
+
+
+def plain_prose(pages):
+    """Places of a site that are prose: path -> whether its texts have 80 characters on average, most not in links."""
+    sums = {}
+    for root in pages:
+        for node in htmltext.elements(root):
+            for kid in node.kids:
+                if isinstance(kid, htmltext.Text):
+                    n, chars, links = sums.get(node.place, (0, 0, 0))
+                    sums[node.place] = (n + 1, chars + len(kid.text), links + kid.link_chars)
+    return {place: chars >= 80 * n and 2 * links < chars for place, (n, chars, links) in sums.items()}
+
+
+def test_prose_holders_equal_a_plain_version(spark):
+    r = random.Random(5)
+
+    def words(n):
+        return " ".join(r.choice("alpha beta gamma delta omega sigma".split()) + str(r.randint(0, 99)) for _ in range(n))
+
+    rows = []
+    for i in range(20):
+        menu = "".join(f"<li><a href='/{j}'>{words(1)}</a></li>" for j in range(r.randint(2, 6)))
+        story = "".join(f"<p>{words(r.randint(20, 60))}</p>" for _ in range(r.randint(2, 5)))
+        rows.append((i, "http://s.it/", f"<body><div class=a><ul>{menu}</ul></div><div class=b>{words(3)}</div><div class=c>"
+                     f"<h1>{words(4)}</h1>{story}<ul><li>{words(1)}</li></ul></div><div class=d>{words(5)}</div></body>"))
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    importance = {x.place: x for x in htmltext.site_importance(table.selectExpr("html", "'s.it' AS host")).collect()}
+    roots = [htmltext.parse(h) for _, _, h in rows]
+    told = plain_prose(roots)
+    assert {p: x.prose for p, x in importance.items() if p in told} == told and sum(told.values()) == 1
+    found = {x.page_id: x.text for x in htmltext.extract_text(table).collect()}
+    for (i, _, html), root in zip(rows, roots):
+        story = next(n for n in htmltext.elements(root) if n.key == "div.c")
+        assert found[i] == "\n".join(htmltext._texts(story, True, set()))
