@@ -6,10 +6,12 @@ hash of their chunks: copies and near copies, which mostly agree in it, meet in
 encoded once.  The deal is by range of (smallest hash, doc_id), so a group of copies of any size is spread over as
 many tasks as its share of the rows asks for; only then is a chunk encoded again, once per task.
 
-A cut may fall inside a word, and the ids near it are wrong then.  A *join* is repaired by encoding the text around it
-anew: the window grows to both sides until it begins and ends at a blank, where both encodings must agree, since the
-tokenizer drops white space and no token, normalisation or special token reaches across it.  A window that meets no
-blank in a chunk takes that whole chunk and grows on into the next.  The result equals the encoding of the whole text.
+A cut may fall inside a word, and the chunks' ids next to it are wrong then.  So every *join* of two chunks is encoded
+anew: a window from the last blank before the cut to the first one after it, with a whole word of context on each side.
+The ids of the context must be those that the chunks gave it; what stands between them replaces the chunks' own ids at
+the join.  Where they differ, the window is widened, to the whole text at last, which is right by definition.  A chunk without
+a blank is part of the window.  (The tokenizer drops white space, and no token reaches across it, so the first window
+agrees.)  The result equals the encoding of the whole text.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; a text without blanks is one window;
 rows with equal ``doc_id`` are documents of their own; null ids stay null; an empty table gives no rows; other columns
@@ -30,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import map_batches
-from .tokens import word_memo
+from .tokens import WordMemo, word_memo
 
 #: A cut falls where the low bits of the rolling hash are 0, on average every 2**CUT_BITS bytes.
-CUT_BITS = 9
+CUT_BITS = 10
 #: Bytes the rolling hash looks back on (a power of two).
 LOOK_BACK = 32
 #: Bytes of encoded chunks that a task remembers; older ones go first, which changes no result.
@@ -66,10 +68,24 @@ def split_chunks(text: str, cut_bits: int = CUT_BITS) -> list[str]:
     return [raw[a:b].decode() for a, b in zip([0, *ends], ends)]
 
 
-def edges(chunk: str) -> tuple[int, int]:
-    """(first, last) place of a blank in the chunk, or (-1, -1)."""
-    firsts = [i for i in (chunk.find(" "), chunk.find("\n")) if i >= 0]
-    return (min(firsts), max(chunk.rfind(" "), chunk.rfind("\n"))) if firsts else (-1, -1)
+class Chunk:
+    """A chunk's own encoding up to its cuts: its first and last words, which a cut may have gone through, and the ids and
+    decoded form of those between."""
+
+    __slots__ = ("head", "tail", "before", "after", "ids", "decoded", "edges")
+
+    def __init__(self, words: list[str], memo: WordMemo):
+        inner = words[1:-1]
+        self.head, self.tail = words[0], words[-1]
+        self.ids = b"".join(map(memo.ids.__getitem__, inner))
+        self.decoded = b"".join(map(memo.decoded.__getitem__, inner))
+        full = [word for word in inner if word]
+        #: The words next to the edges, as context of the joins.
+        self.after, self.before = (full[0], full[-1]) if full else ("", "")
+        self.edges = memo.ids[self.head], memo.ids[self.tail]
+
+    def size(self) -> int:
+        return len(self.ids) + len(self.decoded)
 
 
 class ChunkEncoder:
@@ -77,53 +93,92 @@ class ChunkEncoder:
 
     def __init__(self, path: str, cut_bits: int = CUT_BITS):
         self.words, self.cut_bits = word_memo(path), cut_bits
-        self.inner: OrderedDict[str, tuple[bytes, bytes]] = OrderedDict()
+        self.chunks: OrderedDict[str, Chunk] = OrderedDict()
         self.held = 0
         self.encoded = 0  # chunks that were encoded, not found
-
-    def parts(self, text: str) -> Iterator[tuple[str, bool]]:
-        """The text as alternating windows (what joins can change) and, marked true, chunks from their first to
-        their last blank (what they cannot)."""
-        window = ""
-        for chunk in split_chunks(text, self.cut_bits):
-            first, last = edges(chunk)
-            if first < 0:  # no blank: the window goes on through the next join
-                window += chunk
-                continue
-            yield window + chunk[:first], False
-            yield chunk[first:last + 1], True
-            window = chunk[last + 1:]
-        yield window, False
+        self.joins = self.repaired = self.widened = 0
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids, decoded text) of each: 4 bytes an id, and UTF-8."""
-        cut = [list(self.parts(text)) for text in texts]
-        new = {part: part.replace("\n", " ").split(" ") for parts in cut for part, inner in parts
-               if not (inner and part in self.inner)}
-        words = set().union(*new.values())
-        memo = self.words
-        memo.learn(words)
-        ids_of, decoded_of = memo.ids.__getitem__, memo.decoded.__getitem__
-        made = {part: (b"".join(map(ids_of, split)), b"".join(map(decoded_of, split))) for part, split in new.items()}
-        memo.trim(words)
+        cut = [split_chunks(text, self.cut_bits) for text in texts]
+        known = self._chunks(cut)
+        parts = [self._parts(chunks, known) for chunks in cut]
+        joined = self._joins({part for of_text in parts for part in of_text if isinstance(part, tuple)})
         out = []
-        for parts in cut:
-            values = [made.get(part) or self.inner[part] for part, _ in parts]
-            out.append((b"".join([v[0] for v in values]), b"".join([v[1] for v in values])[:-1]))
-        self._remember(cut, made)
+        for text, of_text in zip(texts, parts):
+            found = [joined[part] if isinstance(part, tuple) else (part.ids, part.decoded) for part in of_text]
+            if None in found:  # a window whose context did not agree: the widest one
+                ids = self.words.encode_apart([text])[0]
+                found = [(ids, self.words.decode(ids))]
+            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])[:-1]))
         return out
 
-    def _remember(self, cut: list[list[tuple[str, bool]]], made: dict[str, tuple[bytes, bytes]]) -> None:
-        for part in dict.fromkeys(part for parts in cut for part, inner in parts if inner):
-            if part in made:
+    def _chunks(self, cut: list[list[str]]) -> dict[str, Chunk | None]:
+        """The chunks' own encodings; none for a chunk without a blank."""
+        memo = self.words
+        met = dict.fromkeys(chunk for chunks in cut for chunk in chunks)
+        new = {chunk: words for chunk in met if chunk not in self.chunks
+               and len(words := chunk.replace("\n", " ").split(" ")) > 1}
+        words = set().union(*(split[1:-1] for split in new.values()))
+        edges = {word for split in new.values() for word in (split[0], split[-1])}
+        memo.learn(words | edges)
+        made = {chunk: Chunk(split, memo) for chunk, split in new.items()}
+        for word in edges - words:  # pieces of words are not worth remembering
+            memo.ids.pop(word, None)
+            memo.decoded.pop(word, None)
+        memo.trim(words)
+        known = {chunk: made.get(chunk) or self.chunks.get(chunk) for chunk in met}
+        for chunk, value in known.items():
+            if chunk in made:
                 self.encoded += 1
-                self.inner[part] = made[part]
-                self.held += len(part) + len(made[part][0]) + len(made[part][1])
-            else:
-                self.inner.move_to_end(part)
+                self.chunks[chunk] = value
+                self.held += len(chunk) + value.size()
+            elif value is not None:
+                self.chunks.move_to_end(chunk)
         while self.held > CHUNK_MEMO_BYTES:
-            part, value = self.inner.popitem(last=False)
-            self.held -= len(part) + len(value[0]) + len(value[1])
+            chunk, value = self.chunks.popitem(last=False)
+            self.held -= len(chunk) + value.size()
+        return known
+
+    @staticmethod
+    def _parts(chunks: list[str], known: dict[str, Chunk | None]) -> list[Chunk | tuple]:
+        """A text as chunks and, between them, joins: (word before, text of the window, word after, the two chunks' own
+        ids of that text)."""
+        out: list[Chunk | tuple] = []
+        before, window, own = "", "", b""
+        for name in chunks:
+            chunk = known[name]
+            if chunk is None:  # no blank: the window goes on through the next join
+                window, own = window + name, b""
+                continue
+            if window or chunk.head:
+                out.append((before, window + chunk.head, chunk.after, own + chunk.edges[0]))
+            out.append(chunk)
+            before, window, own = chunk.before, chunk.tail, chunk.edges[1]
+        if window:
+            out.append((before, window, "", own))
+        return out
+
+    def _joins(self, joins: set[tuple]) -> dict[tuple, tuple[bytes, bytes] | None]:
+        """The ids and decoded forms of the joins' windows, none where the context does not agree."""
+        order = list(joins)
+        context = {word for before, _, after, _ in order for word in (before, after)}
+        memo = self.words
+        memo.learn(context)
+        out: dict[tuple, tuple[bytes, bytes] | None] = {}
+        encoded = memo.encode_apart([f"{before} {window} {after}" for before, window, after, _ in order])
+        for join, ids in zip(order, encoded):
+            first, last = memo.ids[join[0]], memo.ids[join[2]]
+            self.joins += 1
+            if ids.startswith(first) and ids.endswith(last) and len(ids) >= len(first) + len(last):
+                between = ids[len(first):len(ids) - len(last)]
+                self.repaired += between != join[3]
+                out[join] = between, memo.decode(between)
+            else:
+                self.widened += 1
+                out[join] = None
+        memo.trim(context)
+        return out
 
 
 ROUTED = "route long, doc_id long, text string"

@@ -146,6 +146,16 @@ class WordMemo:
         marks = np.flatnonzero(ids == mark_id).tolist()
         self._cut(ids, [0, *[m + 1 for m in marks]], [*marks, len(ids)], places, out)
 
+    def encode_apart(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, by the tokenizer itself."""
+        out: list[bytes] = [b""] * len(texts)
+        self._encode_apart(texts, list(range(len(texts))), out)
+        return out
+
+    def decode(self, ids: bytes) -> bytes:
+        """The words that the decoder makes of ids, each followed by a blank."""
+        return b"".join(map(self.words.__getitem__, memoryview(ids).cast("I")))
+
     def learn(self, words: set[str]) -> None:
         """After this, ``ids`` and ``decoded`` have these words, until ``trim``; new ones are encoded in one call."""
         missing = words.difference(self.ids)

@@ -115,6 +115,29 @@ def test_cuts_depend_on_content_alone_and_chunks_are_reused():
     assert one.encoded < 2 * first
 
 
+def test_joins_are_encoded_anew_where_cuts_go_through_words_and_special_tokens():
+    random.seed(9)
+    texts = [" ".join("".join(random.choices("abcdefghé日", k=random.randint(1, 12))) for _ in range(300)),
+             "<|startoftext|>word<|endoftext|> <|endoftext|>x " * 40, "nobreak" * 300, "it's o'clock\n\nwe'll  "]
+    encoder = bpe.ChunkEncoder(WORDS, cut_bits=3)
+    assert encoder.encode(texts) == [whole(t) for t in texts]
+    # most cuts go through a word: the chunks' own ids there are wrong and the window's replace them
+    assert encoder.joins > 150 and encoder.repaired > 0.3 * encoder.joins and encoder.widened == 0
+    own = [part for part in encoder._parts(bpe.split_chunks(texts[0], 3), encoder._chunks([bpe.split_chunks(texts[0], 3)]))]
+    spliced = b"".join(p[3] if isinstance(p, tuple) else p.ids for p in own)
+    assert spliced != whole(texts[0])[0]
+
+
+def test_a_window_that_does_not_agree_is_widened(monkeypatch):
+    encoder = bpe.ChunkEncoder(WORDS, cut_bits=4)
+    text = "some plain words that are cut in many places of this text " * 8
+    apart = encoder.words.encode_apart
+    # an encoder that gives the first word of any window but the whole text another id
+    monkeypatch.setattr(encoder.words, "encode_apart", lambda texts: [
+        ids if t == text else b"\x01\0\0\0" + ids[4:] for t, ids in zip(texts, apart(texts))])
+    assert encoder.encode([text]) == [whole(text)] and encoder.widened > 0
+
+
 def test_bpe_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x"), (4, "ab" * 5000), (5, "Long words " * 5000)]
     rows += [(10 + i, t) for i, t in enumerate(ODD_TEXTS)]
