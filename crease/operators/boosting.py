@@ -33,6 +33,8 @@ from crease.sources.sinks import remove_path, scratch_path
 UNIT = 2.0 ** -30
 #: Trees after which the blocks' scores are brought up to date.
 REFRESH = 10
+#: Rows of one task at least: a pass over less is mostly the cost of starting tasks.
+TASK_ROWS = 20_000
 #: Bytes of partial histograms that may come to the driver in one pass; beyond, they are added up on the executors.
 DRIVER_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 divided by the golden ratio
@@ -128,18 +130,31 @@ def quantile_cuts(df: DataFrame, feature_cols: Sequence[str], max_bins: int) ->
 
     A feature with few values is cut at each of them, others at quantiles of their values."""
     d = df.select(*[F.col(c).cast("double").alias(c) for c in feature_cols])
-    found: list[list[float]] = [[] for _ in feature_cols]
-    counts = d.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in feature_cols]).first()
-    few = [i for i, c in enumerate(feature_cols) if counts[c] <= 0.8 * max_bins]
-    if few:
-        values = F.array(*[F.struct(F.lit(i).alias("i"), F.col(feature_cols[i]).alias("v")) for i in few])
-        for row in d.select(F.explode(values).alias("e")).select("e.i", "e.v").distinct().collect():
-            if row.v is not None and not np.isnan(row.v):
-                found[row.i].append(row.v)
-    many = [i for i in range(len(feature_cols)) if i not in few]
+    most = int(0.8 * max_bins)
+
+    def few_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct values of each feature, or one more than ``most`` of them."""
+        seen = [np.zeros(0) for _ in feature_cols]
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                if len(seen[i]) <= most:
+                    values = column.to_numpy(zero_copy_only=False)
+                    seen[i] = np.union1d(seen[i], values[~np.isnan(values)])[:most + 1]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(seen)), pa.int32()), pa.array(seen, pa.list_(pa.float64()))],
+                                         names=["feature", "found"])
+
+    found = [np.zeros(0) for _ in feature_cols]
+    many = set()
+    for row in d.mapInArrow(few_values, "feature int, found array<double>").groupBy("feature").agg(
+            F.max(F.size("found")).alias("size"),
+            F.slice(F.array_distinct(F.flatten(F.collect_set("found"))), 1, most + 1).alias("found")).collect():
+        found[row.feature] = row.found
+        if max(row.size, len(row.found)) > most:
+            many.add(row.feature)
     if many:
+        order = sorted(many)
         shares = [i / max_bins for i in range(max_bins)]
-        for i, values in zip(many, d.approxQuantile([feature_cols[i] for i in many], shares, 0.25 / max_bins)):
+        for i, values in zip(order, d.approxQuantile([feature_cols[i] for i in order], shares, 0.25 / max_bins)):
             found[i] = [v for v in values if not np.isnan(v)]
     return [np.unique(values)[1:] for values in found]  # nothing lies under the least value
 
@@ -368,10 +383,10 @@ def _refreshed(blocks: DataFrame, n_features: int, n_bins: int, newest: list[Tre
     return blocks.mapInArrow(refresh, BLOCKS)
 
 
-def _stored(df: DataFrame) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, tasks: int) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, "blocks")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(BLOCKS).parquet(path).persist(), path
+    return df.sparkSession.read.schema(BLOCKS).parquet(path).coalesce(tasks).persist(), path
 
 
 def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str, id_col: str = "rid",
@@ -388,8 +403,8 @@ def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str
     model = BoostedTrees(feature_cols, float(np.log(positive / (n - positive))))
     cuts = quantile_cuts(labelled, feature_cols, params.max_bins)
     n_bins = max(len(c) for c in cuts) + 2
-    blocks, path = _stored(to_blocks(labelled, feature_cols, target, id_col, cuts, model.base))
-    tasks = blocks.rdd.getNumPartitions()
+    tasks = -(-n // TASK_ROWS)
+    blocks, path = _stored(to_blocks(labelled, feature_cols, target, id_col, cuts, model.base), tasks)
     newest: list[Tree] = []
     for number in range(params.rounds):
         tree = grow_tree(lambda t, opened, features: _all_sums(
@@ -398,8 +413,8 @@ def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str
         newest.append(tree)
         if len(newest) == REFRESH and number + 1 < params.rounds:
             old, old_path = blocks, path
-            blocks, path = _stored(_refreshed(old, len(cuts), n_bins, newest))
-            newest, tasks = [], blocks.rdd.getNumPartitions()
+            blocks, path = _stored(_refreshed(old, len(cuts), n_bins, newest), tasks)
+            newest = []
             old.unpersist()
             remove_path(train.sparkSession, old_path)
     blocks.unpersist()

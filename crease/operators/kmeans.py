@@ -27,6 +27,8 @@ from crease.sources.sinks import remove_path, scratch_path
 UNITS = 1_000_000
 #: Salts of a restart's draws.
 DRAWS = 64
+#: Vectors of one task at least, and rows of sums that may come to the driver without being added up before.
+TASK_VECTORS, DRIVER_ROWS = 8_000, 20_000
 #: Distances that a task holds at a time.
 DISTANCES = 4 << 20
 
@@ -99,12 +101,12 @@ def _next_centres(points: DataFrame, d: int, centres: np.ndarray, seed: int) ->
 
     types = [pa.int32(), pa.int32(), *[pa.float64()] * (d + 1)]
     names = ["restart", "cluster", "score", *(f"z{i}" for i in range(d))]
-    found = points.mapInArrow(race, _schema(d)).groupBy("restart").agg(
+    found = points.mapInArrow(race, _schema(d)).groupBy("restart").agg(  # one row a restart and task before it
         F.min(F.struct("score", *names[3:])).alias("best"))
     return {r.restart: list(r.best)[1:] for r in found.collect()}
 
 
-def _step(points: DataFrame, d: int, centres: dict[int, np.ndarray]) -> dict[int, list]:
+def _step(points: DataFrame, tasks: int, d: int, centres: dict[int, np.ndarray]) -> dict[int, list]:
     """Per restart its rows (cluster, weight, hash of its members, cost, sums)."""
     order = sorted(centres)
     all_centres = np.concatenate([centres[r] for r in order])
@@ -133,11 +135,18 @@ def _step(points: DataFrame, d: int, centres: dict[int, np.ndarray]) -> dict[int
     names = ["restart", "cluster", "weight", "members", "cost", *(f"z{i}" for i in range(d))]
     schema = ", ".join(["restart int", "cluster int", "weight double", "members long", "cost double",
                         *(f"z{i} double" for i in range(d))])
-    total = points.mapInArrow(add_up, schema).groupBy("restart", "cluster").agg(*(F.sum(c).alias(c) for c in names[2:]))
+    total = points.mapInArrow(add_up, schema)
+    if tasks * len(order) * k > DRIVER_ROWS:
+        total = total.groupBy("restart", "cluster").agg(*(F.sum(c).alias(c) for c in names[2:]))
+    sums: dict[tuple[int, int], list] = {}
+    for row in total.collect():  # restarts × k, a task or in all
+        values = list(row)[2:]
+        before = sums.get((row.restart, row.cluster))
+        sums[row.restart, row.cluster] = values if before is None else [a + b for a, b in zip(before, values)]
     out: dict[int, list] = {}
-    for row in total.collect():  # restarts × k
-        out.setdefault(row.restart, []).append((row.cluster, row.weight, row.members, row.cost, list(row)[5:]))
-    return {r: sorted(rows) for r, rows in out.items()}
+    for (restart, cluster), (weight, members, cost, *rest) in sorted(sums.items()):
+        out.setdefault(restart, []).append((cluster, weight, members, cost, rest))
+    return out
 
 
 def fit_centres(df: DataFrame, zcols: Sequence[str], keys: Sequence[Column], k: int, restarts: int,
@@ -157,12 +166,12 @@ def fit_centres(df: DataFrame, zcols: Sequence[str], keys: Sequence[Column], k:
 
     chosen = distinct.select("weight", *(F.col(c).alias(f"z{i}") for i, c in enumerate(zcols)),
                              *(f"k{i}" for i in range(len(keys))))
-    # a number is given, as adaptive execution would put a small table into one task
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "vectors")
     schema = ", ".join(["weight long", "number long", *(f"z{i} double" for i in range(d))])
-    chosen.repartition(tasks, *(f"z{i}" for i in range(d))).mapInArrow(number, schema).write.parquet(path)
-    points = spark.read.schema(schema).parquet(path).persist()
+    chosen.mapInArrow(number, schema).write.parquet(path)
+    stored = spark.read.schema(schema).parquet(path)
+    tasks = -(-stored.count() // TASK_VECTORS)
+    points = stored.repartition(tasks).persist()
 
     centres = np.zeros((restarts, 0, d))
     for _ in range(k):
@@ -174,7 +183,7 @@ def fit_centres(df: DataFrame, zcols: Sequence[str], keys: Sequence[Column], k:
     seen: dict[int, list] = {r: [] for r in moving}
     settled: list[tuple[float, int, np.ndarray]] = []
     while moving:
-        for r, rows in _step(points, d, moving).items():
+        for r, rows in _step(points, tasks, d, moving).items():
             members = [(weight, number) for _, weight, number, _, _ in rows]
             new = moving[r].copy()
             for cluster, weight, _, _, sums in rows:

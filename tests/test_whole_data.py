@@ -48,7 +48,7 @@ def test_kmeans_reads_distinct_vectors_only(spark, monkeypatch):
     from crease.operators import kmeans
     seen = []
     step = kmeans._step
-    monkeypatch.setattr(kmeans, "_step", lambda points, d, centres: seen.append(points.count()) or step(points, d, centres))
+    monkeypatch.setattr(kmeans, "_step", lambda points, *rest: seen.append(points.count()) or step(points, *rest))
     df = spark.range(5_000).selectExpr("id rid", "CAST(id % 6 AS DOUBLE) a")
     res = R.kmeans_fit(df, ["a"], k=3)
     assert set(seen) == {6} and sorted(r.a for r in res.centroids.collect()) == pytest.approx([0.5, 2.5, 4.5])
