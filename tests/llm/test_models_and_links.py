@@ -326,7 +326,7 @@ def test_op9_held_out_accuracy(spark):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     found = queries.QUERIES[name](spark, SMALL)
     columns = sorted(found.columns)
