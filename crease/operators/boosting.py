@@ -6,7 +6,8 @@ the logistic loss by (node, feature, bin); from these sums alone the best splits
 
     gain = GL²/(HL+λ) + GR²/(HR+λ) − G²/(H+λ)        leaf value = −η·G/(H+λ)
 
-A task adds up all its blocks before it gives out one histogram.  Gradients are whole numbers of 2⁻³⁰, so sums do not depend
+A task adds up all its blocks before it gives out one histogram, and of two children only the smaller is added up: the
+other's sums are the parent's less these.  Gradients are whole numbers of 2⁻³⁰, so sums do not depend
 on their order: the same rows and cuts give the same model in any partitioning, and again after a task is repeated.  Missing
 values have a bin of their own and go to the side where they gain more.  Each tree sees a hash sample of the rows and a
 seeded choice of the columns.
@@ -33,8 +34,11 @@ from crease.sources.sinks import remove_path, scratch_path
 UNIT = 2.0 ** -30
 #: Trees after which the blocks' scores are brought up to date.
 REFRESH = 10
-#: Rows of one task at least: a pass over less is mostly the cost of starting tasks.
-TASK_ROWS = 20_000
+#: Rows of one task at least, as a pass over less is mostly the cost of starting tasks, and beyond which tasks are made
+#: though all cores have one; a tree takes one pass a level, so both count in each of them.
+TASK_ROWS, FULL_TASK_ROWS = 20_000, 500_000
+#: Inner nodes up to which all rows are held against all of a tree's tests.
+TESTS = 64
 #: Bytes of partial histograms that may come to the driver in one pass; beyond, they are added up on the executors.
 DRIVER_BYTES = 64 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2**64 divided by the golden ratio
@@ -185,7 +189,7 @@ def to_blocks(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: s
                 columns = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
                 bins = bin_values(np.stack(columns[:-2], axis=1).astype(float), cuts)
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(
-                    (len(bins), bins.tobytes(), columns[-2].astype(np.uint8).tobytes(),
+                    (len(bins), bins.T.tobytes(), columns[-2].astype(np.uint8).tobytes(),
                      columns[-1].astype(np.int64).tobytes(), np.full(len(bins), base).tobytes()), schema)], schema=schema)
 
     chosen = df.select(*[F.col(c).cast("double") for c in feature_cols], F.col(target).cast("int"),
@@ -194,11 +198,12 @@ def to_blocks(df: DataFrame, feature_cols: Sequence[str], target: str, id_col: s
 
 
 class Block:
-    """Rows of one block with their scores by all trees so far."""
+    """Rows of one block with their scores by all trees so far; ``bins`` is (features, rows)."""
 
     def __init__(self, batch: pa.RecordBatch, at: int, n_features: int, missing_bin: int, trees: Sequence[Tree]):
-        n, bins, labels, ids, margins = (batch.column(i)[at].as_py() for i in range(5))
-        self.bins = np.frombuffer(bins, np.uint16).reshape(n, n_features)
+        n = batch.column(0)[at].as_py()
+        bins, labels, ids, margins = (batch.column(i)[at].as_buffer() for i in range(1, 5))
+        self.bins = np.frombuffer(bins, np.uint16).reshape(n_features, n)
         self.labels = np.frombuffer(labels, np.uint8)
         self.ids = np.frombuffer(ids, np.uint64)
         self.margins = np.frombuffer(margins, np.float64)
@@ -207,8 +212,19 @@ class Block:
             self.margins = self.margins + tree.value[self.leaf(tree)]
 
     def leaf(self, tree: Tree) -> np.ndarray:
-        # a missing value's bin is the largest of all, so it is under no cut
-        return tree.apply(self.bins, tree.bin, lambda bins: bins == self.missing_bin)
+        """The node each row ends in. A missing value's bin is the largest of all, so it is under no cut."""
+        if np.count_nonzero(tree.feature >= 0) > TESTS:
+            return tree.apply(self.bins.T, tree.bin, lambda bins: bins == self.missing_bin)
+        ends: list = [np.int16(node) for node in range(len(tree.feature))]
+        for node in range(len(ends) - 1, -1, -1):  # from the leaves up: one pass over a column for each test
+            if tree.feature[node] >= 0:
+                column = self.bins[tree.feature[node]]
+                goes_left = column < np.uint16(tree.bin[node])
+                if tree.missing_left[node]:
+                    goes_left |= column == np.uint16(self.missing_bin)
+                ends[node] = np.where(goes_left, ends[tree.left[node]], ends[tree.right[node]])
+                ends[tree.left[node]] = ends[tree.right[node]] = None
+        return np.broadcast_to(ends[0], self.margins.shape)
 
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
         p = 1.0 / (1.0 + np.exp(-self.margins))
@@ -237,7 +253,7 @@ def histogram(block: Block, tree: Tree, open_nodes: Sequence[int], features: Seq
     out = np.empty((2, len(features), size), np.int64)
     sums = [part[used] for part in block.gradients()]
     for i, f in enumerate(features):
-        at = base + block.bins[used, f]
+        at = base + block.bins[f][used]
         for kind, part in enumerate(sums):  # exact: whole numbers far below 2**53
             out[kind, i] = np.bincount(at, weights=part, minlength=size)
     return out.reshape(2, len(features), len(open_nodes), n_bins).transpose(0, 2, 1, 3)
@@ -285,6 +301,8 @@ class _Growing:
         self.params, self.cuts = params, cuts
         self.rows: list[list] = []
         self.open = [self._add(None)]
+        #: Of the open nodes, those whose sums are to be added up, and for each its sibling and their parent's sums.
+        self.counted, self.siblings = list(self.open), {}
 
     def _add(self, sums: tuple[float, float] | None) -> int:
         value = 0.0 if sums is None else -self.params.learning_rate * sums[0] / (sums[1] + self.params.l2)
@@ -292,10 +310,13 @@ class _Growing:
         return len(self.rows) - 1
 
     def grow(self, sums: np.ndarray, features: Sequence[int], last: bool) -> None:
-        """Split the open nodes by their (2, nodes, features, bins) sums."""
-        opened = []
-        for slot, node in enumerate(self.open):
-            of_node = sums[:, slot]
+        """Split the open nodes by the (2, nodes, features, bins) sums of the counted ones."""
+        sums_of = {node: sums[:, slot] for slot, node in enumerate(self.counted)}
+        for node, (sibling, both) in self.siblings.items():
+            sums_of[sibling] = both - sums_of[node]  # whole numbers, so nothing is lost
+        opened, self.counted, self.siblings = [], [], {}
+        for node in self.open:
+            of_node = sums_of[node]
             if node == 0:
                 g, h = (float(part[0].sum()) * UNIT for part in of_node)
                 self.rows[0][6:8] = h, -self.params.learning_rate * g / (h + self.params.l2)
@@ -306,6 +327,9 @@ class _Growing:
                                        split.missing_left, *children)
                 self.rows[node][8] = split.gain
                 opened += children
+                less, more = children if split.left[1] <= split.right[1] else children[::-1]
+                self.counted.append(less)
+                self.siblings[less] = (more, of_node)
         self.open = [] if last else opened
 
     def tree(self) -> Tree:
@@ -322,12 +346,12 @@ def chosen_features(n_features: int, number: int, params: BoostingParams) -> lis
 
 def grow_tree(sums_of: Callable[[Tree, list[int], list[int]], np.ndarray], number: int, cuts: Sequence[np.ndarray],
               params: BoostingParams) -> Tree:
-    """One tree; ``sums_of(tree, open nodes, features)`` gives the histograms of all rows."""
+    """One tree; ``sums_of(tree, nodes, features)`` gives the histograms of all rows in these nodes."""
     features = chosen_features(len(cuts), number, params)
     growing = _Growing(params, cuts)
     for level in range(params.max_depth):
         if growing.open:
-            growing.grow(sums_of(growing.tree(), growing.open, features), features, level == params.max_depth - 1)
+            growing.grow(sums_of(growing.tree(), growing.counted, features), features, level == params.max_depth - 1)
     return growing.tree()
 
 
@@ -403,8 +427,10 @@ def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str
     model = BoostedTrees(feature_cols, float(np.log(positive / (n - positive))))
     cuts = quantile_cuts(labelled, feature_cols, params.max_bins)
     n_bins = max(len(c) for c in cuts) + 2
-    tasks = -(-n // TASK_ROWS)
-    blocks, path = _stored(to_blocks(labelled, feature_cols, target, id_col, cuts, model.base), tasks)
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    tasks = min(-(-n // TASK_ROWS), max(cores, -(-n // FULL_TASK_ROWS)))
+    packed = to_blocks(labelled, feature_cols, target, id_col, cuts, model.base)
+    blocks, path = _stored(packed.repartition(tasks), tasks)  # as many blocks to each task: every pass waits for the last
     newest: list[Tree] = []
     for number in range(params.rounds):
         tree = grow_tree(lambda t, opened, features: _all_sums(

@@ -31,7 +31,9 @@ from crease.operators.boosting import BoostedTrees, Tree
 from crease.session import ship_package
 
 #: Rows that are explained together.
-ROWS = 2_048
+ROWS = 16_384
+#: Tests of a tree up to which rows are told apart by one whole number.
+CODE_BITS = 62
 
 
 @dataclass
@@ -95,14 +97,22 @@ def shap_matrix(values: np.ndarray, paths: Sequence[TreePaths]) -> np.ndarray:
             continue
         tested = values[:, p.test_feature].T
         left = (tested < p.test_cut[:, None]) | (np.isnan(tested) & p.test_missing_left[:, None])
+        # rows that agree in all tests have the same values: each kind of row is worked out once
+        of_row = None
+        if len(left) <= CODE_BITS:
+            code = (np.int64(1) << np.arange(len(left))) @ left
+            _, first, of_row = np.unique(code, return_index=True, return_inverse=True)
+            left = left[:, first]
+        kinds = left.shape[1]
         # o[l, d] of each row: no test of the player goes the other way
         follow = p.follow.reshape(-1, len(left)).astype(np.float32)
         against = np.maximum(follow, 0) @ (~left).astype(np.float32) + np.maximum(-follow, 0) @ left.astype(np.float32)
-        o = (against == 0).reshape(n_leaves, depth, n).astype(float)
+        o = (against == 0).reshape(n_leaves, depth, kinds).astype(float)
         z = p.ratio[:, :, None]
         shares = [factorial(k) * factorial(depth - k - 1) / factorial(depth) for k in range(depth)]
+        of_kind = np.zeros((n_features, kinds))
         for i in range(depth):
-            terms = [np.ones((n_leaves, n))]  # coefficients of the product over the other players
+            terms = [np.ones((n_leaves, kinds))]  # coefficients of the product over the other players
             for j in range(depth):
                 if j != i:
                     taken = [term * o[:, j] for term in terms]
@@ -112,7 +122,8 @@ def shap_matrix(values: np.ndarray, paths: Sequence[TreePaths]) -> np.ndarray:
             to = np.zeros((n_features, n_leaves))
             own = p.feature[:, i] >= 0
             to[p.feature[own, i], np.flatnonzero(own)] = p.value[own]
-            out += to @ game
+            of_kind += to @ game
+        out += of_kind if of_row is None else of_kind[:, of_row]
     return out.T
 
 

@@ -158,3 +158,58 @@ def test_contributions_equal_brute_force_over_subsets(fitted):
     told = np.array([sum(brute_shap(tree, x) for tree in model.trees) for x in values[:25]])
     assert np.allclose(found, told, atol=1e-10)
     assert np.allclose(found.sum(axis=1) + expected_value(model, paths), model.margins(values[:25]), atol=1e-10)
+
+
+def test_only_the_smaller_child_is_added_up():
+    rng = np.random.default_rng(4)
+    n, params = 3_000, B.BoostingParams(rounds=1, max_depth=4, subsample=1.0, colsample=1.0, max_bins=16)
+    cuts = [np.arange(1.0, 8.0)] * 3
+    block = B.Block.__new__(B.Block)
+    block.bins = rng.integers(0, 9, (3, n)).astype(np.uint16)
+    block.missing_bin, block.margins = 8, np.zeros(n)
+    block.labels = (rng.random(n) < 0.2 + 0.1 * (block.bins[0] % 5)).astype(np.uint8)
+    asked = []
+
+    def sums(tree, nodes, features):
+        asked.append(len(nodes))
+        return B.histogram(block, tree, nodes, features, 9, np.ones(n, bool))
+
+    tree = B.grow_tree(sums, 0, cuts, params)
+    assert asked == [1, 1, 2, 4]  # of 1, 2, 4 and 8 open nodes
+    # covers made by subtraction are those of the rows themselves, and leaves found by columns those found row by row
+    leaf = block.leaf(tree)
+    assert np.array_equal(leaf, tree.apply(block.bins.T, tree.bin, lambda bins: bins == 8))
+    for node in np.flatnonzero(tree.feature < 0):
+        assert tree.cover[node] == (leaf == node).sum() * 0.25
+
+
+def test_passes_do_not_have_a_task_per_20000_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "TASK_ROWS", 2)
+    seen = []
+    stored = B._stored
+    monkeypatch.setattr(B, "_stored", lambda df, tasks: seen.append(tasks) or stored(df, tasks))
+    rng = np.random.default_rng(5)
+    values = rng.normal(size=(400, 2))
+    labels = (values[:, 0] > 0).astype(int)
+    B.fit_boosted_trees(frame(spark, values, labels), ["f0", "f1"], "won", params=B.BoostingParams(rounds=1))
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_rows_alike_in_all_tests_are_explained_once():
+    from crease.operators import explain as E
+    rng = np.random.default_rng(6)
+    tree = B.Tree(np.array([0, 1, -1, -1, -1], np.int32), np.array([1, 1, 0, 0, 0], np.int32), np.array([0.0, 0.5, 0, 0, 0]),
+                  np.array([True, False, False, False, False]), np.array([1, 2, -1, -1, -1], np.int32),
+                  np.array([4, 3, -1, -1, -1], np.int32), np.array([10.0, 6, 2, 4, 4]), np.array([0, 0, 1.0, -2, 3]), np.zeros(5))
+    values = rng.normal(size=(500, 2))
+    values[::7, 0] = np.nan
+    many = E.shap_matrix(values, [E.tree_paths(tree)])
+    one = np.concatenate([E.shap_matrix(values[i:i + 1], [E.tree_paths(tree)]) for i in range(len(values))])
+    assert np.allclose(many, one, atol=1e-12)
+    assert len(np.unique(many.round(9), axis=0)) <= 4
+    import tracemalloc
+    tracemalloc.start()
+    E.shap_matrix(np.tile(values, (40, 1)), [E.tree_paths(tree)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * 8 * 16  # the product over the players is not held for every row
