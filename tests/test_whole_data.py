@@ -232,3 +232,36 @@ def test_feature_frame_fills_what_is_missing(spark):
     d = balls(spark, [ball(1, "A", "B", "a1", "b1", 4, "Middle")])
     for r in feature_frame(player_match_stats(d)).collect():
         assert None not in (r.runs_scored, r.balls_bowled, r.bowling_economy, r.phase_efficacy)
+
+
+def _tiny_lineitem(spark, path):
+    rows = [(None if i % 17 == 16 else (i * 37) % 300, i % 40, i % 9, 1 + i % 4, float(i % 13), (i % 11) / 100, (i % 9) / 100,
+             "ANR"[i % 3], "FO"[i % 2]) for i in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                "l_discount double, l_tax double, l_returnflag string, l_linestatus string") \
+        .repartition(5).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_match_rows_have_the_winners_of_the_balls(spark, tmp_path):
+    from crease.plans import base
+    from crease.sources.deliveries import fixture_deliveries, fixture_winners
+    folder = _tiny_lineitem(spark, tmp_path / "t")
+    columns = ["match_id", "venue", "date", "batting_team", "bowling_team", "win_team"]
+    balls = base.deliveries(spark, folder)
+    assert sorted(map(str, base.matches(spark, folder).select(*columns).collect())) == \
+        sorted(map(str, balls.select(*columns).distinct().collect()))
+    winners = fixture_winners(spark, folder)
+    assert "Window" not in winners._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, winners.collect())) == sorted(map(str, fixture_deliveries(spark, folder).select(
+        "match_id", "winner").distinct().collect()))
+
+
+def test_balls_are_dealt_by_match_before_they_are_added_up(spark, tmp_path):
+    from crease.plans import base
+    long = player_phase_long(base.deliveries(spark, _tiny_lineitem(spark, tmp_path / "t")))
+    plan = long._jdf.queryExecution().sparkPlan().toString()
+    full = long._jdf.queryExecution().executedPlan().toString()
+    assert full.count("Exchange hashpartitioning") == 1
+    assert full.index("Generate explode") < full.index("Exchange hashpartitioning")  # under it
+    assert "Window" not in plan
