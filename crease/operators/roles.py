@@ -40,21 +40,16 @@ def standardise(df: DataFrame, cols: Sequence[str], suffix: str = "_z") -> tuple
 
 
 def _nearest(zcols: Sequence[str], centroids: list[list[float]]) -> Column:
-    """Index of the nearest centroid (squared Euclidean; ties -> lowest index)."""
+    """Index of the nearest centroid (squared Euclidean; ties -> lowest index). Each distance stands once in the
+    expression: choices inside choices double it with every centroid."""
     dists = []
-    for cen in centroids:
+    for j, cen in enumerate(centroids):
         d = None
         for c, v in zip(zcols, cen):
             t = (F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v)))
             d = t if d is None else d + t
-        dists.append(d)
-    best = F.lit(0)
-    best_d = dists[0]
-    for j in range(1, len(dists)):
-        better = dists[j] < best_d
-        best = F.when(better, F.lit(j)).otherwise(best)
-        best_d = F.when(better, dists[j]).otherwise(best_d)
-    return best
+        dists.append(F.struct(d.alias("far"), F.lit(j).alias("cluster")))
+    return F.least(*dists)["cluster"] if len(dists) > 1 else F.lit(0)
 
 
 def _prepare(df: DataFrame, features: Sequence[str]) -> DataFrame:

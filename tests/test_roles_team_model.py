@@ -73,3 +73,29 @@ def test_treeshap_additivity(spark):
     j = sv.merge(raw, on="rid")
     assert np.allclose(j["margin"], j["m"], atol=1e-9)
     assert np.allclose(sv[cols].sum(axis=1) + sv["base_value"], sv["margin"], atol=1e-9)
+
+
+def test_nearest_centroid_holds_each_distance_once(spark):
+    z = ["a_z", "b_z"]
+    size = {k: len(R._nearest(z, [[float(j), 0.5] for j in range(k)])._jc.toString()) for k in (4, 8)}
+    assert size[8] < 2.5 * size[4]
+    df = spark.createDataFrame([(0.5, 0.5), (0.6, 0.5), (9.0, 0.5), (None, 0.5)], "a_z double, b_z double")
+    got = [r.c for r in R.kmeans_assign(df, z, [[0.0, 0.5], [1.0, 0.5], [1.0, 0.5]], "c").collect()]
+    assert got == [0, 1, 1, 0]  # of centroids as near the first, and the first for a row without a distance
+
+
+def test_profiles_and_indices_are_made_once(spark, monkeypatch):
+    from crease.plans import base
+    made = []
+    monkeypatch.setattr(base, "_profiles", lambda s, d: made.append("profiles") or s.range(3).withColumn("player", F.lit("x")))
+    monkeypatch.setattr(base, "features", lambda s, d: made.append("features") or s.range(2))
+    monkeypatch.setattr(base, "correlation_weights", lambda f: None)
+    monkeypatch.setattr(base, "composite_indices", lambda f, w: f)
+    folder = "nowhere-r03"
+    for _ in range(2):
+        assert base.profiles(spark, folder).count() == 3 and base.indexed(spark, folder).count() == 2
+    assert sorted(made) == ["features", "profiles"]
+    for name in ("profiles", "indexed"):
+        key = (spark.sparkContext.applicationId, folder, name)
+        base._MEMO.pop(key)
+        base.remove_path(spark, base._PATHS.pop(key))
