@@ -39,9 +39,9 @@ CUT_BITS = 10
 #: Bytes the rolling hash looks back on (a power of two).
 LOOK_BACK = 32
 #: Bytes of encoded chunks that a task remembers; older ones go first, which changes no result.
-CHUNK_MEMO_BYTES = 48 << 20
+CHUNK_MEMO_BYTES = 16 << 20
 #: Characters of text that are encoded together.
-TEXTS_CHARS = 2 << 20
+TEXTS_CHARS = 1 << 20
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 

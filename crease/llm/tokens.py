@@ -14,9 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words after which a worker's memo starts a new generation; it bounds memory (two generations of about 250 bytes a
-#: word) and changes no result.
-MEMO_WORDS = 300_000
+#: Words after which a worker's memo starts a new generation; it bounds memory (two generations of about 350 bytes a
+#: word, 70 MB) and changes no result.
+MEMO_WORDS = 100_000
 #: Longer words are encoded each time instead of being remembered.
 MEMO_WORD_CHARS = 48
 

@@ -138,6 +138,21 @@ def test_a_window_that_does_not_agree_is_widened(monkeypatch):
     assert encoder.encode([text]) == [whole(text)] and encoder.widened > 0
 
 
+def test_what_a_worker_remembers_is_small():
+    from crease.llm.tokens import WordMemo
+    memo = WordMemo(queries.tokenizer_file("word_bpe_49k.json"))
+    for start in range(0, 400_000, 50_000):
+        words = {"w" + np.base_repr(n, 26).translate(str.maketrans("0123456789", "qrstuvwxyz")) for n in range(start, start + 50_000)}
+        memo.learn(words)
+        memo.trim(words)
+    assert 0 < len(memo.ids) + len(memo.old[0]) <= 300_000
+    encoder = bpe.ChunkEncoder(queries.tokenizer_file("word_bpe_49k.json"))
+    for seed in range(25):
+        numbers = np.random.default_rng(seed).integers(0, 5_000, 150_000)
+        encoder.encode([" ".join(map(str, numbers))])
+    assert 0 < encoder.held <= 16 << 20
+
+
 def test_bpe_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "x"), (4, "ab" * 5000), (5, "Long words " * 5000)]
     rows += [(10 + i, t) for i, t in enumerate(ODD_TEXTS)]
