@@ -23,7 +23,7 @@ from crease.operators.features import composite_indices, correlation_weights, fe
 from crease.operators.metrics import classification_report
 from crease.operators.model import ModelArtifacts, load_model, save_model, score, train_impact_model
 from crease.operators.ordered import with_row_number
-from crease.operators.playermatch import player_match_stats, player_phase_long
+from crease.operators.playermatch import player_match_stats, player_match_sums, player_phase_long
 from crease.operators.ratings import player_ratings, player_volume, top_ratings
 from crease.operators.team import best_xi, player_profiles
 from crease.sources.sinks import export_summary, remove_path, scratch_path
@@ -58,16 +58,16 @@ class PipelineOutputs:
 def feature_table(spark: SparkSession, raw_deliveries: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     """Indexed player-match features with ``rid``, written as Parquet; (the table, its path).
 
-    The sums per phase are stored first, as the league's rates and the player-match rows are both taken from them, and
+    The sums per player-match are stored first, as the league's rates and the player-match rows are both taken from them, and
     the features before they are numbered, as numbering reads them several times."""
     def stored(df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     balls = prepare_deliveries(raw_deliveries)
-    steps = [scratch_path(spark, "long"), scratch_path(spark, "unnumbered")]
-    long = stored(player_phase_long(balls), steps[0])
-    feats = stored(feature_frame(player_match_stats(balls, long=long)), steps[1])
+    steps = [scratch_path(spark, "sums"), scratch_path(spark, "unnumbered")]
+    sums = stored(player_match_sums(player_phase_long(balls)), steps[0])
+    feats = stored(feature_frame(player_match_stats(balls, sums=sums)), steps[1])
     path = path or scratch_path(spark, "features")
     table = stored(with_row_number(feats, "match_id", ["team", "player"]), path)
     for step in steps:

@@ -265,3 +265,26 @@ def test_balls_are_dealt_by_match_before_they_are_added_up(spark, tmp_path):
     assert full.count("Exchange hashpartitioning") == 1
     assert full.index("Generate explode") < full.index("Exchange hashpartitioning")  # under it
     assert "Window" not in plan
+
+
+def test_player_match_rows_are_brought_together_where_their_balls_were_added_up(spark, tmp_path):
+    from crease.operators.playermatch import phase_rows, player_match_sums
+    from crease.plans import base
+    folder = _tiny_lineitem(spark, tmp_path / "t")
+    long = player_phase_long(base.deliveries(spark, folder))
+    sums = player_match_sums(long)
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    base.stats(spark, folder)
+    assert "sums" in {key[2] for key in base._MEMO if key[1] == folder}
+    rows = long.collect()
+    assert any(r.match_id is None for r in rows)
+    want = {}
+    for r in rows:
+        of = want.setdefault((r.match_id, r.season, r.team, r.player), {"bat": [None, 0], "bowl": [None, 0]})
+        runs, balls = of[r.role]
+        of[r.role] = [(runs or 0) + (r.runs_bat if r.role == "bat" else r.runs_tot), balls + r.balls]
+    got = {tuple(r)[:4]: {"bat": [r.runs_scored, r.balls_faced or 0], "bowl": [r.runs_conceded, r.balls_bowled or 0]}
+           for r in sums.collect()}
+    assert got == want
+    assert sorted(map(str, phase_rows(sums).collect())) == sorted(map(str, long.filter("phase IS NOT NULL").select(
+        "match_id", "season", "team", "player", "role", "phase", "runs_tot", "balls").collect()))
