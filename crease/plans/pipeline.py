@@ -22,10 +22,11 @@ from crease.operators.explain import importance_summary, shap_values
 from crease.operators.features import composite_indices, correlation_weights, feature_frame, model_matrix
 from crease.operators.metrics import classification_report
 from crease.operators.model import ModelArtifacts, load_model, save_model, score, train_impact_model
-from crease.operators.ordered import with_row_number
-from crease.operators.playermatch import player_match_stats, player_match_sums, player_phase_long
+from crease.operators.ordered import NUMBERED_OF_TASK, with_row_number
+from crease.operators.playermatch import BALLS_OF_TASK, player_match_stats, player_match_sums, player_phase_long
 from crease.operators.ratings import player_ratings, player_volume, top_ratings
 from crease.operators.team import best_xi, player_profiles
+from crease.session import partitions_for
 from crease.sources.sinks import export_summary, remove_path, scratch_path
 
 
@@ -66,10 +67,13 @@ def feature_table(spark: SparkSession, raw_deliveries: DataFrame, path: str | No
 
     balls = prepare_deliveries(raw_deliveries)
     steps = [scratch_path(spark, "sums"), scratch_path(spark, "unnumbered")]
-    sums = stored(player_match_sums(player_phase_long(balls)), steps[0])
+    long = player_phase_long(balls, partitions_for(spark, balls.count(), *BALLS_OF_TASK))
+    sums = stored(player_match_sums(long), steps[0])
     feats = stored(feature_frame(player_match_stats(balls, sums=sums)), steps[1])
     path = path or scratch_path(spark, "features")
-    table = stored(with_row_number(feats, "match_id", ["team", "player"]), path)
+    numbered = with_row_number(feats, "match_id", ["team", "player"],
+                               partitions=partitions_for(spark, feats.count(), *NUMBERED_OF_TASK))
+    table = stored(numbered, path)
     for step in steps:
         remove_path(spark, step)
     return composite_indices(table, correlation_weights(table)), path

@@ -288,3 +288,27 @@ def test_player_match_rows_are_brought_together_where_their_balls_were_added_up(
     assert got == want
     assert sorted(map(str, phase_rows(sums).collect())) == sorted(map(str, long.filter("phase IS NOT NULL").select(
         "match_id", "season", "team", "player", "role", "phase", "runs_tot", "balls").collect()))
+
+
+def test_the_share_of_a_task_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from crease.operators.ordered import with_row_number
+    from crease.plans import base
+    from crease.session import partitions_for
+    sizes = {n: partitions_for(spark, n, 250_000, 2_000_000) for n in (0, 600_000, 36_000_000, 216_000_000, 10 ** 9)}
+    assert sizes == {0: None, 600_000: None, 36_000_000: 144, 216_000_000: 200, 10 ** 9: 500}
+    one, other = (_tiny_lineitem(spark, tmp_path / name) for name in ("one", "other"))
+
+    def rows(folder):  # the league's rates are means, whose last bits hang on the order of the bowlers
+        return sorted(map(str, base.stats(spark, folder).withColumn("phase_efficacy", F.round("phase_efficacy", 9)).collect()))
+
+    plain = rows(one)
+    monkeypatch.setattr(base, "BALLS_OF_TASK", (10, 10))
+    monkeypatch.setattr(base, "NUMBERED_OF_TASK", (3, 3))
+    n = -(-base.deliveries(spark, other).count() // 10)
+    assert n > 4  # the session's partitions
+    plan = base.phase_long(spark, other)._jdf.queryExecution().executedPlan().toString()
+    assert f", {n}), REPARTITION_BY_NUM" in plan
+    assert rows(other) == plain and len(plain) > 12
+    numbered = with_row_number(spark.createDataFrame([(i % 7, i) for i in range(30)], "m long, i long"), "m", ["i"], "n", 9)
+    assert ", 9), REPARTITION_BY_NUM" in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [r.n for r in numbered.orderBy("m", "i").collect()] == [*range(1, 31)]
