@@ -12,18 +12,27 @@ on their order: the same rows and cuts give the same model in any partitioning,
 values have a bin of their own and go to the side where they gain more.  Each tree sees a hash sample of the rows and a
 seeded choice of the columns.
 
-Scores of the trees so far are kept in the blocks and brought up to date every ``REFRESH`` trees; in between tasks add
-the newest trees themselves.  Blocks are Parquet tables in the shared folder, so a lost executor costs no tree.
+Blocks are Parquet files in the shared folder.  Each task takes its blocks to its executor's disk once and keeps there the
+scores of its rows and the gradients of the tree that is grown, so a pass neither sends rows to Python nor works out older
+trees again.  What a task does not find there it makes from the blocks and the trees, so a lost executor costs no tree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import os
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +41,14 @@ from crease.sources.sinks import remove_path, scratch_path
 
 #: Gradients and Hessians are whole numbers of this.
 UNIT = 2.0 ** -30
-#: Trees after which the blocks' scores are brought up to date.
+#: Trees that go along with each pass; older ones are broadcast, for tasks that lost their rows' scores.
 REFRESH = 10
+#: Rows a task works on at once, so that their columns stay near the core.
+CHUNK_ROWS = 32_768
 #: Rows of one task at least, as a pass over less is mostly the cost of starting tasks, and beyond which tasks are made
-#: though all cores have one; a tree takes one pass a level, so both count in each of them.
-TASK_ROWS, FULL_TASK_ROWS = 20_000, 500_000
+#: though all cores have one; a tree takes one pass a level, so both count in each of them.  A task holds one chunk of its
+#: rows at a time, and a pass over 5,000,000 takes it less than a second.
+TASK_ROWS, FULL_TASK_ROWS = 20_000, 5_000_000
 #: Inner nodes up to which all rows are held against all of a tree's tests.
 TESTS = 64
 #: Bytes of partial histograms that may come to the driver in one pass; beyond, they are added up on the executors.
@@ -74,6 +86,19 @@ class Tree:
     value: np.ndarray
     gain: np.ndarray
 
+    def leaf(self, goes_left: Callable[[int], np.ndarray], rows: int) -> np.ndarray:
+        """The node each of ``rows`` rows ends in, by one pass over a column for each test, from the leaves up."""
+        ends: list = [np.int16(node) for node in range(len(self.feature))]
+        for node in range(len(ends) - 1, -1, -1):
+            if self.feature[node] >= 0:
+                ends[node] = np.where(goes_left(node), ends[self.left[node]], ends[self.right[node]])
+                ends[self.left[node]] = ends[self.right[node]] = None
+        return np.broadcast_to(ends[0], rows)
+
+    @property
+    def few_tests(self) -> bool:
+        return np.count_nonzero(self.feature >= 0) <= TESTS
+
     def apply(self, values: np.ndarray, cuts: np.ndarray, is_missing: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """The node each row ends in, by raw values and ``cut`` or by bins and ``bin``."""
         at, rows = np.zeros(len(values), np.int32), np.arange(len(values))
@@ -105,8 +130,14 @@ class BoostedTrees:
     def margins(self, values: np.ndarray) -> np.ndarray:
         """Log-odds of rows of raw values, in the order of ``feature_cols``."""
         out = np.full(len(values), self.base)
+        columns = np.ascontiguousarray(values.T)
+        missing = [np.isnan(column) for column in columns]
         for tree in self.trees:
-            out += tree.value[tree.apply(values, tree.cut, np.isnan)]
+            def goes_left(node: int) -> np.ndarray:
+                under = columns[tree.feature[node]] < tree.cut[node]
+                return under | missing[tree.feature[node]] if tree.missing_left[node] else under
+
+            out += tree.value[tree.leaf(goes_left, len(out)) if tree.few_tests else tree.apply(values, tree.cut, np.isnan)]
         return out
 
     def importance(self) -> dict[str, float]:
@@ -213,18 +244,17 @@ class Block:
 
     def leaf(self, tree: Tree) -> np.ndarray:
         """The node each row ends in. A missing value's bin is the largest of all, so it is under no cut."""
-        if np.count_nonzero(tree.feature >= 0) > TESTS:
+        if not tree.few_tests:
             return tree.apply(self.bins.T, tree.bin, lambda bins: bins == self.missing_bin)
-        ends: list = [np.int16(node) for node in range(len(tree.feature))]
-        for node in range(len(ends) - 1, -1, -1):  # from the leaves up: one pass over a column for each test
-            if tree.feature[node] >= 0:
-                column = self.bins[tree.feature[node]]
-                goes_left = column < np.uint16(tree.bin[node])
-                if tree.missing_left[node]:
-                    goes_left |= column == np.uint16(self.missing_bin)
-                ends[node] = np.where(goes_left, ends[tree.left[node]], ends[tree.right[node]])
-                ends[tree.left[node]] = ends[tree.right[node]] = None
-        return np.broadcast_to(ends[0], self.margins.shape)
+
+        def goes_left(node: int) -> np.ndarray:
+            column = self.bins[tree.feature[node]]
+            under = column < np.uint16(tree.bin[node])
+            if tree.missing_left[node]:
+                under |= column == np.uint16(self.missing_bin)
+            return under
+
+        return tree.leaf(goes_left, self.bins.shape[1])
 
     def gradients(self) -> tuple[np.ndarray, np.ndarray]:
         p = 1.0 / (1.0 + np.exp(-self.margins))
@@ -241,6 +271,101 @@ class Block:
         return (x >> np.uint64(11)).astype(float) < share * 2.0 ** 53
 
 
+class Rows:
+    """The rows of one task, on the disk of its executor: bins, labels and ids, the scores before a tree and the gradients
+    of the rows the tree sees.
+
+    A file is complete before it gets its name and never changed after, so a repeated or doubled task does no harm.
+    """
+
+    FIXED = {"bins": np.uint16, "labels": np.uint8, "ids": np.uint64}
+    OF_TREE = {"margins": np.float64, "gradients": np.float64, "hessians": np.float64, "sampled": np.bool_}
+
+    def __init__(self, folder: str, files: Sequence[str], n_features: int, missing_bin: int):
+        self.folder, self.n_features, self.missing_bin = folder, n_features, missing_bin
+        if not os.path.isdir(folder):
+            self._take(files)
+        self.sizes = np.load(f"{folder}/sizes.npy").tolist()
+
+    def _take(self, files: Sequence[str]) -> None:
+        made = f"{self.folder}-{uuid.uuid4().hex}"
+        os.makedirs(made)
+        sizes, waiting = [], []
+        with ExitStack() as stack:
+            to = {name: stack.enter_context(open(f"{made}/{name}", "wb")) for name in (*self.FIXED, "margins-0")}
+
+            def write() -> None:
+                sizes.append(sum(len(block.labels) for block in waiting))
+                for name, file in to.items():
+                    np.concatenate([getattr(block, name.split("-")[0]) for block in waiting], axis=-1).tofile(file)
+                waiting.clear()
+
+            for uri in files:
+                store, path = pyarrow.fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as source:
+                    for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
+                        waiting += [Block(batch, at, self.n_features, self.missing_bin, []) for at in range(batch.num_rows)]
+                        if sum(len(block.labels) for block in waiting) >= CHUNK_ROWS:
+                            write()
+            if waiting:
+                write()
+        np.save(f"{made}/sizes.npy", np.array(sizes, np.int64))
+        try:
+            os.rename(made, self.folder)
+        except OSError:  # another attempt of the task was first
+            shutil.rmtree(made, ignore_errors=True)
+
+    def _blocks(self, number: int, names: Sequence[str]) -> Iterator[Block]:
+        """The rows chunk by chunk with these columns, as they are before tree ``number``."""
+        types = {**{name: (name, kind) for name, kind in self.FIXED.items()},
+                 **{name: (f"{name}-{number}", kind) for name, kind in self.OF_TREE.items()}}
+        if not self.sizes:
+            return
+        columns = {name: np.memmap(f"{self.folder}/{types[name][0]}", types[name][1], "r") for name in names}
+        start = 0
+        for n in self.sizes:
+            block = Block.__new__(Block)
+            block.missing_bin = self.missing_bin
+            for name, column in columns.items():
+                wide = self.n_features if name == "bins" else 1
+                part = np.asarray(column[start * wide:(start + n) * wide])
+                setattr(block, name, part.reshape(wide, n) if name == "bins" else part)
+            yield block
+            start += n
+
+    def before(self, number: int, trees: Callable[[int], Iterable[Tree]], params: BoostingParams) -> Iterator[Block]:
+        """The rows chunk by chunk as tree ``number`` sees them; ``trees(k)`` are the trees before it from number k on."""
+        if not os.path.exists(f"{self.folder}/sampled-{number}"):
+            known = max(k for k in self._numbers() if k <= number)
+            later, suffix = list(trees(known)), uuid.uuid4().hex
+            with ExitStack() as stack:
+                to = {name: stack.enter_context(open(f"{self.folder}/{name}.{suffix}", "wb")) for name in self.OF_TREE}
+                for block in self._blocks(known, ["bins", "labels", "ids", "margins"]):
+                    for tree in later:
+                        block.margins = block.margins + tree.value[block.leaf(tree)]
+                    block.margins.tofile(to["margins"])
+                    for name, part in zip(("gradients", "hessians"), block.gradients()):
+                        part.tofile(to[name])
+                    block.sampled(number, params.subsample, params.seed).tofile(to["sampled"])
+            for name in self.OF_TREE:
+                os.replace(f"{self.folder}/{name}.{suffix}", f"{self.folder}/{name}-{number}")
+            for old in self._numbers():
+                if old < number - 1:
+                    for name in self.OF_TREE:
+                        try:
+                            os.remove(f"{self.folder}/{name}-{old}")
+                        except FileNotFoundError:
+                            pass
+        for block in self._blocks(number, ["bins", "gradients", "hessians", "sampled"]):
+            sums, seen = (block.gradients, block.hessians), block.sampled
+            block.gradients, block.sampled = lambda sums=sums: sums, lambda *_, seen=seen: seen
+            yield block
+
+    def _numbers(self) -> list[int]:
+        """The trees before which the scores are known."""
+        return [int(name.split("-")[1]) for name in os.listdir(self.folder) if name.startswith("margins-")]
+
+
 def histogram(block: Block, tree: Tree, open_nodes: Sequence[int], features: Sequence[int], n_bins: int,
               rows: np.ndarray) -> np.ndarray:
     """(2, nodes, features, bins) sums of gradients and Hessians, in units, as whole numbers."""
@@ -253,7 +378,9 @@ def histogram(block: Block, tree: Tree, open_nodes: Sequence[int], features: Seq
     out = np.empty((2, len(features), size), np.int64)
     sums = [part[used] for part in block.gradients()]
     for i, f in enumerate(features):
-        at = base + block.bins[f][used]
+        at = block.bins[f][used]
+        if len(open_nodes) > 1:
+            at = at + base
         for kind, part in enumerate(sums):  # exact: whole numbers far below 2**53
             out[kind, i] = np.bincount(at, weights=part, minlength=size)
     return out.reshape(2, len(features), len(open_nodes), n_bins).transpose(0, 2, 1, 3)
@@ -356,61 +483,60 @@ def grow_tree(sums_of: Callable[[Tree, list[int], list[int]], np.ndarray], numbe
 
 
 # ---------------------------------------------------------------- on Spark
-def _all_sums(blocks: DataFrame, tasks: int, n_features: int, newest: list[Tree], tree: Tree, opened: list[int],
-                  features: list[int], n_bins: int, number: int, params: BoostingParams) -> np.ndarray:
+@dataclass(frozen=True)
+class _Parts:
+    """The blocks' files by task, and the folder on the executors' disks; picklable."""
+
+    name: str
+    files: list[list[str]]
+    n_features: int
+    n_bins: int
+
+    def folder(self, part: int) -> str:
+        local = (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")
+        return f"{local[part % len(local)]}/{self.name}-{part}"
+
+    def rows(self, part: int) -> Rows:
+        return Rows(self.folder(part), self.files[part], self.n_features, self.n_bins - 1)
+
+    def forget(self, part: int) -> None:
+        shutil.rmtree(self.folder(part), ignore_errors=True)
+
+
+def _all_sums(held: RDD, parts: _Parts, older, newest: list[Tree], tree: Tree, opened: list[int], features: list[int],
+              number: int, params: BoostingParams) -> np.ndarray:
+    """``older`` is the broadcast list of the trees before ``newest``, None if there are none."""
+    n_bins = parts.n_bins
     shape = (2, len(opened), len(features), n_bins)
 
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def trees(known: int) -> list[Tree]:
+        first = number - len(newest)
+        return newest[known - first:] if known >= first else [*older.value[known:], *newest]
+
+    def add_up(part: int, waiting: Iterator) -> list[tuple[int, np.ndarray]]:
         total = np.zeros(shape, np.int64)
-        for batch in batches:
-            for at in range(batch.num_rows):
-                block = Block(batch, at, n_features, n_bins - 1, newest)
-                total += histogram(block, tree, opened, features, n_bins,
-                                   block.sampled(number, params.subsample, params.seed))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(opened)), pa.int32()),
-                                          pa.array([total[:, slot].tobytes() for slot in range(len(opened))])],
-                                         names=["slot", "sums"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by slot: one row a slot."""
-        slot, total = None, None
-        for batch in batches:
-            for of, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if of != slot and slot is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()])],
-                                                     names=["slot", "sums"])
-                part = np.frombuffer(raw.as_py(), np.int64)
-                slot, total = of, part.copy() if of != slot else total + part
-        if slot is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()])],
-                                             names=["slot", "sums"])
-
-    partial = blocks.mapInArrow(add_up, "slot int, sums binary")
+        for block in parts.rows(part).before(number, trees, params):
+            total += histogram(block, tree, opened, features, n_bins, block.sampled())
+        for _ in waiting:  # read last, as Spark may be late to send it
+            pass
+        return [(slot, total[:, slot]) for slot in range(len(opened))]
+
+    partial = held.mapPartitionsWithIndex(add_up)
     # one histogram a task; with many tasks they are first added up by node
-    if tasks * 8 * int(np.prod(shape)) > DRIVER_BYTES:
-        partial = partial.repartition("slot").sortWithinPartitions("slot").mapInArrow(merge, "slot int, sums binary")
+    if len(parts.files) * 8 * int(np.prod(shape)) > DRIVER_BYTES:
+        partial = partial.reduceByKey(lambda a, b: a + b, len(opened))
     out = np.zeros(shape, np.int64)
-    for row in partial.collect():
-        out[:, row.slot] += np.frombuffer(row.sums, np.int64).reshape(2, len(features), n_bins)
+    for slot, sums in partial.collect():
+        out[:, slot] += sums
     return out
 
 
-def _refreshed(blocks: DataFrame, n_features: int, n_bins: int, newest: list[Tree]) -> DataFrame:
-    schema = _block_schema()
-
-    def refresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margins = [Block(batch, at, n_features, n_bins - 1, newest).margins.tobytes()
-                       for at in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margins, pa.binary())], schema=schema)
-
-    return blocks.mapInArrow(refresh, BLOCKS)
-
-
-def _stored(df: DataFrame, tasks: int) -> tuple[DataFrame, str]:
+def _stored(df: DataFrame, tasks: int) -> tuple[list[list[str]], str]:
+    """Files of each of ``tasks`` tasks, and the folder they are in."""
     path = scratch_path(df.sparkSession, "blocks")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(BLOCKS).parquet(path).coalesce(tasks).persist(), path
+    files = sorted(df.sparkSession.read.schema(BLOCKS).parquet(path).inputFiles())
+    return [files[part::tasks] for part in range(tasks)], path
 
 
 def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str, id_col: str = "rid",
@@ -430,20 +556,20 @@ def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str
     cores = train.sparkSession.sparkContext.defaultParallelism
     tasks = min(-(-n // TASK_ROWS), max(cores, -(-n // FULL_TASK_ROWS)))
     packed = to_blocks(labelled, feature_cols, target, id_col, cuts, model.base)
-    blocks, path = _stored(packed.repartition(tasks), tasks)  # as many blocks to each task: every pass waits for the last
-    newest: list[Tree] = []
+    files, path = _stored(packed.repartition(tasks), tasks)  # as many blocks to each task: every pass waits for the last
+    parts = _Parts(f"crease-rows-{uuid.uuid4().hex}", files, len(cuts), n_bins)
+    sc = train.sparkSession.sparkContext
+    held = sc.parallelize(range(tasks), tasks).persist()  # a task goes where its part is kept, so it finds its rows there
+    held.count()
+    older, newest = None, []
     for number in range(params.rounds):
-        tree = grow_tree(lambda t, opened, features: _all_sums(
-            blocks, tasks, len(cuts), newest, t, opened, features, n_bins, number, params), number, cuts, params)
-        model.trees.append(tree)
-        newest.append(tree)
-        if len(newest) == REFRESH and number + 1 < params.rounds:
-            old, old_path = blocks, path
-            blocks, path = _stored(_refreshed(old, len(cuts), n_bins, newest), tasks)
-            newest = []
-            old.unpersist()
-            remove_path(train.sparkSession, old_path)
-    blocks.unpersist()
+        model.trees.append(grow_tree(lambda tree, opened, features: _all_sums(
+            held, parts, older, newest, tree, opened, features, number, params), number, cuts, params))
+        newest.append(model.trees[-1])
+        if len(newest) == REFRESH:
+            older, newest = sc.broadcast(list(model.trees)), []
+    held.foreach(parts.forget)
+    held.unpersist()
     remove_path(train.sparkSession, path)
     return model
 

@@ -1,5 +1,6 @@
 """Second-order boosting against a plain version, any partitioning, missing values, and SHAP by brute force."""
 
+import os
 from itertools import combinations
 from math import factorial
 
@@ -213,3 +214,53 @@ def test_rows_alike_in_all_tests_are_explained_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 20_000 * 8 * 16  # the product over the players is not held for every row
+
+
+def test_blocks_are_written_once_and_lost_rows_are_made_again(spark, fitted, monkeypatch, tmp_path):
+    values, labels, cols, model = fitted
+    written, stored, sums = [], B._stored, B._all_sums
+    monkeypatch.setattr(B, "REFRESH", 3)
+    monkeypatch.setattr(B, "TASK_ROWS", 300)
+    monkeypatch.setattr(B, "_stored", lambda df, tasks: written.append(tasks) or stored(df, tasks))
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))  # the driver's; the workers have their own
+    folders = []
+
+    def some_lost(held, parts, older, newest, tree, opened, features, number, params):
+        if number in (4, 8) and len(opened) == 1:
+            folders.append(held.map(lambda part: (parts.folder(part), parts.forget(part))[0]).collect())
+        return sums(held, parts, older, newest, tree, opened, features, number, params)
+
+    monkeypatch.setattr(B, "_all_sums", some_lost)
+    cuts = B.quantile_cuts(frame(spark, values, labels), cols, PARAMS.max_bins)
+    monkeypatch.setattr(B, "quantile_cuts", lambda *a: cuts)
+    again = B.fit_boosted_trees(frame(spark, values, labels, 7), cols, "won", params=PARAMS)
+    assert written == [3]
+    assert len(again.trees) == len(model.trees)
+    for a, b in zip(model.trees, again.trees):
+        assert all(np.array_equal(getattr(a, c), getattr(b, c)) for c in B.NODE_COLUMNS)
+    assert folders and not any(os.path.exists(folder) for found in folders for folder in found)
+
+
+def test_rows_on_disk_are_made_once_for_a_tree(spark, fitted, monkeypatch, tmp_path):
+    values, labels, cols, model = fitted
+    cuts = B.quantile_cuts(frame(spark, values, labels), cols, PARAMS.max_bins)
+    n_bins = max(len(c) for c in cuts) + 2
+    monkeypatch.setattr(B, "CHUNK_ROWS", 100)
+    files, _ = B._stored(B.to_blocks(frame(spark, values, labels, 6), cols, "won", "rid", cuts, model.base), 1)
+    monkeypatch.setenv("SPARK_LOCAL_DIRS", str(tmp_path))
+    parts = B._Parts("rows", files, 4, n_bins)
+    asked = []
+
+    def trees(known):
+        asked.append(known)
+        return model.trees[known:2]
+
+    for number, known in ((0, [0]), (0, []), (2, [0]), (2, [])):
+        asked.clear()
+        blocks = list(parts.rows(0).before(number, trees if number else lambda known: asked.append(known) or [], PARAMS))
+        assert asked == known  # scores and gradients are worked out once a tree, not in each pass
+        assert len(blocks) > 1 and sum(b.bins.shape[1] for b in blocks) == len(values)
+    plain = B.Rows(parts.folder(0), [], 4, n_bins - 1)
+    margins = np.concatenate([b.margins for b in plain._blocks(2, ["margins"])])
+    assert np.allclose(np.sort(margins), np.sort(B.BoostedTrees(cols, model.base, model.trees[:2]).margins(values)), atol=1e-12)
+    assert sorted(plain._numbers()) == [2]
