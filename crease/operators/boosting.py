@@ -25,7 +25,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from contextlib import ExitStack
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -91,7 +91,8 @@ class Tree:
         ends: list = [np.int16(node) for node in range(len(self.feature))]
         for node in range(len(ends) - 1, -1, -1):
             if self.feature[node] >= 0:
-                ends[node] = np.where(goes_left(node), ends[self.left[node]], ends[self.right[node]])
+                left, right = ends[self.left[node]], ends[self.right[node]]
+                ends[node] = right ^ ((left ^ right) & -goes_left(node).astype(np.int16))  # a choice without a branch
                 ends[self.left[node]] = ends[self.right[node]] = None
         return np.broadcast_to(ends[0], rows)
 
@@ -129,16 +130,22 @@ class BoostedTrees:
 
     def margins(self, values: np.ndarray) -> np.ndarray:
         """Log-odds of rows of raw values, in the order of ``feature_cols``."""
-        out = np.full(len(values), self.base)
-        columns = np.ascontiguousarray(values.T)
-        missing = [np.isnan(column) for column in columns]
-        for tree in self.trees:
-            def goes_left(node: int) -> np.ndarray:
-                under = columns[tree.feature[node]] < tree.cut[node]
-                return under | missing[tree.feature[node]] if tree.missing_left[node] else under
+        return self.scorer()(values)
+
+    def scorer(self) -> Callable[[np.ndarray], np.ndarray]:
+        """``margins`` with what does not depend on the rows worked out: trees over bins of the cuts they have."""
+        cuts = cuts_of(((tree.feature, tree.cut) for tree in self.trees), len(self.feature_cols))
+        trees = [replace(tree, bin=bins_of(tree.feature, tree.cut, cuts)) for tree in self.trees]
 
-            out += tree.value[tree.leaf(goes_left, len(out)) if tree.few_tests else tree.apply(values, tree.cut, np.isnan)]
-        return out
+        def margins(values: np.ndarray) -> np.ndarray:
+            out = np.full(len(values), self.base)
+            block = Block.__new__(Block)
+            block.bins, block.missing_bin = np.ascontiguousarray(bin_values(values, cuts).T), missing_bin(cuts)
+            for tree in trees:
+                out += tree.value[block.leaf(tree)]
+            return out
+
+        return margins
 
     def importance(self) -> dict[str, float]:
         """The gains of each feature's splits."""
@@ -194,9 +201,24 @@ def quantile_cuts(df: DataFrame, feature_cols: Sequence[str], max_bins: int) ->
     return [np.unique(values)[1:] for values in found]  # nothing lies under the least value
 
 
+def missing_bin(cuts: Sequence[np.ndarray]) -> int:
+    return max((len(c) for c in cuts), default=0) + 1
+
+
+def cuts_of(tests: Iterable[tuple[np.ndarray, np.ndarray]], n_features: int) -> list[np.ndarray]:
+    """Of each feature, the ascending cuts that the (features, cuts) of trees' nodes have; leaves have feature -1."""
+    feature, cut = (np.concatenate(part) for part in zip(*tests, (np.zeros(0, int), np.zeros(0))))
+    return [np.unique(cut[feature == f]) for f in range(n_features)]
+
+
+def bins_of(feature: np.ndarray, cut: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
+    """The bins under which a value is under ``cut``."""
+    return np.array([np.searchsorted(cuts[f], c, side="right") if f >= 0 else 0 for f, c in zip(feature, cut)], np.int32)
+
+
 def bin_values(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     """Bin numbers; a missing value has the number after the last bin of ``max(len(cuts))``."""
-    missing = max((len(c) for c in cuts), default=0) + 1
+    missing = missing_bin(cuts)
     out = np.empty(values.shape, np.uint16)
     for f, c in enumerate(cuts):
         out[:, f] = np.where(np.isnan(values[:, f]), missing, np.searchsorted(c, values[:, f], side="right"))
@@ -583,8 +605,9 @@ def with_margins(df: DataFrame, model: BoostedTrees, out: str = "margin") -> Dat
 
     @F.pandas_udf("double")
     def margins(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        score = source.value.scorer()
         for columns in batches:
             values = np.stack([np.asarray(c, float) for c in columns], axis=1)
-            yield pd.Series(source.value.margins(values))
+            yield pd.Series(score(values))
 
     return df.withColumn(out, margins(*[F.col(c).cast("double") for c in model.feature_cols]))

@@ -264,3 +264,22 @@ def test_rows_on_disk_are_made_once_for_a_tree(spark, fitted, monkeypatch, tmp_p
     margins = np.concatenate([b.margins for b in plain._blocks(2, ["margins"])])
     assert np.allclose(np.sort(margins), np.sort(B.BoostedTrees(cols, model.base, model.trees[:2]).margins(values)), atol=1e-12)
     assert sorted(plain._numbers()) == [2]
+
+
+def test_scores_take_one_pass_over_a_column_for_each_test(fitted, monkeypatch):
+    _, _, cols, model = fitted
+    rng = np.random.default_rng(7)
+    values = rng.normal(size=(4_000, 4))
+    values[rng.random(values.shape) < 0.1] = np.nan
+    values[rng.random(values.shape) < 0.02] = np.inf
+    values[rng.random(values.shape) < 0.02] = -np.inf
+    values[::3, 0] = rng.choice([t.cut[0] for t in model.trees], len(values[::3]))  # values that are a cut
+    told = np.full(len(values), model.base)
+    for tree in model.trees:
+        told += tree.value[tree.apply(values, tree.cut, np.isnan)]
+    monkeypatch.setattr(B, "TESTS", 0)
+    assert np.array_equal(model.margins(values), told)  # trees with many tests: row by row
+    monkeypatch.setattr(B, "TESTS", 64)
+    monkeypatch.setattr(B.Tree, "apply", None)
+    assert np.array_equal(model.margins(values), told)
+    assert len(model.margins(values[:0])) == 0
