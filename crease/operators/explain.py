@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crease.functions.expressions import with_portable_uniform
-from crease.operators.boosting import BoostedTrees, Tree
+from crease.operators.boosting import BoostedTrees, Tree, bin_values, bins_of, cuts_of, missing_bin
 from crease.session import ship_package
 
-#: Rows that are explained together.
-ROWS = 16_384
-#: Tests of a tree up to which rows are told apart by one whole number.
-CODE_BITS = 62
+#: Rows that are explained together, a multiple of those of an Arrow batch: kinds of rows are worked out once in them.
+ROWS = 65_536
+#: Tests of a tree up to which rows are told apart by one whole number, and up to which there is a table of these numbers.
+CODE_BITS, TABLE_BITS = 62, 16
 
 
 @dataclass
@@ -91,18 +91,38 @@ def shap_matrix(values: np.ndarray, paths: Sequence[TreePaths]) -> np.ndarray:
     """SHAP values (rows × features) of rows of raw values."""
     n, n_features = values.shape
     out = np.zeros((n_features, n))
+    cuts = cuts_of(((p.test_feature, p.test_cut) for p in paths), n_features)
+    bins, missing = np.ascontiguousarray(bin_values(values, cuts).T), missing_bin(cuts)
     for p in paths:
         n_leaves, depth = p.feature.shape
-        if not len(p.test_feature):
+        n_tests = len(p.test_feature)
+        if not n_tests:
             continue
-        tested = values[:, p.test_feature].T
-        left = (tested < p.test_cut[:, None]) | (np.isnan(tested) & p.test_missing_left[:, None])
+
+        def goes_left(rows: slice | np.ndarray = slice(None)) -> Iterator[np.ndarray]:
+            for f, under, also in zip(p.test_feature, bins_of(p.test_feature, p.test_cut, cuts), p.test_missing_left):
+                column = bins[f][rows]
+                yield (column < under) | (column == missing) if also else column < under
+
         # rows that agree in all tests have the same values: each kind of row is worked out once
         of_row = None
-        if len(left) <= CODE_BITS:
-            code = (np.int64(1) << np.arange(len(left))) @ left
+        if n_tests <= TABLE_BITS:
+            code = np.zeros(n, np.uint16)
+            for t, side in enumerate(goes_left()):
+                code |= side.astype(np.uint16) << np.uint16(t)
+            found = np.zeros(1 << n_tests, bool)
+            found[code] = True
+            kind_codes = np.flatnonzero(found)
+            kind_of = np.zeros(1 << n_tests, np.int32)
+            kind_of[kind_codes] = np.arange(len(kind_codes))
+            of_row = kind_of[code]
+            left = (kind_codes >> np.arange(n_tests)[:, None] & 1).astype(bool)
+        elif n_tests <= CODE_BITS:
+            code = sum(side.astype(np.int64) << np.int64(t) for t, side in enumerate(goes_left()))
             _, first, of_row = np.unique(code, return_index=True, return_inverse=True)
-            left = left[:, first]
+            left = np.stack(list(goes_left(first)))
+        else:
+            left = np.stack(list(goes_left()))
         kinds = left.shape[1]
         # o[l, d] of each row: no test of the player goes the other way
         follow = p.follow.reshape(-1, len(left)).astype(np.float32)
@@ -123,10 +143,23 @@ def shap_matrix(values: np.ndarray, paths: Sequence[TreePaths]) -> np.ndarray:
             own = p.feature[:, i] >= 0
             to[p.feature[own, i], np.flatnonzero(own)] = p.value[own]
             of_kind += to @ game
-        out += of_kind if of_row is None else of_kind[:, of_row]
+        for f in np.unique(p.feature[p.feature >= 0]):
+            out[f] += of_kind[f] if of_row is None else of_kind[f].take(of_row)
     return out.T
 
 
+def together(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``rows`` rows or there are no more."""
+    waiting: list[pd.DataFrame] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= rows:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting = []
+    if waiting:
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def shap_values(model_df: DataFrame, model: BoostedTrees, feature_cols: Sequence[str] | None = None,
                 sample_size: int | None = None, id_col: str = "rid", seed: int = 42,
                 keep: Sequence[str] = ()) -> DataFrame:
@@ -151,7 +184,7 @@ def shap_values(model_df: DataFrame, model: BoostedTrees, feature_cols: Sequence
                           + [T.StructField("base_value", T.DoubleType()), T.StructField("margin", T.DoubleType())])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
+        for whole in together(batches, ROWS):
             for at in range(0, len(whole), ROWS):
                 part = whole.iloc[at:at + ROWS]
                 contributions = shap_matrix(part[feature_cols].to_numpy(float), source.value)

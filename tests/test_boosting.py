@@ -283,3 +283,25 @@ def test_scores_take_one_pass_over_a_column_for_each_test(fitted, monkeypatch):
     monkeypatch.setattr(B.Tree, "apply", None)
     assert np.array_equal(model.margins(values), told)
     assert len(model.margins(values[:0])) == 0
+
+
+def test_rows_alike_are_found_by_table_by_number_or_not_at_all(fitted, monkeypatch):
+    from crease.operators import explain as E
+    values, _, _, model = fitted
+    paths = [tree_paths(tree) for tree in model.trees]
+    by_table = shap_matrix(values, paths)
+    monkeypatch.setattr(E, "TABLE_BITS", 0)
+    assert np.allclose(shap_matrix(values, paths), by_table, rtol=0, atol=1e-13)
+    monkeypatch.setattr(E, "CODE_BITS", 0)
+    assert np.allclose(shap_matrix(values, paths), by_table, rtol=0, atol=1e-13)
+    assert shap_matrix(values[:0], paths).shape == (0, 4)
+
+
+def test_arrow_batches_are_explained_together():
+    import pandas as pd
+    from crease.operators import explain as E
+    batches = [pd.DataFrame({"a": np.arange(10 * i, 10 * i + 10)}) for i in range(8)]
+    found = list(E.together(iter(batches), 30))
+    assert [len(part) for part in found] == [30, 30, 20]
+    assert np.array_equal(pd.concat(found)["a"], np.arange(80))
+    assert list(E.together(iter([]), 30)) == []
