@@ -589,6 +589,8 @@ def fit_boosted_trees(train: DataFrame, feature_cols: Sequence[str], target: str
             held, parts, older, newest, tree, opened, features, number, params), number, cuts, params))
         newest.append(model.trees[-1])
         if len(newest) == REFRESH:
+            if older is not None:
+                older.unpersist()
             older, newest = sc.broadcast(list(model.trees)), []
     held.foreach(parts.forget)
     held.unpersist()
